@@ -1,7 +1,24 @@
-"""All registered market queries and their SQL."""
+"""All registered market queries and the SQL that each is checked against."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
-FLAGSHIP = "d1_minute_bars"
+FLAGSHIP = "slice_vwap_leaders"
+
+
+def query(sql: str | None = None):
+    """Registers a function (spark, sf_dir) -> DataFrame under its own name."""
+
+    def register(f: Callable) -> Callable:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+from .plans import chain_plans, feature_plans, join_plans, ledger_plans, quality_plans, stat_plans  # noqa: E402, F401
