@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import keep_ids, stored, table
+from .common import keep_ids, small_batches, stored, table
 from .components import components
 from .partenum import fold, linked, may_link, signatures, sketch
 from .shingles import shingle_sets
@@ -27,11 +27,23 @@ def _described(k: int, percent: int):
             for doc, s in zip(pdf["doc_id"], shingle_sets(pdf["text"].tolist(), k), strict=True):
                 raw = s.tobytes()
                 out.append(
-                    (doc, len(s), hashlib.blake2b(raw, digest_size=16).digest(), sketch(s, percent), signatures(s, percent).view(np.int64))
-                    if len(s)
-                    else (doc, 0, None, None, None)
+                    (doc, len(s), hashlib.blake2b(raw, digest_size=16).digest(), sketch(s, percent)) if len(s) else (doc, 0, None, None)
                 )
-            yield pd.DataFrame(out, columns=["doc_id", "n", "set_hash", "sketch", "sigs"])
+            yield pd.DataFrame(out, columns=["doc_id", "n", "set_hash", "sketch"])
+
+    return run
+
+
+_DESCRIBED = "doc_id long, n long, set_hash binary, sketch binary"
+
+
+def _signed(k: int, percent: int):
+    """(sig, cls) for each signature of each document."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            own = [signatures(s, percent).view(np.int64) for s in shingle_sets(pdf["text"].tolist(), k)]
+            yield pd.DataFrame({"sig": np.concatenate(own), "cls": np.repeat(pdf["doc_id"].to_numpy(), [len(x) for x in own])}) if own else pd.DataFrame({"sig": [], "cls": []}, dtype="int64")
 
     return run
 
@@ -81,39 +93,77 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, per
     )
 
 
-def _blocks(percent: int):
-    """Pairs from sorted rows (sig, left, right, side, cls, label, n, sketch) that may link, in different groups so far."""
+def _blocks(percent: int, nearest: bool):
+    """(sig, a, b) from sorted rows (sig, left, right, side, cls, label, n, sketch) that may link, in different groups so far.
 
-    def compared(g: pd.DataFrame) -> pd.DataFrame:
-        cells = min(map(len, g.sketch))
-        s = np.stack([fold(np.frombuffer(x, np.uint8), cells) for x in g.sketch])
-        n, label, cls = g.n.to_numpy(), g.label.to_numpy(), g.cls.to_numpy()
-        left, right = np.flatnonzero(g.side.to_numpy() <= 0), np.flatnonzero(g.side.to_numpy() >= 0)
+    nearest: of each row, only the pair with the sketch that is most alike.
+    """
+
+    def compared(cls: np.ndarray, label: np.ndarray, n: np.ndarray, side: np.ndarray, sketches: list[bytes]) -> tuple[np.ndarray, np.ndarray] | None:
+        if (label == label[0]).all():
+            return None
+        size = min(map(len, sketches))
+        s = np.stack([fold(np.frombuffer(x, np.uint8), size) for x in sketches]).view(np.uint64)
         a, b = [], []
-        for i in left:
-            other = right[(label[right] != label[i]) & (cls[right] != cls[i])]
-            if len(other):
-                apart = (s[other] != s[i]).sum(1)
-                near = other[(100 + percent) * apart <= (100 - percent) * (n[other] + n[i])]
-                a.append(np.minimum(cls[near], cls[i]))
-                b.append(np.maximum(cls[near], cls[i]))
-        return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)}, dtype="int64").drop_duplicates() if a else None
+        for at in range(0, len(cls), 32):
+            own = np.arange(at, min(at + 32, len(cls)))
+            apart = np.bitwise_count(s[own, None] ^ s[None]).sum(2, dtype=np.int32)
+            near = (100 + percent) * apart <= (100 - percent) * (n[own, None] + n[None])
+            near &= (label[own, None] != label[None]) & (cls[own, None] != cls[None]) & (side[own, None] <= 0) & (side[None] >= 0)
+            if nearest:
+                i = np.flatnonzero(near.any(1))
+                j = np.where(near[i], apart[i], np.iinfo(np.int32).max).argmin(1)
+            else:
+                i, j = np.nonzero(near)
+            a.append(np.minimum(cls[own[i]], cls[j]))
+            b.append(np.maximum(cls[own[i]], cls[j]))
+        return np.concatenate(a), np.concatenate(b)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest = None
+        rest: pd.DataFrame | None = None
+
+        def found(pdf: pd.DataFrame, ends: np.ndarray) -> Iterator[pd.DataFrame]:
+            cls, label, n, side, sketches = pdf.cls.to_numpy(), pdf.label.to_numpy(), pdf.n.to_numpy(), pdf.side.to_numpy(), pdf.sketch.tolist()
+            sig = pdf.sig.to_numpy()
+            pairs = [(sig[x], *p) for x, y in zip(ends[:-1], ends[1:], strict=True) if (p := compared(cls[x:y], label[x:y], n[x:y], side[x:y], sketches[x:y])) and len(p[0])]
+            if pairs:
+                yield pd.DataFrame({"sig": np.repeat([p[0] for p in pairs], [len(p[1]) for p in pairs]), "a": np.concatenate([p[1] for p in pairs]), "b": np.concatenate([p[2] for p in pairs])}).drop_duplicates()
+
         for pdf in batches:
             pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
-            new = (pdf[["sig", "left", "right"]].diff().fillna(1) != 0).any(axis=1).to_numpy().nonzero()[0]
-            for x, y in zip(new[:-1], new[1:], strict=True):
-                if (found := compared(pdf.iloc[x:y])) is not None:
-                    yield found
-            rest = pdf.iloc[new[-1] :] if len(new) else None
-        if rest is not None and len(rest) and (found := compared(rest)) is not None:
-            yield found
+            keys = pdf[["sig", "left", "right"]].to_numpy()
+            starts = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(1)]) if len(pdf) else np.zeros(0, int)
+            if len(starts) > 1:
+                yield from found(pdf, starts)
+            rest = pdf.iloc[starts[-1] :] if len(starts) else None
+        if rest is not None and len(rest):
+            yield from found(rest, np.array([0, len(rest)]))
 
     return run
 
 
+def _compared(buckets: DataFrame, groups: DataFrame, classes: DataFrame, percent: int, nearest: bool) -> DataFrame:
+    """(sig, a, b) of what may link in the buckets (sig, cls) of more than three whose members are in different groups."""
+    members = buckets.join(groups.toDF("cls", "component"), "cls", "left").select("sig", "cls", F.coalesce("component", "cls").alias("label"))
+    mixed = (
+        members.groupBy("sig")
+        .agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size"))
+        .where("low <> high and size > 3")
+        .select("sig", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+    )
+    own = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")
+    rows = (
+        members.join(mixed, "sig")
+        .join(classes, "cls")
+        .withColumn("own", own)
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select("sig", F.least("own", "other").alias("left"), F.greatest("own", "other").alias("right"),
+                F.signum(F.col("own") - F.col("other")).cast("int").alias("side"), "cls", "label", "n", "sketch")
+    )
+    rows = rows.repartition(int(buckets.sparkSession.conf.get("spark.sql.shuffle.partitions")), "sig", "left", "right").sortWithinPartitions("sig", "left", "right")
+    return rows.mapInPandas(_blocks(percent, nearest), "sig long, a long, b long")
+
+
 def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, class_id, component_id) of each row of docs (doc_id, text, any others).
 
@@ -123,8 +173,8 @@ def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     percent * union; component_id is the smallest doc_id that links reach.
 
     Equal sets become one class (class_id: its smallest doc_id). Classes that
-    share a PartEnum signature are compared with the first and the previous one
-    of their bucket, which is linear in its size. What these links leave in
+    share a PartEnum signature are compared with the first one of their bucket,
+    and the third with the second, which is linear in its size. What these links leave in
     different groups of a bucket is compared in blocks, by sketches that never
     miss a link, and exactly where they don't exclude one: nothing is capped.
 
@@ -132,47 +182,38 @@ def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     null class and component; rows of one doc_id count as one document, which
     has all their links; an empty table gives an empty result.
     """
+    small_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     described = stored(
         docs.where("doc_id is not null").mapInPandas(
-            _described(k, percent), "doc_id long, n long, set_hash binary, sketch binary, sigs array<long>"
+            _described(k, percent), _DESCRIBED
         ),
         "sets",
     )
     cls = described.where("n > 0").groupBy("set_hash").agg(F.min("doc_id").alias("cls"))
-    reps = keep_ids(described.where("n > 0"), cls.select(F.col("cls").alias("doc_id")), "doc_id").withColumnRenamed("doc_id", "cls")
+    ids = cls.select(F.col("cls").alias("doc_id"))
+    classes = stored(keep_ids(described.where("n > 0"), ids, "doc_id").select(F.col("doc_id").alias("cls"), "n", "sketch").dropDuplicates(["cls"]), "classes")
     in_order = Window.partitionBy("sig").orderBy("cls")
+    signed = keep_ids(docs.where("doc_id is not null"), ids, "doc_id").mapInPandas(_signed(k, percent), "sig long, cls long")
+    place, before, after = F.row_number().over(in_order), F.lag("cls").over(in_order), F.lead("cls").over(in_order)
     buckets = stored(
-        reps.select("cls", F.explode("sigs").alias("sig"))
-        .select("sig", "cls", F.lag("cls").over(in_order).alias("before"), F.lead("cls").over(in_order).alias("after"), F.first("cls").over(in_order).alias("hub"))
-        .where("before is not null or after is not null"),
+        signed.select("sig", "cls", F.first("cls").over(in_order).alias("hub"), place.alias("place"), before.alias("before"), after.alias("after"))
+        .where("before is not null or after is not null")
+        .select("sig", "cls", "hub", F.when(F.col("place") == 3, F.col("before")).alias("second")),
         "buckets",
     )
-    near = buckets.where("before is not null").select(F.explode(F.array_distinct(F.array("before", "hub"))).alias("a"), F.col("cls").alias("b"))
-    classes = reps.select("cls", "n", "sketch").dropDuplicates(["cls"])
-    first = _verified(near.where("a <> b").distinct(), classes, docs, k, percent, False)
+    near = buckets.select(F.explode(F.array("hub", "second")).alias("a"), F.col("cls").alias("b"))
+    first = _verified(near.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), classes, docs, k, percent, False)
     groups = stored(components(first.toDF("src", "dst")), "groups")
 
-    members = buckets.select("sig", "cls").join(groups.toDF("cls", "component"), "cls", "left").select("sig", "cls", F.coalesce("component", "cls").alias("label"))
-    mixed = (
-        members.groupBy("sig")
-        .agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size"))
-        .where("low <> high and size > 3")
-        .select("sig", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-    )
-    own = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")
-    rows = (
-        members.join(mixed, "sig")
-        .join(classes, "cls")
-        .withColumn("own", own)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("sig", F.least("own", "other").alias("left"), F.greatest("own", "other").alias("right"),
-                F.signum(F.col("own") - F.col("other")).cast("int").alias("side"), "cls", "label", "n", "sketch")
-    )
-    rows = rows.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "sig", "left", "right").sortWithinPartitions("sig", "left", "right")
-    rest = rows.mapInPandas(_blocks(percent), "a long, b long").distinct()
-    second = _verified(rest, classes, docs, k, percent, True)
+    close = stored(_compared(buckets.select("sig", "cls"), groups, classes, percent, True), "nearest")
+    second = _verified(close.select("a", "b").distinct(), classes, docs, k, percent, True)
     links = groups.toDF("src", "dst").unionByName(second.toDF("src", "dst"))
+    groups = stored(components(links), "groups")
+    left = buckets.select("sig", "cls").join(close.select("sig").distinct(), "sig")
+    rest = _compared(left, groups, classes, percent, False).select("a", "b").distinct()
+    third = _verified(rest, classes, docs, k, percent, True)
+    links = groups.toDF("src", "dst").unionByName(third.toDF("src", "dst"))
     final = components(links).toDF("cls", "component")
 
     placed = described.select("doc_id", "n", "set_hash").join(cls, "set_hash", "left")
@@ -190,7 +231,7 @@ def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     unnamed = docs.where("doc_id is null")
     if unnamed.limit(1).count():
         sizes = unnamed.select(F.lit(0).cast("long").alias("doc_id"), "text").mapInPandas(
-            _described(k, percent), "doc_id long, n long, set_hash binary, sketch binary, sigs array<long>"
+            _described(k, percent), _DESCRIBED
         )
         out = out.unionByName(sizes.select(null.alias("doc_id"), F.col("n").alias("n_shingles"), null.alias("class_id"), null.alias("component_id")))
     return out

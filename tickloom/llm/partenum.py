@@ -89,32 +89,30 @@ def signatures(elements: np.ndarray, percent: int) -> np.ndarray:
 
 
 def sketch_cells(n: int, percent: int) -> int:
-    """Cells of the sketch of a set of n: a power of two, about twice the elements that may differ."""
+    """Cells of the sketch of a set of n: a power of two, eight or more for each element that may differ, sixteen up to 1024."""
     k = (100 - percent) * 2 * n // (100 + percent)
-    return 1 << min(14, max(4, (2 * k).bit_length()))
+    return 1 << min(15, max(6, min(10, (16 * k).bit_length()), (8 * k).bit_length()))
 
 
 def sketch(elements: np.ndarray, percent: int) -> bytes:
-    """One byte for each cell, the sum of what falls there. Two sets differ in at least as many elements as cells."""
+    """A bit for each cell: whether an odd number of elements fall there. Two sets differ in at least as many elements as bits."""
     cells = sketch_cells(len(elements), percent)
-    m = mix(elements ^ _GOLD)
-    value = (m >> np.uint64(40)) & np.uint64(255)
-    sums = np.bincount((m & np.uint64(cells - 1)).astype(np.int64), weights=value.astype(np.float64), minlength=cells)
-    return (sums.astype(np.int64) & 255).astype(np.uint8).tobytes()
+    at = (mix(elements ^ _GOLD) & np.uint64(cells - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=cells) & 1).astype(bool), bitorder="little").tobytes()
 
 
-def fold(cells: np.ndarray, to: int) -> np.ndarray:
-    """A sketch (last axis) brought down to fewer cells."""
-    while cells.shape[-1] > to:
-        half = cells.shape[-1] // 2
-        cells = cells[..., :half] + cells[..., half:]
-    return cells
+def fold(bits: np.ndarray, to: int) -> np.ndarray:
+    """Packed sketches (bytes along the last axis) brought down to `to` bytes."""
+    while bits.shape[-1] > to:
+        half = bits.shape[-1] // 2
+        bits = bits[..., :half] ^ bits[..., half:]
+    return bits
 
 
 def may_link(a: bytes, n_a: int, b: bytes, n_b: int, percent: int) -> bool:
     x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
-    cells = min(len(x), len(y))
-    return (100 + percent) * int((fold(x, cells) != fold(y, cells)).sum()) <= (100 - percent) * (n_a + n_b)
+    size = min(len(x), len(y))
+    return (100 + percent) * int(np.bitwise_count(fold(x, size) ^ fold(y, size)).sum()) <= (100 - percent) * (n_a + n_b)
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:

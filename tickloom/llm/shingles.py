@@ -13,7 +13,7 @@ _BYTES[65:91] = _BYTES[97:123]
 #: Bytes that part words: space and \\t to \\r. No byte of a longer UTF-8 sequence is among them.
 _GAP = np.zeros(256, bool)
 _GAP[[9, 10, 11, 12, 13, 32]] = True
-_BLOCK = 1 << 21
+_BLOCK = 1 << 18
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
