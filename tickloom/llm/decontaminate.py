@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keep_ids, stored, table
+from .common import keep_ids, small_batches, stored, table
 from .shingles import word_hashes
 
 WINDOW = 10
@@ -27,7 +27,7 @@ PASS_WORDS = 2_000_000
 _WORD = np.zeros(256, bool)
 _WORD[48:58] = _WORD[65:91] = _WORD[97:123] = _WORD[128:] = True
 _TRANSLATE = bytes((c + 32 if 65 <= c <= 90 else c) if _WORD[c] else 32 for c in range(256))
-_BLOCK = 1 << 21
+_BLOCK = 1 << 18
 
 
 def words(text: str | None) -> list[bytes]:
@@ -153,6 +153,7 @@ def passages(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> Dat
     each; empty tables give no rows, or no hits.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     docs = docs.withColumn("row", F.xxhash64("doc_id", "text"))
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), "text").where("text is not null").distinct()

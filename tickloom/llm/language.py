@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import small_batches, table
 
 #: The classifier is fitted on at most so many texts a language and in all.
 SAMPLE_PER_LANGUAGE, SAMPLE = 200, 2_000
@@ -133,6 +133,7 @@ def identify(docs: DataFrame, model: KernelModel | None) -> DataFrame:
     where no model could be learned. Ties go to the first language by name.
     Columns of these two names are replaced; rows and other columns stay.
     """
+    small_batches(docs.sparkSession)
     if model is None:
         return docs.withColumn("lang_pred", F.lit("und")).withColumn("score", F.lit(0.0))
     shared = docs.sparkSession.sparkContext.broadcast(model)

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import small_batches, table
 
 SYMBOLS = "#*$%&|<>"
 _GAPS = " \t\n\v\f\r"
@@ -112,6 +112,7 @@ def clean(docs: DataFrame) -> DataFrame:
     at most MOST_LOST percent of its words. A null text counts as empty and
     fails. Columns of these names are replaced; rows and other columns stay.
     """
+    small_batches(docs.sparkSession)
     kind = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, line_faults map<string,long>, cleaned string"
 
     @F.pandas_udf(kind)

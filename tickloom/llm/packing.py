@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import small_batches, table
 
 LENGTH = 2048
 END = 1
@@ -141,6 +141,7 @@ def pack(docs: DataFrame, paths: tuple[str, str, str] | None = None) -> DataFram
         import public_tokenizers
 
         paths = (public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = int(chars // BLOCK_CHARS + 1)

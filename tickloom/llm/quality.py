@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import small_batches, table
 from .language import held_out, labelled_sample
 from .shingles import mix, word_hashes
 
@@ -143,6 +143,7 @@ def score(docs: DataFrame, model: QualityModel | None, prior: float = 0.5) -> Da
     gives to a text without words. Without a model, the score is `prior`.
     Columns of these names are replaced; rows and other columns stay.
     """
+    small_batches(docs.sparkSession)
     if model is None:
         scored = docs.withColumn("score", F.lit(prior))
     else:
