@@ -22,7 +22,7 @@ from .common import table
 
 START, END = "<|turn|>", "<|end|>"
 #: First characters of control strings, and what follows them.
-_REST = r"(?:/?s>|/?INST\]|/?SYS>>|<SYS>>|</SYS>>|\||/?im_\w+>)"
+_REST = r"(?:/?s>|/?INST\]|/?SYS>>|\||/?im_\w+>)"
 _ESCAPE = re.compile(rf"([<\[])(\\*)(?={_REST})")
 _UNESCAPE = re.compile(rf"([<\[])(\\*)\\(?={_REST})")
 
@@ -192,7 +192,7 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL = r"""
 with t as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
            union all select -1, 0, 'user', '</s>[INST] ok [/INST]' union all select -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
-e as (select *, regexp_replace(text, '([<\[])(\\*)(/?s>|/?INST\]|/?SYS>>|<SYS>>|</SYS>>|\||/?im_\w+>)', '\1\2\\\3', 'g') as escaped from t)
+e as (select *, regexp_replace(text, '([<\[])(\\*)(/?s>|/?INST\]|/?SYS>>|\||/?im_\w+>)', '\1\2\\\3', 'g') as escaped from t)
 select conv_id, count(*) as n_turns,
        sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
        cast(coalesce(sum(length(text)) filter (role = 'assistant'), 0) as bigint) as loss_chars,

@@ -116,7 +116,7 @@ def labelled_sample(labelled: DataFrame, label: str, per_label: int, most: int)
     share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(each / n))])
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(1 << 30)
     rows = labelled.where(draw < share[F.col(label)]).select(label, "text", "doc_id").limit(2 * most).collect()
-    return sorted(rows, key=lambda r: (str(r[0]), r["doc_id"]))
+    return sorted(rows, key=lambda r: (str(r[0]), r["doc_id"] is None, r["doc_id"] or 0, r["text"]))
 
 
 def train(docs: DataFrame, usable: Column) -> KernelModel | None:
