@@ -208,17 +208,17 @@ def e8_adx(spark, sf):
 _VWAP = f"""v as (select *, (high + low + close) / 3 as tp from bars),
  w as (select *, max(case when {{0}} is null then 1 else 0 end) over r as unknown, sum(tp * {{0}}) over r / sum({{0}}) over r as mean, sum(tp * tp * {{0}}) over r / sum({{0}}) over r as square,
    sum({{0}}) over r as total from v window r as ({RUN}))
- select {KEY}, case when unknown = 0 and total > 0 then round(mean, 5) end as vwap, case when unknown = 0 and total > 0 then round(sqrt(greatest(0, square - mean * mean)), 4) end as vwap_dev from w"""
+ select {KEY}, case when unknown = 0 and total > 0 then round(mean + 1e-9, 5) end as vwap, case when unknown = 0 and total > 0 then round(sqrt(greatest(0, square - mean * mean)), 4) end as vwap_dev from w"""
 
 
 @query(duck("with " + _VWAP.format("volume")))
 def e9_session_vwap(spark, sf):
-    return keyed(session_vwap(view(spark, sf, "bars"), DAY, "hr", "volume"), F.round("vwap", 5).alias("vwap"), F.round("vwap_dev", 4).alias("vwap_dev"))
+    return keyed(session_vwap(view(spark, sf, "bars"), DAY, "hr", "volume"), F.round(F.col("vwap") + 1e-9, 5).alias("vwap"), F.round("vwap_dev", 4).alias("vwap_dev"))
 
 
-@query(duck("with " + _VWAP.format("n_ticks").replace("round(mean, 5)", "round(mean, 9)").replace("square - mean * mean)), 4)", "square - mean * mean)), 3)")))
+@query(duck("with " + _VWAP.format("n_ticks").replace("square - mean * mean)), 4)", "square - mean * mean)), 3)")))
 def e10_session_vwap_ticks(spark, sf):
-    return keyed(session_vwap(view(spark, sf, "bars"), DAY, "hr", "n_ticks"), F.round("vwap", 9).alias("vwap"), F.round("vwap_dev", 3).alias("vwap_dev"))
+    return keyed(session_vwap(view(spark, sf, "bars"), DAY, "hr", "n_ticks"), F.round(F.col("vwap") + 1e-9, 5).alias("vwap"), F.round("vwap_dev", 3).alias("vwap_dev"))
 
 
 @query(duck(f"""with {_SEG} select {KEY}, case when max(case when volume is null then 1 else 0 end) over r = 0 then cast(coalesce(sum(sign(close - pcs) * volume) over r, 0) as double) end as obv
@@ -358,21 +358,21 @@ def e31_daily_features(spark, sf):
 
 
 @query(duck(f"""with a as (select *, case when n % 11 = 0 then 0.5 else 1 end as ratio from daily)
- select {DAILY}, round(exp(coalesce(sum(ln(ratio)) over w, 0)), 8) as factor, round(close * exp(coalesce(sum(ln(ratio)) over w, 0)), 8) as adjusted_close,
+ select {DAILY}, round(exp(coalesce(sum(ln(ratio)) over w, 0)), 8) as factor, round(close * exp(coalesce(sum(ln(ratio)) over w, 0)) + 1e-10, 8) as adjusted_close,
  round(volume / exp(coalesce(sum(ln(ratio)) over w, 0)), 4) as adjusted_volume from a window w as (partition by symbol order by session rows between 1 following and unbounded following)"""))
 def e37_back_adjustment(spark, sf):
     d = view(spark, sf, "daily").withColumn("ratio", F.when(F.col("n") % 11 == 0, 0.5).otherwise(1.0))
     w = Window.partitionBy("symbol").orderBy("session").rowsBetween(1, Window.unboundedFollowing)
     factor = F.exp(F.coalesce(F.sum(F.log("ratio")).over(w), F.lit(0.0)))
-    return daily_keyed(d, F.round(factor, 8).alias("factor"), F.round(F.col("close") * factor, 8).alias("adjusted_close"), F.round(F.col("volume") / factor, 4).alias("adjusted_volume"))
+    return daily_keyed(d, F.round(factor, 8).alias("factor"), F.round(F.col("close") * factor + 1e-10, 8).alias("adjusted_close"), F.round(F.col("volume") / factor, 4).alias("adjusted_volume"))
 
 
 @query(duck("""with v as (select symbol, bar_start, close, case when sum(n_ticks) over r > 0 then sum((high + low + close) / 3 * n_ticks) over r / sum(n_ticks) over r end as vwap
    from bars window r as (partition by symbol, session order by hr rows between unbounded preceding and current row)),
  k as (select *, row_number() over (partition by bar_start order by abs(close / vwap - 1) desc, symbol) as place from v)
- select symbol, cast(bar_start as varchar) as bar_start, cast(place as int) as place, round(close / vwap - 1, 6) as distance from k where place <= 2"""))
+ select symbol, cast(bar_start as varchar) as bar_start, cast(place as int) as place, round(close / vwap - 1 + 1e-9, 6) as distance from k where place <= 2"""))
 def slice_vwap_leaders(spark, sf):
     """Ticks to bars, session VWAP, and the two symbols of each bar that are farthest from theirs."""
     v = session_vwap(view(spark, sf, "bars"), DAY, "hr", "n_ticks").withColumn("distance", F.col("close") / F.col("vwap") - 1)
     w = Window.partitionBy("bar_start").orderBy(F.abs("distance").desc(), "symbol")
-    return v.withColumn("place", F.row_number().over(w)).where("place <= 2").select("symbol", F.col("bar_start").cast("string").alias("bar_start"), "place", r6("distance").alias("distance"))
+    return v.withColumn("place", F.row_number().over(w)).where("place <= 2").select("symbol", F.col("bar_start").cast("string").alias("bar_start"), "place", tied("distance").alias("distance"))
