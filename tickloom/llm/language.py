@@ -107,18 +107,27 @@ class KernelModel:
         return langs, scores
 
 
-def labelled_sample(labelled: DataFrame, label: str, per_label: int, most: int) -> list:
-    """Rows (label, text) of about per_label texts of each label, by a hash of doc_id; at most `most` in all."""
+def drawn(labelled: DataFrame, label: str, per_label: int, most: int) -> DataFrame:
+    """The rows of about per_label documents of each label, by a hash of doc_id; about `most` in all."""
     counts = dict(labelled.groupBy(label).count().limit(10_000).collect())
     if not counts:
-        return []
+        return labelled.limit(0)
     each = max(1, min(per_label, most // len(counts)))
     share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(each / n))])
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(1 << 30)
-    rows = labelled.where(draw < share[F.col(label)]).select(label, "text", "doc_id").limit(2 * most).collect()
+    return labelled.where(draw < share[F.col(label)])
+
+
+def in_order(rows: list) -> list:
+    """Rows (label, text, doc_id) in an order that does not depend on partitions."""
     return sorted(rows, key=lambda r: (str(r[0]), r["doc_id"] is None, r["doc_id"] or 0, r["text"]))
 
 
+def labelled_sample(labelled: DataFrame, label: str, per_label: int, most: int) -> list:
+    """Rows (label, text) of about per_label texts of each label; at most 2 * `most` in all."""
+    return in_order(drawn(labelled, label, per_label, most).select(label, "text", "doc_id").limit(2 * most).collect())
+
+
 def train(docs: DataFrame, usable: Column) -> KernelModel | None:
     """A model from a bounded sample of the rows of docs (doc_id, text, lang) where usable holds; None without any."""
     labelled = docs.where(usable & F.col("lang").isNotNull() & F.col("text").isNotNull())

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import small_batches, table
-from .language import held_out, labelled_sample
+from .language import drawn, held_out, in_order
 from .shingles import mix, word_hashes
 
 #: The network and the word vectors are fitted on at most so many labelled texts of each label, of so many characters at most.
@@ -126,12 +126,15 @@ class QualityModel:
 
 
 def train(docs: DataFrame, labels: DataFrame, usable: Column) -> QualityModel | None:
-    """A model from a bounded sample of the labelled rows where usable holds; None without both labels."""
-    rows = docs.where(usable & F.col("text").isNotNull() & (F.length("text") <= LONGEST)).join(
-        labels.where(F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("other")).where("quality = other"),
-        "doc_id",
-    )
-    rows = labelled_sample(rows.select("doc_id", "text", "quality"), "quality", SAMPLE_PER_LABEL, 2 * SAMPLE_PER_LABEL)
+    """A model from a bounded sample of the labelled rows where usable holds; None without both labels.
+
+    The sample is drawn over ids, so that only its own texts leave the scan.
+    """
+    known = labels.where(F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("other")).where("quality = other")
+    usable_docs = docs.where(usable & F.col("text").isNotNull() & (F.length("text") <= LONGEST)).select("doc_id", "text")
+    labelled, most = usable_docs.select("doc_id").join(known, "doc_id").select("doc_id", "quality"), 2 * SAMPLE_PER_LABEL
+    picked = drawn(labelled, "quality", SAMPLE_PER_LABEL, most).distinct().limit(2 * most)
+    rows = in_order(usable_docs.join(F.broadcast(picked), "doc_id").select("quality", "text", "doc_id").limit(2 * most).collect())
     y = [int(r["quality"]) for r in rows]
     return QualityModel([r["text"] for r in rows], y) if len(set(y)) == 2 else None
 
