@@ -163,6 +163,25 @@ def test_html(spark):
     assert got[10] == "other 0"
 
 
+def test_html_tree_inside_articles(spark, monkeypatch):
+    """Boilerplate without marks and comments in article tags go, diverse text outside the article and copied pages stay."""
+
+    def page(i):
+        return (
+            f"<main class='has-sidebar'><article class='post has-comments'><h1>title {i}</h1><p>story {i}<p>this text is ours<div class='box'>write to us</div></article>"
+            f"<article class='comment'><p>reader {i}</p></article></main><div class='more'>second part {i}</div><div class='line'>all rights</div>"
+        )
+
+    rows = [(i, f"http://s.example/{i}", page(i)) for i in range(12)] + [(20 + i, f"http://s.example/copy{i}", page(0) + f"<footer>{i}</footer>") for i in range(40)]
+    rows += [(100 + i, f"http://t.example/{i}", f"<article><p>only {i}</p></article><div>aside</div>") for i in range(2)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for limit in (200_000, -1):
+        monkeypatch.setattr(html_extract, "BROADCAST_BRANCHES", limit)
+        got = {r["page_id"]: r["text"] for r in html_extract.extract(frame).collect()}
+        assert [got[i] for i in range(12)] == [f"title {i} story {i} second part {i}" for i in range(12)]
+        assert {got[20 + i] for i in range(40)} == {"title 0 story 0 second part 0"} and got[100] == "only 0"
+
+
 def test_html_without_broadcast(spark, monkeypatch):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     want = {r["page_id"]: r["text"] for r in html_extract.extract(pages).collect()}

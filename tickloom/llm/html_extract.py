@@ -4,9 +4,13 @@ The pages of a host are merged into one tree of styles: a node is the chain of
 block elements (tag and classes) that leads to it. A node that holds text is as
 important as its contents are diverse over the pages that have it (entropy, 1
 if all differ, 0 if all agree); an inner node is as important as its children
-and the ways in which they follow each other, weighted by pages. Branches of low
-importance are cut from every page, as are those whose markup says that they are
-no content; a marked article keeps all of its blocks.
+and the ways in which they follow each other, weighted by pages. A single block
+is as important as its text is rare among the pages that have its node (its
+self-information, of which the entropy is the mean). Branches and blocks of low
+importance are cut from every page, inside articles too, as are those whose
+markup says that they are no content. Where a page has an article, what lies
+outside it stays only if the tree finds it diverse. Pages with the same blocks
+count once, so that copies of a page are no evidence against its text.
 """
 
 from __future__ import annotations
@@ -24,9 +28,11 @@ from .common import small_batches, stored, table
 
 #: Branches below this importance go, where at least so many pages of the host have them.
 LEAST_IMPORTANCE, LEAST_PAGES = 0.2, 4
+#: Blocks outside a page's article stay at this importance of their node, where at least LEAST_PAGES pages have it.
+OUTSIDE_IMPORTANCE = 0.5
 #: Share of a node's own presentation in its importance; the rest is its children's.
 PRESENTATION = 0.1
-#: Low branches that are broadcast; beyond, they are joined to the pages that have them.
+#: Low branches and blocks, and diverse nodes, that are broadcast; beyond, they are joined to the pages that have them.
 BROADCAST_BRANCHES = 200_000
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var wbr".split())
@@ -61,7 +67,11 @@ class Page(HTMLParser):
         _, above, noise, main = self.stack[-1]
         name = ".".join([tag, *sorted(set(mark))])
         inside = main or tag in _MAIN
-        noise = noise or (tag in _NOISE and not (main and tag == "header")) or (tag not in ("html", "body") and tag not in _MAIN and not _NOISE_WORDS.isdisjoint(mark))
+        if tag == "article":  # "comment-12" says what an article is, "has-comments" what it has
+            words = [_PART.split(w)[0] for k, v in attrs if k in ("class", "id", "role") for w in (v or "").lower().split()]
+        else:
+            words = [] if tag in ("html", "body", "main") else mark
+        noise = noise or (tag in _NOISE and not (main and tag == "header")) or not _NOISE_WORDS.isdisjoint(words)
         path = f"{above}/{name}"
         children = self.below.setdefault(above, [])
         if not children or children[-1] != path:
@@ -100,17 +110,38 @@ def parsed(html: str | None) -> tuple[list[tuple[str, str, bool]], dict[str, lis
     return [b for b in blocks if b[1]], page.below
 
 
-def extracted(html: str | None, low: frozenset[str] | set[str]) -> str:
-    """The text of the blocks of a page that lie in no low branch; of its articles alone, if it has any with text."""
+def _digest(text: str) -> str:
+    return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).hexdigest()
+
+
+def _block(path: str, text: str) -> str:
+    """The mark of a single block; no path holds a tab."""
+    return f"{path}\t{_digest(text)}"
+
+
+def _rich(path: str) -> str:
+    """The mark of a diverse node outside articles; no path begins with a plus."""
+    return f"+{path}"
+
+
+def extracted(html: str | None, marks: frozenset[str] | set[str]) -> str:
+    """The text of the blocks of a page that are not low, by the marks of its host: low branches, low blocks, diverse nodes.
+
+    On a page with text in an article, blocks outside articles need a diverse node.
+    """
     blocks, _ = parsed(html)
-    if any(main for _, _, main in blocks):
-        return " ".join(t for _, t, main in blocks if main)
-    cut = tuple(low)
-    return " ".join(t for p, t, _ in blocks if p not in low and not any(p.startswith(c + "/") for c in cut))
+    article, low, out = any(main for _, _, main in blocks), {}, []
+    for p, t, main in blocks:
+        if p not in low:
+            parts = p.split("/")
+            low[p] = any("/".join(parts[:i]) in marks for i in range(1, len(parts) + 1))
+        if not low[p] and (main or not article or _rich(p) in marks) and _block(p, t) not in marks:
+            out.append(t)
+    return " ".join(out)
 
 
 def _styles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """A row for each path of a page: whether it has text, and a hash of its text or of what follows below it."""
+    """A row for each path of a page: whether it has text, and a hash of its text or of what follows below it; and one for each different block."""
     for pdf in batches:
         out = []
         for host, html in zip(pdf["host"], pdf["html"], strict=True):
@@ -118,17 +149,22 @@ def _styles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             texts: dict[str, list[str]] = {}
             for p, t, _ in blocks:
                 texts.setdefault(p, []).append(t)
+            page = _digest("\n".join(f"{p}\t{t}" for p, t, _ in blocks))
             for kind, found in (("content", texts), ("presentation", below)):
                 for p, own in found.items():
-                    out.append((host, p, kind, hashlib.blake2b("\n".join(own).encode("utf-8", "surrogatepass"), digest_size=8).hexdigest()))
-        yield pd.DataFrame(out, columns=["host", "path", "kind", "feature"])
+                    out.append((host, p, kind, _digest("\n".join(own)), page))
+            out += [(host, p, "block", _digest(t), page) for p, own in texts.items() for t in dict.fromkeys(own)]
+        yield pd.DataFrame(out, columns=["host", "path", "kind", "feature", "page"])
 
 
-def style_tree(pages: DataFrame) -> DataFrame:
-    """(host, path, pages, importance) of each node of each host's tree, from pages (host, html)."""
-    rows = pages.select("host", "html").mapInPandas(_styles, "host string, path string, kind string, feature string")
-    shares = rows.groupBy("host", "path", "kind", "feature").agg(F.count("*").alias("n"))
-    nodes = shares.groupBy("host", "path", "kind").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.log("n")).alias("nlogn"))
+def style_tree(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """From pages (host, html): (host, path, pages, importance) of each node of each host's tree, and (host, path, feature, n, importance) of blocks on several pages.
+
+    Pages of a host with the same blocks count once, whatever surrounds these.
+    """
+    rows = pages.select("host", "html").mapInPandas(_styles, "host string, path string, kind string, feature string, page string")
+    shares = stored(rows.distinct().groupBy("host", "path", "kind", "feature").agg(F.count("*").alias("n")), "shares")
+    nodes = shares.where("kind <> 'block'").groupBy("host", "path", "kind").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.log("n")).alias("nlogn"))
     entropy = F.when(F.col("m") == 1, 1.0).otherwise((F.log("m") - F.col("nlogn") / F.col("m")) / F.log("m"))
     nodes = stored(nodes.select("host", "path", "kind", "m", entropy.alias("own")), "styles")
     parts = F.split("path", "/")
@@ -141,7 +177,9 @@ def style_tree(pages: DataFrame) -> DataFrame:
     )
     shown = nodes.where("kind = 'presentation'").select("host", "path", F.col("own").alias("shown"))
     importance = F.col("content") if PRESENTATION == 0 else F.coalesce((1 - PRESENTATION) * F.col("content") + PRESENTATION * F.col("shown"), "content")
-    return content.join(shown, ["host", "path"], "left").select("host", "path", "pages", importance.alias("importance"))
+    tree = content.join(shown, ["host", "path"], "left").select("host", "path", "pages", importance.alias("importance"))
+    repeated = shares.where((F.col("kind") == "block") & (F.col("n") >= LEAST_PAGES)).join(nodes.where("kind = 'content'").select("host", "path", "m"), ["host", "path"])
+    return tree, repeated.select("host", "path", "feature", "n", ((F.log("m") - F.log("n")) / F.log("m")).alias("importance"))
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -156,8 +194,11 @@ def extract(pages: DataFrame) -> DataFrame:
     small_batches(pages.sparkSession)
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[^:]*://([^/?#]*)", 1))
     pages = pages.withColumn("__host", host)
-    tree = style_tree(pages.select(F.col("__host").alias("host"), "html"))
-    low = stored(tree.where((F.col("importance") < LEAST_IMPORTANCE) & (F.col("pages") >= LEAST_PAGES)).select("host", "path"), "branches")
+    tree, repeated = style_tree(pages.select(F.col("__host").alias("host"), "html"))
+    known, is_low = tree.where(F.col("pages") >= LEAST_PAGES), F.col("importance") < LEAST_IMPORTANCE
+    rich = known.where((F.col("importance") >= OUTSIDE_IMPORTANCE) & ~F.col("path").rlike(r"/(article|main)(\.|/|$)"))
+    low = known.where(is_low).select("host", "path").union(rich.select("host", F.concat(F.lit("+"), "path")))
+    low = stored(low.union(repeated.where(is_low).select("host", F.concat("path", F.lit("\t"), "feature"))), "branches")
     if low.limit(BROADCAST_BRANCHES + 1).count() <= BROADCAST_BRANCHES:
         branches: dict[str, set[str]] = {}
         for h, p in low.collect():
@@ -193,7 +234,7 @@ def _paths(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out = []
         for page, host, html in zip(pdf["__page"], pdf["__host"], pdf["html"], strict=True):
             blocks, below = parsed(html)
-            found = {p for p, _, _ in blocks} | {c for v in below.values() for c in v}
+            found = {x for p, t, _ in blocks for x in (p, _rich(p), _block(p, t))} | {c for v in below.values() for c in v}
             out += [(page, host, p) for p in sorted(found)]
         yield pd.DataFrame(out, columns=["__page", "host", "path"])
 
