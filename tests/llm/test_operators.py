@@ -121,6 +121,13 @@ def test_secrets(frame, docs):
     assert [(a, b, k) for a, b, k, _ in found] == [(4, 25, "format")]
 
 
+def test_secrets_background_counts_all(spark):
+    """A text copied many times counts in proportion, and so does what follows the first characters of a long one."""
+    rows = [(i, "token = 1eb9c654e721b4f8 aaaa") for i in range(1_200)] + [(2_000 + i, f"text {i} " + "filler " * 1_000 + "zz" * 500) for i in range(100)] + [(None, None)]
+    model = secret_scan.train(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert dict(model.words) == dict(secret_scan.FormatModel({}, [t for _, t in rows if t]).words) and model.words["z"] > model.words["k"]
+
+
 def test_line_cleaning(frame, docs):
     for r in line_clean.clean(frame).collect():
         t = next(t for d, t in docs if d == r["doc_id"]) or ""
