@@ -161,6 +161,25 @@ def test_quality_held_out(spark, frame):
     assert quality.score(frame, model).where("score between 0 and 1").count() == frame.count()
 
 
+def test_quality_vectors_of_all_words(spark, frame, monkeypatch):
+    """Each word has its own vector from all documents; joined vectors give the features that broadcast ones give."""
+    rows = [(i, f"left{i} mid right{i}") for i in range(3_000)] + [(5_000, "left7 twice " + "x " * 60_000), (5_001, None)]
+    own = spark.createDataFrame(rows, "doc_id long, text string")
+    words = quality.WordVectors(own)
+    assert len(words.keys) == len({k for _, t in rows for k in quality.tokens(t)})
+    at = np.searchsorted(words.keys, quality.tokens("left7")[0])
+    shape = quality.tokens("left7")[1:]
+    want = quality.index_vectors(np.concatenate([shape, shape, quality.tokens("mid twice"), quality.tokens("right7")[:1], quality.tokens("x")[:1]])).sum(0, dtype=int)
+    v = words.vectors[at].astype(float)
+    assert want @ v > 0.999 * np.linalg.norm(want) * np.linalg.norm(v)
+    get = lambda w: sorted((str(r["doc_id"]), r["text"] or "", r["__x"]) for d in (own, frame.select("doc_id", "text")) for r in quality.features(d, w).select("doc_id", "text", "__x").collect())
+    monkeypatch.setattr(quality, "FREQUENT", 500)
+    few = quality.WordVectors(own)
+    assert few.any_rare and 0 < len(few.keys) <= 500
+    for a, b in zip(get(words), get(few), strict=True):
+        assert a[:2] == b[:2] and np.allclose(a[2], b[2])
+
+
 def test_html(spark):
     page = "<html><head><title>T</title></head><body><nav><a>menu</a></nav><article><h1>A &amp; b</h1><p>x <b>y\n\n z</b><br>w<p>v&am<div class='comments'>no</div></article><footer>f</footer></body></html>"
     rows = [(1, "http://h.example/a", page), (2, None, None), (3, "http://h.example/b", ""), (4, "http://h.example/c", "plain <p>text")]

@@ -1,10 +1,14 @@
 """Document quality by random-indexing word vectors and a small calibrated network.
 
-Every word has a fixed random index vector. A word's vector sums the index
-vectors of its neighbours over the fitted texts; a document's is the mean of its
-words'. To it come the likeness of neighbouring index vectors and the share of
-different words. Two layers of numpy give a logit, and a temperature fitted on
-texts kept aside turns it into a probability.
+Every word, and every shape of one, has a fixed random index vector, made from
+its own hash. Its word vector sums the index vectors of its neighbours over all
+documents; a document's is the mean of its words'. To it come the likeness of
+neighbouring words and the share of different words. Two layers of numpy give a
+logit, and a temperature fitted on texts kept aside turns it into a probability.
+
+Sums are of integers, so that they don't depend on the order of rows. Vectors of
+frequent words are broadcast; those of others are joined to the texts that hold
+them.
 """
 
 from __future__ import annotations
@@ -16,37 +20,42 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table
-from .language import drawn, held_out, in_order
+from .common import small_batches, stored, table
+from .language import drawn, held_out
 from .shingles import mix, word_hashes
 
-#: The network and the word vectors are fitted on at most so many labelled texts of each label, of so many characters at most.
+#: The network is fitted on at most so many labelled texts of each label, of so many characters at most.
 SAMPLE_PER_LABEL, LONGEST = 1_500, 100_000
-WORDS, DIM, REACH = 1 << 13, 48, 2
+DIM, REACH = 48, 2
+#: Words whose vectors are broadcast, at most; the others' are joined.
+FREQUENT = 1 << 17
+#: Word vectors have length ONE, so that they are integers of two bytes.
+ONE = 1 << 14
+#: Words, and partial sums of words, that a task holds at once.
+_TOKENS, _HELD = 1 << 16, 1 << 17
 HIDDEN, EPOCHS, RATE, DECAY = 24, 150, 5e-3, 1e-4
 THRESHOLD = 0.3
-_CHUNK = 1 << 16
+_SALT = np.uint64(0xA0761D6478BD642F)
 
 
-def _index() -> np.ndarray:
-    """Sparse ternary index vectors, four entries each, by bucket."""
-    rng = np.random.default_rng(7)
-    out = np.zeros((WORDS, DIM), np.float32)
-    for _ in range(4):
-        out[np.arange(WORDS), rng.integers(0, DIM, WORDS)] += rng.choice([-1.0, 1.0], WORDS).astype(np.float32)
+def index_vectors(keys: np.ndarray) -> np.ndarray:
+    """Sparse ternary index vectors, four entries each, from the hashes of words."""
+    x = mix(keys.view(np.uint64) ^ np.uint64(7))
+    out, each = np.zeros((len(x), DIM), np.int8), np.arange(len(x))
+    for k in range(4):
+        part = x >> np.uint64(16 * k)
+        out[each, ((part & np.uint64(0x7FFF)) % np.uint64(DIM)).astype(np.int64)] += np.where(part & np.uint64(0x8000), 1, -1).astype(np.int8)
     return out
 
 
-def buckets(text: str | None) -> np.ndarray:
-    """Buckets of a text's words: the lower half is for words, the upper for their shapes; one after the other."""
+def tokens(text: str | None) -> np.ndarray:
+    """Hashes of a text's words, each followed by that of its shape."""
     raw = (text or "").encode("utf-8", "surrogatepass")
     h = word_hashes(raw)
-    plain = word_hashes(raw.translate(_SHAPE))
-    half = np.uint64(WORDS // 2)
-    out = np.empty(2 * len(h), np.int64)
-    out[::2] = h % half
-    out[1::2] = plain % half + half
-    return out
+    out = np.empty(2 * len(h), np.uint64)
+    out[::2] = h
+    out[1::2] = mix(word_hashes(raw.translate(_SHAPE)) ^ _SALT)
+    return out.view(np.int64)
 
 
 _SHAPE = bytes(
@@ -54,21 +63,205 @@ _SHAPE = bytes(
 )
 
 
+def _by_key(keys: np.ndarray, n: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sums of n and of the rows of sums, by key, in order of keys."""
+    if not len(keys):
+        return keys, n, sums
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    return keys[first], np.add.reduceat(n[order], first, dtype=np.int64), np.add.reduceat(sums[order], first, axis=0, dtype=np.int64)
+
+
+def _packed(keys: np.ndarray, n: np.ndarray, sums: np.ndarray) -> pd.DataFrame:
+    """Rows (key, n, sums) whose sums are bytes, as narrow as they can be."""
+    most, out = np.abs(sums).max(1, initial=0), np.empty(len(keys), object)
+    for kind, low, high in (("<i1", -1, 127), ("<i2", 127, 32767), ("<i4", 32767, 2**31 - 1), ("<i8", 2**31 - 1, np.inf)):
+        own = np.flatnonzero((most > low) & (most <= high))
+        data, width = sums[own].astype(kind).tobytes(), DIM * int(kind[2])
+        out[own] = [data[i * width : (i + 1) * width] for i in range(len(own))]
+    return pd.DataFrame({"key": keys, "n": n, "sums": out})
+
+
+def _unpacked(column: pd.Series) -> np.ndarray:
+    values, out = column.to_numpy(), np.zeros((len(column), DIM), np.int64)
+    sizes = np.fromiter(map(len, values), np.int64, len(values))
+    for width in (1, 2, 4, 8):
+        own = np.flatnonzero(sizes == DIM * width)
+        if len(own):
+            out[own] = np.frombuffer(b"".join(values[own]), f"<i{width}").reshape(-1, DIM)
+    return out
+
+
+_SUMS = "key long, n long, sums binary"
+
+
+def _merged(parts: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[pd.DataFrame]:
+    """Partial sums of a task, packed whenever it holds many."""
+    held, size = [], 0
+    for part in parts:
+        held.append(part)
+        size += len(part[0])
+        if size > _HELD:
+            held = [_by_key(*(np.concatenate(x) for x in zip(*held, strict=True)))]
+            size = len(held[0][0])
+            if size > _HELD // 2:
+                yield _packed(*held[0])
+                held, size = [], 0
+    if held:
+        yield _packed(*_by_key(*(np.concatenate(x) for x in zip(*held, strict=True))))
+
+
+def _total(partial: DataFrame) -> DataFrame:
+    """Sums by key of rows (key, n, sums)."""
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last = None
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            part = pdf["key"].to_numpy(), pdf["n"].to_numpy(), _unpacked(pdf["sums"])
+            keys, n, sums = _by_key(*(part if last is None else [np.concatenate(x) for x in zip(last, part, strict=True)]))
+            last = keys[-1:], n[-1:], sums[-1:]
+            yield _packed(keys[:-1], n[:-1], sums[:-1])
+        if last is not None:
+            yield _packed(*last)
+
+    # Keys come in order; each task adds what it sees of one before it emits it.
+    shuffles = int(partial.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return partial.repartition(shuffles, "key").sortWithinPartitions("key").mapInPandas(fold, _SUMS)
+
+
+def _neighbours(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(word, count, sum of the index vectors of its neighbours), over token sequences."""
+    gap = 2 * REACH
+    keys = np.concatenate([x for t in texts for x in (t, np.zeros(gap, np.int64))])
+    real = np.concatenate([x for t in texts for x in (np.ones(len(t), bool), np.zeros(gap, bool))])
+    distinct, place = np.unique(keys, return_inverse=True)
+    r = index_vectors(distinct)[place]
+    r[~real] = 0
+    around = np.zeros(r.shape, np.int8)
+    for k in range(1, gap + 1):
+        around[k:] += r[:-k]
+        around[:-k] += r[k:]
+    return _by_key(keys[real], np.ones(int(real.sum()), np.int64), around[real])
+
+
+def _contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def parts() -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        held, size = [], 0
+        for pdf in batches:
+            for text in pdf["text"]:
+                t = tokens(text)
+                if len(t):
+                    held.append(t)
+                    size += len(t)
+                if size > _TOKENS:
+                    yield _neighbours(held)
+                    held, size = [], 0
+        if held:
+            yield _neighbours(held)
+
+    return _merged(parts())
+
+
+def _directions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        sums = _unpacked(pdf["sums"]).astype(float)
+        v = np.rint(sums * (ONE / np.maximum(1e-6, np.linalg.norm(sums, axis=1, keepdims=True)))).astype("<i2")
+        yield pd.DataFrame({"key": pdf["key"], "n": pdf["n"], "vector": [x.tobytes() for x in v]})
+
+
+class WordVectors:
+    """Vectors of all words of a corpus: those of frequent words here, the others' in a table (key, vector)."""
+
+    def __init__(self, docs: DataFrame) -> None:
+        small_batches(docs.sparkSession)
+        sums = _total(docs.where("text is not null").select("text").mapInPandas(_contexts, _SUMS))
+        table_ = stored(sums.mapInPandas(_directions, "key long, n long, vector binary"), "words")
+        step = F.floor(F.log2("n") * 8)
+        self.least, held = 1 << 62, 0
+        for s, n, low in sorted(table_.groupBy(step.alias("s")).agg(F.count("*"), F.min("n")).collect(), reverse=True):
+            if held + n > FREQUENT:
+                break
+            self.least, held = low, held + n
+        rows = table_.where(F.col("n") >= self.least).select("key", "vector").toPandas().sort_values("key")
+        self.keys = rows["key"].to_numpy(np.int64)
+        self.vectors = np.frombuffer(b"".join(rows["vector"]), "<i2").reshape(-1, DIM)
+        self.rare = table_.where(F.col("n") < self.least).select("key", "vector")
+        self.any_rare = not self.rare.isEmpty()
+
+
+def _lookup(keys: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of words in sorted keys, and whether they are there."""
+    at = np.searchsorted(keys, words)
+    at[at == len(keys)] = 0
+    return at, (keys[at] == words) if len(keys) else np.zeros(len(words), bool)
+
+
+def features(docs: DataFrame, words: WordVectors) -> DataFrame:
+    """docs with `__x`, the features of each text as an array; a null text counts as empty."""
+    shared = docs.sparkSession.sparkContext.broadcast((words.keys, words.vectors))
+
+    @F.pandas_udf("sums array<double>, n_rare long")
+    def known(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        keys, vectors = shared.value
+        for texts in batches:
+            out, rare = [], []
+            for text in texts:
+                b = tokens(text if isinstance(text, str) else "")
+                x = np.zeros(DIM + 3)
+                w, c = np.unique(b, return_counts=True)
+                at, there = _lookup(keys, w)
+                rare.append(int((~there).sum()))
+                if n := len(b):
+                    x[:DIM] = (c[there] @ vectors[at[there]].astype(np.int64)) / ONE + 0.5 * (c @ index_vectors(w).astype(np.int64))
+                    own = np.unique(b[::2], return_counts=True)[1].astype(float)
+                    x[DIM:] = 2 * float((b[2::2] == b[:-2:2]).sum()) / n, np.sqrt((own**2).sum()) / (n / 2), np.log1p(n / 2) / 10
+                out.append(np.r_[x, len(b)])
+            yield pd.DataFrame({"sums": out, "n_rare": rare})
+
+    def rare_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        keys, _ = shared.value
+        for pdf in batches:
+            out = [np.empty((0, 3), np.int64)]
+            for doc, text in zip(pdf["doc"], pdf["text"], strict=True):
+                w, c = np.unique(tokens(text), return_counts=True)
+                own = ~_lookup(keys, w)[1]
+                out.append(np.c_[np.full(int(own.sum()), doc), w[own], c[own]])
+            yield pd.DataFrame(np.concatenate(out), columns=["doc", "key", "c"])
+
+    def weighted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        return _merged((pdf["doc"].to_numpy(), pdf["c"].to_numpy(), pdf["c"].to_numpy()[:, None] * _unpacked(pdf["vector"])) for pdf in batches)
+
+    @F.pandas_udf("array<double>")
+    def pooled(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for parts, rare in batches:
+            out = []
+            for x, r in zip(parts, rare, strict=True):
+                x = np.array(x)
+                if r is not None:
+                    x[:DIM] += _unpacked(pd.Series([r]))[0] / ONE
+                out.append(np.r_[x[:DIM] / max(1.0, x[-1]), x[DIM:-1]])
+            yield pd.Series(out)
+
+    out = docs.withColumn("__known", known("text"))
+    if words.any_rare:
+        # Texts are told apart by a hash; a text without rare words gets a key of its own, so that those don't meet in one task.
+        found = docs.where("text is not null").select(F.xxhash64("text").alias("doc"), "text").mapInPandas(rare_words, "doc long, key long, c long").distinct()
+        sums = _total(found.join(words.rare, "key").select("doc", "c", "vector").mapInPandas(weighted, _SUMS)).select(F.col("key").alias("__doc"), F.col("sums").alias("__rare"))
+        out = out.withColumn("__doc", F.when(F.col("__known.n_rare") > 0, F.xxhash64("text")).otherwise(F.monotonically_increasing_id())).join(sums, "__doc", "left").drop("__doc")
+    else:
+        out = out.withColumn("__rare", F.lit(None).cast("binary"))
+    return out.withColumn("__x", pooled(F.col("__known.sums"), F.col("__rare"))).drop("__known", "__rare")
+
+
 class QualityModel:
-    def __init__(self, texts: list[str], labels: list[int], seed: int = 11) -> None:
-        self.index = _index()
+    """The network, and the word vectors that its features come from."""
+
+    def __init__(self, x: np.ndarray, y: np.ndarray, words: WordVectors, seed: int = 11) -> None:
+        self.words = words
         rng = np.random.default_rng(seed)
-        all_ = [buckets(t) for t in texts]
-        vectors = np.zeros((WORDS, DIM), np.float32)
-        for b in all_:
-            r = self.index[b]
-            around = np.zeros_like(r)
-            for k in range(1, 2 * REACH + 1):
-                around[k:] += r[:-k]
-                around[:-k] += r[k:]
-            np.add.at(vectors, b, around)
-        self.vectors = vectors / np.maximum(1e-6, np.linalg.norm(vectors, axis=1, keepdims=True)) + 0.5 * self.index
-        x, y = np.array([self.pooled(b) for b in all_]), np.array(labels, float)
         self.mean, self.scale = x.mean(0), x.std(0) + 1e-6
         x = (x - self.mean) / self.scale
         aside = rng.random(len(y)) < 0.2
@@ -81,20 +274,8 @@ class QualityModel:
             loss = lambda k: np.logaddexp(0, np.where(t > 0, -z, z) / k).mean()
             self.temperature = min((0.5, 0.7, 1.0, 1.4, 2.0, 2.8, 4.0, 5.6, 8.0), key=loss)
 
-    def pooled(self, b: np.ndarray) -> np.ndarray:
-        n = len(b)
-        out = np.zeros(DIM + 3)
-        if not n:
-            return out
-        total, alike = np.zeros(DIM), 0.0
-        for at in range(0, n, _CHUNK):
-            c = b[at : at + _CHUNK]
-            total += self.vectors[c].sum(0)
-            alike += float((c[2::2] == c[:-2:2]).sum())
-        out[:DIM] = total / n
-        words = np.bincount(b[::2], minlength=WORDS)
-        out[DIM:] = 2 * alike / n, np.sqrt((words.astype(float) ** 2).sum()) / (n / 2), np.log1p(n / 2) / 10
-        return out
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "words"}
 
     def _fit(self, x: np.ndarray, y: np.ndarray, rng: np.random.Generator) -> None:
         self.w1, self.b1 = rng.normal(0, 1 / np.sqrt(x.shape[1]), (x.shape[1], HIDDEN)), np.zeros(HIDDEN)
@@ -118,15 +299,12 @@ class QualityModel:
     def _logit(self, x: np.ndarray) -> np.ndarray:
         return np.tanh(x @ self.w1 + self.b1) @ self.w2 + self.b2
 
-    def score(self, texts: list[str | None]) -> np.ndarray:
-        if not texts:
-            return np.zeros(0)
-        x = (np.array([self.pooled(buckets(t if isinstance(t, str) else "")) for t in texts]) - self.mean) / self.scale
-        return 1 / (1 + np.exp(-np.clip(self._logit(x) / self.temperature, -50, 50)))
+    def score(self, x: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self._logit((x - self.mean) / self.scale) / self.temperature, -50, 50)))
 
 
 def train(docs: DataFrame, labels: DataFrame, usable: Column) -> QualityModel | None:
-    """A model from a bounded sample of the labelled rows where usable holds; None without both labels.
+    """Word vectors of all docs, and a network from a bounded sample of the labelled rows where usable holds; None without both labels.
 
     The sample is drawn over ids, so that only its own texts leave the scan.
     """
@@ -134,9 +312,12 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column) -> QualityModel |
     usable_docs = docs.where(usable & F.col("text").isNotNull() & (F.length("text") <= LONGEST)).select("doc_id", "text")
     labelled, most = usable_docs.select("doc_id").join(known, "doc_id").select("doc_id", "quality"), 2 * SAMPLE_PER_LABEL
     picked = drawn(labelled, "quality", SAMPLE_PER_LABEL, most).distinct().limit(2 * most)
-    rows = in_order(usable_docs.join(F.broadcast(picked), "doc_id").select("quality", "text", "doc_id").limit(2 * most).collect())
-    y = [int(r["quality"]) for r in rows]
-    return QualityModel([r["text"] for r in rows], y) if len(set(y)) == 2 else None
+    sample = stored(usable_docs.join(F.broadcast(picked), "doc_id").select("quality", "text", "doc_id").limit(2 * most), "sample")
+    if sample.select("quality").distinct().count() < 2:
+        return None
+    words = WordVectors(docs)
+    rows = sorted(features(sample, words).select("quality", "doc_id", F.xxhash64("text").alias("t"), "__x").collect(), key=lambda r: (r["quality"], r["doc_id"], r["t"]))
+    return QualityModel(np.array([r["__x"] for r in rows]), np.array([float(r["quality"]) for r in rows]), words)
 
 
 def score(docs: DataFrame, model: QualityModel | None, prior: float = 0.5) -> DataFrame:
@@ -154,10 +335,10 @@ def score(docs: DataFrame, model: QualityModel | None, prior: float = 0.5) -> Da
 
         @F.pandas_udf("double")
         def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            for texts in batches:
-                yield pd.Series(shared.value.score(texts.tolist()))
+            for x in batches:
+                yield pd.Series(shared.value.score(np.array(x.tolist())) if len(x) else np.zeros(0))
 
-        scored = docs.withColumn("score", scores("text"))
+        scored = features(docs.drop("score"), model.words).withColumn("score", scores("__x")).drop("__x")
     return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
