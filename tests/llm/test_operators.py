@@ -280,3 +280,19 @@ def test_pipeline(spark):
         assert now.columns == docs.columns
     assert sorted(r["doc_id"] for r in now.collect()) == sorted(d for d, _ in kept)
     assert corpus_pipeline.run(spark, SF).select("doc_id").distinct().count() == len(kept)
+
+
+def test_pipeline_language_rejects_and_keeps(spark):
+    """Noise and languages never learned go, clean texts stay, and all with letters where there is no label."""
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    rng = np.random.default_rng(3)
+    noise = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/"), n)) for n in (100, 3_000)] + ["Ελληνικά γλώσσα και κείμενο πολύ μακρύ " * 5]
+    clean = [r["doc_id"] for r in docs.collect() if any(c.isalpha() for c in r["text"] or "")]
+    more = spark.createDataFrame([(90_000 + i, t, None) for i, t in enumerate([*noise, "ja", "1 2 3", None])], "doc_id long, text string, lang string")
+    # Texts kept aside from the model, by their labels.
+    aside = docs.withColumn("lang", F.when(F.col("doc_id") % 3 > 0, F.col("lang")))
+    stage = lambda df: sorted(r["doc_id"] for r in corpus_pipeline.language(spark, df, SF).collect())
+    assert stage(aside.unionByName(more)) == sorted([*clean, 90_003])
+    assert stage(docs.withColumn("lang", F.lit(None).cast("string")).unionByName(more)) == sorted([*clean, *range(90_000, 90_004)])

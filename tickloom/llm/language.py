@@ -23,6 +23,8 @@ from .common import small_batches, table
 SAMPLE_PER_LANGUAGE, SAMPLE = 200, 2_000
 LANDMARKS = 128
 RIDGE, SHARPNESS = 1e-2, 4.0
+#: A text of at least so many letters whose kernel with every landmark is below this is noise, or in no learned script.
+LEAST_LIKENESS, TELLING_LETTERS = 0.25, 20
 _LETTERS = 62
 _SIDE = _LETTERS + 2
 _CHUNK = 1 << 20
@@ -94,16 +96,18 @@ class KernelModel:
     def _kernel(self, flags: np.ndarray) -> np.ndarray:
         return flags[:, self.columns].astype(np.float32) @ self.marks / np.sqrt(flags.sum(1))[:, None] / self.norms
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+    def predict(self, texts: list[str | None], least: float = 0.0) -> tuple[list[str], list[float]]:
         grams, langs, scores = Grams(self.alphabet), ["und"] * len(texts), [0.0] * len(texts)
         for at in range(0, len(texts), _BATCH):
             own = [(i, f) for i in range(at, min(at + _BATCH, len(texts))) if (f := grams(texts[i])) is not None]
             if own:
-                s = self._kernel(np.array([f for _, f in own])) @ self.weights
+                alike = self._kernel(np.array([f for _, f in own]))
+                s = alike @ self.weights
                 e = np.exp(SHARPNESS * (s - s.max(1, keepdims=True)))
                 e /= e.sum(1, keepdims=True)
-                for (i, _), k, p in zip(own, e.argmax(1), e.max(1), strict=True):
-                    langs[i], scores[i] = self.langs[k], float(p)
+                for (i, _), k, p, best in zip(own, e.argmax(1), e.max(1), alike.max(1), strict=True):
+                    if best >= least or sum(map(str.isalpha, texts[i])) < TELLING_LETTERS:
+                        langs[i], scores[i] = self.langs[k], float(p)
         return langs, scores
 
 
@@ -135,11 +139,12 @@ def train(docs: DataFrame, usable: Column) -> KernelModel | None:
     return KernelModel([r["text"] for r in rows], [r["lang"] for r in rows]) if rows else None
 
 
-def identify(docs: DataFrame, model: KernelModel | None) -> DataFrame:
+def identify(docs: DataFrame, model: KernelModel | None, least: float = 0.0) -> DataFrame:
     """docs with lang_pred (string) and score (double, 0 to 1), from text alone.
 
     A null text, or one without letters, is `und` with score 0, as is every text
-    where no model could be learned. Ties go to the first language by name.
+    where no model could be learned, and one of TELLING_LETTERS letters or more
+    whose kernel with every landmark is below `least`. Ties go to the first language by name.
     Columns of these two names are replaced; rows and other columns stay.
     """
     small_batches(docs.sparkSession)
@@ -150,7 +155,7 @@ def identify(docs: DataFrame, model: KernelModel | None) -> DataFrame:
     @F.pandas_udf("lang string, score double")
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            langs, scores = shared.value.predict(texts.tolist())
+            langs, scores = shared.value.predict(texts.tolist(), least)
             yield pd.DataFrame({"lang": langs, "score": scores})
 
     found = docs.withColumn("__found", predict("text"))
