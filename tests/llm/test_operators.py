@@ -174,23 +174,25 @@ def test_quality_held_out(spark, frame):
     assert quality.score(frame, model).where("score between 0 and 1").count() == frame.count()
 
 
-def test_quality_vectors_of_all_words(spark, frame, monkeypatch):
-    """Each word has its own vector from all documents; joined vectors give the features that broadcast ones give."""
-    rows = [(i, f"left{i} mid right{i}") for i in range(3_000)] + [(5_000, "left7 twice " + "x " * 60_000), (5_001, None)]
-    own = spark.createDataFrame(rows, "doc_id long, text string")
-    words = quality.WordVectors(own)
-    assert len(words.keys) == len({k for _, t in rows for k in quality.tokens(t)})
-    at = np.searchsorted(words.keys, quality.tokens("left7")[0])
-    shape = quality.tokens("left7")[1:]
-    want = quality.index_vectors(np.concatenate([shape, shape, quality.tokens("mid twice"), quality.tokens("right7")[:1], quality.tokens("x")[:1]])).sum(0, dtype=int)
-    v = words.vectors[at].astype(float)
-    assert want @ v > 0.999 * np.linalg.norm(want) * np.linalg.norm(v)
-    get = lambda w: sorted((str(r["doc_id"]), r["text"] or "", r["__x"]) for d in (own, frame.select("doc_id", "text")) for r in quality.features(d, w).select("doc_id", "text", "__x").collect())
-    monkeypatch.setattr(quality, "FREQUENT", 500)
-    few = quality.WordVectors(own)
-    assert few.any_rare and 0 < len(few.keys) <= 500
-    for a, b in zip(get(words), get(few), strict=True):
-        assert a[:2] == b[:2] and np.allclose(a[2], b[2])
+def test_quality_vectors(spark):
+    """Words of the share that is asked for have a vector, summed over all documents as a plain loop does it."""
+    rows = [(i, f"left{i % 7} mid Right{i % 3}\nend") for i in range(300)] + [(5_000, "left7 twice " + "x " * 60_000), (5_001, None), (5_002, "")]
+    own = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    words = quality.WordVectors(own, 1e-4)
+    n, sums = Counter(), {}
+    for _, t in rows:
+        b = quality.tokens(t).tolist()
+        r = quality.index_vectors(np.array(b, np.int64)).astype(int)
+        n.update(b)
+        for i, k in enumerate(b):
+            lo = max(0, i - 2 * quality.REACH)
+            sums[k] = sums.get(k, 0) + r[lo : i + 2 * quality.REACH + 1].sum(0) - r[i]
+    want = sorted(k for k, c in n.items() if c >= 1e-4 * sum(n.values()))
+    assert words.keys.tolist() == want and len(want) < len(n)
+    for k, v in zip(words.keys.tolist(), words.vectors, strict=True):
+        assert np.abs(v - sums[k] / np.linalg.norm(sums[k]) * quality.ONE).max() <= 0.5001
+    x = words.features(["left1 mid", None, "never seen"])
+    assert not x[1].any() and x[2].any() and np.allclose(x[0], words.features(["left1 mid"])[0])
 
 
 def test_html(spark):

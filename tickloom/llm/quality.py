@@ -1,14 +1,15 @@
 """Document quality by random-indexing word vectors and a small calibrated network.
 
 Every word, and every shape of one, has a fixed random index vector, made from
-its own hash. Its word vector sums the index vectors of its neighbours over all
-documents; a document's is the mean of its words'. To it come the likeness of
+its own hash. The word vector of a word sums the index vectors of its neighbours
+over all documents. Words that make up at least LEAST_SHARE of all words have
+one, which at most 1 / LEAST_SHARE words can, whatever the size of the corpus;
+of a rarer word, its index vector and the word vector of its shape are used. A
+document's vector is the mean of its words'. To it come the likeness of
 neighbouring words and the share of different words. Two layers of numpy give a
 logit, and a temperature fitted on texts kept aside turns it into a probability.
 
-Sums are of integers, so that they don't depend on the order of rows. Vectors of
-frequent words are broadcast; those of others are joined to the texts that hold
-them.
+Sums are of integers, so that they don't depend on the order of rows.
 """
 
 from __future__ import annotations
@@ -27,15 +28,16 @@ from .shingles import mix, word_hashes
 #: The network is fitted on at most so many labelled texts of each label, of so many characters at most.
 SAMPLE_PER_LABEL, LONGEST = 1_500, 100_000
 DIM, REACH = 48, 2
-#: Words whose vectors are broadcast, at most; the others' are joined.
-FREQUENT = 1 << 17
+#: Words have a vector if their share of all words is at least this; so at most 1 / LEAST_SHARE words have, of 2 * DIM bytes each.
+LEAST_SHARE = 1 / (1 << 18)
 #: Word vectors have length ONE, so that they are integers of two bytes.
 ONE = 1 << 14
-#: Words, and partial sums of words, that a task holds at once.
-_TOKENS, _HELD = 1 << 16, 1 << 17
+#: Words, different words and words between two partial sums that a task holds at once.
+_TOKENS, _HELD, _SUMMED = 1 << 16, 1 << 21, 1 << 27
 HIDDEN, EPOCHS, RATE, DECAY = 24, 150, 5e-3, 1e-4
 THRESHOLD = 0.3
 _SALT = np.uint64(0xA0761D6478BD642F)
+_BLOCK = 1 << 18
 
 
 def index_vectors(keys: np.ndarray) -> np.ndarray:
@@ -48,39 +50,73 @@ def index_vectors(keys: np.ndarray) -> np.ndarray:
     return out
 
 
-def tokens(text: str | None) -> np.ndarray:
-    """Hashes of a text's words, each followed by that of its shape."""
-    raw = (text or "").encode("utf-8", "surrogatepass")
-    h = word_hashes(raw)
-    out = np.empty(2 * len(h), np.uint64)
-    out[::2] = h
-    out[1::2] = mix(word_hashes(raw.translate(_SHAPE)) ^ _SALT)
-    return out.view(np.int64)
-
-
 _SHAPE = bytes(
     97 if 97 <= c <= 122 or c >= 128 else 65 if 65 <= c <= 90 else 48 if 48 <= c <= 57 else c for c in range(256)
 )
 
 
-def _by_key(keys: np.ndarray, n: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sums of n and of the rows of sums, by key, in order of keys."""
-    if not len(keys):
-        return keys, n, sums
-    order = np.argsort(keys, kind="stable")
-    keys = keys[order]
-    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-    return keys[first], np.add.reduceat(n[order], first, dtype=np.int64), np.add.reduceat(sums[order], first, axis=0, dtype=np.int64)
+def token_lists(texts: list[str | None]) -> Iterator[np.ndarray]:
+    """For each text, the hashes of its words, each followed by that of its shape; a block of texts is hashed at once."""
+    encoded = [(t if isinstance(t, str) else "").encode("utf-8", "surrogatepass") for t in texts]
+    at = 0
+    while at < len(encoded):
+        stop, size = at, 0
+        while stop < len(encoded) and (stop == at or size + len(encoded[stop]) <= _BLOCK):
+            size += len(encoded[stop]) + 1
+            stop += 1
+        block = encoded[at:stop]
+        raw, first = b" ".join(block), 0
+        h = word_hashes(raw)
+        out = np.empty(2 * len(h), np.uint64)
+        out[::2] = h
+        out[1::2] = mix(word_hashes(raw.translate(_SHAPE)) ^ _SALT)
+        for b in block:
+            n = 2 * len(b.split())
+            yield out[first : first + n].view(np.int64)
+            first += n
+        at = stop
+
+
+def tokens(text: str | None) -> np.ndarray:
+    return next(token_lists([text]))
+
+
+def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(key, n): how often a task has seen each token."""
+
+    def summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        keys, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
+        first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+        return keys[first], np.add.reduceat(n[order], first)
+
+    held, size = [], 0
+    for pdf in batches:
+        own = np.concatenate([*token_lists(pdf["text"].tolist()), np.empty(0, np.int64)])
+        if not len(own):
+            continue
+        held.append(np.unique(own, return_counts=True))
+        size += len(held[-1][0])
+        if size > _HELD:
+            held = [summed(held)]
+            size = len(held[0][0])
+            if size > _HELD // 2:
+                yield pd.DataFrame({"key": held[0][0], "n": held[0][1]})
+                held, size = [], 0
+    if held:
+        keys, n = summed(held)
+        yield pd.DataFrame({"key": keys, "n": n})
 
 
-def _packed(keys: np.ndarray, n: np.ndarray, sums: np.ndarray) -> pd.DataFrame:
-    """Rows (key, n, sums) whose sums are bytes, as narrow as they can be."""
+def _packed(keys: np.ndarray, sums: np.ndarray) -> pd.DataFrame:
+    """Rows (key, sums) whose sums are bytes, as narrow as they can be."""
     most, out = np.abs(sums).max(1, initial=0), np.empty(len(keys), object)
     for kind, low, high in (("<i1", -1, 127), ("<i2", 127, 32767), ("<i4", 32767, 2**31 - 1), ("<i8", 2**31 - 1, np.inf)):
         own = np.flatnonzero((most > low) & (most <= high))
         data, width = sums[own].astype(kind).tobytes(), DIM * int(kind[2])
         out[own] = [data[i * width : (i + 1) * width] for i in range(len(own))]
-    return pd.DataFrame({"key": keys, "n": n, "sums": out})
+    return pd.DataFrame({"key": keys, "sums": out})
 
 
 def _unpacked(column: pd.Series) -> np.ndarray:
@@ -93,167 +129,108 @@ def _unpacked(column: pd.Series) -> np.ndarray:
     return out
 
 
-_SUMS = "key long, n long, sums binary"
+def _lookup(keys: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of words in sorted keys, and whether they are there."""
+    at = np.searchsorted(keys, words)
+    at[at == len(keys)] = 0
+    return at, (keys[at] == words) if len(keys) else np.zeros(len(words), bool)
 
 
-def _merged(parts: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[pd.DataFrame]:
-    """Partial sums of a task, packed whenever it holds many."""
-    held, size = [], 0
-    for part in parts:
-        held.append(part)
-        size += len(part[0])
-        if size > _HELD:
-            held = [_by_key(*(np.concatenate(x) for x in zip(*held, strict=True)))]
-            size = len(held[0][0])
-            if size > _HELD // 2:
-                yield _packed(*held[0])
-                held, size = [], 0
-    if held:
-        yield _packed(*_by_key(*(np.concatenate(x) for x in zip(*held, strict=True))))
+def _contexts(keys_of):
+    """(key, sums) of a task: for each of the sorted keys it sees, the sum of the index vectors of its neighbours."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        keys, gap = keys_of(), 2 * REACH
+        sums, seen, done = np.zeros((len(keys), DIM), np.int32), np.zeros(len(keys), bool), 0
+
+        def add(texts: list[np.ndarray]) -> None:
+            own = np.concatenate([x for t in texts for x in (t, np.zeros(gap, np.int64))])
+            real = np.concatenate([x for t in texts for x in (np.ones(len(t), bool), np.zeros(gap, bool))])
+            distinct, place = np.unique(own, return_inverse=True)
+            r = index_vectors(distinct)[place]
+            r[~real] = 0
+            around = np.zeros(r.shape, np.int8)
+            for k in range(1, gap + 1):
+                around[k:] += r[:-k]
+                around[:-k] += r[k:]
+            at, there = _lookup(keys, distinct)
+            rows = np.flatnonzero(there[place] & real)
+            to = at[place[rows]]
+            order = np.argsort(to, kind="stable")
+            to = to[order]
+            first = np.flatnonzero(np.r_[True, to[1:] != to[:-1]]) if len(to) else np.empty(0, np.int64)
+            if len(first):
+                sums[to[first]] += np.add.reduceat(around[rows[order]], first, axis=0, dtype=np.int32)
+                seen[to[first]] = True
+
+        held, size = [], 0
+        for pdf in batches:
+            for t in token_lists(pdf["text"].tolist()):
+                held.append(t)
+                size += len(t)
+                if size > _TOKENS:
+                    add(held)
+                    done, held, size = done + size, [], 0
+                if done > _SUMMED:
+                    yield _packed(keys[seen], sums[seen])
+                    sums[:], seen[:], done = 0, False, 0
+        if held:
+            add(held)
+        yield _packed(keys[seen], sums[seen])
+
+    return run
 
 
 def _total(partial: DataFrame) -> DataFrame:
-    """Sums by key of rows (key, n, sums)."""
+    """Sums by key of rows (key, sums): one row a key and task comes in."""
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last = None
         for pdf in batches:
             if not len(pdf):
                 continue
-            part = pdf["key"].to_numpy(), pdf["n"].to_numpy(), _unpacked(pdf["sums"])
-            keys, n, sums = _by_key(*(part if last is None else [np.concatenate(x) for x in zip(last, part, strict=True)]))
-            last = keys[-1:], n[-1:], sums[-1:]
-            yield _packed(keys[:-1], n[:-1], sums[:-1])
+            keys, sums = pdf["key"].to_numpy(), _unpacked(pdf["sums"])
+            if last is not None:
+                keys, sums = np.concatenate([last[0], keys]), np.concatenate([last[1], sums])
+            first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+            keys, sums = keys[first], np.add.reduceat(sums, first, axis=0)
+            last = keys[-1:], sums[-1:]
+            yield _packed(keys[:-1], sums[:-1])
         if last is not None:
             yield _packed(*last)
 
     # Keys come in order; each task adds what it sees of one before it emits it.
     shuffles = int(partial.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return partial.repartition(shuffles, "key").sortWithinPartitions("key").mapInPandas(fold, _SUMS)
-
-
-def _neighbours(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(word, count, sum of the index vectors of its neighbours), over token sequences."""
-    gap = 2 * REACH
-    keys = np.concatenate([x for t in texts for x in (t, np.zeros(gap, np.int64))])
-    real = np.concatenate([x for t in texts for x in (np.ones(len(t), bool), np.zeros(gap, bool))])
-    distinct, place = np.unique(keys, return_inverse=True)
-    r = index_vectors(distinct)[place]
-    r[~real] = 0
-    around = np.zeros(r.shape, np.int8)
-    for k in range(1, gap + 1):
-        around[k:] += r[:-k]
-        around[:-k] += r[k:]
-    return _by_key(keys[real], np.ones(int(real.sum()), np.int64), around[real])
-
-
-def _contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    def parts() -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        held, size = [], 0
-        for pdf in batches:
-            for text in pdf["text"]:
-                t = tokens(text)
-                if len(t):
-                    held.append(t)
-                    size += len(t)
-                if size > _TOKENS:
-                    yield _neighbours(held)
-                    held, size = [], 0
-        if held:
-            yield _neighbours(held)
-
-    return _merged(parts())
-
-
-def _directions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        sums = _unpacked(pdf["sums"]).astype(float)
-        v = np.rint(sums * (ONE / np.maximum(1e-6, np.linalg.norm(sums, axis=1, keepdims=True)))).astype("<i2")
-        yield pd.DataFrame({"key": pdf["key"], "n": pdf["n"], "vector": [x.tobytes() for x in v]})
+    return partial.repartition(shuffles, "key").sortWithinPartitions("key").mapInPandas(fold, "key long, sums binary")
 
 
 class WordVectors:
-    """Vectors of all words of a corpus: those of frequent words here, the others' in a table (key, vector)."""
+    """Sorted keys of the words of a corpus that make up LEAST_SHARE of it at least, and their vectors."""
 
-    def __init__(self, docs: DataFrame) -> None:
+    def __init__(self, docs: DataFrame, least_share: float = LEAST_SHARE) -> None:
         small_batches(docs.sparkSession)
-        sums = _total(docs.where("text is not null").select("text").mapInPandas(_contexts, _SUMS))
-        table_ = stored(sums.mapInPandas(_directions, "key long, n long, vector binary"), "words")
-        step = F.floor(F.log2("n") * 8)
-        self.least, held = 1 << 62, 0
-        for s, n, low in sorted(table_.groupBy(step.alias("s")).agg(F.count("*"), F.min("n")).collect(), reverse=True):
-            if held + n > FREQUENT:
-                break
-            self.least, held = low, held + n
-        rows = table_.where(F.col("n") >= self.least).select("key", "vector").toPandas().sort_values("key")
-        self.keys = rows["key"].to_numpy(np.int64)
-        self.vectors = np.frombuffer(b"".join(rows["vector"]), "<i2").reshape(-1, DIM)
-        self.rare = table_.where(F.col("n") < self.least).select("key", "vector")
-        self.any_rare = not self.rare.isEmpty()
-
-
-def _lookup(keys: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of words in sorted keys, and whether they are there."""
-    at = np.searchsorted(keys, words)
-    at[at == len(keys)] = 0
-    return at, (keys[at] == words) if len(keys) else np.zeros(len(words), bool)
-
-
-def features(docs: DataFrame, words: WordVectors) -> DataFrame:
-    """docs with `__x`, the features of each text as an array; a null text counts as empty."""
-    shared = docs.sparkSession.sparkContext.broadcast((words.keys, words.vectors))
-
-    @F.pandas_udf("sums array<double>, n_rare long")
-    def known(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        keys, vectors = shared.value
-        for texts in batches:
-            out, rare = [], []
-            for text in texts:
-                b = tokens(text if isinstance(text, str) else "")
-                x = np.zeros(DIM + 3)
+        texts = docs.where("text is not null").select("text")
+        counts = stored(texts.mapInPandas(_counted, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "counts")
+        total = counts.agg(F.sum("n")).first()[0] or 0
+        # At most 1 / least_share rows, as their counts sum to the total at most.
+        self.keys = np.sort(counts.where(F.col("n") >= total * least_share).select("key").toPandas()["key"].to_numpy(np.int64))
+        shared = docs.sparkSession.sparkContext.broadcast(self.keys)
+        rows = _total(texts.mapInPandas(_contexts(lambda: shared.value), "key long, sums binary")).toPandas().sort_values("key")
+        sums = np.zeros((len(self.keys), DIM))
+        sums[np.searchsorted(self.keys, rows["key"].to_numpy(np.int64))] = _unpacked(rows["sums"])
+        self.vectors = np.rint(sums * (ONE / np.maximum(1e-6, np.linalg.norm(sums, axis=1, keepdims=True)))).astype(np.int16)
+
+    def features(self, texts: list[str | None]) -> np.ndarray:
+        """A row for each text; null counts as empty."""
+        out = np.zeros((len(texts), DIM + 3))
+        for x, b in zip(out, token_lists(texts), strict=True):
+            if n := len(b):
                 w, c = np.unique(b, return_counts=True)
-                at, there = _lookup(keys, w)
-                rare.append(int((~there).sum()))
-                if n := len(b):
-                    x[:DIM] = (c[there] @ vectors[at[there]].astype(np.int64)) / ONE + 0.5 * (c @ index_vectors(w).astype(np.int64))
-                    own = np.unique(b[::2], return_counts=True)[1].astype(float)
-                    x[DIM:] = 2 * float((b[2::2] == b[:-2:2]).sum()) / n, np.sqrt((own**2).sum()) / (n / 2), np.log1p(n / 2) / 10
-                out.append(np.r_[x, len(b)])
-            yield pd.DataFrame({"sums": out, "n_rare": rare})
-
-    def rare_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        keys, _ = shared.value
-        for pdf in batches:
-            out = [np.empty((0, 3), np.int64)]
-            for doc, text in zip(pdf["doc"], pdf["text"], strict=True):
-                w, c = np.unique(tokens(text), return_counts=True)
-                own = ~_lookup(keys, w)[1]
-                out.append(np.c_[np.full(int(own.sum()), doc), w[own], c[own]])
-            yield pd.DataFrame(np.concatenate(out), columns=["doc", "key", "c"])
-
-    def weighted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        return _merged((pdf["doc"].to_numpy(), pdf["c"].to_numpy(), pdf["c"].to_numpy()[:, None] * _unpacked(pdf["vector"])) for pdf in batches)
-
-    @F.pandas_udf("array<double>")
-    def pooled(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for parts, rare in batches:
-            out = []
-            for x, r in zip(parts, rare, strict=True):
-                x = np.array(x)
-                if r is not None:
-                    x[:DIM] += _unpacked(pd.Series([r]))[0] / ONE
-                out.append(np.r_[x[:DIM] / max(1.0, x[-1]), x[DIM:-1]])
-            yield pd.Series(out)
-
-    out = docs.withColumn("__known", known("text"))
-    if words.any_rare:
-        # Texts are told apart by a hash; a text without rare words gets a key of its own, so that those don't meet in one task.
-        found = docs.where("text is not null").select(F.xxhash64("text").alias("doc"), "text").mapInPandas(rare_words, "doc long, key long, c long").distinct()
-        sums = _total(found.join(words.rare, "key").select("doc", "c", "vector").mapInPandas(weighted, _SUMS)).select(F.col("key").alias("__doc"), F.col("sums").alias("__rare"))
-        out = out.withColumn("__doc", F.when(F.col("__known.n_rare") > 0, F.xxhash64("text")).otherwise(F.monotonically_increasing_id())).join(sums, "__doc", "left").drop("__doc")
-    else:
-        out = out.withColumn("__rare", F.lit(None).cast("binary"))
-    return out.withColumn("__x", pooled(F.col("__known.sums"), F.col("__rare"))).drop("__known", "__rare")
+                at, there = _lookup(self.keys, w)
+                x[:DIM] = ((c[there] @ self.vectors[at[there]].astype(np.int64)) / ONE + 0.5 * (c @ index_vectors(w).astype(np.int64))) / n
+                own = np.unique(b[::2], return_counts=True)[1].astype(float)
+                x[DIM:] = 2 * float((b[2::2] == b[:-2:2]).sum()) / n, np.sqrt((own**2).sum()) / (n / 2), np.log1p(n / 2) / 10
+        return out
 
 
 class QualityModel:
@@ -274,9 +251,6 @@ class QualityModel:
             loss = lambda k: np.logaddexp(0, np.where(t > 0, -z, z) / k).mean()
             self.temperature = min((0.5, 0.7, 1.0, 1.4, 2.0, 2.8, 4.0, 5.6, 8.0), key=loss)
 
-    def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k != "words"}
-
     def _fit(self, x: np.ndarray, y: np.ndarray, rng: np.random.Generator) -> None:
         self.w1, self.b1 = rng.normal(0, 1 / np.sqrt(x.shape[1]), (x.shape[1], HIDDEN)), np.zeros(HIDDEN)
         self.w2, self.b2 = rng.normal(0, 1 / np.sqrt(HIDDEN), HIDDEN), np.zeros(1)
@@ -306,7 +280,8 @@ class QualityModel:
 def train(docs: DataFrame, labels: DataFrame, usable: Column) -> QualityModel | None:
     """Word vectors of all docs, and a network from a bounded sample of the labelled rows where usable holds; None without both labels.
 
-    The sample is drawn over ids, so that only its own texts leave the scan.
+    The sample is drawn over ids, so that only its own texts leave the scan. A
+    doc_id with two qualities is left out; repeated rows count once each.
     """
     known = labels.where(F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("other")).where("quality = other")
     usable_docs = docs.where(usable & F.col("text").isNotNull() & (F.length("text") <= LONGEST)).select("doc_id", "text")
@@ -316,15 +291,24 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column) -> QualityModel |
     if sample.select("quality").distinct().count() < 2:
         return None
     words = WordVectors(docs)
-    rows = sorted(features(sample, words).select("quality", "doc_id", F.xxhash64("text").alias("t"), "__x").collect(), key=lambda r: (r["quality"], r["doc_id"], r["t"]))
-    return QualityModel(np.array([r["__x"] for r in rows]), np.array([float(r["quality"]) for r in rows]), words)
+    shared = docs.sparkSession.sparkContext.broadcast(words)
+
+    @F.pandas_udf("array<double>")
+    def features(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series(list(shared.value.features(texts.tolist())))
+
+    rows = sample.select("quality", "doc_id", F.xxhash64("text").alias("t"), features("text").alias("x")).collect()
+    rows.sort(key=lambda r: (r["quality"], r["doc_id"], r["t"]))
+    return QualityModel(np.array([r["x"] for r in rows]), np.array([float(r["quality"]) for r in rows]), words)
 
 
 def score(docs: DataFrame, model: QualityModel | None, prior: float = 0.5) -> DataFrame:
     """docs with score (double, 0 to 1) and predicted (int), from text alone.
 
     A null text counts as empty; an empty one has the score that the network
-    gives to a text without words. Without a model, the score is `prior`.
+    gives to a text without words. Without a model, the score is `prior`. Equal
+    texts have equal scores, repeated rows too; an empty table gives none.
     Columns of these names are replaced; rows and other columns stay.
     """
     small_batches(docs.sparkSession)
@@ -335,10 +319,10 @@ def score(docs: DataFrame, model: QualityModel | None, prior: float = 0.5) -> Da
 
         @F.pandas_udf("double")
         def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            for x in batches:
-                yield pd.Series(shared.value.score(np.array(x.tolist())) if len(x) else np.zeros(0))
+            for texts in batches:
+                yield pd.Series(shared.value.score(shared.value.words.features(texts.tolist())))
 
-        scored = features(docs.drop("score"), model.words).withColumn("score", scores("__x")).drop("__x")
+        scored = docs.withColumn("score", scores("text"))
     return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
