@@ -141,6 +141,39 @@ def test_secrets_background_counts_all(spark):
     assert dict(model.words) == dict(secret_scan.FormatModel({}, [t for _, t in rows if t]).words) and model.words["z"] > model.words["k"]
 
 
+def test_secret_formats(spark):
+    """Formats learned from assigned values are found outside of them: lengths, fixed places and characters count."""
+    rng = np.random.default_rng(8)
+    draw = lambda letters, n: "".join(rng.choice(list(letters), n))
+    alnum = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    key = lambda: f"sk-{draw(alnum, 20)}-{draw('0123456789', 4)}"
+    prose = " ".join(draw("etaoinshrdlucmfw", rng.integers(2, 11)) for _ in range(4_000))
+    rows = [(i, f'{prose[i : i + 400]}\nsecret = "{key()}" and {prose[i : i + 90]}') for i in range(120)]
+    model = secret_scan.train(spark.createDataFrame([*rows, (None, None), (7, rows[7][1])], "doc_id long, text string"))
+    own = model.automata["assign"]
+    assert len(own.next) > 20
+    planted = [key() for _ in range(200)]
+    near = [draw(alnum, 28) for _ in range(100)] + [f"sk-{draw(alnum, 12)}" for _ in range(50)] + [f"sk-{draw(alnum, 20)}-{draw('abcdef', 4)}" for _ in range(50)]
+    found = lambda tokens: sum(any(t[a:b] == v for a, b, k, _ in secret_scan.spans(t, model)) for v in tokens for t in [f"the {v} of"])
+    assert found(planted) >= 190 and found(near) <= 6 and secret_scan.spans(prose, model) == []
+    base = secret_scan.spans(rows[3][1], model)
+    assert [k for _, _, k, _ in base] == ["assign"] and base[0][3] > 1
+    # Overlapping spans share one mark; nothing of them is left.
+    both = f'token = "{"0123456789abcdef" * 3}" x'
+    got = secret_scan.redact(spark.createDataFrame([(1, both), (1, both), (2, None), (3, "")], "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in got) == [(1, '[SECRET]" x'), (1, '[SECRET]" x'), (2, None), (3, "")]
+
+
+def test_secret_prefilter():
+    """runs() leaves out only runs without a likely part."""
+    rng = np.random.default_rng(9)
+    draw = lambda letters, n: "".join(rng.choice(list(letters), n))
+    model = secret_scan.FormatModel({"a": [draw("0123456789abcdef", 14) for _ in range(90)], "b": [draw("QWX=", 12) for _ in range(90)]}, ["so many words are here in this text"] * 9)
+    text = " ".join(draw("0123456789abcdefQWX=/.xyz", rng.integers(1, 40)) for _ in range(3_000)) + " é/" + " ".join(model_value for model_value in ["0f3a5b7c9d1e2f.", "x/0f3a5b7c9d1e2f"])
+    want = {m.span() for m in secret_scan._RUN.finditer(text) if secret_scan.inferred(m[0], model)}
+    assert want <= set(model.runs(text)) and len(want) > 2
+
+
 def test_line_cleaning(frame, docs):
     for r in line_clean.clean(frame).collect():
         t = next(t for d, t in docs if d == r["doc_id"]) or ""
