@@ -256,6 +256,60 @@ def test_html_tree_inside_articles(spark, monkeypatch):
         assert {got[20 + i] for i in range(40)} == {"title 0 story 0 second part 0"} and got[100] == "only 0"
 
 
+def test_html_markup():
+    """Inline elements never split words, classes count as a whole, wrappers and odd declarations lose nothing."""
+    get = lambda html: html_extract.extracted(html, frozenset())
+    assert get("<p>un<span class='hl'>believ</span>able<img src=x>ly b<br>c</p>") == "unbelievablely b c"
+    assert get("<p>un<span class='ad'>buy</span>able</p>") == "unable"
+    for wrap in ("div class='layout with-sidebar'", "section class='search-results'", "form", "div class='has-comments no-nav'"):
+        assert get(f"<{wrap}><p>main text</p></{wrap.split()[0]}>") == "main text", wrap
+    for wrap in ("div class='comment-list'", "div class='site-header'", "div id='ad-slot-12'", "ul class=nav"):
+        assert get(f"<p>x</p><{wrap}><p>noise</p></{wrap.split()[0]}>") == "x", wrap
+    assert get("<p>x</p><form><p>your mail</p></form>") == "x"
+    assert get("a <![foo[x]]> b") == "a b" and get("a <p>c<![ x") == "a c" and get("<!doctype html><![CDATA[z]]>q").endswith("q")
+    deep = "<div>" * 5_000 + "deep text" + "</div>" * 5_000
+    assert get(deep) == "deep text" and len(html_extract.parsed(deep)[1].chain(html_extract.parsed(deep)[0][0][0])) == html_extract.DEPTH
+
+
+def test_html_importance(spark):
+    """The entropies of a tree, against a plain computation; the text changes when the tree is left out."""
+    rng = np.random.default_rng(4)
+    pages = []
+    for i in range(40):
+        body = f"<div class=top><p>{['a', 'b'][i % 2]}</p></div><div class=body><p>story {rng.integers(0, 30)}</p>" + ("<p>more</p>" if i % 3 else "<ul><li>one</ul>") + "</div><div class=end>same</div>"
+        pages += [(7, body)] * (1 + i % 2)
+    tree, blocks = html_extract.style_tree(spark.createDataFrame(pages, "host long, html string"))
+    parsed = {}
+    for _, html in pages:
+        found, page = html_extract.parsed(html)
+        parsed[tuple(found)] = (found, page)
+    content, shown, chains = {}, {}, {}
+    for found, page in parsed.values():
+        own = {}
+        for node, t, _ in found:
+            own.setdefault(node, []).append(t)
+            chains[node] = page.chain(node)
+        for node, t in own.items():
+            content.setdefault(node, []).append(tuple(t))
+        for node, c in page.below.items():
+            shown.setdefault(node, []).append(tuple(c))
+
+    def entropy(values):
+        m = len(values)
+        return 1.0 if m == 1 else -sum(c / m * np.log(c / m) for c in Counter(values).values()) / np.log(m)
+
+    want = {}
+    for node in {x for c in chains.values() for x in c}:
+        below = [(len(content[k]), entropy(content[k])) for k, c in chains.items() if node in c]
+        mean = sum(m * e for m, e in below) / sum(m for m, _ in below)
+        want[node] = (1 - html_extract.PRESENTATION) * mean + html_extract.PRESENTATION * entropy(shown[node]) if node in shown else mean
+    got = {r["node"]: r["importance"] for r in tree.collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    frame = spark.createDataFrame([(i, f"http://h.example/{i}", h, "x") for i, (_, h) in enumerate(pages)], "page_id long, url string, html string, text string")
+    for r in html_extract.extract(frame).collect():
+        assert "same" not in r["text"] and "story" in r["text"] and "same" in html_extract.extracted(r["html"], frozenset())
+
+
 def test_html_without_broadcast(spark, monkeypatch):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     want = {r["page_id"]: r["text"] for r in html_extract.extract(pages).collect()}

@@ -8,7 +8,7 @@ and the ways in which they follow each other, weighted by pages. A single block
 is as important as its text is rare among the pages that have its node (its
 self-information, of which the entropy is the mean). Branches and blocks of low
 importance are cut from every page, inside articles too, as are those whose
-markup says that they are no content. Where a page has an article, what lies
+markup says by tag, or by a class as a whole, that they are no content. Where a page has an article, what lies
 outside it stays only if the tree finds it diverse. Pages with the same blocks
 count once, so that copies of a page are no evidence against its text.
 """
@@ -32,96 +32,138 @@ LEAST_IMPORTANCE, LEAST_PAGES = 0.2, 4
 OUTSIDE_IMPORTANCE = 0.5
 #: Share of a node's own presentation in its importance; the rest is its children's.
 PRESENTATION = 0.1
-#: Low branches and blocks, and diverse nodes, that are broadcast; beyond, they are joined to the pages that have them.
+#: Marks (of 40 bytes at most) of low branches and blocks and of diverse nodes that are broadcast; beyond, they are joined to the pages that have them.
 BROADCAST_BRANCHES = 200_000
+#: Nesting that the tree tells apart; what is nested deeper belongs to the node at this depth.
+DEPTH = 64
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var wbr".split())
-_NOISE = frozenset("head title script style noscript template nav header footer aside form menu dialog iframe object svg canvas button select textarea input label fieldset".split())
+_INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var img wbr".split())
+_NOISE = frozenset("head title script style noscript template nav header footer aside menu dialog iframe object svg canvas button select textarea input label fieldset".split())
 _NOISE_WORDS = frozenset(
     "nav navbar navigation menu header footer sidebar aside notice notices cookie cookies consent banner ad ads advert adverts advertisement sponsor sponsored promo promotion"
     " share sharing social comment comments reply replies respond disqus breadcrumb breadcrumbs related recommended newsletter subscribe popup modal overlay pagination pager toolbar login search widget".split()
 )
+#: What a class says of a noise word before it: its place or form, not another thing.
+_TAILS = frozenset("list left right top bottom box bar wrap wrapper container section block area item inner slot unit links buttons icons form thread posts main".split())
+#: A class that begins so says what its element has, not what it is.
+_HAS = frozenset("with has no without is show hide".split())
 _MAIN = frozenset(("article", "main"))
 _PART = re.compile(r"[^a-z0-9]+")
+_ROOT = 0
+
+
+def noise_class(token: str) -> bool:
+    """Whether a class, id or role names something that is no content: by its last part, but for tails like `-list` or `-12`."""
+    parts = [w for w in _PART.split(token) if w]
+    if len(parts) > 1 and parts[0] in _HAS:
+        return False
+    while len(parts) > 1 and (parts[-1] in _TAILS or parts[-1].isdigit()):
+        parts.pop()
+    return bool(parts) and parts[-1] in _NOISE_WORDS
 
 
 class Page(HTMLParser):
-    """Blocks of a page: (path, text), and for each path the paths below it, in order."""
+    """Blocks of a page: [node, texts, in an article, in a form], and for each node what follows below it, in order.
+
+    A node is a hash of the chain of block elements that leads to it.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, str, bool, bool]] = [("", "", False, False)]
+        self.stack: list[tuple[str, int, bool, bool, bool]] = [("", _ROOT, False, False, False)]
+        self.above: dict[int, int] = {}
+        self.depth = {_ROOT: 0}
         self.blocks: list[list] = []
-        self.below: dict[str, list[str]] = {}
+        self.below: dict[int, list[int]] = {}
         self.open = False
 
+    def parse_html_declaration(self, i: int) -> int:
+        try:
+            return super().parse_html_declaration(i)
+        except AssertionError:  # an unknown section: a comment up to the next bracket
+            end = self.rawdata.find(">", i)
+            return end + 1 if end >= 0 else len(self.rawdata)
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        if tag in _INLINE and not any(k in ("class", "id", "role") for k, _ in attrs):
-            return
-        self.open = False
-        if tag in _VOID:
+        own = [w for k, v in attrs if k in ("class", "id", "role") for w in (v or "").lower().split()]
+        inline = tag in _INLINE
+        if not inline:
+            self.open = self.open and tag in _VOID and tag not in ("br", "hr")
+        if tag in _VOID or (inline and not own):
             return
-        if tag not in _INLINE and self.stack[-1][0] in ("p", "li" if tag == "li" else "p"):
+        if not inline and self.stack[-1][0] in ("p", "li" if tag == "li" else "p"):
             self.stack.pop()
-        mark = [w for k, v in attrs if k in ("class", "id", "role") for w in _PART.split((v or "").lower()) if w]
-        _, above, noise, main = self.stack[-1]
-        name = ".".join([tag, *sorted(set(mark))])
-        inside = main or tag in _MAIN
-        if tag == "article":  # "comment-12" says what an article is, "has-comments" what it has
-            words = [_PART.split(w)[0] for k, v in attrs if k in ("class", "id", "role") for w in (v or "").lower().split()]
-        else:
-            words = [] if tag in ("html", "body", "main") else mark
-        noise = noise or (tag in _NOISE and not (main and tag == "header")) or not _NOISE_WORDS.isdisjoint(words)
-        path = f"{above}/{name}"
-        children = self.below.setdefault(above, [])
-        if not children or children[-1] != path:
-            children.append(path)
-        self.stack.append((tag, path, noise, inside))
+        _, above, noise, main, form = self.stack[-1]
+        noise = noise or (tag in _NOISE and not (main and tag == "header")) or (tag not in ("html", "body", "main") and any(map(noise_class, own)))
+        if inline:  # no block of its own, so that words stay whole
+            self.stack.append((tag, above, noise, main, form))
+            return
+        node = above
+        if self.depth[above] < DEPTH:
+            node = int.from_bytes(hashlib.blake2b(f"{above} {tag} {' '.join(sorted(set(own)))}".encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+            self.above[node], self.depth[node] = above, self.depth[above] + 1
+            children = self.below.setdefault(above, [])
+            if not children or children[-1] != node:
+                children.append(node)
+        self.stack.append((tag, node, noise, main or tag in _MAIN, form or tag == "form"))
 
     def handle_endtag(self, tag: str) -> None:
         if tag in _VOID:
-            self.open = False
+            self.open = self.open and tag not in ("br", "hr")
             return
         for i in range(len(self.stack) - 1, 0, -1):
             if self.stack[i][0] == tag:
                 del self.stack[i:]
-                self.open = False
+                self.open = self.open and tag in _INLINE
                 return
             if tag in _INLINE and self.stack[i][0] not in _INLINE:
                 return
 
     def handle_data(self, data: str) -> None:
-        _, path, noise, main = self.stack[-1]
+        _, node, noise, main, form = self.stack[-1]
         if noise:
             return
         if self.open:
             self.blocks[-1][1].append(data)
         else:
-            self.blocks.append([path, [data], main])
+            self.blocks.append([node, [data], main, form])
             self.open = True
 
+    def chain(self, node: int) -> list[int]:
+        """A node and the nodes above it, but for the root."""
+        out = []
+        while node != _ROOT:
+            out.append(node)
+            node = self.above[node]
+        return out
+
 
-def parsed(html: str | None) -> tuple[list[tuple[str, str, bool]], dict[str, list[str]]]:
-    """((path, text, inside an article) of each block that isn't noise by its markup, paths below each path)."""
+def parsed(html: str | None) -> tuple[list[tuple[int, str, bool]], Page]:
+    """((node, text, inside an article) of each block that isn't noise by its markup, the page).
+
+    Forms are noise, unless all text is in them: then the page is wrapped in one.
+    """
     page = Page()
     page.feed(html if isinstance(html, str) else "")
     page.close()
-    blocks = [(p, " ".join("".join(parts).split()), main) for p, parts, main in page.blocks]
-    return [b for b in blocks if b[1]], page.below
+    blocks = [(p, " ".join("".join(parts).split()), main, form) for p, parts, main, form in page.blocks]
+    blocks = [b for b in blocks if b[1]]
+    outside = [b[:3] for b in blocks if not b[3]]
+    return outside or [b[:3] for b in blocks], page
 
 
 def _digest(text: str) -> str:
     return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).hexdigest()
 
 
-def _block(path: str, text: str) -> str:
-    """The mark of a single block; no path holds a tab."""
-    return f"{path}\t{_digest(text)}"
+def _block(node: int, text: str) -> str:
+    """The mark of a single block."""
+    return f"{node} {_digest(text)}"
 
 
-def _rich(path: str) -> str:
-    """The mark of a diverse node outside articles; no path begins with a plus."""
-    return f"+{path}"
+def _rich(node: int) -> str:
+    """The mark of a diverse node outside articles."""
+    return f"+{node}"
 
 
 def extracted(html: str | None, marks: frozenset[str] | set[str]) -> str:
@@ -129,80 +171,85 @@ def extracted(html: str | None, marks: frozenset[str] | set[str]) -> str:
 
     On a page with text in an article, blocks outside articles need a diverse node.
     """
-    blocks, _ = parsed(html)
+    blocks, page = parsed(html)
     article, low, out = any(main for _, _, main in blocks), {}, []
     for p, t, main in blocks:
         if p not in low:
-            parts = p.split("/")
-            low[p] = any("/".join(parts[:i]) in marks for i in range(1, len(parts) + 1))
+            low[p] = any(str(x) in marks for x in page.chain(p))
         if not low[p] and (main or not article or _rich(p) in marks) and _block(p, t) not in marks:
             out.append(t)
     return " ".join(out)
 
 
+_STYLES = "host long, node long, kind string, feature string, page string, chain array<long>, main boolean"
+
+
 def _styles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """A row for each path of a page: whether it has text, and a hash of its text or of what follows below it; and one for each different block."""
+    """A row for each node of a page: whether it has text, and a hash of its text or of what follows below it; and one for each different block."""
     for pdf in batches:
         out = []
         for host, html in zip(pdf["host"], pdf["html"], strict=True):
-            blocks, below = parsed(html)
-            texts: dict[str, list[str]] = {}
-            for p, t, _ in blocks:
+            blocks, page = parsed(html)
+            texts: dict[int, list[str]] = {}
+            inside = {}
+            for p, t, main in blocks:
                 texts.setdefault(p, []).append(t)
-            page = _digest("\n".join(f"{p}\t{t}" for p, t, _ in blocks))
-            for kind, found in (("content", texts), ("presentation", below)):
-                for p, own in found.items():
-                    out.append((host, p, kind, _digest("\n".join(own)), page))
-            out += [(host, p, "block", _digest(t), page) for p, own in texts.items() for t in dict.fromkeys(own)]
-        yield pd.DataFrame(out, columns=["host", "path", "kind", "feature", "page"])
+                inside[p] = main
+            mark = _digest("\n".join(f"{p}\t{t}" for p, t, _ in blocks))
+            for p, own in texts.items():
+                out.append((host, p, "content", _digest("\n".join(own)), mark, page.chain(p), inside[p]))
+                out += [(host, p, "block", _digest(t), mark, None, None) for t in dict.fromkeys(own)]
+            out += [(host, p, "presentation", _digest(" ".join(map(str, own))), mark, None, None) for p, own in page.below.items()]
+        yield pd.DataFrame(out, columns=["host", "node", "kind", "feature", "page", "chain", "main"])
 
 
 def style_tree(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """From pages (host, html): (host, path, pages, importance) of each node of each host's tree, and (host, path, feature, n, importance) of blocks on several pages.
+    """From pages (host, html): (host, node, pages, importance, main) of each node of each host's tree, and (host, node, feature, n, importance) of blocks on several pages.
 
-    Pages of a host with the same blocks count once, whatever surrounds these.
+    host is a number. Pages of a host with the same blocks count once, whatever
+    surrounds these, and so do repeated rows. A null html has no nodes; an empty
+    table gives empty trees.
     """
-    rows = pages.select("host", "html").mapInPandas(_styles, "host string, path string, kind string, feature string, page string")
-    shares = stored(rows.distinct().groupBy("host", "path", "kind", "feature").agg(F.count("*").alias("n")), "shares")
-    nodes = shares.where("kind <> 'block'").groupBy("host", "path", "kind").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.log("n")).alias("nlogn"))
+    rows = pages.select("host", "html").mapInPandas(_styles, _STYLES)
+    grouped = rows.distinct().groupBy("host", "node", "kind", "feature").agg(F.count("*").alias("n"), F.first("chain").alias("chain"), F.max("main").alias("main"))
+    shares = stored(grouped, "shares")
+    nodes = shares.where("kind <> 'block'").groupBy("host", "node", "kind").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.log("n")).alias("nlogn"), F.first("chain").alias("chain"), F.max("main").alias("main"))
     entropy = F.when(F.col("m") == 1, 1.0).otherwise((F.log("m") - F.col("nlogn") / F.col("m")) / F.log("m"))
-    nodes = stored(nodes.select("host", "path", "kind", "m", entropy.alias("own")), "styles")
-    parts = F.split("path", "/")
-    above = F.transform(F.sequence(F.lit(2), F.greatest(F.size(parts), F.lit(2))), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
+    nodes = stored(nodes.select("host", "node", "kind", "m", entropy.alias("own"), "chain", "main"), "styles")
     content = (
-        nodes.where("kind = 'content' and path <> ''")
-        .select("host", F.explode(above).alias("path"), "m", "own")
-        .groupBy("host", "path")
-        .agg(F.max("m").alias("pages"), (F.sum(F.col("own") * F.col("m")) / F.sum("m")).alias("content"))
+        nodes.where("kind = 'content'")
+        .select("host", F.explode("chain").alias("node"), "m", "own", (F.col("main") | F.lit(False)).alias("main"))
+        .groupBy("host", "node")
+        .agg(F.max("m").alias("pages"), (F.sum(F.col("own") * F.col("m")) / F.sum("m")).alias("content"), F.min("main").alias("main"))
     )
-    shown = nodes.where("kind = 'presentation'").select("host", "path", F.col("own").alias("shown"))
-    importance = F.col("content") if PRESENTATION == 0 else F.coalesce((1 - PRESENTATION) * F.col("content") + PRESENTATION * F.col("shown"), "content")
-    tree = content.join(shown, ["host", "path"], "left").select("host", "path", "pages", importance.alias("importance"))
-    repeated = shares.where((F.col("kind") == "block") & (F.col("n") >= LEAST_PAGES)).join(nodes.where("kind = 'content'").select("host", "path", "m"), ["host", "path"])
-    return tree, repeated.select("host", "path", "feature", "n", ((F.log("m") - F.log("n")) / F.log("m")).alias("importance"))
+    shown = nodes.where("kind = 'presentation'").select("host", "node", F.col("own").alias("shown"))
+    importance = F.coalesce((1 - PRESENTATION) * F.col("content") + PRESENTATION * F.col("shown"), "content")
+    tree = content.join(shown, ["host", "node"], "left").select("host", "node", "pages", importance.alias("importance"), "main")
+    repeated = shares.where((F.col("kind") == "block") & (F.col("n") >= LEAST_PAGES)).join(nodes.where("kind = 'content'").select("host", "node", "m"), ["host", "node"])
+    return tree, repeated.select("host", "node", "feature", "n", ((F.log("m") - F.log("n")) / F.log("m")).alias("importance"))
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """pages (url, html, any others) with `text`, the main text of each page.
 
     Character references are decoded, white space inside a block becomes one
-    space, blocks are joined in page order by one space. A null or empty html
-    gives the empty text; pages without a url share the empty host. Repeated rows
-    give the same text each. A column of this name is replaced; rows and other
-    columns stay.
+    space, blocks are joined in page order by one space; inline elements never
+    split a block. A null or empty html gives the empty text; pages without a url
+    share the empty host. Repeated rows give the same text each, an empty table
+    none. A column of this name is replaced; rows and other columns stay.
     """
     small_batches(pages.sparkSession)
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[^:]*://([^/?#]*)", 1))
-    pages = pages.withColumn("__host", host)
+    pages = pages.withColumn("__host", F.xxhash64(host))
     tree, repeated = style_tree(pages.select(F.col("__host").alias("host"), "html"))
-    known, is_low = tree.where(F.col("pages") >= LEAST_PAGES), F.col("importance") < LEAST_IMPORTANCE
-    rich = known.where((F.col("importance") >= OUTSIDE_IMPORTANCE) & ~F.col("path").rlike(r"/(article|main)(\.|/|$)"))
-    low = known.where(is_low).select("host", "path").union(rich.select("host", F.concat(F.lit("+"), "path")))
-    low = stored(low.union(repeated.where(is_low).select("host", F.concat("path", F.lit("\t"), "feature"))), "branches")
+    known, is_low, node = tree.where(F.col("pages") >= LEAST_PAGES), F.col("importance") < LEAST_IMPORTANCE, F.col("node").cast("string")
+    rich = known.where((F.col("importance") >= OUTSIDE_IMPORTANCE) & ~F.col("main"))
+    low = known.where(is_low).select("host", node.alias("mark")).union(rich.select("host", F.concat(F.lit("+"), node)))
+    low = stored(low.union(repeated.where(is_low).select("host", F.concat(node, F.lit(" "), "feature"))), "branches")
     if low.limit(BROADCAST_BRANCHES + 1).count() <= BROADCAST_BRANCHES:
-        branches: dict[str, set[str]] = {}
-        for h, p in low.collect():
-            branches.setdefault(h, set()).add(p)
+        branches: dict[int, set[str]] = {}
+        for h, mark in low.collect():
+            branches.setdefault(h, set()).add(mark)
         shared = pages.sparkSession.sparkContext.broadcast(branches)
 
         def texts(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
@@ -211,8 +258,8 @@ def extract(pages: DataFrame) -> DataFrame:
 
         return pages.withColumn("text", F.pandas_udf(_series2(texts), "string")("__host", "html")).drop("__host")
     own = pages.withColumn("__page", F.xxhash64("__host", "html"))
-    seen = own.select("__page", "__host", "html").dropDuplicates(["__page", "__host"]).mapInPandas(_paths, "__page long, host string, path string")
-    cut = seen.join(low, ["host", "path"]).groupBy("__page").agg(F.collect_set("path").alias("__low"))
+    seen = own.select("__page", "__host", "html").dropDuplicates(["__page", "__host"]).mapInPandas(_paths, "__page long, host long, mark string")
+    cut = seen.join(low, ["host", "mark"]).groupBy("__page").agg(F.collect_set("mark").alias("__low"))
 
     def texts_of(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for htmls, lows in batches:
@@ -233,10 +280,10 @@ def _paths(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         out = []
         for page, host, html in zip(pdf["__page"], pdf["__host"], pdf["html"], strict=True):
-            blocks, below = parsed(html)
-            found = {x for p, t, _ in blocks for x in (p, _rich(p), _block(p, t))} | {c for v in below.values() for c in v}
-            out += [(page, host, p) for p in sorted(found)]
-        yield pd.DataFrame(out, columns=["__page", "host", "path"])
+            blocks, own = parsed(html)
+            found = {x for p, t, _ in blocks for x in (_rich(p), _block(p, t), *map(str, own.chain(p)))}
+            out += [(page, host, x) for x in sorted(found)]
+        yield pd.DataFrame(out, columns=["__page", "host", "mark"])
 
 
 def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
