@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from .common import small_batches, table
 
-#: The classifier is fitted on at most so many texts a language and in all.
-SAMPLE_PER_LANGUAGE, SAMPLE = 200, 2_000
+#: The classifier is fitted on at most so many labelled texts a language and in all, of so many characters at most.
+SAMPLE_PER_LANGUAGE, SAMPLE, LONGEST = 200, 2_000, 20_000
 LANDMARKS = 128
 RIDGE, SHARPNESS = 1e-2, 4.0
 #: A text of at least so many letters whose kernel with every landmark is below this is noise, or in no learned script.
@@ -62,6 +62,11 @@ class Grams:
             flags[_SIDE + _SIDE**2 + two[:-1] * _SIDE + c[2:]] = True
         return flags if letters else None
 
+    def found(self, text: str | None) -> np.ndarray | None:
+        """The n-grams that are there; None if there is no letter."""
+        flags = self(text)
+        return None if flags is None else np.flatnonzero(flags).astype(np.int32)
+
 
 class KernelModel:
     def __init__(self, texts: list[str], langs: list[str]) -> None:
@@ -73,13 +78,13 @@ class KernelModel:
         letters = [p for p, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0])) if _kinds()[p]]
         self.alphabet = sorted(letters[:_LETTERS])
         grams = Grams(self.alphabet)
-        flags = [(grams(t), y) for t, y in zip(texts, langs, strict=True)]
-        flags = [(f, y) for f, y in flags if f is not None]
-        x, y = np.array([f for f, _ in flags]), np.array([self.langs.index(y) for _, y in flags])
+        found = [(grams.found(t), y) for t, y in zip(texts, langs, strict=True)]
+        found = [(f, y) for f, y in found if f is not None]
+        x, y = [f for f, _ in found], np.array([self.langs.index(y) for _, y in found])
         rank = np.zeros(len(y), int)
         for k in range(len(self.langs)):
             rank[y == k] = np.arange((y == k).sum())
-        marks = x[np.lexsort((y, rank))[:LANDMARKS]]
+        marks = self._flags([x[i] for i in np.lexsort((y, rank))[:LANDMARKS]], grams.size)
         self.columns = np.flatnonzero(marks.any(0))
         self.marks = marks[:, self.columns].astype(np.float32).T
         self.norms = np.sqrt(marks.sum(1))
@@ -87,12 +92,19 @@ class KernelModel:
         values, vectors = np.linalg.eigh(among)
         keep = values > 1e-6 * values.max()
         half = vectors[:, keep] / np.sqrt(values[keep])
-        phi = self._kernel(x) @ half
+        phi = np.concatenate([self._kernel(self._flags(x[i : i + _BATCH], grams.size)) for i in range(0, len(x), _BATCH)]) @ half
         target = np.where(y[:, None] == np.arange(len(self.langs)), 1.0, -1.0)
         weight = 1 / np.bincount(y, minlength=len(self.langs))[y]
         left = (phi * weight[:, None]).T
         self.weights = half @ np.linalg.solve(left @ phi + RIDGE / len(y) * np.eye(phi.shape[1]), left @ target)
 
+    @staticmethod
+    def _flags(found: list[np.ndarray], size: int) -> np.ndarray:
+        out = np.zeros((len(found), size), bool)
+        for row, own in zip(out, found, strict=True):
+            row[own] = True
+        return out
+
     def _kernel(self, flags: np.ndarray) -> np.ndarray:
         return flags[:, self.columns].astype(np.float32) @ self.marks / np.sqrt(flags.sum(1))[:, None] / self.norms
 
@@ -112,12 +124,12 @@ class KernelModel:
 
 
 def drawn(labelled: DataFrame, label: str, per_label: int, most: int) -> DataFrame:
-    """The rows of about per_label documents of each label, by a hash of doc_id; about `most` in all."""
-    counts = dict(labelled.groupBy(label).count().limit(10_000).collect())
+    """The rows of about per_label documents of each label, by a hash of doc_id; about `most` in all, but eight a label at least, all of rare ones."""
+    counts = dict(labelled.groupBy(label).count().collect())
     if not counts:
         return labelled.limit(0)
-    each = max(1, min(per_label, most // len(counts)))
-    share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(each / n))])
+    each = max(8, min(per_label, most // len(counts)))
+    share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(each / n if n > 4 * each else 1.0))])
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(1 << 30)
     return labelled.where(draw < share[F.col(label)])
 
@@ -128,13 +140,21 @@ def in_order(rows: list) -> list:
 
 
 def labelled_sample(labelled: DataFrame, label: str, per_label: int, most: int) -> list:
-    """Rows (label, text) of about per_label texts of each label; at most 2 * `most` in all."""
-    return in_order(drawn(labelled, label, per_label, most).select(label, "text", "doc_id").limit(2 * most).collect())
+    """Rows (label, text) of about per_label texts of each label, eight at least; at most 4 * `most` in all."""
+    rows = drawn(labelled, label, per_label, most).select(label, "text", "doc_id")
+    kept: dict = {}
+    for r in in_order(rows.orderBy(F.xxhash64("doc_id"), F.xxhash64("text")).limit(4 * most).collect()):
+        kept.setdefault(r[0], []).append(r)
+    return [r for own in kept.values() for r in own[: 2 * per_label]]
 
 
 def train(docs: DataFrame, usable: Column) -> KernelModel | None:
-    """A model from a bounded sample of the rows of docs (doc_id, text, lang) where usable holds; None without any."""
-    labelled = docs.where(usable & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    """A model from a bounded sample of the rows of docs (doc_id, text, lang) where usable holds; None without any.
+
+    Rows with a null text or lang, or a text above LONGEST characters, are no
+    examples; repeated rows count each.
+    """
+    labelled = docs.where(usable & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= LONGEST))
     rows = [r for r in labelled_sample(labelled, "lang", SAMPLE_PER_LANGUAGE, SAMPLE) if any(c.isalpha() for c in r["text"])]
     return KernelModel([r["text"] for r in rows], [r["lang"] for r in rows]) if rows else None
 
@@ -144,7 +164,8 @@ def identify(docs: DataFrame, model: KernelModel | None, least: float = 0.0) ->
 
     A null text, or one without letters, is `und` with score 0, as is every text
     where no model could be learned, and one of TELLING_LETTERS letters or more
-    whose kernel with every landmark is below `least`. Ties go to the first language by name.
+    whose kernel with every landmark is below `least`. Ties go to the first language
+    by name. Repeated rows are the same each, an empty table gives none.
     Columns of these two names are replaced; rows and other columns stay.
     """
     small_batches(docs.sparkSession)
