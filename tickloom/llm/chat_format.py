@@ -67,36 +67,57 @@ MAPPINGS = (
 )
 
 
-def paths(value: object, at: str = "") -> set[str]:
-    """Paths of the leaves of a record; `[]` stands for any element of a list, empty lists count as leaves."""
-    if isinstance(value, dict):
-        return {p for k, v in value.items() for p in paths(v, f"{at}.{k}" if at else k)}
-    if isinstance(value, list) and value:
-        return {p for v in value for p in paths(v, at + "[]")}
-    return {at + "[]" if isinstance(value, list) else at}
+def paths(value: object) -> set[str]:
+    """Paths of the leaves of a record; `[]` stands for any element of a list or an empty list, `[]=` for elements that are no objects."""
+    out, todo = set(), [(value, "")]
+    while todo:
+        own, at = todo.pop()
+        if isinstance(own, dict):
+            todo += [(v, f"{at}.{k}" if at else k) for k, v in own.items()]
+        elif isinstance(own, list):
+            out.update([f"{at}[]"] if not own else [])
+            for v in own:
+                if isinstance(v, (dict, list)):
+                    todo.append((v, f"{at}[]"))
+                else:
+                    out.add(f"{at}[]=")
+        else:
+            out.add(at)
+    return out
 
 
 def fingerprint(found: set[str] | frozenset[str]) -> str:
     return hashlib.sha256("\n".join(sorted(found)).encode("utf-8", "surrogatepass")).hexdigest()[:16]
 
 
-def known(mappings: tuple[Mapping, ...] = MAPPINGS) -> dict[str, Mapping]:
-    """The mapping of each fingerprint: its fields with any of its optional ones."""
-    out: dict[str, Mapping] = {}
-    for m in mappings:
-        extra = sorted(m.optional)
-        for k in range(1 << len(extra)):
-            out.setdefault(fingerprint(m.fields | {x for i, x in enumerate(extra) if k >> i & 1}), m)
-        if m.each:
-            out.setdefault(fingerprint({m.each[0] + "[]"}), m)
-    return out
+class Layouts:
+    """The mapping of a record by the fingerprint of those of its paths that any mapping names; other fields don't matter."""
+
+    def __init__(self, mappings: tuple[Mapping, ...] = MAPPINGS) -> None:
+        self.mappings = mappings
+        lists = {x for m in mappings if m.each for x in (f"{m.each[0]}[]", f"{m.each[0]}[]=")}
+        self.named = frozenset().union(lists, *(m.fields | m.optional for m in mappings))
+        self.chosen: dict[str, Mapping | None] = {}
+
+    def _fits(self, m: Mapping, found: set[str]) -> bool:
+        if not m.each:
+            return m.fields <= found
+        return f"{m.each[0]}[]=" not in found and (m.fields <= found or f"{m.each[0]}[]" in found)
+
+    def __call__(self, record: dict) -> tuple[str, Mapping | None]:
+        """(fingerprint, the first mapping that fits or None)."""
+        found = paths(record) & self.named
+        mark = fingerprint(found)
+        if mark not in self.chosen:
+            self.chosen[mark] = next((m for m in self.mappings if self._fits(m, found)), None)
+        return mark, self.chosen[mark]
 
 
 def turns_of(record: dict, mapping: Mapping) -> list[tuple[str, str]]:
     text = lambda v: "" if v is None else v if isinstance(v, str) else json.dumps(v, ensure_ascii=False)
     if mapping.each:
         rows, role, own = mapping.each
-        found = [(text(t.get(role)), text(t.get(own))) for t in record.get(rows) or []]
+        found = [(text(t.get(role)), text(t.get(own))) for t in record.get(rows) or [] if isinstance(t, dict)]
         return [(ROLES.get(r, r) if mapping.name == "conversations" else r, t) for r, t in found]
     return [(role, text(record[f])) for f, role in mapping.singles if f in record and (f not in mapping.optional or record[f])]
 
@@ -124,31 +145,33 @@ def read_back(formatted: str) -> list[tuple[str, str]]:
 def format_records(records: DataFrame, column: str = "record") -> DataFrame:
     """records with `layout`, `fingerprint`, `formatted` and `loss_mask` (array of start, end) of a JSON column.
 
-    Records whose fingerprint no mapping has, that are null or no JSON object
-    have layout and formatted null; an empty list of turns formats as the empty
-    text. Columns of these names are replaced; rows and other columns stay.
+    Only the paths that some mapping names make the fingerprint, so that fields
+    beside them don't matter; of several mappings that fit, the first counts.
+    Records that no mapping fits, that are null, no JSON object or nested too
+    deeply have layout and formatted null; an empty list of turns formats as the
+    empty text. Repeated rows are the same each, an empty table gives none.
+    Columns of these names are replaced; rows and other columns stay.
     """
 
     @F.pandas_udf("layout string, fingerprint string, formatted string, loss_mask array<struct<start:long,end:long>>")
     def formatted(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        mappings = known()
+        layouts = Layouts()
+
+        def one(raw: str | None) -> tuple:
+            mark = None
+            try:
+                record = json.loads(raw) if isinstance(raw, str) else None
+                if isinstance(record, dict):
+                    mark, m = layouts(record)
+                    if m:
+                        text, mask = render(turns_of(record, m))
+                        return m.name, mark, text, [{"start": a, "end": b} for a, b in mask]
+            except (ValueError, RecursionError):
+                pass
+            return None, mark, None, None
+
         for column_ in batches:
-            out = []
-            for raw in column_:
-                try:
-                    record = json.loads(raw) if isinstance(raw, str) else None
-                except ValueError:
-                    record = None
-                if not isinstance(record, dict):
-                    out.append((None, None, None, None))
-                    continue
-                mark = fingerprint(paths(record))
-                if (m := mappings.get(mark)) is None:
-                    out.append((None, mark, None, None))
-                    continue
-                text, mask = render(turns_of(record, m))
-                out.append((m.name, mark, text, [{"start": a, "end": b} for a, b in mask]))
-            yield pd.DataFrame(out, columns=["layout", "fingerprint", "formatted", "loss_mask"])
+            yield pd.DataFrame(map(one, column_), columns=["layout", "fingerprint", "formatted", "loss_mask"])
 
     out = records.withColumn("__f", formatted(column))
     for c in ("layout", "fingerprint", "formatted", "loss_mask"):
@@ -157,7 +180,12 @@ def format_records(records: DataFrame, column: str = "record") -> DataFrame:
 
 
 def records_of(rows: DataFrame) -> DataFrame:
-    """(conv_id, record): rows (conv_id, turn, role, text) as one JSON record each, by turn, then role and text; null roles and texts are empty."""
+    """(conv_id, record): rows (conv_id, turn, role, text) as one JSON record each, by turn, then role and text.
+
+    Null roles and texts are empty, null turns come first; repeated rows stay each;
+    null conv_ids are one conversation; an empty table gives none. A conversation
+    goes to one task whole, as its record does.
+    """
     turn = F.struct(F.coalesce("turn", F.lit(-(1 << 62))).alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     grouped = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
     plain = F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
