@@ -2,11 +2,13 @@
 
 All globs are packed side by side into the bits of a few 64-bit words, a bit for
 each state. One step of the extended Shift-And automaton advances every pattern
-for every URL of a block.
+for every URL of a block. Patterns see the canonical form of a URL, host rules
+also the form in which it was given.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -38,14 +40,44 @@ def pattern(verdict: str, glob: str) -> Rule:
     return Rule(glob, verdict, glob, False)
 
 
+#: Words in hosts that the default patterns block.
+BAD_HOSTS = (
+    "casino", "spam", "cheap-pills", "poker", "sportsbet", "betting", "payday-loan", "torrent", "warez", "porn", "xxx-", "escort", "viagra", "replica-watch",
+    "adserver", "doubleclick", "adclick", "malware", "phishing", "keygen", "cracked-", "free-ringtone", "linkfarm", "parked-domain",
+)
 RULES = (
     host_rule("allow", "com/"), host_rule("block", "example.com/en/"), host_rule("allow", "www.example.com/en/"),
     host_rule("block", "net/es/"), host_rule("block", "net/fr/"),
-    pattern("block", "*casino*"), pattern("block", "*casino*/**"), pattern("block", "*spam*"), pattern("block", "*spam*/**"),
-    pattern("block", "*cheap-pills*"), pattern("block", "*cheap-pills*/**"),
+    *(pattern("block", f"*{w}*{rest}") for w in BAD_HOSTS for rest in ("", "/**")),
 )
 DEFAULT = "allow"
-_BATCH = 4096
+#: Symbols of URLs that are matched at once.
+_CELLS = 1 << 22
+_UNRESERVED = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-._~")
+_ESCAPED = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
+
+
+def _decoded(m: re.Match) -> str:
+    """Escapes of unreserved characters as those characters, others with capital digits."""
+    return "".join(c if (c := chr(int(x, 16))) in _UNRESERVED else f"%{x.upper()}" for x in m[0].split("%")[1:])
+
+
+def canonical(host: str, path: str) -> tuple[str, str]:
+    """Host without user, default port and final dot; path without dot segments and needless escapes, `/` if empty."""
+    host = _ESCAPED.sub(_decoded, host.rpartition("@")[2]).lower()
+    name, colon, port = host.rpartition(":")
+    if colon and port in ("", "80", "443"):
+        host = name
+    out: list[str] = []
+    parts = _ESCAPED.sub(_decoded, path).split("/")[1:]
+    for i, p in enumerate(parts):
+        if p == "..":
+            del out[-1:]
+        elif p != ".":
+            out.append(p)
+        if p in (".", "..") and i == len(parts) - 1:
+            out.append("")
+    return host.rstrip("."), "/" + "/".join(out)
 
 
 class Automaton:
@@ -93,25 +125,28 @@ class Automaton:
         return np.packbits(wide.reshape(len(bits), self.words, 64), axis=2, bitorder="little").view("<u8")[:, :, 0].astype(np.uint64)
 
     def match(self, strings: list[str]) -> np.ndarray:
-        """A row for each string: which globs match all of it."""
-        state = np.tile(self.start, (len(strings), 1))
+        """A row for each string: which globs match all of it. Strings of like length go together, so that memory is bounded by the longest."""
+        out, last = np.zeros((len(strings), len(self.last)), bool), np.array(self.last)
         order = np.argsort([-len(s) for s in strings], kind="stable")
-        size = np.array([len(strings[i]) for i in order])
-        longest = int(size[0]) if len(size) else 0
         table_ = np.zeros(0x110000, np.uint8)
         for c, i in self.symbols.items():
             table_[ord(c)] = i
-        coded = [table_[np.frombuffer(strings[i].encode("utf-32-le", "surrogatepass"), np.uint32)] for i in order]
-        for at in range(longest):
-            n = int(np.searchsorted(-size, -at, side="left"))
-            c = np.fromiter((x[at] for x in coded[:n]), np.int64, n)
-            now = state[:n]
-            moved = now << np.uint64(1)
-            moved[:, 1:] |= now[:, :-1] >> np.uint64(63)
-            state[:n] = (moved & self.step[c]) | (now & self.stay[c])
-        out = np.zeros((len(strings), len(self.last)), bool)
-        last = np.array(self.last)
-        out[order] = (state[:, last // 64] >> (last % 64).astype(np.uint64)) & np.uint64(1)
+        at = 0
+        while at < len(order):
+            longest = max(1, len(strings[order[at]]))
+            own = order[at : at + max(1, _CELLS // longest)]
+            at += len(own)
+            size = np.array([len(strings[i]) for i in own])
+            coded = np.zeros((len(own), longest), np.uint8)
+            coded[np.arange(longest) < size[:, None]] = table_[np.frombuffer("".join(strings[i] for i in own).encode("utf-32-le", "surrogatepass"), np.uint32)]
+            state, columns = np.tile(self.start, (len(own), 1)), np.ascontiguousarray(coded.T)
+            left = np.searchsorted(-size, -np.arange(longest), side="left")
+            for n, symbols in zip(left.tolist(), columns, strict=True):
+                c, now = symbols[:n], state[:n]
+                moved = now << np.uint64(1)
+                moved[:, 1:] |= now[:, :-1] >> np.uint64(63)
+                state[:n] = (moved & self.step[c]) | (now & self.stay[c])
+            out[own] = (state[:, last // 64] >> (last % 64).astype(np.uint64)) & np.uint64(1)
         return out
 
 
@@ -120,15 +155,18 @@ def _verdicts(rules: tuple[Rule, ...], default: str):
         automaton = Automaton([r.glob for r in rules])
         rank = sorted(range(len(rules)), key=lambda i: (not rules[i].host, -len(rules[i].name), i))
         ordered = [rules[i] for i in rank]
+        of_host = np.array([r.host for r in ordered], bool)
         for hosts, paths in batches:
             names, verdicts = [], []
-            urls = [f".{h}{p}" if h else "" for h, p in zip(hosts, paths, strict=True)]
-            for at in range(0, len(urls), _BATCH):
-                hit = automaton.match(urls[at : at + _BATCH])[:, rank]
-                for row, any_ in zip(hit.argmax(1), hit.any(1), strict=True):
-                    r = ordered[row] if any_ else None
-                    names.append(r.name if r and r.host else None)
-                    verdicts.append(r.verdict if r else default)
+            given = [f".{h}{p}" if h else "" for h, p in zip(hosts, paths, strict=True)]
+            plain = [".{}{}".format(*canonical(h, p)) if h else "" for h, p in zip(hosts, paths, strict=True)]
+            places = {u: i for i, u in enumerate(dict.fromkeys(given + plain))}
+            hit = automaton.match(list(places))[:, rank]
+            hit = np.where(of_host, hit[[places[u] for u in given]], hit[[places[u] for u in plain]])
+            for row, any_ in zip(hit.argmax(1), hit.any(1), strict=True):
+                r = ordered[row] if any_ else None
+                names.append(r.name if r and r.host else None)
+                verdicts.append(r.verdict if r else default)
             yield pd.DataFrame({"rule": names, "verdict": verdicts})
 
     return run
@@ -141,8 +179,9 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, default: str = DEFA
     path: from there up to `?`, `#` or the end. A null url, or one without `://`,
     has both empty and the default verdict. Of the host rules that fit, the
     longest wins, the earlier of equal ones; without any, the longest pattern
-    that fits gives the verdict, and without that the default. Columns of these
-    names are replaced; rows and other columns stay.
+    that fits the canonical URL gives the verdict, and without that the default.
+    Repeated rows are the same each, however long; an empty table gives none.
+    Columns of these names are replaced; rows and other columns stay.
     """
     url = F.coalesce("url", F.lit(""))
     at = F.instr(url, "://")
@@ -182,6 +221,6 @@ select page_id, host, path,
             when suffix(s, '.example.com') and prefix(path, '/en/') then 'block'
             when suffix(s, '.net') and (prefix(path, '/es/') or prefix(path, '/fr/')) then 'block'
             when suffix(s, '.com') and prefix(path, '/') then 'allow'
-            when host like '%casino%' or host like '%spam%' or host like '%cheap-pills%' then 'block' else 'allow' end as verdict
+            when regexp_matches(regexp_replace(host, '^.*@', ''), '{bad}') then 'block' else 'allow' end as verdict
 from f
-"""
+""".replace("{bad}", "|".join(BAD_HOSTS))
