@@ -18,6 +18,8 @@ END = 1
 ATTENTION = 1 / 4096
 #: Characters that are packed together; about 500 sequences.
 BLOCK_CHARS = 2_000_000
+#: What a row counts for beside its characters: empty texts are packed too.
+ROW_CHARS = 64
 _CACHE = 400_000
 
 
@@ -131,8 +133,8 @@ def pack(docs: DataFrame, paths: tuple[str, str, str] | None = None) -> DataFram
     A row for each piece: doc_id, start, length, ids_crc32, doc_tokens,
     sequence_id, offset. A document's ids are those of its text, then id 1; a
     null text is empty. Full sequences are cut off first; the rest, less than one
-    sequence a document, is dealt by a hash into blocks of about BLOCK_CHARS, and
-    each block is packed by descending length into the cheapest sequences with
+    sequence a document, is dealt by row, whatever its id and text, into blocks of
+    about BLOCK_CHARS, and each block is packed by descending length into the cheapest sequences with
     room, so that at most one sequence's worth of padding remains in a block.
     Repeated rows are packed each; a null doc_id is kept. An empty table gives an
     empty result. paths: tokenizer file, rank file, pattern.
@@ -143,11 +145,11 @@ def pack(docs: DataFrame, paths: tuple[str, str, str] | None = None) -> DataFram
         paths = (public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = int(chars // BLOCK_CHARS + 1)
+    chars, rows = docs.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)), F.count("*")).first()
+    blocks = int((chars + ROW_CHARS * rows) // BLOCK_CHARS + 1)
     pieces = docs.mapInPandas(_pieces(paths), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary")
     return (
-        pieces.withColumn("block", F.pmod(F.xxhash64("doc_id", "start", "doc_tokens"), F.lit(blocks)))
+        pieces.withColumn("block", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks)))
         .groupBy("block")
         .applyInPandas(_packed, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
     )
