@@ -54,6 +54,19 @@ def groups(rows, k, percent):
     return {d: (len(s), root(d)) for d, s in sets.items()}
 
 
+def test_jaccard_percent(frame):
+    with pytest.raises(ValueError, match="percent"):
+        ngram_join.jaccard_groups(frame, 5, 70)
+
+
+def test_jaccard_all_of_a_table(spark):
+    """Recall of 1 against brute force over all documents of sf0.01."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    want = groups([tuple(r) for r in docs.collect()], 4, 85)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.jaccard_groups(docs, 4, 85).collect()} == want
+    assert sum(c != d for d, (_, c) in want.items()) > 30
+
+
 @pytest.mark.parametrize(("k", "percent"), [(4, 85), (5, 80)])
 def test_jaccard_groups(frame, docs, k, percent):
     want = groups([r for r in docs if r[0] is not None], k, percent)
@@ -106,6 +119,28 @@ def test_packing_covers_all_tokens(frame, docs):
         assert (g.offset.to_numpy() == np.cumsum(g.length) - g.length).all() and g.length.sum() <= 2048
 
 
+def test_packing_by_cost(spark):
+    """Descending order and the cheapest sequence with room, against a plain loop; hot ids and empty texts are spread over blocks."""
+    rng = np.random.default_rng(6)
+    for lengths in (rng.integers(1, 2048, 200), np.full(50, 700), np.array([2047, 1, 1, 2046, 3])):
+        count = -(-int(lengths.sum()) // 2048)
+        room, cost, want = [2048] * count, [0.0] * count, []
+        for i in sorted(range(len(lengths)), key=lambda i: (-lengths[i], i)):
+            at, left = 0, int(lengths[i])
+            while left:
+                fit = [s for s in range(count) if room[s] >= left]
+                s = min(fit, key=lambda s: (cost[s], s)) if fit else max(range(count), key=lambda s: (room[s], -s))
+                n = min(left, room[s])
+                want.append((i, at, n, s, 2048 - room[s]))
+                room[s], cost[s], at, left = room[s] - n, cost[s] + n + packing.ATTENTION * n * n, at + n, left - n
+        assert packing.assign(np.array(lengths)) == want
+    rows = [(None, "")] * 40_000 + [(7, "a b c")] * 3_000
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string")).toPandas()
+    assert len(got) >= len(rows) and got.length.sum() == 40_000 + 3_000 * int(got[got.doc_id == 7].doc_tokens.iloc[0])
+    sizes = got.groupby("sequence_id").length.sum()
+    assert sizes.max() <= 2048 and len(sizes) <= got.length.sum() / 2048 + 4 and got.groupby(got.sequence_id.to_numpy() >> 32).ngroups > 1
+
+
 def test_secrets(frame, docs):
     model = secret_scan.train(frame)
     by = Counter()
@@ -327,10 +362,22 @@ def test_chat_round_trip(text):
 
 
 def test_chat_layouts(spark):
-    raw = ['{"instruction":"i","input":"","output":"o"}', '{"messages":[{"role":"user","content":"q"}]}', '{"conversations":[{"from":"human","value":"q"},{"from":"gpt","value":null}]}', '{"zzz":1}', "nonsense", None]
-    got = chat_format.format_records(spark.createDataFrame([(r,) for r in raw], "record string")).collect()
-    assert [r["layout"] for r in got] == ["instruction", "messages", "conversations", None, None, None]
-    assert chat_format.read_back(got[0]["formatted"]) == [("user", "i"), ("assistant", "o")]
+    raw = ['{"instruction":"i","input":"","output":"o"}', '{"messages":[{"role":"user","content":"q"}]}', '{"conversations":[{"from":"human","value":"q"},{"from":"gpt","value":null}]}',
+           '{"id":7,"meta":{"a":[1]},"messages":[{"role":"user","content":"q","name":"x"}]}', '{"id":1,"instruction":"i","output":"o"}', '{"turns":[]}', '{"turns":[{"role":null,"text":{"a":1}}]}',
+           '{"zzz":1}', "nonsense", None, '{"messages":["hi"]}', '{"turns":[null]}', "[" * 3_000 + "]" * 3_000, '{"a":' * 600 + "1" + "}" * 600, "[]", '{"messages":[{"role":"user","content":"q"},"hi"]}']
+    rows = [(r, 5, "clash") for r in raw + raw[:1]]
+    got = chat_format.format_records(spark.createDataFrame(rows, "record string, layout int, formatted string")).collect()
+    assert [r["layout"] for r in got[:6]] == ["instruction", "messages", "conversations", "messages", "instruction", "turns"] and [r["layout"] for r in got[7:16]] == [None] * 9 and got[16] == got[0]
+    assert chat_format.read_back(got[0]["formatted"]) == chat_format.read_back(got[4]["formatted"]) == [("user", "i"), ("assistant", "o")]
+    assert chat_format.read_back(got[3]["formatted"]) == [("user", "q")] and got[5]["formatted"] == "" and got[3]["fingerprint"] == got[1]["fingerprint"]
+
+
+def test_chat_records(spark):
+    rows = [(1, 2, "assistant", "b", 0), (1, 1, None, None, 0), (1, 1, "user", "a", 0), (1, 1, "user", "a", 0), (None, 1, "user", "z", 0), (2, None, "user", "late", 0)]
+    own = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, record int")
+    got = {r["conv_id"]: chat_format.read_back(r["formatted"]) for r in chat_format.format_records(chat_format.records_of(own)).collect()}
+    assert got == {1: [("", ""), ("user", "a"), ("user", "a"), ("assistant", "b")], None: [("user", "z")], 2: [("user", "late")]}
+    assert chat_format.records_of(own.limit(0)).count() == 0
 
 
 def test_url_globs():
@@ -344,6 +391,15 @@ def test_url_globs():
         assert [bool(pattern.fullmatch(u)) for u in urls] == got[:, i].tolist(), g
 
 
+def test_url_canonical(spark):
+    assert url_filter.canonical("u:p@WWW.a.com:80", "/x/../%7eb/./%2fc/..") == ("www.a.com", "/~b/")
+    assert url_filter.canonical("a.com:8080", "") == ("a.com:8080", "/")
+    odd = ["http://ca%73ino.org:443/x", "http://ca%73ino.org:443/x", "HTTP://me@Poker-1.org", "https://www.example.com/en/x?q#f", "http://x.net/es/", "no scheme", "", None, "http://ok.org/" + "a" * 300_000, "http://é.org/\t", "://"]
+    got = url_filter.judge(spark.createDataFrame([(i, u, "h", 1) for i, u in enumerate(odd)], "page_id long, url string, host string, rule int")).orderBy("page_id").collect()
+    assert [r["verdict"] for r in got] == ["block", "block", "block", "allow", "block"] + ["allow"] * 6
+    assert [r["rule"] for r in got] == [None] * 3 + ["www.example.com/en/", "net/es/"] + [None] * 6 and got[2]["host"] == "me@poker-1.org"
+
+
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_sql(spark, name):
     c = duckdb.connect()

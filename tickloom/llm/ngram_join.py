@@ -180,8 +180,11 @@ def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
 
     Null or word-less texts have n_shingles 0 and stay alone; a null doc_id has
     null class and component; rows of one doc_id count as one document, which
-    has all their links; an empty table gives an empty result.
+    has all their links; an empty table gives an empty result. Bands of sizes hold
+    all links from 80 percent up; a lower percent raises ValueError.
     """
+    if not 80 <= percent <= 100:
+        raise ValueError(f"percent must be 80 to 100, not {percent}")
     small_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     described = stored(
@@ -238,7 +241,11 @@ def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
 
 
 def first_of_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """docs without those that are not the first (lowest doc_id) of their group; rows without a doc_id stay."""
+    """docs without those that are not the first (lowest doc_id) of their group.
+
+    Rows without a doc_id stay, as do repeated rows of one that stays, and texts
+    that are null or without words; an empty table is empty. All columns stay.
+    """
     gone = jaccard_groups(docs, k, percent).where("component_id <> doc_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
