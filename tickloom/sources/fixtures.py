@@ -42,6 +42,25 @@ VIEWS["feed"] = f"""select symbol, bar_start, session, hr, open, high, low, case
 VIEWS["daily"] = f"""select *, row_number() over (partition by symbol order by session) as i,
        cast(extract(year from session) as int) * 12 + cast(extract(month from session) as int) as idx from ({VIEWS["x3"]})"""
 
+#: Contracts with days to expiry, a change of open interest and a quoted volatility; futures have neither side nor strike.
+VIEWS["contracts"] = f"""select symbol, session, cast(extract(year from session) as int) as yr, expiry_no, 20 + 30 * expiry_no as dte, kind, opt, strike, oi, cast(contracts as double) as contracts, settle, close,
+       cast(contracts % 7 - 3 as double) as chg_oi, cast(0.1 + 0.02 * (contracts % 9) + 0.01 * expiry_no as double) as vol from ({VIEWS["x4"]})"""
+#: Files as text, some rows faulty: minutes, days, both derivative formats, index closes.
+VIEWS["raw_minutes"] = """select event_id as id, case when event_id % 97 = 0 then 'never' else cast(ts as string) end as start_time, cast(cast(value as decimal(18,4)) as string) as open, cast(cast(value + 2 as decimal(18,4)) as string) as high,
+       cast(cast(value - 1 as decimal(18,4)) as string) as low, case when event_id % 89 = 0 then 'x' else cast(cast(value + 1 as decimal(18,4)) as string) end as close, case when event_id % 7 = 0 then ' ' when event_id % 83 = 0 then 'many' else cast(user_id as string) end as volume from {events}"""
+VIEWS["raw_daily"] = f"""select symbol, case when n % 37 = 0 then 'x' else concat(cast(cast(session as date) as string), 'T00:00:00') end as stamp, cast(open as string) as open, cast(case when n % 23 = 0 then low - 1 else high end as string) as high, cast(low as string) as low,
+       case when n % 31 = 0 then '-' else cast(close as string) end as close, case when n % 7 = 0 then '' else cast(volume as string) end as volume, n from ({VIEWS["x3"]})"""
+VIEWS["raw_new"] = """select concat('fo-', cast(o_orderdate as string)) as file, cast(o_orderdate as date) as day, cast(cast(case when o_orderkey % 53 = 0 then o_orderdate + interval '1' day else o_orderdate end as date) as string) as TradDt,
+       case o_orderkey % 9 when 0 then 'STF' when 1 then 'STO' when 2 then 'IDF' when 3 then 'IDO' when 4 then 'ZZZ' when 5 then ' STO' when 6 then 'STF ' when 7 then 'STO' else 'IDO' end as FinInstrmTp,
+       concat('S', cast(o_custkey % 11 as string)) as TckrSymb, case when o_orderkey % 9 in (0, 2, 6) then '' when o_orderkey % 2 = 0 then 'CE' when o_orderkey % 61 = 0 then 'XX' else 'PE ' end as OptnTp, '1999-12-30' as XpryDt, cast(o_custkey % 100 * 5 as string) as StrkPric,
+       '1' as OpnPric, '2' as HghPric, '0.5' as LwPric, case when o_orderkey % 59 = 0 then 'n/a' when o_orderkey % 13 = 0 then ' ' else cast(o_totalprice as string) end as ClsPric, '1.25' as SttlmPric, cast(o_totalprice as string) as TtlTrfVal, '' as LastPric, '' as PrvsClsgPric, '' as UndrlygPric,
+       '3' as TtlTradgVol, case when o_orderkey % 67 = 0 then '1.5' when o_orderkey % 5 = 0 then '' else cast(o_custkey as string) end as OpnIntrst, '0' as ChngInOpnIntrst, '25.0' as NewBrdLotQty from {orders}"""
+VIEWS["raw_old"] = """select cast(o_orderdate as date) as day, cast(cast(case when o_orderkey % 53 = 0 then o_orderdate + interval '1' day else o_orderdate end as date) as string) as TIMESTAMP,
+       case o_orderkey % 5 when 0 then 'FUTSTK' when 1 then 'OPTSTK' when 2 then 'FUTIDX' when 3 then 'OPTIDX' else 'BOND' end as INSTRUMENT, concat('S', cast(o_custkey % 11 as string)) as SYMBOL, '1999-12-30' as EXPIRY_DT, '100' as STRIKE_PR,
+       case when o_orderkey % 5 in (0, 2) then 'XX' when o_orderkey % 41 = 0 then '?' else 'CE' end as OPTION_TYP, '1' as OPEN, '2' as HIGH, '0.5' as LOW, '1' as CLOSE, '1' as SETTLE_PR, '3' as CONTRACTS, cast(o_custkey as string) as VAL_INLAKH, '7' as OPEN_INT, '0' as CHG_IN_OI from {orders}"""
+VIEWS["raw_indices"] = """select day, `Index Name`, `Closing Index Value`, `P/E` from (select cast(o_orderdate as date) as day, case when o_orderkey % 17 = 0 then ' ' else concat(' index ', cast(o_orderkey % 4 as string)) end as `Index Name`,
+       cast(o_totalprice as string) as `Closing Index Value`, case when o_orderkey % 3 = 0 then '-' when o_orderkey % 7 = 0 then '' else cast(o_custkey as string) end as `P/E` from {orders})"""
+
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
@@ -53,6 +72,6 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def duck(sql: str) -> str:
     """Puts the views that a DuckDB statement names in front of it."""
     names = [n for n in VIEWS if re.search(rf"\b{n}\b", sql)]
-    parts = ", ".join(f"{n} as ({VIEWS[n].format(**{t: t for t in TABLES})})" for n in names)
+    parts = ", ".join(f"{n} as ({VIEWS[n].replace('`', chr(34)).format(**{t: t for t in TABLES})})" for n in names)
     sql = sql.strip()
     return f"with {parts}, {sql[5:]}" if sql.lower().startswith("with ") else f"with {parts} {sql}"
