@@ -1,13 +1,11 @@
-"""Calendars, action dates, prior sessions, paired decision rows, trend and range rules."""
+"""Calendars, action dates, prior sessions, paired decision rows."""
 
 from __future__ import annotations
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tickloom.functions.scalars import ramp
 from tickloom.operators.joins import interval_join
-from tickloom.operators.windows import over
 from tickloom.plans.feature_plans import DAILY, DAY, KEY, daily_keyed, keyed, r6
 from tickloom.registry import query
 from tickloom.sources.fixtures import duck, view
@@ -54,24 +52,3 @@ def c7_actions_by_ex_date(spark, sf):
     a = view(spark, sf, "daily").where("n % 11 = 0").select(F.col("symbol").cast("long").alias("symbol"), F.col("session").cast("timestamp").alias("ex"))
     found = interval_join(t, a, "symbol", "after", "until", "ex", 200 * 86400)
     return found.groupBy("trade_id").agg(F.count("*").alias("actions"), F.pow(F.lit(0.5), F.count("*")).alias("factor"))
-
-
-@query(duck(f"""with f as (select *, lag(close, 1) over w as c1, lag(close, 3) over w as c3 from bars window w as (partition by symbol, session order by hr))
- select {KEY}, case when close > c1 and c1 > c3 then 'up' else 'down' end as direction, round(greatest(0.0, least(1.0, (abs(close / c3 - 1) - 0.1) / 0.9)), 6) as score from f where (close > c1 and c1 > c3) or (close < c1 and c1 < c3)"""))
-def f1_trend_continuation(spark, sf):
-    """Two moves of one direction, scored by the size of both."""
-    w = Window.partitionBy(*DAY).orderBy("hr")
-    b = view(spark, sf, "bars").withColumn("c1", F.lag("close", 1).over(w)).withColumn("c3", F.lag("close", 3).over(w))
-    up, down = (F.col("close") > F.col("c1")) & (F.col("c1") > F.col("c3")), (F.col("close") < F.col("c1")) & (F.col("c1") < F.col("c3"))
-    return keyed(b.where(up | down), F.when(up, "up").otherwise("down").alias("direction"), r6(ramp(F.abs(F.col("close") / F.col("c3") - 1), 0.1, 1.0)).alias("score"))
-
-
-@query(duck(f"""with f as (select *, max(high) over w as top, min(low) over w as floor_, count(*) over w as seen from bars window w as (partition by symbol, session order by hr rows between 4 preceding and 1 preceding))
- select {KEY}, case when close > top then 'above' else 'below' end as side, round((close - case when close > top then top else floor_ end) / (top - floor_), 6) as reach from f where seen = 4 and top > floor_ and (close > top or close < floor_)"""))
-def f2_range_breakout(spark, sf):
-    """A close outside the range of the four bars before, in ranges."""
-    w = over(DAY, ["hr"], -4, -1)
-    b = view(spark, sf, "bars").select("*", F.max("high").over(w).alias("top"), F.min("low").over(w).alias("bottom"), F.count("*").over(w).alias("seen"))
-    above = F.col("close") > F.col("top")
-    b = b.where((F.col("seen") == 4) & (F.col("top") > F.col("bottom")) & (above | (F.col("close") < F.col("bottom"))))
-    return keyed(b, F.when(above, "above").otherwise("below").alias("side"), r6((F.col("close") - F.when(above, F.col("top")).otherwise(F.col("bottom"))) / (F.col("top") - F.col("bottom"))).alias("reach"))

@@ -1,12 +1,11 @@
-"""Contract chains and order books."""
+"""Contract chains."""
 
 from __future__ import annotations
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tickloom.functions.scalars import safe_divide
-from tickloom.plans.feature_plans import r6, tied
+from tickloom.plans.feature_plans import r6
 from tickloom.registry import query
 from tickloom.sources.fixtures import duck, view
 
@@ -109,41 +108,3 @@ def a8_prefer_new_format(spark, sf):
     old, new = c.where("y <= 1995"), c.where("y >= 1995 and symbol % 2 = 0").withColumn("format", F.lit("new"))
     rows = new.unionByName(old.join(new.select(*UNDERLYING).distinct(), UNDERLYING, "left_anti").withColumn("format", F.lit("old")))
     return rows.groupBy("symbol", F.col("session").cast("timestamp").cast("string").alias("session"), "kind", "format").agg(F.count("*").alias("n"), F.sum("oi").alias("oi"))
-
-
-def books(spark, sf):
-    """x5: bids and asks of each order, best first."""
-    rows = spark.read.parquet(f"{sf}/lineitem.parquet").select(
-        "l_orderkey", "l_linestatus", F.struct((-F.col("l_extendedprice")).alias("k"), "l_quantity", "l_linenumber", "l_partkey", F.col("l_extendedprice").alias("price")).alias("b"),
-        F.struct(F.col("l_extendedprice").alias("k"), "l_quantity", "l_linenumber", "l_partkey", F.col("l_extendedprice").alias("price")).alias("a"))
-    return rows.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.when(F.col("l_linestatus") == "O", F.col("b")))).alias("bids"), F.sort_array(F.collect_list(F.when(F.col("l_linestatus") != "O", F.col("a")))).alias("asks"))
-
-
-_BOOK = """with r as (select l_orderkey, l_linestatus = 'O' as bid, l_extendedprice as price, l_quantity as quantity,
-   row_number() over (partition by l_orderkey, l_linestatus = 'O' order by case when l_linestatus = 'O' then -l_extendedprice else l_extendedprice end, l_quantity, l_linenumber, l_partkey) as lvl from lineitem),
- s as (select l_orderkey, max(price) filter (where bid and lvl = 1) as bp, max(quantity) filter (where bid and lvl = 1) as bq, max(price) filter (where not bid and lvl = 1) as ap, max(quantity) filter (where not bid and lvl = 1) as aq,
-   coalesce(sum(quantity) filter (where bid and lvl <= 5), 0) as b5, coalesce(sum(quantity) filter (where not bid and lvl <= 5), 0) as a5, coalesce(sum(price * quantity) filter (where bid and lvl <= 5), 0) as bv from r group by l_orderkey)"""
-
-
-@query(_BOOK + """ select l_orderkey, round(ap - bp, 6) as spread, round((bq - aq) / (bq + aq), 6) as imbalance_1, round((b5 - a5) / (b5 + a5), 6) as imbalance_5,
- round((bp * aq + ap * bq) / (bq + aq) + 1e-9, 6) as microprice, round(bv, 4) as bid_value from s""")
-def e41_order_book(spark, sf):
-    b = books(spark, sf)
-    first = lambda side, f: F.when(F.size(side) > 0, F.element_at(side, 1)[f])
-    five = lambda side, f: F.aggregate(F.slice(side, 1, 5), F.lit(0.0), lambda t, x: t + f(x))
-    bp, bq, ap, aq = first("bids", "price"), first("bids", "l_quantity"), first("asks", "price"), first("asks", "l_quantity")
-    b5, a5 = five("bids", lambda x: x["l_quantity"]), five("asks", lambda x: x["l_quantity"])
-    return b.select("l_orderkey", r6(ap - bp).alias("spread"), r6((bq - aq) / (bq + aq)).alias("imbalance_1"), r6(safe_divide(b5 - a5, b5 + a5)).alias("imbalance_5"),
-                    tied((bp * aq + ap * bq) / (bq + aq)).alias("microprice"), F.round(five("bids", lambda x: x["price"] * x["l_quantity"]), 4).alias("bid_value"))
-
-
-@query("""with r as (select l_orderkey, l_extendedprice as price, l_quantity as quantity, row_number() over (partition by l_orderkey order by l_extendedprice, l_quantity, l_linenumber, l_partkey) as lvl from lineitem where l_linestatus <> 'O'),
- c as (select *, least(quantity, greatest(0, 60 - (sum(quantity) over (partition by l_orderkey order by lvl) - quantity))) as taken from r where lvl <= 5)
- select l_orderkey, sum(taken) as filled, case when sum(taken) = 60 then round(10000 * (sum(taken * price) / 60 / min(price) - 1), 5) end as slippage_bps from c group by l_orderkey""")
-def e42_slippage(spark, sf):
-    """Walks five levels with 60 units; null where the book is too thin."""
-    b = books(spark, sf).where(F.size("asks") > 0)
-    start = F.struct(F.lit(60.0).alias("left"), F.lit(0.0).alias("cost"))
-    step = lambda t, x: F.struct((t["left"] - F.least(t["left"], x["l_quantity"])).alias("left"), (t["cost"] + F.least(t["left"], x["l_quantity"]) * x["price"]).alias("cost"))
-    walked = b.select("l_orderkey", F.aggregate(F.slice("asks", 1, 5), start, step).alias("w"), F.element_at("asks", 1)["price"].alias("best"))
-    return walked.select("l_orderkey", (60 - F.col("w.left")).alias("filled"), F.when(F.col("w.left") == 0, F.round(10000 * (F.col("w.cost") / 60 / F.col("best") - 1), 5)).alias("slippage_bps"))

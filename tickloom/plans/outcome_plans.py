@@ -1,4 +1,4 @@
-"""Entry rules, deadline outcomes, charges, rank and score diagnostics, fitted probabilities."""
+"""Deadline outcomes, rank and score diagnostics, fitted probabilities."""
 
 from __future__ import annotations
 
@@ -8,16 +8,12 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tickloom.operators.windows import average_rank, over, session_context
+from tickloom.operators.windows import average_rank
 from tickloom.plans.feature_plans import DAY, KEY, keyed, r6
 from tickloom.plans.stat_plans import _NEXT, _panel, brier, log_loss
 from tickloom.registry import query
 from tickloom.sources.fixtures import duck, view
 
-#: Charges by leg: share of value, and the sale tax of trades held over a session.
-SHARE, SALE_TAX, FEE = 0.0005, 0.001, 20.0
-
-
 @query(duck(f"""with h as (select distinct session, symbol, hr, close from bars) select {KEY.replace("symbol,", "a.symbol,").replace("(session", "(a.session").replace(", hr", ", a.hr")}, round(b.close / a.close - 1, 6) as at_noon, round(c.close / a.close - 1, 6) as at_twenty
  from bars a left join h b on a.symbol = b.symbol and a.session = b.session and b.hr = 12 and a.hr < 12 left join h c on a.symbol = c.symbol and a.session = c.session and c.hr = 20 and a.hr < 20"""))
 def g3_deadline_returns(spark, sf):
@@ -45,33 +41,6 @@ def g5_level_touches(spark, sf):
     return g.withColumn("first", F.when(u.isNull() & d.isNull(), "time").when(d.isNull() | (u < d), "up").when(u.isNull() | (d < u), "down").otherwise("both"))
 
 
-@query(duck(f"""with f as (select *, max(case when hr < 2 then high end) over w as top, min(hr) over w as first_hr, lag(close) over w as before from bars window w as (partition by symbol, session order by hr))
- select {KEY}, round((close / top - 1) * 100, 4) as score from f where hr >= 2 and first_hr = 0 and close > top and (before is null or before <= top)"""))
-def f5_opening_range_breakout(spark, sf):
-    """The bar that crosses the top of the opening range from below."""
-    b = session_context(view(spark, sf, "bars"), DAY, "hr", 2).withColumn("before", F.lag("close").over(Window.partitionBy(*DAY).orderBy("hr")))
-    hit = b.where("or_high is not null and close > or_high and (before is null or before <= or_high)")
-    return keyed(hit, F.round((F.col("close") / F.col("or_high") - 1) * 100, 4).alias("score"))
-
-
-@query(duck(f"""with f as (select *, avg(high - low) over (partition by symbol, session order by hr rows between 4 preceding and current row) as reach, 23 - hr as remaining from bars)
- select {KEY}, case when remaining < 2 then 'too_late' when reach <= 0 then 'flat' when close * 0.5 > 2 * reach then 'too_far' else 'feasible' end as reason from f"""))
-def f9_feasibility(spark, sf):
-    """Hours left first, then the move needed against twice the mean range."""
-    reach = F.avg(F.col("high") - F.col("low")).over(over(DAY, ["hr"], -4, 0))
-    return keyed(view(spark, sf, "bars"), F.when(23 - F.col("hr") < 2, "too_late").when(reach <= 0, "flat").when(F.col("close") * 0.5 > 2 * reach, "too_far").otherwise("feasible").alias("reason"))
-
-
-@query(duck(f"""select trade_id, round(2 * {FEE} + entry_value * {SHARE} + (entry_value + gross) * ({SHARE} + case when trade_id % 2 = 0 then {SALE_TAX} else 0 end), 4) as charges,
- round((2 * {FEE} + 2 * entry_value * {SHARE}) / entry_value + 0.001, 7) as required_move, cast(ceil(50000 / (entry_value / 10)) as bigint) as shares from x8"""))
-def h3_charges_and_size(spark, sf):
-    """Charges of both legs, the move that pays them with a margin, whole shares at a minimum clip."""
-    v = F.col("entry_value")
-    tax = F.when(F.col("trade_id") % 2 == 0, SALE_TAX).otherwise(0.0)
-    charges = 2 * FEE + v * SHARE + (v + F.col("gross")) * (SHARE + tax)
-    return view(spark, sf, "x8").select("trade_id", F.round(charges, 4).alias("charges"), F.round((2 * FEE + 2 * v * SHARE) / v + 0.001, 7).alias("required_move"), F.ceil(50000 / (v / 10)).alias("shares"))
-
-
 @query(duck(f"""with {_NEXT}, p as (select rank() over (order by rf) + (count(*) over (partition by rf) - 1) / 2.0 as a, rank() over (order by rt) + (count(*) over (partition by rt) - 1) / 2.0 as b from k)
  select count(*) as n, round(corr(a, b), 5) as rho, round(corr(a, b) * sqrt((count(*) - 2) / (1 - corr(a, b) * corr(a, b))), 3) as t from p"""))
 def i8_pooled_spearman(spark, sf):

@@ -42,6 +42,15 @@ VIEWS["feed"] = f"""select symbol, bar_start, session, hr, open, high, low, case
 VIEWS["daily"] = f"""select *, row_number() over (partition by symbol order by session) as i,
        cast(extract(year from session) as int) * 12 + cast(extract(month from session) as int) as idx from ({VIEWS["x3"]})"""
 
+_W = "(partition by symbol order by idx rows between {} preceding and current row)"
+#: Snapshots that rules read: moving means stand for the recursive averages here, the rules only read them by name. Some values are unknown.
+VIEWS["snaps"] = f"""select *, (ema9 - ema21) / 4 as macd_histogram, (ema9 - ema21) / 4 - c_3 / 50 as macd_histogram_change, 100 * (close - low4) / nullif(high4 - low4, 0) as rsi14, 60 * abs(close - c_3) / nullif(high4 - low4, 0) as adx14, case when n % 7 <> 0 then volume / mean_volume end as volume_ratio_20,
+       (close - (mean20 - 2 * dev20)) / nullif(4 * dev20, 0) as bollinger_percent_b_20, case when n % 5 <> 0 then 3 * (close - mean20) / nullif(dev20, 0) end as price_vs_vwap_sigma, atr14 / close as atr_pct, case when n % 11 <> 0 then cast(n * 37 % 375 as double) end as minutes,
+       ema9 / nullif(c_3, 0) - 1 as ema9_slope_5, ema21 / nullif(c_3, 0) - 1 as ema21_slope_5, close / c_1 - 1 as return_1, close / c_2 - 1 as return_5, close / c_3 - 1 as return_15, 20.0 + n % 30 as plus_di14, 25.0 as minus_di14, case when n % 4 <> 0 then close / open - 1 end as from_open, case when n % 6 <> 0 then (close - low) / nullif(high - low, 0) end as in_range
+       from (select symbol, idx, n, open, high, low, close, volume, lag(close, 1) over (partition by symbol order by idx) as c_1, lag(close, 2) over (partition by symbol order by idx) as c_2, lag(close, 3) over (partition by symbol order by idx) as c_3,
+         avg(close) over {_W.format(1)} as ema9, avg(close) over {_W.format(3)} as ema21, avg(close) over {_W.format(7)} as ema50, avg(high - low) over {_W.format(4)} as atr14, max(high) over {_W.format(3)} as high4, min(low) over {_W.format(3)} as low4,
+         max(high) over {_W.format(5)} as rolling_high_20, min(low) over {_W.format(5)} as rolling_low_20, avg(volume) over {_W.format(5)} as mean_volume, avg(close) over {_W.format(5)} as mean20, stddev_pop(close) over {_W.format(5)} as dev20,
+         case when n % 3 <> 0 then open * 1.1 end as opening_range_high, case when n % 3 <> 0 then open * 0.9 end as opening_range_low from ({VIEWS["daily"]}))"""
 #: Contracts with days to expiry, a change of open interest and a quoted volatility; futures have neither side nor strike.
 VIEWS["contracts"] = f"""select symbol, session, cast(extract(year from session) as int) as yr, expiry_no, 20 + 30 * expiry_no as dte, kind, opt, strike, oi, cast(contracts as double) as contracts, settle, close,
        cast(contracts % 7 - 3 as double) as chg_oi, cast(0.1 + 0.02 * (contracts % 9) + 0.01 * expiry_no as double) as vol from ({VIEWS["x4"]})"""
