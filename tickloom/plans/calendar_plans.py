@@ -11,16 +11,6 @@ from tickloom.registry import query
 from tickloom.sources.fixtures import duck, view
 
 
-@query(duck(f"""with d as (select symbol, session, hr, open, close, lead(close) over (partition by symbol, session order by hr) as next_close from bars), s as (select *, cast(unnest([1, -1]) as int) as side from d where next_close is not null)
- select {KEY}, side, case when date_part('day', session) <= 20 then 'development' else 'holdout' end as phase, round(side * (next_close / close - 1), 6) as outcome from s"""))
-def a24_paired_decisions(spark, sf):
-    """One row for each side of a decision, with its phase; write it by phase and symbol."""
-    after = F.lead("close").over(Window.partitionBy(*DAY).orderBy("hr"))
-    d = view(spark, sf, "bars").withColumn("next_close", after).where("next_close is not null").withColumn("side", F.explode(F.array(F.lit(1), F.lit(-1))))
-    phase = F.when(F.dayofmonth("session") <= 20, "development").otherwise("holdout")
-    return keyed(d, "side", phase.alias("phase"), r6(F.col("side") * (F.col("next_close") / F.col("close") - 1)).alias("outcome"))
-
-
 @query(duck("""with s as (select symbol, cast(unnest(generate_series(cast(min(session) as timestamp), cast(max(session) as timestamp), interval 1 day)) as date) as session from bars group by symbol),
  e as (select symbol, session, case when date_part('day', session) % 10 = 0 then 12 else 24 end as expected from s)
  select e.symbol, cast(e.session as varchar) as session, any_value(expected) as expected, any_value(expected) - count(b.hr) as missing from e left join bars b on e.symbol = b.symbol and e.session = b.session and b.hr < expected group by e.symbol, e.session"""))

@@ -43,12 +43,6 @@ def a9_series_priority(spark, sf):
     return latest(x, ["symbol", "d"], [order, "filing_id"]).select("symbol", F.col("d").cast("string").alias("day"), "filing_id", "subject")
 
 
-@query(duck("""select symbol, cast(session as varchar) as session, count(*) as rows_, count(distinct hr) = count(*) as unique_keys, count(distinct session) = 1 as one_date, count(*) >= 20 as enough from bars group by symbol, session"""))
-def a14_file_checks(spark, sf):
-    return view(spark, sf, "bars").groupBy("symbol", F.col("session").cast("string").alias("session")).agg(
-        F.count("*").alias("rows_"), (F.countDistinct("hr") == F.count("*")).alias("unique_keys"), F.lit(True).alias("one_date"), (F.count("*") >= 20).alias("enough"))
-
-
 @query(duck("""select filing_id, symbol, sha256(concat_ws('|', cast(symbol as varchar), subject, cast(filing_id as varchar))) as key, json_extract_string(raw, '$.page') as page, length(raw) as raw_length from x6"""))
 def a16_filings(spark, sf):
     return view(spark, sf, "x6").select("filing_id", "symbol", F.sha2(F.concat_ws("|", F.col("symbol").cast("string"), "subject", F.col("filing_id").cast("string")), 256).alias("key"),
@@ -104,23 +98,6 @@ def j2_session_audit(spark, sf):
     return a.select("symbol", F.col("session").cast("string").alias("session"), "n", "missing", r6("top").alias("largest_jump"), r6("unknown").alias("unknown_share"), reasons.alias("reasons"))
 
 
-@query(duck("""with d as (select symbol, session, max(high) as h, min(low) as l, min_by(open, hr) as o from bars group by 1, 2), f as (select symbol, session, max(high) as h, min(low) as l, min_by(open, hr) as o from feed group by 1, 2)
- select symbol, count(*) as sessions, count(*) filter (where f.h <= d.h and f.l >= d.l) as contained, round(max(abs(d.o - f.o)), 6) as open_offset from d join f using (symbol, session) group by symbol"""))
-def j3_daily_containment(spark, sf):
-    frame = lambda name: view(spark, sf, name).groupBy(*DAY).agg(F.max("high").alias("h"), F.min("low").alias("l"), F.min_by("open", "hr").alias("o"))
-    j = frame("bars").alias("d").join(frame("feed").alias("f"), DAY)
-    return j.groupBy("symbol").agg(F.count("*").alias("sessions"), F.count_if((F.col("f.h") <= F.col("d.h")) & (F.col("f.l") >= F.col("d.l"))).alias("contained"), r6(F.max(F.abs(F.col("d.o") - F.col("f.o")))).alias("open_offset"))
-
-
-@query(duck("""with g as (select symbol, session, idx, n, open / lag(close) over (partition by symbol order by idx) - 1 as gap from daily), m as (select session, median(gap) as mkt from g group by session)
- select symbol, count(*) as n, count(*) filter (where abs(gap - mkt) > 0.1) as breaks, count(*) filter (where abs(gap - mkt) > 0.1 and g.n % 11 <> 0) as unexplained from g join m using (session) where gap is not null group by symbol"""))
-def j4_unexplained_gaps(spark, sf):
-    g = view(spark, sf, "daily").withColumn("gap", F.col("open") / F.lag("close").over(Window.partitionBy("symbol").orderBy("idx")) - 1)
-    j = g.join(g.groupBy("session").agg(F.median("gap").alias("mkt")), "session").where("gap is not null")
-    off = F.abs(F.col("gap") - F.col("mkt")) > 0.1
-    return j.groupBy("symbol").agg(F.count("*").alias("n"), F.count_if(off).alias("breaks"), F.count_if(off & (F.col("n") % 11 != 0)).alias("unexplained"))
-
-
 @query(duck("""with a as (select symbol, bar_start, close from bars), b as (select symbol, bar_start, close from feed) select coalesce(a.symbol, b.symbol) as symbol, count(*) filter (where a.close is not distinct from b.close) as equal_,
  count(*) filter (where a.close is distinct from b.close and b.symbol is not null) as different, count(*) filter (where b.symbol is null) as absent from a full join b on a.symbol = b.symbol and a.bar_start = b.bar_start group by 1"""))
 def j11_format_equality(spark, sf):

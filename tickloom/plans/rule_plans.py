@@ -224,12 +224,12 @@ def _charges(buy: str, sell: str) -> str:
 @query(duck(f"""with c as (select trade_id, entry_value as buy, entry_value + gross as sell, trade_id % 3 <> 0 as same, {_charges("entry_value", "(entry_value + gross)")} from x8),
  p as (select trade_id, case when same then 'intraday' else 'delivery' end as kind, case when same then i_brokerage else 0 end as brokerage, case when same then sell * {INTRADAY_SELL_TAX} else (buy + sell) * {DELIVERY_TAX} end as tax, exchange, regulator, buy * case when same then {INTRADAY_STAMP} else {DELIVERY_STAMP} end as stamp, case when same then 0 else {DEPOSITORY} end as depository from c),
  q as (select *, (brokerage + exchange + regulator) * {SERVICE_TAX} as service_tax from p)
- select trade_id, kind, round(brokerage, 9) as brokerage, round(tax, 9) as tax, round(stamp, 9) as stamp, round(service_tax, 9) as service_tax, round(depository, 2) as depository, round(brokerage + tax + exchange + regulator + stamp + service_tax + depository, 8) as total from q"""))
+ select trade_id, kind, round(brokerage, 11) as brokerage, round(tax, 11) as tax, round(stamp, 11) as stamp, round(service_tax, 11) as service_tax, round(depository, 2) as depository, round(brokerage + tax + exchange + regulator + stamp + service_tax + depository, 11) as total from q"""))
 def h3_trade_charges(spark, sf):
     x = view(spark, sf, "x8")
     same = C("trade_id") % 3 != 0
     c = charges(C("entry_value"), C("entry_value") + C("gross"), same)
-    return x.select("trade_id", F.when(same, "intraday").otherwise("delivery").alias("kind"), *[F.round(c[k], 9).alias(k) for k in ("brokerage", "tax", "stamp", "service_tax")], F.round(c["total"], 8).alias("total"), F.round(c["depository"], 2).alias("depository"))
+    return x.select("trade_id", F.when(same, "intraday").otherwise("delivery").alias("kind"), *[F.round(c[k], 11).alias(k) for k in ("brokerage", "tax", "stamp", "service_tax")], F.round(c["total"], 11).alias("total"), F.round(c["depository"], 2).alias("depository"))
 
 
 def sized(price: Column, clip: float = CLIP, margin: float = MARGIN, tick: float = TICK) -> dict[str, Column]:

@@ -178,14 +178,6 @@ def d18_missing_share(spark, sf):
     return long.groupBy("feature").agg(r6(F.avg(F.col("value").isNull().cast("double"))).alias("missing_share"))
 
 
-@query(duck("""with c as (select symbol, abs(corr(open, close)) as open_close, abs(corr(high, low)) as high_low, abs(corr(close, n_ticks)) as close_ticks from bars group by symbol)
- select round(min(open_close), 5) as open_close, round(min(high_low), 5) as high_low, round(min(close_ticks), 5) as close_ticks from c"""))
-def d20_redundant_pairs(spark, sf):
-    pairs = {"open_close": ("open", "close"), "high_low": ("high", "low"), "close_ticks": ("close", "n_ticks")}
-    c = view(spark, sf, "bars").groupBy("symbol").agg(*[F.abs(F.corr(a, b)).alias(k) for k, (a, b) in pairs.items()])
-    return c.agg(*[F.round(F.min(k), 5).alias(k) for k in pairs])
-
-
 @query(duck(f"""with q as (select symbol, session, (close / open - 1) as f, row_number() over (partition by session order by close / open, symbol) as a, row_number() over (partition by session order by close / open desc, symbol) as b, count(*) over (partition by session) as n from daily)
  select cast(cast(session as timestamp) as varchar) as session, round(avg(f) filter (where b <= 3), 6) as long_leg, round(avg(f) filter (where a <= 3), 6) as short_leg,
  round(avg(f) filter (where b <= 3) - avg(f) filter (where a <= 3), 6) as net, string_agg(cast(symbol as varchar), ',' order by b) filter (where b <= 3) as members from q where n >= 6 group by session"""))
