@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tickloom.registry import query
-from tickloom.streaming.ticks import drained, first_seen, minute_bars, volume_steps
+from tickloom.streaming.ticks import counted, counters, decided, drained, first_seen, minute_bars, shared, stream_features, volume_steps, watched_bars
 
 
 def _ticks(spark, sf, symbol):
@@ -38,3 +38,51 @@ def k6_stream_first_seen(spark, sf):
     ticks = _ticks(spark, sf, "event_type")
     once = drained(first_seen(ticks.unionByName(ticks.withColumn("price", F.col("price") + 1)), ["seq"], "10 minutes"))
     return once.agg(F.count("*").alias("n"), F.countDistinct("seq").alias("ids"))
+
+
+@query("""with s as (select distinct event_type as symbol, timestamp '2024-01-05 10:20:30' + cast(length(event_type) % 3 as int) * interval 30 second as since from events), t as (select event_type as symbol, ts, event_id, value from events where value > 0)
+ select t.symbol, cast(date_trunc('minute', ts) as varchar) as minute, min_by(value, (ts, event_id)) as open, max_by(value, (ts, event_id)) as close, count(*) as n_ticks from t join s using (symbol) where date_trunc('minute', ts) >= since group by t.symbol, date_trunc('minute', ts)
+ having date_trunc('minute', ts) + interval 1 minute <= (select max(ts) from t join s using (symbol) where date_trunc('minute', ts) >= since) - interval 10 minute""")
+def k2_watched_bars(spark, sf):
+    """Bars of minutes that were watched from their start."""
+    seconds = F.make_interval(secs=30 * (F.length("event_type") % 3))
+    since = spark.read.parquet(f"{sf}/events.parquet").select(F.col("event_type").alias("symbol"), (F.lit("2024-01-05 10:20:30").cast("timestamp") + seconds).alias("since")).distinct()
+    bars = drained(watched_bars(_ticks(spark, sf, "event_type"), since, "10 minutes"))
+    return bars.select("symbol", F.col("minute").cast("string").alias("minute"), "open", "close", "n_ticks")
+
+
+@query("select count(*) as n, count(*) filter (where value <= 0) as no_price, count(*) filter (where event_id % 9 = 0) as unknown_volume, 0::bigint as late from events")
+def k3_stream_counters(spark, sf):
+    """What the progress of a drained stream counted: ticks, those without a price, unknown volumes, late ones."""
+    ticks = _ticks(spark, sf, "event_type").withColumn("cum", F.when(F.col("seq") % 9 != 0, F.col("seq")))
+    reports: list = []
+    drained(minute_bars(counted(ticks), "10 minutes"), reports)
+    found = counters(reports)
+    return spark.createDataFrame([tuple(found.values())], "n long, no_price long, unknown_volume long, late long")
+
+
+@query("""with t as (select event_type as symbol, event_id as seq, value as x, row_number() over (partition by event_type order by ts, event_id) as i from events), e as (select a.symbol, a.seq, a.i, power(2 / 3.0, a.i - 5) * avg(b.x) filter (where b.i <= 5) + coalesce(sum(power(2 / 3.0, a.i - b.i) * b.x / 3) filter (where b.i > 5), 0) as average from t a join t b on a.symbol = b.symbol and b.i <= a.i where a.i >= 5 group by 1, 2, 3)
+ select t.symbol, t.seq, round(average, 6) as average, case when t.i >= 5 then round(avg(x) over (partition by t.symbol order by t.i rows 4 preceding), 6) end as mean, round(x / nullif(lag(x) over (partition by t.symbol order by t.i), 0) - 1, 5) + 0.0 as change from t left join e on t.symbol = e.symbol and t.i = e.i""")
+def k5_stream_features(spark, sf):
+    """Features by a fold whose state goes on from batch to batch."""
+    f = drained(stream_features(_ticks(spark, sf, "event_type")))
+    return f.select("symbol", "seq", F.round("average", 6).alias("average"), F.round("mean", 6).alias("mean"), (F.round("change", 5) + 0.0).alias("change"))
+
+
+@query("""with m as (select user_id as symbol, event_id as seq, max(event_id // 3) over (partition by user_id order by ts, event_id rows between unbounded preceding and current row) as top, ts from events)
+ select symbol, seq, coalesce(top - lag(top) over (partition by symbol order by ts, seq), -1) as step from m""")
+def k9_state_eviction(spark, sf):
+    """Steps whose state goes when its symbol is silent for a day; within one batch nothing goes yet (tests feed several)."""
+    ticks = _ticks(spark, sf, "user_id").withColumn("cum", F.floor(F.col("seq") / 3))
+    return drained(volume_steps(ticks, 24 * 60, "10 minutes")).withColumn("step", F.coalesce("step", F.lit(-1)))
+
+
+@query("""with b as (select event_type as symbol, date_trunc('hour', ts) as cycle, min_by(value, (ts, event_id)) as o, max_by(value, (ts, event_id)) as c, count(*) as n from events where value > 0 group by 1, 2), s as (select *, c / o - 1 as score from b where n >= 2 and symbol <> 'error'), k as (select *, row_number() over (partition by cycle order by abs(score) desc, symbol) as place from s)
+ select cast(cycle as varchar) as cycle, symbol, case when score > 0 then 'LONG' else 'SHORT' end as side, round(score, 6) + 0.0 as score, place from k where place <= 3""")
+def k10_decision_cycles(spark, sf):
+    """Bars, context and complete inputs to ranked picks, batch by batch."""
+    context = spark.read.parquet(f"{sf}/events.parquet").select(F.col("event_type").alias("symbol"), (F.col("event_type") != "error").alias("allowed")).distinct()
+    at = shared(spark)
+    decided(_ticks(spark, sf, "event_type"), context, at, "hour", 3)()
+    d = spark.read.parquet(f"{at}/rows").drop("batch")
+    return d.select(F.col("cycle").cast("string").alias("cycle"), "symbol", "side", (F.round("score", 6) + 0.0).alias("score"), "place")

@@ -21,4 +21,4 @@ def query(sql: str | None = None):
     return register
 
 
-from .plans import audit_plans, calendar_plans, chain_plans, feature_plans, file_plans, intake_plans, join_plans, label_plans, ledger_plans, option_plans, outcome_plans, path_plans, quality_plans, rule_plans, select_plans, stat_plans, stream_plans, study_plans  # noqa: E402, F401
+from .plans import audit_plans, calendar_plans, chain_plans, feature_plans, file_plans, intake_plans, join_plans, label_plans, ledger_plans, model_plans, option_plans, outcome_plans, path_plans, quality_plans, rule_plans, select_plans, stat_plans, stream_plans, study_plans  # noqa: E402, F401
