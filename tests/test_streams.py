@@ -1,11 +1,12 @@
 """Streams over files that come in several batches."""
 
 import datetime as dt
+import json
 
 import pytest
 from pyspark.sql import functions as F
 
-from tickloom.streaming.ticks import first_seen, minute_bars, volume_steps
+from tickloom.streaming.ticks import batch_features, counted, counters, decided, first_seen, minute_bars, stream_features, volume_steps, watched_bars
 
 SCHEMA = "symbol long, ts timestamp, seq long, price double, cum long"
 
@@ -48,3 +49,46 @@ def test_a_key_passes_once(feed):
     batches = [[(1, at(0), 1, 1.0, 0), (1, at(0), 1, 2.0, 0)], [(1, at(1), 1, 3.0, 0), (1, at(1), 2, 3.0, 0)]]
     got = feed(lambda s: first_seen(s, ["symbol", "seq"], "10 minutes"), batches)
     assert sorted(r.seq for r in got.select(F.col("seq")).collect()) == [1, 2]
+
+
+def test_a_minute_counts_only_if_watched_from_its_start(feed, spark):
+    since = spark.createDataFrame([(1, at(0, 30)), (2, at(1, 0))], "symbol long, since timestamp")
+    rows = [(1, at(0, 40), 1, 5.0, 0), (1, at(1, 10), 2, 6.0, 0), (2, at(1, 0), 3, 7.0, 0), (3, at(1, 0), 4, 8.0, 0), (1, at(30), 5, 1.0, 0), (2, at(30), 6, 1.0, 0)]
+    got = feed(lambda s: watched_bars(s, since, "5 minutes"), [rows]).select("symbol", "open").collect()
+    assert sorted(tuple(r) for r in got) == [(1, 6.0), (2, 7.0)]
+
+
+def test_counters_see_late_and_unknown(spark, tmp_path):
+    source = tmp_path / "in"
+    reports = []
+    for rows in ([(1, at(0), 1, 1.0, None), (1, at(40), 2, 2.0, 3), (1, at(40), 5, -1.0, 3)], [(1, at(1), 3, 1.0, 4), (1, at(41), 4, 1.0, None)]):
+        spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(str(source))
+        bars = minute_bars(counted(spark.readStream.schema(SCHEMA).parquet(str(source))), "5 minutes")
+        query = bars.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start(str(tmp_path / "out"))
+        query.awaitTermination()
+        reports += [json.loads(p.json) if not isinstance(p, dict) else p for p in query.recentProgress]
+    assert counters(reports) == {"n": 5, "no_price": 1, "unknown_volume": 2, "late": 1}
+
+
+def test_a_silent_symbol_begins_anew(feed):
+    batches = [[(1, at(0), 1, 1.0, 5), (2, at(0), 2, 1.0, 5)], [(2, at(30), 3, 1.0, 6)], [(2, at(31), 4, 1.0, 7)], [(1, at(32), 5, 1.0, 9), (2, at(32), 6, 1.0, 9)]]
+    got = {r.seq: r.step for r in feed(lambda s: volume_steps(s, 10), batches).collect()}
+    assert got[1] is None and got[5] is None and got[4] == 1 and got[6] == 2
+
+
+def test_stream_features_equal_the_batch(feed, spark):
+    rows = [(s, at(i), 10 * i + s, float((7 * i + s) % 11), 0) for i in range(20) for s in (1, 2)]
+    got = feed(lambda s: stream_features(s.withColumn("symbol", F.col("symbol").cast("string"))), [rows[:13], rows[13:14], rows[14:]])
+    want = batch_features(spark.createDataFrame(rows, SCHEMA).withColumn("symbol", F.col("symbol").cast("string")))
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and want.where("average is null").count() == 8
+
+
+def test_decision_cycles(spark, tmp_path):
+    source = tmp_path / "in"
+    context = spark.createDataFrame([(1, True), (2, True), (3, False), (4, True)], "symbol long, allowed boolean")
+    for i in (0, 1):
+        rows = [(s, at(2 * i, k), 10 * s + k, 10.0 + s * k * (-1) ** s, 0) for s in (1, 2, 3) for k in (1, 2)] + [(4, at(2 * i), 99, 1.0, 0)]
+        spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(str(source))
+        decided(spark.readStream.schema(SCHEMA).parquet(str(source)), context, str(tmp_path / "out"), "minute", 1)()
+    got = spark.read.parquet(str(tmp_path / "out/rows")).orderBy("cycle").collect()
+    assert [(r["symbol"], r["side"], r["place"]) for r in got] == [(2, "LONG", 1), (2, "LONG", 1)]

@@ -161,7 +161,10 @@ PRICE_BAND, OI_BAND = 0.002, 0.01
 
 
 def build_up(price: F.Column, oi: F.Column) -> F.Column:
-    return F.when((F.abs(price) < PRICE_BAND) | (F.abs(oi) < OI_BAND), "neutral").when(oi > 0, F.when(price > 0, "long_buildup").otherwise("short_buildup")).when(oi.isNotNull() & price.isNotNull(), F.when(price > 0, "short_covering").otherwise("long_unwinding"))
+    """What moves of price and open interest say together; null where either is unknown."""
+    small = (F.abs(price) < PRICE_BAND) | (F.abs(oi) < OI_BAND)
+    kind = F.when(small, "neutral").when(oi > 0, F.when(price > 0, "long_buildup").otherwise("short_buildup")).otherwise(F.when(price > 0, "short_covering").otherwise("long_unwinding"))
+    return F.when(price.isNotNull() & oi.isNotNull(), kind)
 
 
 def _build_up(price: str, oi: str) -> str:
