@@ -104,6 +104,41 @@ def test_decontamination(spark, frame, docs):
     assert Counter(map(tuple, got)) == want
 
 
+def test_proximity(spark):
+    """Windows whose words come in another order or with words between them, against every stretch of every document."""
+    rng = np.random.default_rng(12)
+    vocabulary = [f"w{i}" for i in range(60)]
+    draw = lambda n: [str(x) for x in rng.choice(vocabulary, n)]
+    items = [(i, " ".join(draw(rng.integers(1, 14)))) for i in range(25)]
+    docs = []
+    for i in range(120):
+        w = draw(rng.integers(0, 80))
+        v = items[i % 25][1].split()
+        part = list(v[: decontaminate.WINDOW])
+        if i % 3 == 0:
+            rng.shuffle(part)
+        if i % 3 == 1:
+            for p in sorted(rng.integers(0, len(part) + 1, i % 8).tolist(), reverse=True):
+                part.insert(p, "between")
+        docs.append((i, " ".join(w[: len(w) // 2] + part + w[len(w) // 2 :])))
+    frame, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    rows = decontaminate.passages(frame, bench).collect()
+    want, exact = decontaminate.brute_near(docs, items), {r[0]: r for r in decontaminate.brute_force(docs, items)}
+    assert {r["doc_id"]: r["near"] or [] for r in rows} == want and sum(map(len, want.values())) > 60
+    assert all((r["n_words"], r["n_hit"], len(r["items"] or [])) == exact[r["doc_id"]][1:4] for r in rows)
+    assert any(set(r["near"] or []) > set(r["items"] or []) for r in rows) and all(set(r["items"] or []) <= set(r["near"] or []) for r in rows)
+
+
+def test_decontamination_in_passes(spark, monkeypatch):
+    """Several passes over the benchmark give what one gives."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet")
+    get = lambda: sorted(map(str, decontaminate.passages(docs, bench).collect()))
+    want = get()
+    monkeypatch.setattr(decontaminate, "PASS_WORDS", 2_000)
+    assert get() == want
+
+
 def test_packing_covers_all_tokens(frame, docs):
     import public_tokenizers
     from tokenizers import Tokenizer

@@ -2,9 +2,11 @@
 
 The index holds (term, document, position) for the rarest terms of each window
 of the benchmark. A posting less the term's place in its item is the diagonal on
-which item and document run side by side; intersecting the lists of a window is
-finding its two rarest terms on one diagonal. Items and documents are compared
-word by word along the diagonals that remain.
+which item and document run side by side. Postings of one document and item are
+brought together; where those of a window's two rarest terms lie on one diagonal,
+item and document are compared along it (exact phrases), and where they lie close
+to each other, the stretch around them is searched for all words of the window
+in any order (proximity).
 """
 
 from __future__ import annotations
@@ -21,6 +23,8 @@ from .common import keep_ids, small_batches, stored, table
 from .shingles import word_hashes
 
 WINDOW = 10
+#: A proximity match has all words of a window within a stretch that is longer by so many words at most.
+SLACK = 5
 #: Benchmark words that one pass over the documents looks for; more take more passes.
 PASS_WORDS = 2_000_000
 #: Bytes that words are made of: digits, letters, and all of longer UTF-8 sequences.
@@ -96,41 +100,101 @@ def _posted(terms: np.ndarray):
     return run
 
 
-def anchors(items: list[tuple], counts: dict[int, int], window: int) -> pd.DataFrame:
-    """(item, window start, term, place) of the two rarest words of each window that can occur at all."""
+class Items:
+    """The items of one pass: their word hashes, and for each window the places of its two rarest terms (-1 where it can't occur)."""
+
+    def __init__(self, items: list[tuple], counts: dict[int, int], window: int) -> None:
+        self.items: dict[tuple, tuple[np.ndarray, np.ndarray]] = {}
+        self.window, wanted = window, set()
+        for key, text in items:
+            h = word_hashes(b" ".join(words(text))).view(np.int64)
+            size = min(window, len(h))
+            n = np.array([counts.get(x, 0) for x in h.tolist()], np.int64)
+            both = np.full((len(h) - size + 1 if len(h) else 0, 2), -1)
+            for s in range(len(both)):
+                by = s + np.argsort(n[s : s + size], kind="stable")[:2]
+                if n[by[0]]:
+                    both[s] = by[0], by[-1]
+                    wanted |= {(key, int(h[x]), int(x), size == 1) for x in by}
+            if (both >= 0).any():
+                self.items[key] = h, both
+        self.places = sorted(wanted)
+
+
+def _near(h: np.ndarray, need: set[int], size: int, at: int, other: int) -> bool:
+    """Whether all words needed lie within `size` words of a document, both given positions among them."""
+    low = max(0, max(at, other) - size + 1)
+    own = [(i, x) for i, x in enumerate(h[low : min(at, other) + size].tolist()) if x in need]
+    held: dict[int, int] = {}
+    first = 0
+    for i, x in own:
+        held[x] = held.get(x, 0) + 1
+        while i - own[first][0] >= size:
+            gone = own[first][1]
+            held[gone] -= 1
+            if not held[gone]:
+                del held[gone]
+            first += 1
+        if len(held) == len(need):
+            return True
+    return False
+
+
+def compared(h: np.ndarray, v: np.ndarray, both: np.ndarray, window: int, slack: int, diagonals: list[int], places: list[int]) -> tuple[list[tuple[int, int]], bool]:
+    """(start, end) of the occurrences of an item's windows in a document's words, and whether some window has a proximity match."""
+    size, near = min(window, len(v)), False
+    seen: dict[int, list[int]] = {}
+    for d, p in zip(diagonals, places, strict=True):
+        seen.setdefault(p, []).append(d)
+    on = {p: np.array(sorted(ds)) for p, ds in seen.items()}
+    lines: set[int] = set()
+    for s in range(len(both)):
+        p, q = both[s].tolist()
+        if p < 0 or p not in on or q not in on:
+            continue
+        if p == q:
+            lines.update(on[p].tolist())
+            near = True
+            continue
+        a, b = on[p] + p, on[q] + q
+        lines.update(np.intersect1d(on[p], on[q], assume_unique=False).tolist())
+        if not near:
+            need, reach = set(v[s : s + size].tolist()), size + slack
+            low, high = np.searchsorted(b, a - reach, side="right"), np.searchsorted(b, a + reach, side="left")
+            near = any(_near(h, need, reach, x, y) for x, i, j in zip(a.tolist(), low.tolist(), high.tolist(), strict=True) for y in b[i:j].tolist())
     out = []
-    for item, text in items:
-        h = word_hashes(b" ".join(words(text))).view(np.int64).tolist()
-        size = min(window, len(h))
-        for s in range(len(h) - size + 1 if h else 0):
-            by = sorted(range(s, s + size), key=lambda p: (counts.get(h[p], 0), p))
-            if counts.get(h[by[0]], 0):
-                out += [(item, s, h[p], p, min(2, size)) for p in by[:2]]
-    return pd.DataFrame(out, columns=["item", "start", "term", "place", "needed"])
+    for low in lines:
+        start = max(0, -low)
+        same = v[start : max(start, len(h) - low)] == h[low + start : low + start + len(v) - start][: len(v) - start]
+        edge = np.flatnonzero(np.diff(np.r_[0, same.view(np.int8), 0]))
+        out += [(x + low + start, y + low + start) for x, y in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True) if y - x >= size]
+    return out, near
 
 
-def _verified(window: int):
+_VERIFIED = "doc_id long, row long, hits array<long>, items array<string>, near array<string>"
+
+
+def _verified(shared, slack: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own: Items = shared.value
         for pdf in batches:
-            out = []
-            for doc, row, text, found in zip(pdf["doc_id"], pdf["row"], pdf["text"], pdf["found"], strict=True):
-                w = words(text)
-                hit, items, split = np.zeros(len(w), bool), set(), {}
-                for f in found:
-                    v = split.setdefault(f["item_text"], None) or words(f["item_text"])
-                    split[f["item_text"]] = v
-                    size, low = min(window, len(v)), f["diagonal"]
-                    a, b = max(0, -low), min(len(v), len(w) - low)
-                    run_at = a
-                    for p in range(a, b + 1):
-                        if p == b or v[p] != w[p + low]:
-                            if p - run_at >= size:
-                                hit[run_at + low : p + low] = True
-                                items.add(f["item"])
-                            run_at = p + 1
-                if items:
-                    out.append((doc, row, int(hit.sum()), np.flatnonzero(hit).tolist(), sorted(items)))
-            yield pd.DataFrame(out, columns=["doc_id", "row", "n_hit", "hits", "items"]).astype({"doc_id": "Int64", "row": "int64", "n_hit": "int64"})
+            out, found = [], pdf["found"].tolist()
+            for i, h in _hashed(pdf["text"].tolist()):
+                h = h.view(np.int64)
+                hit, items, near = np.zeros(len(h), bool), set(), set()
+                for f in found[i]:
+                    key = f["item"], f["mark"]
+                    v, both = own.items[key]
+                    spans, close = compared(h, v, both, own.window, slack, [x["diagonal"] for x in f["xs"]], [x["place"] for x in f["xs"]])
+                    for a, b in spans:
+                        hit[a:b] = True
+                    if spans:
+                        items.add(f["item"])
+                    if close:
+                        near.add(f["item"])
+                if items or near:
+                    out.append((pdf["doc_id"].iloc[i], pdf["row"].iloc[i], np.flatnonzero(hit).tolist(), sorted(items), sorted(near)))
+            yield pd.DataFrame(out, columns=["doc_id", "row", "hits", "items", "near"]).astype({"doc_id": "Int64", "row": "int64"})
 
     return run
 
@@ -139,14 +203,17 @@ def _same_row(a: DataFrame, b: DataFrame) -> Column:
     return (a["row"] == b["row"]) & a["doc_id"].eqNullSafe(b["doc_id"])
 
 
-def passages(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc_id, row, n_words, n_hit, hits, items) of each row of docs (doc_id, text, any others).
+def passages(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slack: int = SLACK) -> DataFrame:
+    """(doc_id, row, n_words, n_hit, hits, items, near) of each row of docs (doc_id, text, any others).
 
-    Words are runs of digits, letters and non-ASCII characters, A-Z lower-cased.
-    n_hit counts the words inside occurrences of windows of the benchmark
-    (item_id, text): `window` consecutive words of an item, or all of a shorter
-    one; hits are their positions, items the item_ids (as strings, sorted).
-    row is a hash of doc_id and text, with which results join to docs again.
+    Words are runs of digits, letters and non-ASCII characters, A-Z lower-cased,
+    compared by 64-bit hashes. n_hit counts the words inside occurrences of
+    windows of the benchmark (item_id, text): `window` consecutive words of an
+    item, or all of a shorter one; hits are their positions, items the item_ids
+    (as strings, sorted). near are the items of which some window has all its
+    different words within `slack` words more than it is long, in any order;
+    items with an occurrence are among them. row is a hash of doc_id and text,
+    with which results join to docs again.
 
     Null texts have no words and null or word-less items no windows; an item_id
     that is null counts as the string `null`. Repeated rows have the same result
@@ -156,52 +223,50 @@ def passages(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> Dat
     small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     docs = docs.withColumn("row", F.xxhash64("doc_id", "text"))
-    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), "text").where("text is not null").distinct()
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), "text").where("text is not null").distinct().withColumn("mark", F.xxhash64("item", "text"))
     size = items.agg(F.sum(F.length("text"))).first()[0] or 0
     passes = max(1, -(-size // (4 * PASS_WORDS)))
     base, found = None, None
     for k in range(passes):
-        own = [tuple(r) for r in items.where(F.pmod(F.xxhash64("item", "text"), F.lit(passes)) == k).collect()]
+        own = [((r["item"], r["mark"]), r["text"]) for r in items.where(F.pmod("mark", F.lit(passes)) == k).collect()]
         terms = np.unique(np.concatenate([word_hashes(b" ".join(words(t))) for _, t in own] or [np.empty(0, np.uint64)]))
         counts = {}
         if len(terms):
             counted = docs.select("text").mapInPandas(_counted(terms), "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
             counts = dict(counted.collect())
-        wanted = anchors(own, counts, window)
-        looked = np.unique(wanted["term"].to_numpy().astype(np.int64).view(np.uint64))
+        wanted = Items(own, counts, window)
+        looked = np.unique(np.array([t for _, t, _, _ in wanted.places], np.int64).view(np.uint64))
         index = stored(docs.mapInPandas(_posted(looked), "doc_id long, row long, n long, term long"), "postings")
         base = base if base is not None else index.where("term is null").select("doc_id", "row", F.col("n").alias("n_words"))
-        if not len(wanted):
+        if not wanted.places:
             continue
-        places = spark.createDataFrame(wanted[["item", "term", "place"]].drop_duplicates())
-        texts = spark.createDataFrame(pd.DataFrame(own, columns=["item", "item_text"]))
-        pairs = spark.createDataFrame(wanted.groupby(["item", "start", "needed"])["place"].agg(lambda p: sorted(set(p))).reset_index(name="both")[["item", "both"]])
-        pairs = pairs.distinct().groupBy("item").agg(F.collect_list("both").alias("windows"))
-        side = (
-            index.where("term is not null")
-            .join(places, "term")
-            .groupBy("doc_id", "row", "item", (F.col("n") - F.col("place")).alias("diagonal"))
-            .agg(F.collect_set("place").alias("seen"))
-            .join(pairs, "item")
-            .where(F.exists("windows", lambda w: F.size(F.array_except(w, "seen")) == 0))
-            .join(texts, "item")
-            .select("doc_id", "row", F.struct("item", "diagonal", "item_text").alias("one"))
-        )
+        places = spark.createDataFrame([(i, m, t, p, a) for (i, m), t, p, a in wanted.places], "item string, mark long, term long, place long, alone boolean")
+        shared = spark.sparkContext.broadcast(wanted)
+        # Postings of a document and item, by position. Two places of a window must come close to each other: then so do two that follow each other.
+        x = F.struct(F.col("n").alias("at"), "place", (F.col("n") - F.col("place")).alias("diagonal"))
+        met = index.where("term is not null").join(places, "term").groupBy("doc_id", "row", "item", "mark").agg(F.sort_array(F.collect_list(x)).alias("xs"), F.max("alone").alias("alone"))
+        count = F.size("xs") - 1
+        steps = F.zip_with(F.slice("xs", 1, count), F.slice("xs", 2, count), lambda p, q: (p["place"] != q["place"]) & (q["at"] - p["at"] < window + slack))
+        met = met.where(F.col("alone") | ((F.size("xs") > 1) & F.exists(steps, lambda c: c)))
+        lists = stored(met.groupBy("doc_id", "row").agg(F.collect_list(F.struct("item", "mark", "xs")).alias("found")), "diagonals")
+        texts = keep_ids(docs, lists.select("row").distinct(), "row").dropDuplicates(["doc_id", "row"])
+        side = lists.join(texts, _same_row(lists, texts)).select(lists["doc_id"], lists["row"], "text", "found").mapInPandas(_verified(shared, slack), _VERIFIED)
         found = side if found is None else found.unionByName(side)
     none = F.lit(None)
     if found is None:
-        return base.select("*", F.lit(0).cast("long").alias("n_hit"), none.cast("array<long>").alias("hits"), none.cast("array<string>").alias("items"))
-    lists = stored(found.groupBy("doc_id", "row").agg(F.collect_list("one").alias("found")), "diagonals")
-    texts = keep_ids(docs, lists.select("row").distinct(), "row").dropDuplicates(["doc_id", "row"])
-    hit = lists.join(texts, _same_row(lists, texts)).select(lists["doc_id"], lists["row"], "text", "found")
-    hit = hit.mapInPandas(_verified(window), "doc_id long, row long, n_hit long, hits array<long>, items array<string>")
-    return base.join(hit, _same_row(base, hit), "left").select(
-        base["doc_id"], base["row"], "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), "hits", "items"
-    )
+        return base.select("*", F.lit(0).cast("long").alias("n_hit"), none.cast("array<long>").alias("hits"), none.cast("array<string>").alias("items"), none.cast("array<string>").alias("near"))
+    if passes > 1:
+        joined = lambda c: F.sort_array(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c)
+        found = found.groupBy("doc_id", "row").agg(joined("hits"), joined("items"), joined("near"))
+    return base.join(found, _same_row(base, found), "left").select(base["doc_id"], base["row"], "n_words", F.coalesce(F.size("hits"), F.lit(0)).cast("long").alias("n_hit"), "hits", "items", "near")
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """docs without the rows that hold a window of the benchmark."""
+    """docs without the rows that hold a window of the benchmark; proximity alone drops none.
+
+    Rows with a null text or id stay if clean, repeated rows go or stay each, an
+    empty table is empty. All columns stay.
+    """
     hit = passages(docs, benchmark, window).where("n_hit > 0").select("row").distinct()
     key = F.xxhash64(F.col("doc_id").cast("long"), "text")
     return docs.withColumn("__row", key).join(hit.toDF("__row"), "__row", "left_anti").select(docs.columns)
@@ -216,6 +281,7 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", "n_words", "n_hit", F.greatest(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
         digest(F.col("items")).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+        F.greatest(F.size(F.array_except("near", "items")), F.lit(0)).cast("long").alias("n_near"),
     )
 
 
@@ -240,3 +306,21 @@ def brute_force(docs: list[tuple], items: list[tuple], window: int = WINDOW) ->
                     found |= own
         out.append((doc, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)))
     return out
+
+
+def brute_near(docs: list[tuple], items: list[tuple], window: int = WINDOW, slack: int = SLACK) -> dict:
+    """The items of each document by a look at every stretch of it; for small inputs."""
+    out = {}
+    for doc, text in docs:
+        w, own = words(text), set()
+        for item, t in items:
+            v = words(t)
+            size = min(window, len(v))
+            for s in range(len(v) - size + 1 if v else 0):
+                need = set(v[s : s + size])
+                reach = size + slack if size > 1 else 1
+                if any(need <= set(w[p : p + reach]) for p in range(max(1, len(w) - reach + 1))):
+                    own.add(str(item))
+                    break
+        out[doc] = sorted(own)
+    return out
