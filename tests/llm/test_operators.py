@@ -489,3 +489,63 @@ def test_pipeline_language_rejects_and_keeps(spark):
     stage = lambda df: sorted(r["doc_id"] for r in corpus_pipeline.language(spark, df, SF).collect())
     assert stage(aside.unionByName(more)) == sorted([*clean, 90_003])
     assert stage(docs.withColumn("lang", F.lit(None).cast("string")).unionByName(more)) == sorted([*clean, *range(90_000, 90_004)])
+
+
+def test_pipeline_odd_rows(spark, tmp_path):
+    """Each stage over null ids and texts, repeated rows, ties, a long text, an empty table and columns of other names."""
+    import corpus_pipeline
+
+    real = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang").limit(60).collect()
+    rows = [(r["doc_id"], r["text"], r["lang"]) for r in real]
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").select("text").first()[0]
+    odd = [(None, "no id but letters", "en"), (None, None, None), (9_001, None, "en"), (9_002, "", None), (9_003, "same words here", "en"), (9_003, "same words here", "en"), (9_004, "same words here", "en"), (9_005, LONG, None), (9_006, f"so {item} then", "en"), (9_007, 'token = "1eb9c654e721b4f812088970e66a6345cee33dd6"', "en")]
+    names = "doc_id long, text string, lang string, row long, score string, __text int, found string, block int"
+    docs = spark.createDataFrame([(*r, 1, "s", 2, "f", 3) for r in rows + odd], names)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), SF).count() == 0
+    ids = lambda df: Counter(r["doc_id"] for r in df.collect())
+    by = dict(corpus_pipeline.STAGES)
+    kept = by["language"](spark, docs, SF)
+    assert kept.columns == docs.columns and ids(kept)[None] == 1 and ids(kept)[9_003] == 2 and not {9_001, 9_002} & set(ids(kept))
+    first = ids(by["near_duplicates"](spark, docs, SF))
+    assert first[9_003] == 2 and first[9_004] == 0 and first[None] == 2 and first[9_001] == first[9_002] == 1
+    clean = ids(by["decontaminate"](spark, docs, SF))
+    assert clean[9_006] == 0 and clean[None] == 2 and clean[9_003] == 2 and clean[9_001] == 1
+    out = by["secrets"](spark, docs, SF)
+    texts = {r["doc_id"]: r["text"] for r in out.collect()}
+    assert out.columns == docs.columns and out.count() == len(rows + odd) and texts[9_007] == "[SECRET]\"" and texts[9_005] == LONG and texts[9_001] is None
+    pieces = by["packing"](spark, docs, SF).toPandas()
+    assert (pieces[pieces.start == 0].groupby(pieces.doc_id.fillna(-1)).size().reindex([-1, 9_003, 9_001]) == [2, 2, 1]).all()
+
+
+def test_line_rules():
+    """The rules of a line one by one, and the verdict at the share of words that may go."""
+    fault = lambda line: line_clean.line_fault(line, line.split())
+    assert fault("Home | News | Sport | Weather") == "navigation" and fault("# # # $ $ words") == "symbols" and fault("BUY NOW WHILE THERE IS TIME!") == "shouting"
+    assert fault("again " * 13 + "now.") == "repetition" and fault("Read our privacy policy.") == "boilerplate" and fault("a heading without an end") == "punctuation"
+    assert fault("This is a sentence.") is None and fault("He said so. " + " ".join(f"and{i}" for i in range(20))) is None and fault("“Yes,” she said:") is None
+    good = [" ".join(f"word{i}x{j}" for j in range(9)) + " end." for i in range(10)]
+    for lost in range(7):
+        text = "\n".join([*good, *[" ".join(f"bad{i}y{j}" for j in range(10)) for i in range(lost)]])
+        r = line_clean.judge(text)
+        assert r[6] == (100 * 10 * lost <= line_clean.MOST_LOST * (100 + 10 * lost)) and r[8] == "\n".join(good) and r[7] == ({"punctuation": lost} if lost else {})
+    r = line_clean.judge("\n".join(good + good[:2]))
+    assert r[7] == {"duplicate": 2} and r[3] == 2 and line_clean.judge(None)[:7] == (0, 0, 0, 0, 0, True, False)
+
+
+def test_language_kernel():
+    """Scores against the kernel computed pair by pair, with the weights of the ridge regression; ties go to the first name."""
+    rng = np.random.default_rng(2)
+    texts = ["".join(rng.choice(list("abcdef "), 60)) for _ in range(20)] + ["".join(rng.choice(list("uvwxyz "), 60)) for _ in range(20)]
+    model = language.KernelModel(texts, ["b"] * 20 + ["a"] * 20)
+    grams = language.Grams(model.alphabet)
+    sets = [set(grams.found(t).tolist()) for t in texts]
+    marks = [sets[i] for i in np.lexsort(([1] * 20 + [0] * 20, [*range(20), *range(20)]))[: language.LANDMARKS]]
+    k = np.array([[len(s & m) / np.sqrt(len(s) * len(m)) for m in marks] for s in sets])
+    assert np.allclose(model._kernel(np.array([grams(t) for t in texts])), k, atol=1e-5)
+    s = k @ model.weights
+    e = np.exp(language.SHARPNESS * (s - s.max(1, keepdims=True)))
+    langs, scores = model.predict(texts)
+    assert langs == ["b"] * 20 + ["a"] * 20 and np.allclose(scores, (e / e.sum(1, keepdims=True)).max(1), atol=1e-4)
+    model.weights = np.zeros_like(model.weights)
+    assert model.predict(["abc"]) == (["a"], [0.5]) and model.predict([None, "1 2"]) == (["und"] * 2, [0.0] * 2)
