@@ -253,3 +253,50 @@ def test_feature_overlap(spark):
     names = [r["feature"] for r in kept if r["kept"]]
     assert all(abs(rho.loc[a, b]) <= 0.9 for a in names for b in names if a != b)
     assert all(abs(rho.loc[r["feature"], r["duplicates"]] - r["spearman"]) < 1e-5 for r in kept if not r["kept"])
+
+
+def test_prefix_sums_and_quantiles(spark):
+    from tickloom.operators import windows
+
+    rng = np.random.default_rng(7)
+    v = np.unique(rng.normal(size=900).round(3))
+    m = rng.integers(0, 5, len(v))
+    df = spark.createDataFrame([(float(a), int(b)) for a, b in zip(v, m, strict=True)], "v double, m long").repartition(7)
+    got = {r["v"]: r["before"] for r in windows.prefix_sums(df, "v", "m", "before", 16).collect()}
+    assert [got[float(a)] for a in v] == (np.cumsum(m) - m).tolist()
+    x = rng.choice(v, 501)
+    rows = spark.createDataFrame([(float(a),) for a in x] + [(None,)], "x double")
+    r = one(windows.quantiles(rows, "x", {"a": 0.005, "b": 0.5, "c": 0.9, "d": 1.0}))
+    assert np.allclose([r["a"], r["b"], r["c"], r["d"]], np.quantile(x, [0.005, 0.5, 0.9, 1.0]))
+    assert tuple(one(windows.quantiles(rows.limit(0), "x", {"a": 0.5}))) == (None,) and windows.prefix_sums(df.limit(0), "v", "m", "b").count() == 0
+    assert tuple(one(windows.quantiles(rows.where("x is not null").limit(1), "x", {"a": 0.5, "b": 0.9}))) == (rows.where("x is not null").first()["x"],) * 2
+
+
+def test_recursive_averages(spark):
+    from tickloom.operators import windows
+
+    rng = np.random.default_rng(5)
+    rows = [(g, i, None if i < g else float(rng.normal())) for g in range(3) for i in range(400)]
+    out = windows.smoothed(spark.createDataFrame(rows, "g int, i int, x double"), ["g"], "i", {"s": "x"}, 9, 0.2)
+    got = {(r["g"], r["i"]): r["s"] for r in out.collect()}
+    for g in range(3):
+        seen, s = [], None
+        for _, i, x in rows[400 * g : 400 * (g + 1)]:
+            if x is not None:
+                seen.append(x)
+                s = None if len(seen) < 9 else np.mean(seen) if len(seen) == 9 else s + 0.2 * (x - s)
+            assert (got[(g, i)] is None) == (s is None) and (s is None or abs(got[(g, i)] - s) < 1e-9)
+
+
+def test_asof_over_buckets(spark):
+    from tickloom.operators.joins import asof_join
+
+    rng = np.random.default_rng(6)
+    at = lambda n: [dt.datetime(2024, 1, 1) + dt.timedelta(minutes=int(m)) for m in rng.integers(0, 8 * 1440, n)]
+    left = [(k, t, i) for i, (k, t) in enumerate(zip(rng.integers(0, 3, 200).tolist(), at(200), strict=True))] + [(None, dt.datetime(2024, 1, 3), 999), (9, dt.datetime(2024, 1, 3), 998)]
+    right = [(k, t, i, float(i)) for i, (k, t) in enumerate(zip(rng.integers(0, 3, 25).tolist(), at(25), strict=True))]
+    right += [(k, t, i + 100, v + 100) for k, t, i, v in right[:5]]
+    got = {r["id"]: r["v"] for r in asof_join(spark.createDataFrame(left, "k int, at timestamp, id int"), spark.createDataFrame(right, "k int, at timestamp, seq int, v double"), ["k"], "at", ["v"], ["seq"]).collect()}
+    for k, t, i in left:
+        own = [r for r in right if r[0] == k and k is not None and r[1] <= t]
+        assert got[i] == (max(own, key=lambda r: (r[1], r[2]))[3] if own else None)

@@ -6,19 +6,27 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def asof_join(left: DataFrame, right: DataFrame, by: list[str], at: str, columns: list[str], order: list[str]) -> DataFrame:
-    """left with the newest right row at or before `at` in each group, by one union and one window (no range join).
+def asof_join(left: DataFrame, right: DataFrame, by: list[str], at: str, columns: list[str], order: list[str], bucket: str = "day") -> DataFrame:
+    """left with the newest right row at or before `at` in each group, by one union and windows (no range join).
 
-    order breaks ties among right rows of one time.
+    A window covers one group and time bucket, so that a group with a long history
+    is many tasks' work; where a bucket has no earlier row of its own, the last one
+    of the buckets before it comes from a small table with a row for each group and
+    bucket. order breaks ties among right rows of one time.
     """
     keep = [c for c in left.columns if c not in by and c != at]
     a = left.select(*by, F.col(at).alias("__at"), F.lit(1).alias("__side"), F.struct(*keep).alias("__row"), F.lit(None).cast(right.select(F.struct(*columns)).schema[0].dataType).alias("__new"),
                     *[F.lit(None).cast(right.schema[c].dataType).alias(f"__o{i}") for i, c in enumerate(order)])
     b = right.select(*by, F.col(at).alias("__at"), F.lit(0).alias("__side"), F.lit(None).cast(a.schema["__row"].dataType).alias("__row"), F.struct(*columns).alias("__new"),
                      *[F.col(c).alias(f"__o{i}") for i, c in enumerate(order)])
-    w = Window.partitionBy(*by).orderBy("__at", "__side", *[f"__o{i}" for i in range(len(order))]).rowsBetween(Window.unboundedPreceding, 0)
-    both = a.unionByName(b).withColumn("__last", F.last("__new", ignorenulls=True).over(w)).where("__side = 1")
-    return both.select(*by, F.col("__at").alias(at), *[F.col(f"__row.{c}").alias(c) for c in keep], *[F.col(f"__last.{c}").alias(c) for c in columns])
+    places = ["__at", "__side", *[f"__o{i}" for i in range(len(order))]]
+    both = a.unionByName(b).withColumn("__bucket", F.date_trunc(bucket, "__at"))
+    w = Window.partitionBy(*by, "__bucket").orderBy(*places).rowsBetween(Window.unboundedPreceding, 0)
+    own = both.withColumn("__last", F.last("__new", ignorenulls=True).over(w)).where("__side = 1")
+    ends = both.groupBy(*by, "__bucket").agg(F.max_by("__new", F.when(F.col("__side") == 0, F.struct(*places))).alias("__end"))
+    carried = ends.select(*by, "__bucket", F.last("__end", ignorenulls=True).over(Window.partitionBy(*by).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)).alias("__carried"))
+    out = own.join(carried, [*by, "__bucket"], "left").withColumn("__last", F.coalesce("__last", "__carried"))
+    return out.select(*by, F.col("__at").alias(at), *[F.col(f"__row.{c}").alias(c) for c in keep], *[F.col(f"__last.{c}").alias(c) for c in columns])
 
 
 def interval_join(left: DataFrame, right: DataFrame, by: str, start: str, end: str, at: str, bucket_seconds: int, how: str = "inner") -> DataFrame:

@@ -33,27 +33,59 @@ def segments(df: DataFrame, by: list[str], step: str) -> DataFrame:
 
 
 def smoothed(df: DataFrame, by: list[str], order: str, columns: dict[str, str], n: int, weight: float) -> DataFrame:
-    """Recursive averages seeded by the mean of the first n values: s += weight * (x - s).
+    """Recursive averages seeded by the mean of the first n values: s += weight * (x - s). columns: new name to input.
 
-    by must bound the rows of a group (one unbroken run of a session): they are
-    folded in one array, in order. columns: new name to input; rows of null
-    inputs come first in a run and stay null.
+    In closed form, so that two running sums are enough: after k values more, s is
+    (1 - weight)^k times the seed and the sum of weight * x_j / (1 - weight)^j. The
+    powers bound the rows of a group (one unbroken run of a session): they fit in
+    a double up to 700 / -ln(1 - weight) rows. Rows of null inputs come first in a
+    run and stay null.
     """
+    run, all_ = over(by, [order]), Window.partitionBy(*by)
+    keep = 1 - weight
     names = sorted(columns)
-    entry = F.struct(F.col(order).alias("o"), *[F.col(columns[c]).cast("double").alias(c) for c in names])
-    rest = [c for c in df.columns if c not in by]
-    arrays = df.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.struct(*rest).alias("row")))).alias("rows"), F.sort_array(F.collect_list(entry)).alias("xs"))
-    out = arrays
+    df = df.select("*", *[F.col(columns[c]).cast("double").alias(f"__x_{c}") for c in names], *[F.count(columns[c]).over(run).alias(f"__k_{c}") for c in names])
+    out = []
     for c in names:
-        values = F.filter(F.col(f"xs.{c}"), lambda v: v.isNotNull())
-        seed = F.aggregate(F.slice(values, 1, n), F.lit(0.0), lambda a, v: a + v) / n
-        tail = F.slice(values, n + 1, F.greatest(F.size(values) - n, F.lit(0)))
-        run = F.aggregate(tail, F.array(seed), lambda a, v: F.concat(a, F.array(F.element_at(a, -1) + weight * (v - F.element_at(a, -1)))))
-        missing = F.size("rows") - F.size(values) + n - 1
-        none = F.array_repeat(F.lit(None).cast("double"), F.least(missing, F.size("rows")))
-        out = out.withColumn(c, F.when(F.size(values) >= n, F.concat(none, run)).otherwise(F.array_repeat(F.lit(None).cast("double"), F.size("rows"))))
-    zipped = out.select(*by, F.posexplode("rows").alias("k", "e"), *names)
-    return zipped.select(*by, *[F.col(f"e.row.{c}").alias(c) for c in rest], *[F.col(c)[F.col("k")].alias(c) for c in names])
+        x, k = F.col(f"__x_{c}"), F.col(f"__k_{c}")
+        seed = F.avg(F.when(k <= n, x)).over(all_)
+        rest = F.coalesce(F.sum(F.when(k > n, weight * x * F.pow(F.lit(keep), n - k))).over(run), F.lit(0.0))
+        out.append(F.when(x.isNotNull() & (k >= n), F.pow(F.lit(keep), k - n) * (seed + rest)).alias(c))
+    own = [c for c in df.columns if not c.startswith(("__x_", "__k_")) and c not in names]
+    return df.select(*own, *out)
+
+
+def prefix_sums(df: DataFrame, order: str, value: str, name: str, parts: int = 64) -> DataFrame:
+    """df with the sum of `value` over all rows of lower `order`, which must differ from row to row, without one task that sorts all.
+
+    Rows fall into parts between approximate quantiles; each part is summed within
+    itself, and the few totals of the parts before it are added.
+    """
+    cuts = df.agg(F.percentile_approx(order, F.array(*[F.lit(i / parts) for i in range(1, parts)]), 10_000).alias("__cuts"))
+    d = df.crossJoin(F.broadcast(cuts)).withColumn("__part", F.size(F.filter("__cuts", lambda c: c <= F.col(order)))).drop("__cuts")  # one row of cuts
+    d = d.withColumn("__part", F.coalesce("__part", F.lit(0)))
+    totals = d.groupBy("__part").agg(F.sum(value).alias("__total"))
+    before = totals.select("__part", F.coalesce(F.sum("__total").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))  # one row a part
+    own = F.coalesce(F.sum(value).over(Window.partitionBy("__part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return d.join(F.broadcast(before), "__part").withColumn(name, own + F.col("__before")).drop("__part", "__before")
+
+
+def quantiles(df: DataFrame, column: str, shares: dict[str, float]) -> DataFrame:
+    """One row of exact quantiles (interpolated), named by shares' keys: from counts of values, whose places are prefix sums; no task holds all values. Nulls don't count."""
+    counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("__v")).agg(F.count("*").alias("__m"))
+    placed = prefix_sums(counts, "__v", "__m", "__first")
+    total = F.col("__n")
+    placed = placed.crossJoin(F.broadcast(counts.agg(F.sum("__m").alias("__n"))))  # one row
+
+    def at(place: Column) -> Column:
+        return F.max(F.when((F.col("__first") <= place) & (place < F.col("__first") + F.col("__m")), F.col("__v")))
+
+    out = []
+    for name, q in shares.items():
+        place = (total - 1) * q
+        low, high = at(F.floor(place)), at(F.ceil(place))
+        out.append((low + (high - low) * (F.max(place) - F.floor(F.max(place)))).alias(name))
+    return placed.agg(*out)
 
 
 def session_vwap(df: DataFrame, by: list[str], order: str, volume: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tickloom.operators.divisors import divisors
 from tickloom.operators.joins import interval_join, neighbour
-from tickloom.operators.windows import over
+from tickloom.operators.windows import over, quantiles
 from tickloom.plans.feature_plans import DAILY, KEY, daily_keyed, keyed, r6
 from tickloom.registry import query
 from tickloom.sources.fixtures import duck, view
@@ -135,7 +135,7 @@ def b21_rule_masks(spark, sf):
  select {DAILY}, round((clipped - mean_) / dev, 5) as z from k, m"""))
 def b23_winsorised(spark, sf):
     d = view(spark, sf, "daily").withColumn("x", F.col("close") / F.col("open") - 1).withColumn("train", F.col("session").cast("timestamp") < "1996-01-01")
-    cut = d.where("train").agg(F.percentile("x", 0.005).alias("lo"), F.percentile("x", 0.995).alias("hi"))
+    cut = quantiles(d.where("train"), "x", {"lo": 0.005, "hi": 0.995})
     d = d.crossJoin(F.broadcast(cut)).withColumn("clipped", F.greatest("lo", F.least("hi", "x")))  # one row of cuts
     scale = d.where("train").agg(F.avg("clipped").alias("mean_"), F.stddev_pop("clipped").alias("dev"))
     return daily_keyed(d.crossJoin(F.broadcast(scale)), F.round((F.col("clipped") - F.col("mean_")) / F.col("dev"), 5).alias("z"))

@@ -8,7 +8,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tickloom.operators.windows import average_rank
+from tickloom.operators.windows import average_rank, quantiles
 from tickloom.plans.feature_plans import DAY, KEY, keyed, r6
 from tickloom.plans.stat_plans import _NEXT, _panel, brier, log_loss
 from tickloom.registry import query
@@ -58,7 +58,7 @@ def i8_pooled_spearman(spark, sf):
  count(*) filter (where abs(p - 0.3) >= cut) as top_n, round(avg(sign(p - 0.3) * (y - 0.3)) filter (where abs(p - 0.3) >= cut), 6) as top_utility from x7, c"""))
 def i14_score_diagnostics(spark, sf):
     x = view(spark, sf, "x7").withColumn("size", F.abs(F.col("p") - 0.3))
-    x = x.crossJoin(F.broadcast(x.agg(F.percentile("size", 0.8).alias("cut"))))  # one row
+    x = x.crossJoin(F.broadcast(quantiles(x, "size", {"cut": 0.8})))  # one row
     top = F.col("size") >= F.col("cut")
     return x.agg(F.count("*").alias("n"), r6(brier("p", "y")).alias("mse"), r6(F.avg((0.3 - F.col("y")) ** 2)).alias("neutral"), F.count_if(top).alias("top_n"),
                  r6(F.avg(F.when(top, F.signum(F.col("p") - 0.3) * (F.col("y") - 0.3)))).alias("top_utility"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tickloom.operators.windows import average_rank
+from tickloom.operators.windows import average_rank, prefix_sums, quantiles
 from tickloom.plans.feature_plans import DAILY, daily_keyed, r6
 from tickloom.registry import query
 from tickloom.sources.fixtures import duck, view
@@ -21,11 +21,14 @@ def log_loss(p, y):
 
 
 def auc(df, by, score, label):
-    """Area under the curve for each group: counts by score, then one running sum; ties count half."""
+    """Area under the curve for each group, or of all: counts by score, then running sums; ties count half."""
     g = df.groupBy(*by, score).agg(F.sum(label).alias("pos"), F.sum(1 - F.col(label)).alias("neg"))
-    w = Window.partitionBy(*by).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    below = F.coalesce(F.sum("neg").over(w), F.lit(0))
-    g = g.withColumn("won", F.col("pos") * (below + F.col("neg") / 2))
+    if by:
+        w = Window.partitionBy(*by).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
+        g = g.withColumn("below", F.coalesce(F.sum("neg").over(w), F.lit(0)))
+    else:
+        g = prefix_sums(g, score, "neg", "below")
+    g = g.withColumn("won", F.col("pos") * (F.col("below") + F.col("neg") / 2))
     wins, pairs = F.sum("won"), F.sum("pos") * F.sum("neg")
     return g.groupBy(*by).agg(F.when(pairs > 0, wins / pairs).alias("auc"), F.sum("pos").alias("positives"), F.sum("neg").alias("negatives"))
 
@@ -213,7 +216,7 @@ def f15_quintile_spread(spark, sf):
  select period, tail, count(*) as n, round(avg(target), 6) as mean_target from z where tail is not null group by 1, 2"""))
 def f16_decile_tails(spark, sf):
     p = _panel(spark, sf).withColumn("early", F.col("session").cast("timestamp") < "1996-01-01")
-    cut = p.where("early").agg(F.percentile("feature", 0.1).alias("lo"), F.percentile("feature", 0.9).alias("hi"))
+    cut = quantiles(p.where("early"), "feature", {"lo": 0.1, "hi": 0.9})
     z = p.crossJoin(F.broadcast(cut))  # one row of thresholds
     tail = F.when(F.col("feature") <= F.col("lo"), "low").when(F.col("feature") >= F.col("hi"), "high")
     z = z.select(F.when(F.col("early"), "discovery").otherwise("later").alias("period"), tail.alias("tail"), "target").where("tail is not null")
