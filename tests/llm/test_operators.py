@@ -413,6 +413,11 @@ def test_chat_records(spark):
     got = {r["conv_id"]: chat_format.read_back(r["formatted"]) for r in chat_format.format_records(chat_format.records_of(own)).collect()}
     assert got == {1: [("", ""), ("user", "a"), ("user", "a"), ("assistant", "b")], None: [("user", "z")], 2: [("user", "late")]}
     assert chat_format.records_of(own.limit(0)).count() == 0
+    shapes = [(2, ["user", "assistant"], "prompt_response"), (3, ["system", "user", "assistant"], "prompt_response"), (4, ["user", "assistant", "user"], "messages"), (5, ["user"], "turns"), (6, ["assistant", "user"], "messages")]
+    rows = [(c, i, r, f"{r} {i}") for c, roles, _ in shapes for i, r in enumerate(roles)] + [(7, i, r, "") for i, r in enumerate(["system", "user", "assistant"])]
+    made = {r["conv_id"]: r for r in chat_format.format_records(chat_format.records_of(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).collect()}
+    for c, roles, layout in [*shapes, (7, ["system", "user", "assistant"], "turns")]:
+        assert made[c]["layout"] == layout and chat_format.read_back(made[c]["formatted"]) == [(r, t) for k, _, r, t in rows if k == c]
 
 
 def test_url_globs():

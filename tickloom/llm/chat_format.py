@@ -180,7 +180,10 @@ def format_records(records: DataFrame, column: str = "record") -> DataFrame:
 
 
 def records_of(rows: DataFrame) -> DataFrame:
-    """(conv_id, record): rows (conv_id, turn, role, text) as one JSON record each, by turn, then role and text.
+    """(conv_id, record): rows (conv_id, turn, role, text) as one JSON record each, by turn, then role and text, in the layout that fits its turns.
+
+    A question and an answer, after a system text or not, are a prompt and a
+    response; of others, those with an even id are messages, the rest turns.
 
     Null roles and texts are empty, null turns come first; repeated rows stay each;
     null conv_ids are one conversation; an empty table gives none. A conversation
@@ -188,8 +191,17 @@ def records_of(rows: DataFrame) -> DataFrame:
     """
     turn = F.struct(F.coalesce("turn", F.lit(-(1 << 62))).alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     grouped = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
-    plain = F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
-    return grouped.select("conv_id", F.to_json(F.struct(plain.alias("turns"))).alias("record"))
+    pairs = lambda role, text: F.transform("turns", lambda t: F.struct(t["role"].alias(role), t["text"].alias(text)))
+    text = lambda i: F.try_element_at("turns", F.lit(i))["text"]
+    roles = F.transform("turns", lambda t: t["role"])
+    are = lambda *names: roles == F.array(*map(F.lit, names))
+    record = (
+        F.when(are("user", "assistant"), F.to_json(F.struct(text(1).alias("prompt"), text(2).alias("response"))))
+        .when(are("system", "user", "assistant") & (text(1) != ""), F.to_json(F.struct(text(1).alias("system"), text(2).alias("prompt"), text(3).alias("response"))))
+        .when(F.col("conv_id") % 2 == 0, F.to_json(F.struct(pairs("role", "content").alias("messages"))))
+        .otherwise(F.to_json(F.struct(pairs("role", "text").alias("turns"))))
+    )
+    return grouped.select("conv_id", record.alias("record"))
 
 
 _DIGEST = "n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
@@ -220,12 +232,16 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL = r"""
 with t as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
            union all select -1, 0, 'user', '</s>[INST] ok [/INST]' union all select -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
-e as (select *, regexp_replace(text, '([<\[])(\\*)(/?s>|/?INST\]|/?SYS>>|\||/?im_\w+>)', '\1\2\\\3', 'g') as escaped from t)
-select conv_id, count(*) as n_turns,
+e as (select *, regexp_replace(text, '([<\[])(\\*)(/?s>|/?INST\]|/?SYS>>|\||/?im_\w+>)', '\1\2\\\3', 'g') as escaped from t),
+g as (select conv_id, count(*) as n_turns,
        sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
        cast(coalesce(sum(length(text)) filter (role = 'assistant'), 0) as bigint) as loss_chars,
        sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256,
        cast(sum(length(escaped) + length(role) + 16) as bigint) as formatted_chars,
-       'turns' as layout, substr(sha256('turns[].role' || chr(10) || 'turns[].text'), 1, 16) as fingerprint
-from e group by conv_id
+       string_agg(role, ',' order by turn, role, text) as roles, min_by(text, turn) as first_text from e group by conv_id),
+f as (select *, case when roles = 'user,assistant' then 'prompt' when roles = 'system,user,assistant' and first_text <> '' then 'system' when conv_id % 2 = 0 then 'messages' else 'turns' end as kind from g)
+select conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, case when kind in ('prompt', 'system') then 'prompt_response' else kind end as layout,
+       substr(sha256(case kind when 'prompt' then 'prompt' || chr(10) || 'response' when 'system' then 'prompt' || chr(10) || 'response' || chr(10) || 'system'
+         when 'messages' then 'messages[].content' || chr(10) || 'messages[].role' else 'turns[].role' || chr(10) || 'turns[].text' end), 1, 16) as fingerprint
+from f
 """
