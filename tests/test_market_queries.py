@@ -33,3 +33,16 @@ def test_entry(spark):
     import __spark_entry__
 
     assert __spark_entry__.entry(spark).limit(1).count() == 1
+
+
+def test_empty_tables(spark, tmp_path):
+    """No query fails over tables without rows."""
+    for t in "region nation customer supplier part orders lineitem events".split():
+        spark.read.parquet(f"{SF}/{t}.parquet").limit(0).coalesce(1).write.parquet(f"{tmp_path}/{t}.parquet")
+    failed = {}
+    for name, f in QUERIES.items():
+        try:
+            f(spark, str(tmp_path)).collect()
+        except Exception as e:  # noqa: BLE001
+            failed[name] = str(e)[:200]
+    assert failed == {}

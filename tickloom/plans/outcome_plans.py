@@ -94,19 +94,23 @@ def _scored(model, x):
 
 @query()
 def l1_boosted_probability(spark, sf):
-    """Fitted on earlier days; each sixth of them says when to stop. Rows carry the probability."""
+    """Fitted on earlier days; each sixth of them says when to stop. Rows carry the probability; without both labels on earlier days there are none."""
     x = _features(spark, sf)
     fit = x.where("not later").withColumn("check", F.dayofmonth("session") > 17)
+    if fit.select("label").distinct().count() < 2:
+        return x.limit(0).select("event_id", "later", F.lit(0.0).alias("probability"))
     model = GBTClassifier(maxIter=8, maxDepth=3, seed=7, validationIndicatorCol="check").fit(fit)
     return _scored(model, x).select("event_id", "later", F.col("q").alias("probability"))
 
 
 @query()
 def l2_platt_calibration(spark, sf):
-    """A logistic map on the log odds of p, fitted on earlier days; log loss before and after on later ones."""
+    """A logistic map on the log odds of p, fitted on earlier days; log loss before and after on later ones. Without both labels on earlier days, nothing."""
     p = F.least(F.greatest("p", F.lit(1e-6)), F.lit(1 - 1e-6))
     x = _features(spark, sf).drop("features").withColumn("odds", F.log(p / (1 - p)))
     x = VectorAssembler(inputCols=["odds"], outputCol="features").transform(x)
+    if x.where("not later").select("label").distinct().count() < 2:
+        return x.limit(0).select("later", F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("raw"), F.lit(0.0).alias("calibrated"))
     q = LogisticRegression(maxIter=50).fit(x.where("not later"))
     both = q.transform(x).select("later", "y", "p", vector_to_array("probability")[1].alias("q"))
     return both.groupBy("later").agg(F.count("*").alias("n"), r6(log_loss("p", "y")).alias("raw"), r6(log_loss("q", "y")).alias("calibrated"))

@@ -181,7 +181,7 @@ def rank_correlations(df: DataFrame, names: tuple[str, ...]) -> dict[tuple[str,
     place = F.sum("m").over(Window.partitionBy("f").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)) - (F.col("m") - 1) / 2
     ranked = long.join(counts.select("f", "v", place.alias("rank")), ["f", "v"]).groupBy("id").pivot("f", list(names)).agg(F.first("rank"))
     row = ranked.agg(*[F.corr(a, b).alias(f"{a}|{b}") for a, b in combinations(names, 2)]).first()
-    return {(a, b): row[f"{a}|{b}"] for a, b in combinations(names, 2)}
+    return {(a, b): row[f"{a}|{b}"] or 0.0 for a, b in combinations(names, 2)}  # unknown where one is constant
 
 
 @query()
@@ -247,7 +247,7 @@ def d27_feature_overlap(spark, sf):
     row = view(spark, sf, "daily").agg(*[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"{a}|{b}") for a, b in combinations(names, 2)]).first()
     m = np.eye(len(names))
     for (i, a), (j, b) in combinations(enumerate(names), 2):
-        m[i, j] = m[j, i] = row[f"{a}|{b}"]
+        m[i, j] = m[j, i] = row[f"{a}|{b}"] or 0.0  # unknown where one is constant
     inverse, off = np.linalg.pinv(m), np.abs(m - np.eye(len(names)))
     out = [(a, names[int(off[i].argmax())], round(float(m[i, off[i].argmax()]), 6), round(float(1 - 1 / inverse[i, i]), 6)) for i, a in enumerate(names)]
     return spark.createDataFrame(out, "feature string, partner string, correlation double, r2 double")
