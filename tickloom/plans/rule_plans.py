@@ -299,9 +299,9 @@ def e41_order_book(spark, sf):
     only = lambda c: F.when(both, c)
     buy, sell = F.coalesce("buy", F.lit(0.0)), F.coalesce("sell", F.lit(0.0))
     value = lambda side: only(F.round(total(side, lambda x: x["price"] * x["qty"]), 3))
-    return b.select("l_orderkey", both.alias("two_sided"), z((ap - bp) / mid * 10_000).alias("spread_bps"), z((bq - aq) / (bq + aq), 7).alias("imbalance_1"), only(z((b5 - a5) / (b5 + a5), 7)).alias("imbalance_5"), z((buy - sell) / (buy + sell), 7).alias("imbalance_total"),
-                    z(((bp * aq + ap * bq) / (bq + aq) - mid) / mid * 10_000).alias("microprice_bps"), value("bids").alias("bid_value"), value("asks").alias("ask_value"), z((C("last") / C("previous") - 1) * 100).alias("day_change_pct"),
-                    z((C("previous") * 1.2 / C("last") - 1) * 100).alias("to_upper_pct"), z((1 - C("previous") * 0.8 / C("last")) * 100).alias("to_lower_pct"))
+    return b.select("l_orderkey", both.alias("two_sided"), z(safe_divide(ap - bp, mid) * 10_000).alias("spread_bps"), z(safe_divide(bq - aq, bq + aq), 7).alias("imbalance_1"), only(z(safe_divide(b5 - a5, b5 + a5), 7)).alias("imbalance_5"), z(safe_divide(buy - sell, buy + sell), 7).alias("imbalance_total"),
+                    z(safe_divide(safe_divide(bp * aq + ap * bq, bq + aq) - mid, mid) * 10_000).alias("microprice_bps"), value("bids").alias("bid_value"), value("asks").alias("ask_value"), z((safe_divide(C("last"), C("previous")) - 1) * 100).alias("day_change_pct"),
+                    z((safe_divide(C("previous") * 1.2, C("last")) - 1) * 100).alias("to_upper_pct"), z((1 - safe_divide(C("previous") * 0.8, C("last"))) * 100).alias("to_lower_pct"))
 
 
 NOTIONAL = 60_000.0
