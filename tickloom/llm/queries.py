@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from . import chat_format, resample, url_filter
+from .align import op12_tokenizer_alignment
 from .chat_format import op1_chat_format
 from .decontaminate import op9_decontamination
 from .html_extract import op5_html_extraction
@@ -20,7 +21,7 @@ QUERIES = {
     for f in (
         op1_chat_format, op2_line_cleaning, op3_language_id, op4_ngram_jaccard_join, op5_html_extraction,
         op6_secret_scan, op7_quality, op8_packing, op9_decontamination, op10_url_filter,
-        op11_importance_resampling,
+        op11_importance_resampling, op12_tokenizer_alignment,
     )
 }
 
