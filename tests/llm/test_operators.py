@@ -443,10 +443,10 @@ def test_url_canonical(spark):
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_sql(spark, name):
     c = duckdb.connect()
-    for t in ("pages", "conversations"):
+    for t in ("pages", "conversations", "documents", "benchmark"):
         c.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     want, got = c.execute(ORACLES[name]).df(), QUERIES[name](spark, SF).toPandas()
-    key = lambda df: sorted(map(str, df[sorted(df.columns)].astype(object).where(df[sorted(df.columns)].notna(), None).itertuples(index=False, name=None)))
+    key = lambda df: sorted(map(str, df[sorted(df.columns)].convert_dtypes().astype(object).where(df[sorted(df.columns)].notna(), None).itertuples(index=False, name=None)))
     assert key(got) == key(want)
 
 
