@@ -21,7 +21,7 @@ from .common import small_batches, stored, table
 #: Bytes of text whose links share a table of id pairs; a longer text is a block of its own.
 BLOCK_BYTES = 16 << 20
 #: Parts of texts that a worker keeps the ids of.
-_CACHE = 200_000
+_CACHE = 400_000
 #: Groups that are hashed at once.
 _PIECES = 10_000
 
@@ -61,104 +61,101 @@ class Tokenizers:
         self.bytes_b = [self._piece(i) for i in range(self.b.get_piece_size())]
         self.size_a, self.size_b = (np.array(list(map(len, x)), np.int32) for x in (self.bytes_a, self.bytes_b))
         self.odd = re.compile(r"\s\s| $")
-        self.cache: dict[str, tuple[list[int], list[int]]] = {}
+        self.cache: dict[str, tuple[bytes, bytes]] = {}
 
     def _piece(self, i: int) -> bytes:
         p = self.b.id_to_piece(i)
         return bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode()
 
-    def _both(self, text: str) -> tuple[list[int], list[int]]:
-        a, b = self.a.encode_ordinary(" " + text), self.b.encode(text, num_threads=1)
+    def _checked(self, text: str, a: list[int], b: list[int]) -> tuple[bytes, bytes]:
         want = (" " + text).encode()
-        same = b"".join(map(self.bytes_a.__getitem__, a)) == want == b"".join(map(self.bytes_b.__getitem__, b))
-        return (a, b) if same else ([], [])
+        same = b"".join([self.bytes_a[i] for i in a]) == want == b"".join([self.bytes_b[i] for i in b])
+        return (np.array(a, "<u2").tobytes(), np.array(b, "<u2").tobytes()) if same else (b"", b"")
 
-    def __call__(self, text: str | None) -> tuple[list[int], list[int]]:
+    def _encoded(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
+        return list(map(self._checked, texts, [self.a.encode_ordinary(" " + t) for t in texts], self.b.encode(texts, num_threads=1)))
+
+    def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """Ids of A over a space and the text, and of B over the text; none if the bytes of either differ from the former's."""
         if not text:
-            return [], []
-        if self.odd.search(" " + text):
-            return self._both(text)
-        cache = self.cache
-        if len(cache) > _CACHE:
-            cache.clear()
-        parts = text.split(" ")
-        for p in set(parts).difference(cache):
-            cache[p] = self._both(p)
-        a: list[int] = []
-        b: list[int] = []
-        for x, y in map(cache.__getitem__, parts):
-            if not x:
-                return [], []
-            a += x
-            b += y
-        return a, b
-
-
-def runs(ends_a: np.ndarray, ends_b: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
-    """How two increasing arrays of int32 with the same last value go together: (i, j, n, 0) for n one-to-one places from i and j, (i, j, n, m) for one group of n places and m.
+            parts = []
+        elif self.odd.search(" " + text):
+            parts = self._encoded([text])
+        else:
+            words, cache = text.split(" "), self.cache
+            if len(cache) > _CACHE:
+                cache.clear()
+            if new := list(set(words).difference(cache)):
+                cache.update(zip(new, self._encoded(new), strict=True))
+            parts = [cache[w] for w in words]
+            if (b"", b"") in parts:
+                parts = []
+        return np.frombuffer(b"".join([a for a, _ in parts]), "<u2"), np.frombuffer(b"".join([b for _, b in parts]), "<u2")
+
+
+def runs(ends_a: np.ndarray, ends_b: np.ndarray, left: array, right: array) -> Iterator[tuple[int, int, int, int]]:
+    """How two increasing arrays of int32 with the same last value go together: (i, j, n, 0) for n one-to-one places from i and j, (i, j, n, m) for one group of n places and m. Appends the places of all links to left and right.
 
     At the current shift of indices, spans of 1, 2, 4, ... places are compared
     until one differs, which is halved down to its first difference: one-to-one
     stretches are jumped over. What follows is merged place by place until both
-    ends meet, which sets a new shift.
+    ends meet, which sets a new shift; wherever one ends, a link does.
     """
     a, b = ends_a.tobytes(), ends_b.tobytes()
     list_a, list_b = ends_a.tolist(), ends_b.tolist()
     n, m, i, j = len(list_a), len(list_b), 0, 0
     while i < n:
-        most, at, step = min(n - i, m - j), 0, 1
-        while step:
-            size = min(step, most - at)
-            p, q = 4 * (i + at), 4 * (j + at)
-            if size and a[p : p + 4 * size] == b[q : q + 4 * size]:
-                at += size
-                step *= 2
-                continue
-            while size > 1:
-                half = size // 2
+        x, y = list_a[i], list_b[j]
+        if x == y:
+            most, at, step = min(n - i, m - j), 1, 2
+            while step:
+                size = min(step, most - at)
                 p, q = 4 * (i + at), 4 * (j + at)
-                same = a[p : p + 4 * half] == b[q : q + 4 * half]
-                at, size = (at + half, size - half) if same else (at, half)
-            step = 0
-        if at:
+                if size and a[p : p + 4 * size] == b[q : q + 4 * size]:
+                    at += size
+                    step *= 2
+                    continue
+                while size > 1:
+                    half = size // 2
+                    p, q = 4 * (i + at), 4 * (j + at)
+                    same = a[p : p + 4 * half] == b[q : q + 4 * half]
+                    at, size = (at + half, size - half) if same else (at, half)
+                step = 0
+            left.extend(range(i, i + at))
+            right.extend(range(j, j + at))
             yield i, j, at, 0
             i, j = i + at, j + at
-        if i < n:
-            p, q = i, j
-            while list_a[p] != list_b[q]:
-                if list_a[p] < list_b[q]:
-                    p += 1
-                else:
-                    q += 1
-            yield i, j, p + 1 - i, q + 1 - j
-            i, j = p + 1, q + 1
-
-
-def aligned(a: list[int], b: list[int], ends_a: np.ndarray, ends_b: np.ndarray, texts: list[str]) -> tuple[int, str, np.ndarray, np.ndarray]:
+            if i == n:
+                return
+            x, y = list_a[i], list_b[j]
+        p, q = i, j
+        while x != y:
+            left.append(p)
+            right.append(q)
+            if x < y:
+                p += 1
+                x = list_a[p]
+            else:
+                q += 1
+                y = list_b[q]
+        left.append(p)
+        right.append(q)
+        yield i, j, p + 1 - i, q + 1 - j
+        i, j = p + 1, q + 1
+
+
+def aligned(a: np.ndarray, b: np.ndarray, ends_a: np.ndarray, ends_b: np.ndarray, texts: list[str]) -> tuple[int, str, np.ndarray, np.ndarray]:
     """Number of groups, hash of `a1,a2|b1;a3|b2,b3`, and the places in a and b of all links. texts: ids as text."""
     groups, out, written = 0, [], hashlib.sha256()
     left, right = array("i"), array("i")
-    for i, j, n, m in runs(ends_a, ends_b):
+    text_a, text_b = [texts[x] for x in a.tolist()], [texts[y] for y in b.tolist()]
+    for i, j, n, m in runs(ends_a, ends_b, left, right):
         if m == 0:
             groups += n
-            out += [f"{texts[x]}|{texts[y]}" for x, y in zip(a[i : i + n], b[j : j + n], strict=True)]
-            left.extend(range(i, i + n))
-            right.extend(range(j, j + n))
+            out += [f"{x}|{y}" for x, y in zip(text_a[i : i + n], text_b[j : j + n], strict=True)]
         else:
             groups += 1
-            out.append(",".join([texts[x] for x in a[i : i + n]]) + "|" + ",".join([texts[y] for y in b[j : j + m]]))
-            x, y = ends_a[i : i + n].tolist(), ends_b[j : j + m].tolist()
-            p = q = 0
-            while True:  # wherever one ends, a link does
-                left.append(i + p)
-                right.append(j + q)
-                if x[p] == y[q]:
-                    break
-                if x[p] < y[q]:
-                    p += 1
-                else:
-                    q += 1
+            out.append(",".join(text_a[i : i + n]) + "|" + ",".join(text_b[j : j + m]))
         if len(out) >= _PIECES:
             written.update((";".join(out) + ";" * (i + n < len(a))).encode())
             out = []
@@ -198,10 +195,9 @@ def _aligner(paths: Paths, block_bytes: int):
         for pdf in batches:
             for doc, text in zip(pdf["doc_id"], pdf["text"], strict=True):
                 a, b = both(text if isinstance(text, str) else None)
-                x, y = np.array(a, np.int64), np.array(b, np.int64)
-                n, groups, left, right = aligned(a, b, np.cumsum(both.size_a[x], dtype=np.int32), np.cumsum(both.size_b[y], dtype=np.int32), texts)
-                held.append((doc, len(a), len(b), n, len(left), groups if a else ""))
-                keys.append(x[left] * len(both.size_b) + y[right])
+                n, groups, left, right = aligned(a, b, np.cumsum(both.size_a[a], dtype=np.int32), np.cumsum(both.size_b[b], dtype=np.int32), texts)
+                held.append((doc, len(a), len(b), n, len(left), groups if n else ""))
+                keys.append(a[left].astype(np.int64) * len(both.size_b) + b[right])
                 size += 4 * len(a) + 64
                 if size >= block_bytes:
                     yield block()
