@@ -272,22 +272,6 @@ def test_prefix_sums_and_quantiles(spark):
     assert tuple(one(windows.quantiles(rows.where("x is not null").limit(1), "x", {"a": 0.5, "b": 0.9}))) == (rows.where("x is not null").first()["x"],) * 2
 
 
-def test_recursive_averages(spark):
-    from tickloom.operators import windows
-
-    rng = np.random.default_rng(5)
-    rows = [(g, i, None if i < g else float(rng.normal())) for g in range(3) for i in range(400)]
-    out = windows.smoothed(spark.createDataFrame(rows, "g int, i int, x double"), ["g"], "i", {"s": "x"}, 9, 0.2)
-    got = {(r["g"], r["i"]): r["s"] for r in out.collect()}
-    for g in range(3):
-        seen, s = [], None
-        for _, i, x in rows[400 * g : 400 * (g + 1)]:
-            if x is not None:
-                seen.append(x)
-                s = None if len(seen) < 9 else np.mean(seen) if len(seen) == 9 else s + 0.2 * (x - s)
-            assert (got[(g, i)] is None) == (s is None) and (s is None or abs(got[(g, i)] - s) < 1e-9)
-
-
 def test_asof_over_buckets(spark):
     from tickloom.operators.joins import asof_join
 

@@ -32,29 +32,6 @@ def segments(df: DataFrame, by: list[str], step: str) -> DataFrame:
     return df.withColumn("segment", F.sum("gap").over(w.rowsBetween(*RUNNING)))
 
 
-def smoothed(df: DataFrame, by: list[str], order: str, columns: dict[str, str], n: int, weight: float) -> DataFrame:
-    """Recursive averages seeded by the mean of the first n values: s += weight * (x - s). columns: new name to input.
-
-    In closed form, so that two running sums are enough: after k values more, s is
-    (1 - weight)^k times the seed and the sum of weight * x_j / (1 - weight)^j. The
-    powers bound the rows of a group (one unbroken run of a session): they fit in
-    a double up to 700 / -ln(1 - weight) rows. Rows of null inputs come first in a
-    run and stay null.
-    """
-    run, all_ = over(by, [order]), Window.partitionBy(*by)
-    keep = 1 - weight
-    names = sorted(columns)
-    df = df.select("*", *[F.col(columns[c]).cast("double").alias(f"__x_{c}") for c in names], *[F.count(columns[c]).over(run).alias(f"__k_{c}") for c in names])
-    out = []
-    for c in names:
-        x, k = F.col(f"__x_{c}"), F.col(f"__k_{c}")
-        seed = F.avg(F.when(k <= n, x)).over(all_)
-        rest = F.coalesce(F.sum(F.when(k > n, weight * x * F.pow(F.lit(keep), n - k))).over(run), F.lit(0.0))
-        out.append(F.when(x.isNotNull() & (k >= n), F.pow(F.lit(keep), k - n) * (seed + rest)).alias(c))
-    own = [c for c in df.columns if not c.startswith(("__x_", "__k_")) and c not in names]
-    return df.select(*own, *out)
-
-
 def prefix_sums(df: DataFrame, order: str, value: str, name: str, parts: int = 64) -> DataFrame:
     """df with the sum of `value` over all rows of lower `order`, which must differ from row to row, without one task that sorts all.
 

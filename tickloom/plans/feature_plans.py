@@ -6,7 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tickloom.functions.scalars import centred_sigmoid, minutes_since_open, ramp, ratio_change, safe_divide, session_of, to_tick
-from tickloom.operators.windows import full, over, rolling, segments, session_context, session_vwap, smoothed
+from tickloom.operators.recursive import exponential, smoothed, wilder, with_previous
+from tickloom.operators.windows import full, over, rolling, segments, session_context, session_vwap
 from tickloom.registry import query
 from tickloom.sources.fixtures import duck, view
 
@@ -132,76 +133,109 @@ _SEG = """s0 as (select *, case when hr <> lag(hr) over (partition by symbol, se
    lag(high) over (partition by symbol, session, segment order by hr) as ph, lag(low) over (partition by symbol, session, segment order by hr) as pl from s)"""
 
 
-def _fold_sql(source: str, value: str, n: int, weight: float, name: str, first: int = 1) -> str:
-    """The recursive average in closed form: weights of all values since the seed. first: place of the first known value."""
-    last = first + n - 1
-    return f"""{name} as (select a.symbol, a.session, a.segment, a.i,
-      power(1 - {weight}, a.i - {last}) * avg(b.{value}) filter (where b.i <= {last}) + coalesce(sum({weight} * power(1 - {weight}, a.i - b.i) * b.{value}) filter (where b.i > {last}), 0) as v
-      from {source} a join {source} b on a.symbol = b.symbol and a.session = b.session and a.segment = b.segment and b.i <= a.i and b.i >= {first}
-      where a.i >= {last} group by 1, 2, 3, 4)"""
+#: Bars by place in their symbol; a run goes on over sessions and ends at a gap within one.
+_RUNS = """g0 as (select *, case when hr <> lag(hr) over (partition by symbol, session order by hr) + 1 then 1 else 0 end as gap from bars),
+ g1 as (select *, sum(gap) over w as run, row_number() over w as i from g0 window w as (partition by symbol order by session, hr)),
+ q as materialized (select *, lag(close) over w as pc, lag(high) over w as ph, lag(low) over w as pl from g1 window w as (partition by symbol, run order by i))"""
+
+
+def _average_sql(source: str, value: str, n: int, weight: str, name: str, hold: bool = False) -> str:
+    """The recursive average row by row, from its definition."""
+    shown = f"k >= {n}" if hold else f"k >= {n} and x is not null"
+    return f"""{name}_ as (select symbol, i, run, {value} as x, case when {value} is null then 0 else 1 end as k, coalesce({value}, 0) / {n}.0::double as s from {source} where i = 1
+      union all select b.symbol, b.i, b.run, b.{value}, case when b.run = a.run then a.k else 0 end + case when b.{value} is null then 0 else 1 end,
+        case when b.run <> a.run then coalesce(b.{value}, 0) / {n} when b.{value} is null then a.s when a.k < {n} then a.s + b.{value} / {n} else a.s + {weight}::double * (b.{value} - a.s) end
+      from {name}_ a join {source} b on b.symbol = a.symbol and b.i = a.i + 1),
+     {name} as materialized (select symbol, i, case when {shown} then s end as v from {name}_)"""
 
 
-_ON = "(symbol, session, segment, i)"
 RUNS = ["symbol", "session", "segment"]
+#: Places of averages.
+SHORT, LONG, RANGE, FAST, SLOW, SIGNAL = 9, 21, 14, 12, 26, 9
+_BY = "(symbol, i)"
+
+
+def r0(c):
+    """Rounded to six places, never a negative zero."""
+    return r6(c) + F.lit(0.0)
+
+
+def bars_in_runs(spark, sf, *previous):
+    """Bars with `gap` and the columns named of the bar before in their run."""
+    bars = segments(view(spark, sf, "bars"), DAY, "hr").drop("segment")
+    return with_previous(bars, ["symbol"], "session", "hr", list(previous)) if previous else bars
 
 
-@query(duck(f"""with {_SEG}, {_fold_sql("q", "close", 5, 2 / 6, "e")}
- select {KEY}, round(e.v, 6) as ema from q left join e using {_ON}"""))
+def averaged(bars, averages, places=False):
+    return smoothed(bars, ["symbol"], "session", "hr", averages, 24, places)
+
+
+@query(duck(f"""with recursive {_RUNS}, {_average_sql("q", "close", SHORT, f"2 / {SHORT + 1}.0", "e")}, {_average_sql("q", "close", LONG, f"2 / {LONG + 1}.0", "f")}
+ select {KEY}, round(e.v, 6) as ema_short, round(f.v, 6) as ema_long from q join e using {_BY} join f using {_BY}"""))
 def e2_ema(spark, sf):
-    bars = segments(view(spark, sf, "bars"), DAY, "hr")
-    return keyed(smoothed(bars, RUNS, "hr", {"ema": "close"}, N, 2 / (N + 1)), r6("ema").alias("ema"))
+    return keyed(averaged(bars_in_runs(spark, sf), {"short": exponential("close", SHORT), "long": exponential("close", LONG)}), r6("short").alias("ema_short"), r6("long").alias("ema_long"))
 
 
-@query(duck(f"""with {_SEG}, d as (select *, greatest(close - pc, 0) as gain, greatest(pc - close, 0) as loss from q),
- {_fold_sql("d", "gain", 3, 1 / 3, "g", 2)}, {_fold_sql("d", "loss", 3, 1 / 3, "l", 2)}
+@query(duck(f"""with recursive {_RUNS}, d as materialized (select *, case when pc is not null then greatest(close - pc, 0) end as gain, case when pc is not null then greatest(pc - close, 0) end as loss from q),
+ {_average_sql("d", "gain", RANGE, f"1 / {RANGE}.0", "g")}, {_average_sql("d", "loss", RANGE, f"1 / {RANGE}.0", "l")}
  select {KEY}, round(case when g.v = 0 and l.v = 0 then 50 else 100 * g.v / (g.v + l.v) end, 6) as rsi,
- round(case when l.v = 0 then 100 when g.v is null then null else 100 - 100 / (1 + g.v / l.v) end, 6) as rsi_daily from q left join g using {_ON} left join l using {_ON}"""))
+ round(case when l.v = 0 then 100 when g.v is null then null else 100 - 100 / (1 + g.v / l.v) end, 6) as rsi_daily from q join g using {_BY} join l using {_BY}"""))
 def e4_rsi(spark, sf):
-    bars = segments(view(spark, sf, "bars"), DAY, "hr")
-    change = F.col("close") - F.lag("close").over(Window.partitionBy(*RUNS).orderBy("hr"))
-    bars = bars.withColumn("gain", F.when(change.isNotNull(), F.greatest(change, F.lit(0.0)))).withColumn("loss", F.when(change.isNotNull(), F.greatest(-change, F.lit(0.0))))
+    change = F.col("close") - F.col("previous_close")
+    up = lambda c: F.when(change.isNotNull(), F.greatest(c, F.lit(0.0)))
+    bars = bars_in_runs(spark, sf, "close").withColumn("gain", up(change)).withColumn("loss", up(-change))
     g, x = F.col("g"), F.col("l")
     rsi = F.when((g == 0) & (x == 0), 50.0).otherwise(100 * g / (g + x))
-    return keyed(smoothed(bars, RUNS, "hr", {"g": "gain", "l": "loss"}, 3, 1 / 3), r6(rsi).alias("rsi"), r6(F.when(x == 0, 100.0).otherwise(100 - 100 / (1 + g / x))).alias("rsi_daily"))
+    return keyed(averaged(bars, {"g": wilder("gain", RANGE), "l": wilder("loss", RANGE)}), r6(rsi).alias("rsi"), r6(F.when(x == 0, 100.0).otherwise(100 - 100 / (1 + g / x))).alias("rsi_daily"))
+
+
+def true_range():
+    """The span of a bar and the close before it; of a run's first bar, its own."""
+    before = F.col("previous_close")
+    span = F.col("high") - F.col("low")
+    return F.when(before.isNull(), span).otherwise(F.greatest(span, F.abs(F.col("high") - before), F.abs(F.col("low") - before)))
 
 
-@query(duck(f"""with {_SEG}, d as (select *, case when pc is not null then greatest(high - low, abs(high - pc), abs(low - pc)) end as tr from q), {_fold_sql("d", "tr", 3, 1 / 3, "a", 2)}
- select {KEY}, round(tr, 6) as true_range, round(a.v, 6) as atr from d left join a using {_ON}"""))
+_TRUE = "case when pc is null then high - low else greatest(high - low, abs(high - pc), abs(low - pc)) end"
+
+
+@query(duck(f"""with recursive {_RUNS}, d as materialized (select *, {_TRUE} as tr from q), {_average_sql("d", "tr", RANGE, f"1 / {RANGE}.0", "a")}
+ select {KEY}, round(tr, 6) as true_range, round(a.v, 6) as atr from d join a using {_BY}"""))
 def e7_atr(spark, sf):
-    bars = segments(view(spark, sf, "bars"), DAY, "hr")
-    before = F.lag("close").over(Window.partitionBy(*RUNS).orderBy("hr"))
-    bars = bars.withColumn("tr", F.when(before.isNotNull(), F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - before), F.abs(F.col("low") - before))))
-    return keyed(smoothed(bars, RUNS, "hr", {"atr": "tr"}, 3, 1 / 3), r6("tr").alias("true_range"), r6("atr").alias("atr"))
+    bars = bars_in_runs(spark, sf, "close").withColumn("tr", true_range())
+    return keyed(averaged(bars, {"atr": wilder("tr", RANGE)}), r6("tr").alias("true_range"), r6("atr").alias("atr"))
 
 
-@query(duck(f"""with {_SEG}, {_fold_sql("q", "close", 3, 0.5, "f")}, {_fold_sql("q", "close", 5, 2 / 6, "g")},
- m as (select f.*, f.v - g.v as macd from f join g using {_ON}), {_fold_sql("m", "macd", 3, 0.5, "h", 5)}
- select {KEY}, round(m.macd + 1e-9, 6) as macd, round(h.v + 1e-9, 6) as signal, round(m.macd - h.v + 1e-9, 6) as histogram from q left join m using {_ON} left join h using {_ON}"""))
+@query(duck(f"""with recursive {_RUNS}, {_average_sql("q", "close", FAST, f"2 / {FAST + 1}.0", "f")}, {_average_sql("q", "close", SLOW, f"2 / {SLOW + 1}.0", "g")},
+ m as materialized (select q.symbol, q.session, q.hr, q.run, i, f.v - g.v as macd from q join f using {_BY} join g using {_BY}), {_average_sql("m", "macd", SIGNAL, f"2 / {SIGNAL + 1}.0", "h")},
+ o as (select m.*, h.v as signal, m.macd - h.v as histogram from m join h using {_BY})
+ select {KEY}, round(macd, 6) + 0.0::double as macd, round(signal, 6) + 0.0::double as signal, round(histogram, 6) + 0.0::double as histogram,
+ round(histogram - lag(histogram) over (partition by symbol, run order by i), 6) + 0.0::double as histogram_change from o"""))
 def e6_macd(spark, sf):
-    bars = segments(view(spark, sf, "bars"), DAY, "hr")
-    both = smoothed(smoothed(bars, RUNS, "hr", {"fast": "close"}, 3, 0.5), RUNS, "hr", {"slow": "close"}, 5, 2 / 6)
-    both = smoothed(both.withColumn("macd", F.col("fast") - F.col("slow")), RUNS, "hr", {"signal": "macd"}, 3, 0.5)
-    return keyed(both, tied("macd").alias("macd"), tied("signal").alias("signal"), tied(F.col("macd") - F.col("signal")).alias("histogram"))
+    both = averaged(bars_in_runs(spark, sf), {"fast": exponential("close", FAST), "slow": exponential("close", SLOW)})
+    both = averaged(both.withColumn("macd", F.col("fast") - F.col("slow")), {"signal": exponential("macd", SIGNAL)})
+    both = with_previous(both.withColumn("histogram", F.col("macd") - F.col("signal")), ["symbol"], "session", "hr", ["histogram"])
+    return keyed(both, r0("macd").alias("macd"), r0("signal").alias("signal"), r0("histogram").alias("histogram"), r0(F.col("histogram") - F.col("previous_histogram")).alias("histogram_change"))
 
 
-@query(duck(f"""with {_SEG}, d as (select *, case when pc is not null then greatest(high - low, abs(high - pc), abs(low - pc)) end as tr,
-   case when high - ph > pl - low and high > ph then high - ph when ph is not null then 0 end as up, case when pl - low > high - ph and pl > low then pl - low when ph is not null then 0 end as dn from q),
- {_fold_sql("d", "tr", 3, 1 / 3, "t", 2)}, {_fold_sql("d", "up", 3, 1 / 3, "u", 2)}, {_fold_sql("d", "dn", 3, 1 / 3, "n", 2)},
- x as (select t.symbol, t.session, t.segment, t.i, 100 * u.v / nullif(t.v, 0) as plus, 100 * n.v / nullif(t.v, 0) as minus from t join u using {_ON} join n using {_ON}),
- y as (select *, case when plus + minus = 0 then 0 else 100 * abs(plus - minus) / (plus + minus) end as dx from x), {_fold_sql("y", "dx", 3, 1 / 3, "a", 4)}
- select {KEY}, round(y.plus, 5) as plus_di, round(y.minus, 5) as minus_di, round(a.v, 5) as adx from q left join y using {_ON} left join a using {_ON}"""))
-def e8_adx(spark, sf):
-    bars = segments(view(spark, sf, "bars"), DAY, "hr")
-    w = Window.partitionBy(*RUNS).orderBy("hr")
-    up, down, before = F.col("high") - F.lag("high").over(w), F.lag("low").over(w) - F.col("low"), F.lag("close").over(w)
-    known = before.isNotNull()
-    bars = bars.select(
-        "*", F.when(known, F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - before), F.abs(F.col("low") - before))).alias("tr"),
-        F.when(known, F.when((up > down) & (up > 0), up).otherwise(0.0)).alias("up"), F.when(known, F.when((down > up) & (down > 0), down).otherwise(0.0)).alias("dn"))
-    s = smoothed(bars, RUNS, "hr", {"s_tr": "tr", "s_up": "up", "s_dn": "dn"}, 3, 1 / 3)
+def directional(bars):
+    """plus and minus movement, each as a share of the average range, and their smoothed difference; bars with the previous close, high and low."""
+    up, down, known = F.col("high") - F.col("previous_high"), F.col("previous_low") - F.col("low"), F.col("previous_close").isNotNull()
+    bars = bars.select("*", F.when(known, true_range()).alias("tr"), F.when(known, F.when((up > down) & (up > 0), up).otherwise(0.0)).alias("up"), F.when(known, F.when((down > up) & (down > 0), down).otherwise(0.0)).alias("dn"))
+    s = averaged(bars, {"s_tr": wilder("tr", RANGE), "s_up": wilder("up", RANGE), "s_dn": wilder("dn", RANGE)})
     s = s.withColumn("plus", 100 * safe_divide(F.col("s_up"), F.col("s_tr"))).withColumn("minus", 100 * safe_divide(F.col("s_dn"), F.col("s_tr")))
     total = F.col("plus") + F.col("minus")
-    s = smoothed(s.withColumn("dx", F.when(total == 0, 0.0).otherwise(100 * F.abs(F.col("plus") - F.col("minus")) / total)), RUNS, "hr", {"adx": "dx"}, 3, 1 / 3)
+    return averaged(s.withColumn("dx", F.when(total <= 0, 0.0).otherwise(100 * F.abs(F.col("plus") - F.col("minus")) / total)), {"adx": wilder("dx", RANGE, hold=True)})
+
+
+@query(duck(f"""with recursive {_RUNS}, d as materialized (select *, case when pc is not null then {_TRUE} end as tr,
+   case when high - ph > pl - low and high > ph then high - ph when ph is not null then 0 end as up, case when pl - low > high - ph and pl > low then pl - low when ph is not null then 0 end as dn from q),
+ {_average_sql("d", "tr", RANGE, f"1 / {RANGE}.0", "t")}, {_average_sql("d", "up", RANGE, f"1 / {RANGE}.0", "u")}, {_average_sql("d", "dn", RANGE, f"1 / {RANGE}.0", "n")},
+ x as (select q.symbol, q.i, q.run, 100 * u.v / nullif(t.v, 0) as plus, 100 * n.v / nullif(t.v, 0) as minus from q join t using {_BY} join u using {_BY} join n using {_BY}),
+ y as materialized (select *, case when plus + minus <= 0 then 0 else 100 * abs(plus - minus) / (plus + minus) end as dx from x), {_average_sql("y", "dx", RANGE, f"1 / {RANGE}.0", "a", hold=True)}
+ select {KEY}, round(y.plus, 5) as plus_di, round(y.minus, 5) as minus_di, round(a.v, 5) as adx from q join y using {_BY} join a using {_BY}"""))
+def e8_adx(spark, sf):
+    s = directional(bars_in_runs(spark, sf, "close", "high", "low"))
     return keyed(s, F.round("plus", 5).alias("plus_di"), F.round("minus", 5).alias("minus_di"), F.round("adx", 5).alias("adx"))
 
 

@@ -9,8 +9,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions.scalars import safe_divide
-from tickloom.operators.windows import full, over, segments, smoothed
-from tickloom.plans.feature_plans import _ON, _SEG, DAY, KEY, N, RUNS, _fold_sql, keyed, r6
+from tickloom.operators.recursive import exponential
+from tickloom.operators.windows import full, over, segments
+from tickloom.plans.feature_plans import _BY, _RUNS, _SEG, DAY, KEY, RUNS, _average_sql, averaged, bars_in_runs, keyed, r0, r6
+from tickloom.plans.feature_plans import LONG as LONG_EMA
+from tickloom.plans.feature_plans import SHORT as SHORT_EMA
 from tickloom.registry import query
 from tickloom.sources.fixtures import duck, view
 
@@ -18,13 +21,19 @@ WHOLE = 24
 BENCHMARK = "click"
 
 
-@query(duck(f"""with {_SEG}, {_fold_sql("q", "close", 5, 2 / 6, "e")}, sl as (select *, lag(v, 5) over (partition by symbol, session, segment order by i) as before from e)
- select {KEY}, round(sl.v / nullif(before, 0) - 1, 6) as slope from q left join sl using {_ON}"""))
+#: Bars that a slope spans.
+SLOPE = 5
+
+
+@query(duck(f"""with recursive {_RUNS}, {_average_sql("q", "close", SHORT_EMA, f"2 / {SHORT_EMA + 1}.0", "e")}, {_average_sql("q", "close", LONG_EMA, f"2 / {LONG_EMA + 1}.0", "f")},
+ j as (select q.*, e.v as short, f.v as long, lag(e.v, {SLOPE}) over w as short_before, lag(f.v, {SLOPE}) over w as long_before from q join e using {_BY} join f using {_BY} window w as (partition by q.symbol, q.run order by q.i))
+ select {KEY}, round(short / nullif(short_before, 0) - 1, 6) + 0.0::double as slope_short, round(long / nullif(long_before, 0) - 1, 6) + 0.0::double as slope_long from j"""))
 def e16_ema_slope(spark, sf):
-    """Change of the average over five bars, within one unbroken run."""
-    bars = smoothed(segments(view(spark, sf, "bars"), DAY, "hr"), RUNS, "hr", {"ema": "close"}, N, 2 / (N + 1))
-    before = F.lag("ema", 5).over(Window.partitionBy(*RUNS).orderBy("hr"))
-    return keyed(bars, r6(safe_divide(F.col("ema"), before) - 1).alias("slope"))
+    """Change of the averages over five bars of a run, which goes on over sessions: an equi join on the place in the run."""
+    e = averaged(bars_in_runs(spark, sf), {"short": exponential("close", SHORT_EMA), "long": exponential("close", LONG_EMA)}, places=True)
+    before = e.select("symbol", "run", (F.col("place") + SLOPE).alias("place"), F.col("short").alias("short_before"), F.col("long").alias("long_before"))
+    slope = lambda c: r0(safe_divide(F.col(c), F.col(f"{c}_before")) - 1).alias(f"slope_{c}")
+    return keyed(e.join(before, ["symbol", "run", "place"], "left"), slope("short"), slope("long"))
 
 
 @query(duck(f"""with {_SEG}, g as (select *, max(gap) over (partition by symbol, session order by hr) as broken, min(hr) over (partition by symbol, session) as first_, max(high) over (partition by symbol, session order by hr) as top, row_number() over (partition by symbol, session, segment order by hr) as run from q)

@@ -83,4 +83,7 @@ def duck(sql: str) -> str:
     names = [n for n in VIEWS if re.search(rf"\b{n}\b", sql)]
     parts = ", ".join(f"{n} as ({VIEWS[n].replace('`', chr(34)).format(**{t: t for t in TABLES})})" for n in names)
     sql = sql.strip()
-    return f"with {parts}, {sql[5:]}" if sql.lower().startswith("with ") else f"with {parts} {sql}"
+    for start in ("with recursive ", "with "):
+        if sql.lower().startswith(start):
+            return f"{start}{parts}, {sql[len(start):]}"
+    return f"with {parts} {sql}"
