@@ -2,11 +2,16 @@
 
 import datetime as dt
 import json
+from pathlib import Path
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tickloom.streaming.ticks import batch_features, counted, counters, decided, first_seen, minute_bars, stream_features, volume_steps, watched_bars
+from tickloom.streaming import stateful
+from tickloom.streaming.stateful import VolumeSteps, rocks, volume_steps
+from tickloom.streaming.ticks import counted, counters, decided, first_seen, landed, minute_bars, watched_bars
 
 SCHEMA = "symbol long, ts timestamp, seq long, price double, cum long"
 
@@ -25,8 +30,9 @@ def feed(spark, tmp_path):
         for i, rows in enumerate(batches):
             spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(str(source))
             stream = make(spark.readStream.schema(SCHEMA).parquet(str(source)))
-            query = stream.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start(str(out))
-            query.awaitTermination()
+            with rocks(spark):
+                query = stream.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start(str(out))
+                query.awaitTermination()
         return spark.read.schema(stream.schema).parquet(str(out))
 
     return run
@@ -39,10 +45,86 @@ def test_a_late_tick_changes_no_final_bar(feed):
     assert [tuple(r) for r in got] == [(10.0, 12.0, 10.0, 12.0, 2), (9.0, 9.0, 9.0, 9.0, 1)]
 
 
+#: A tick so late that all before it is final.
+END = (9, dt.datetime(2024, 1, 2), 99, 1.0, 0)
+
+
 def test_volume_steps_go_on_from_batch_to_batch(feed):
-    batches = [[(1, at(0), 1, 1.0, 5), (1, at(1), 2, 1.0, 9), (2, at(1), 3, 1.0, 4)], [(1, at(2), 4, 1.0, 7), (1, at(3), 5, 1.0, 12)]]
+    """Rows of a batch come in any order; unknown readings, and one that falls back."""
+    batches = [[(1, at(1), 2, 1.0, 9), (2, at(1), 3, 1.0, 4), (1, at(0), 1, 1.0, 5)], [(1, at(3), 5, 1.0, 12), (1, at(2), 4, 1.0, 7), (1, at(2, 30), 6, 1.0, None)], [END]]
     got = feed(volume_steps, batches).orderBy("seq").collect()
-    assert [(r.seq, r.step) for r in got] == [(1, None), (2, 4), (3, None), (4, 0), (5, 3)]
+    assert [(r.symbol, r.seq, r.step) for r in got] == [("1", 1, None), ("1", 2, 4), ("2", 3, None), ("1", 4, 0), ("1", 5, 3), ("1", 6, None)]
+
+
+class Handle:
+    """State of one key in memory, that counts what is asked of it."""
+
+    def __init__(self):
+        self.timers, self.maps, self.value, self.largest = set(), {}, None, 0
+
+    def getMapState(self, *_):
+        return self
+
+    def getValueState(self, *_):
+        outer = self
+
+        class Value:
+            exists = staticmethod(lambda: outer.value is not None)
+            get = staticmethod(lambda: outer.value)
+            update = staticmethod(lambda v: setattr(outer, "value", v))
+            clear = staticmethod(lambda: setattr(outer, "value", None))
+
+        return Value()
+
+    def registerTimer(self, ms):
+        self.timers.add(ms)
+
+    def containsKey(self, k):
+        return k in self.maps
+
+    def getValue(self, k):
+        return self.maps[k]
+
+    def updateValue(self, k, v):
+        self.maps[k] = v
+        self.largest = max(self.largest, len(v[0]))
+
+    def removeKey(self, k):
+        del self.maps[k]
+
+    def keys(self):
+        return list(self.maps)
+
+    def exists(self):
+        return bool(self.maps)
+
+    def getCurrentWatermarkInMs(self):
+        return 10**15
+
+
+def test_a_million_ticks_of_a_symbol_in_one_batch():
+    """Buckets and frames are bounded, whatever a batch brings and in whatever order; rows equal a plain running top."""
+    rng, handle, p = np.random.default_rng(3), Handle(), VolumeSteps(60)
+    p.init(handle)
+    n = 1_000_000
+    ts, cum = np.arange(n) * 36_000, np.cumsum(rng.integers(-1, 4, n)).astype(float)
+    order = rng.permutation(n)
+    for part in np.array_split(order, 50):
+        assert list(p.handleInputRows(("a",), iter([pd.DataFrame({"at": ts[part], "seq": part, "cum": cum[part]})]), None)) == []
+    assert handle.largest <= 24 * (60 * 10**6 // 36_000 + 1) and len(handle.timers) == 600
+    frames = list(p.handleExpiredTimer(("a",), handle, None))
+    assert max(map(len, frames)) <= stateful.FRAME and not handle.maps
+    out = pd.concat(frames)
+    top = np.maximum.accumulate(cum)
+    assert out["seq"].tolist() == list(range(n)) and out["step"].isna().sum() == 1 and (out["step"].to_numpy(float)[1:] == np.diff(top)).all()
+
+
+def test_deliveries_come_in_order(spark):
+    rows = [(1, at(i % 60), i, 1.0, i) for i in range(50)]
+    folder = landed(spark.createDataFrame(rows, SCHEMA), "ts", 4)
+    files = sorted(Path(folder).glob("*.parquet"), key=lambda f: f.stat().st_mtime_ns)
+    own = [spark.read.parquet(str(f)).agg(F.min("ts").alias("a"), F.max("ts").alias("b"), F.count("*").alias("n")).first() for f in files]
+    assert len(own) == 4 and sum(r["n"] for r in own) == 50 and all(x["b"] < y["a"] for x, y in zip(own, own[1:], strict=False))
 
 
 def test_a_key_passes_once(feed):
@@ -71,16 +153,10 @@ def test_counters_see_late_and_unknown(spark, tmp_path):
 
 
 def test_a_silent_symbol_begins_anew(feed):
-    batches = [[(1, at(0), 1, 1.0, 5), (2, at(0), 2, 1.0, 5)], [(2, at(30), 3, 1.0, 6)], [(2, at(31), 4, 1.0, 7)], [(1, at(32), 5, 1.0, 9), (2, at(32), 6, 1.0, 9)]]
-    got = {r.seq: r.step for r in feed(lambda s: volume_steps(s, 10), batches).collect()}
-    assert got[1] is None and got[5] is None and got[4] == 1 and got[6] == 2
-
-
-def test_stream_features_equal_the_batch(feed, spark):
-    rows = [(s, at(i), 10 * i + s, float((7 * i + s) % 11), 0) for i in range(20) for s in (1, 2)]
-    got = feed(lambda s: stream_features(s.withColumn("symbol", F.col("symbol").cast("string"))), [rows[:13], rows[13:14], rows[14:]])
-    want = batch_features(spark.createDataFrame(rows, SCHEMA).withColumn("symbol", F.col("symbol").cast("string")))
-    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and want.where("average is null").count() == 8
+    """Whether its rows come in one batch or in several."""
+    batches = [[(1, at(0), 1, 1.0, 5), (2, at(0), 2, 1.0, 5)], [(2, at(9), 3, 1.0, 6), (2, at(18), 4, 1.0, 7), (3, at(18), 7, 1.0, 1), (3, at(40), 8, 1.0, 2), (3, at(41), 9, 1.0, 5)], [(1, at(42), 5, 1.0, 9), (2, at(28), 6, 1.0, 9)], [END]]
+    got = {r.seq: r.step for r in feed(lambda s: volume_steps(s, 10, "30 minutes"), batches).collect()}
+    assert got == {1: None, 2: None, 3: 1, 4: 1, 5: None, 6: 2, 7: None, 8: None, 9: 3}
 
 
 def test_decision_cycles(spark, tmp_path):

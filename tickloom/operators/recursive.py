@@ -79,14 +79,15 @@ def _entered(names: list[str], part: list[str]):
     return run
 
 
-def smoothed(df: DataFrame, by: list[str], part: str, step: str, averages: dict[str, Average], steps: int = 1440, places: bool = False) -> DataFrame:
+def smoothed(df: DataFrame, by: list[str], part: str, step: str, averages: dict[str, Average], steps: int = 1440, places: bool = False, states: bool = False) -> DataFrame:
     """df (with `gap` = 1 where a row follows a gap) with recursive averages by name.
 
     Rows of a group go by part, then step, a whole number below `steps` that is
     unique in its part. The state goes on from part to part and starts anew after a
     gap. A null value leaves the state and is null itself, unless held; so are the
     first n - 1 known values of a run. places: also `run` and `place`, the number of gaps before
-    a row in its group and its place in the run. Long parts are cut at fixed steps
+    a row in its group and its place in the run. states: also what `Fold` would hold
+    after the row, as n_<name> and s_<name>. Long parts are cut at fixed steps
     where powers of a heavy weight would not fit in a double.
     """
     names = sorted(averages)
@@ -137,6 +138,8 @@ def smoothed(df: DataFrame, by: list[str], part: str, step: str, averages: dict[
         value = F.pow(keep[c], F.col(f"__m_{c}")) * (sums + F.when(first, F.col(f"__s_{c}")).otherwise(0.0))
         shown = F.col(f"__place_{c}") >= averages[c].n
         out.append(F.when(shown if averages[c].hold else shown & F.col(f"__x_{c}").isNotNull(), value).alias(c))
+        if states:
+            out += [F.col(f"__place_{c}").alias(f"n_{c}"), F.coalesce(value, F.when(first, F.col(f"__s_{c}")), F.lit(0.0)).alias(f"s_{c}")]
     if places:
         out += [(F.col("__run") + F.col("__seg")).alias("run"), (F.col("__i") + F.when(first, F.col("__k_")).otherwise(0)).alias("place")]
     return placed.join(entered, key).select(*[c for c in df.columns if c not in averages], *out)

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tickloom.plans import feature_plans as fp
 from tickloom.registry import query
-from tickloom.streaming.ticks import counted, counters, decided, drained, first_seen, minute_bars, shared, stream_features, volume_steps, watched_bars
+from tickloom.sources.fixtures import view
+from tickloom.streaming.stateful import bar_averages, bar_features, volume_steps, warmed
+from tickloom.streaming.ticks import counted, counters, decided, drained, first_seen, landed, minute_bars, shared, watched_bars
 
 
 def _ticks(spark, sf, symbol):
@@ -24,12 +27,27 @@ def k1_stream_bars(spark, sf):
     return bars.withColumn("minute", F.col("minute").cast("string"))
 
 
-@query("""with m as (select user_id as symbol, event_id as seq, max(event_id // 3) over (partition by user_id order by ts, event_id rows between unbounded preceding and current row) as top, ts from events)
+#: Deliveries of a stream; minutes of a bucket, behind the newest tick, and after which a silent symbol is forgotten.
+BATCHES, BUCKET, LATE, IDLE = 4, 360, 10, 45
+
+
+def _deliveries(spark, sf):
+    """The events as a stream of several batches, in order of time."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    events = spark.read.parquet(f"{sf}/events.parquet").select(F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"), F.floor(F.col("event_id") / 3).alias("cum"))
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(landed(events, "ts", BATCHES))
+
+
+#: Readings whose bucket the watermark has passed in the end.
+_PASSED = f"""p as (select event_type as symbol, event_id as seq, ts, event_id // 3 as cum from events
+ where to_timestamp((floor(epoch(ts) / {60 * BUCKET}) + 1) * {60 * BUCKET}) at time zone 'UTC' <= (select max(ts) from events) - interval {LATE} minute)"""
+
+
+@query(f"""with {_PASSED}, m as (select *, max(cum) over (partition by symbol order by ts, seq rows between unbounded preceding and current row) as top from p)
  select symbol, seq, coalesce(top - lag(top) over (partition by symbol order by ts, seq), -1) as step from m""")
 def k4_stream_volume_steps(spark, sf):
-    """Unknown steps are -1."""
-    ticks = _ticks(spark, sf, "user_id").withColumn("cum", F.floor(F.col("seq") / 3))
-    return drained(volume_steps(ticks)).withColumn("step", F.coalesce("step", F.lit(-1)))
+    """Unknown steps are -1; rows come out once the watermark has passed their bucket."""
+    return drained(volume_steps(_deliveries(spark, sf), None, f"{LATE} minutes", BUCKET)).withColumn("step", F.coalesce("step", F.lit(-1)))
 
 
 @query("select count(*) as n, count(distinct event_id) as ids from events")
@@ -61,20 +79,41 @@ def k3_stream_counters(spark, sf):
     return spark.createDataFrame([tuple(found.values())], "n long, no_price long, unknown_volume long, late long")
 
 
-@query("""with t as (select event_type as symbol, event_id as seq, value as x, row_number() over (partition by event_type order by ts, event_id) as i from events), e as (select a.symbol, a.seq, a.i, power(2 / 3.0, a.i - 5) * avg(b.x) filter (where b.i <= 5) + coalesce(sum(power(2 / 3.0, a.i - b.i) * b.x / 3) filter (where b.i > 5), 0) as average from t a join t b on a.symbol = b.symbol and b.i <= a.i where a.i >= 5 group by 1, 2, 3)
- select t.symbol, t.seq, round(average, 6) as average, case when t.i >= 5 then round(avg(x) over (partition by t.symbol order by t.i rows 4 preceding), 6) end as mean, round(x / nullif(lag(x) over (partition by t.symbol order by t.i), 0) - 1, 5) + 0.0 as change from t left join e on t.symbol = e.symbol and t.i = e.i""")
-def k5_stream_features(spark, sf):
-    """Features by a fold whose state goes on from batch to batch."""
-    f = drained(stream_features(_ticks(spark, sf, "event_type")))
-    return f.select("symbol", "seq", F.round("average", 6).alias("average"), F.round("mean", 6).alias("mean"), (F.round("change", 5) + 0.0).alias("change"))
+#: The session from which bars come as a stream; those before it only warm the state.
+LIVE = "2024-01-11"
+_AVERAGES = bar_averages(fp.SHORT, fp.LONG, fp.RANGE)
+OPENING, ANCHOR = 2, 1
+_JOIN = "(symbol, session, hr)"
 
 
-@query("""with m as (select user_id as symbol, event_id as seq, max(event_id // 3) over (partition by user_id order by ts, event_id rows between unbounded preceding and current row) as top, ts from events)
- select symbol, seq, coalesce(top - lag(top) over (partition by symbol order by ts, seq), -1) as step from m""")
+def _batch_sql(name: str) -> str:
+    from tickloom.registry import ORACLES
+
+    return ORACLES[name]
+
+
+@query(f"""with a as ({_batch_sql("e2_ema")}), b as ({_batch_sql("e4_rsi")}), c as ({_batch_sql("e7_atr")}), d as ({_batch_sql("e12_session_context")}),
+ n as (select symbol, max(session) as newest from a group by symbol)
+ select a.*, rsi, true_range, atr, s_open, s_high, s_low, s_volume, or_high, or_low from a join b using {_JOIN} join c using {_JOIN} join d using {_JOIN}
+ where session >= '{LIVE}' and cast(session as timestamp) + to_hours(cast(hr + 1 as bigint)) <= (select max(cast(session as timestamp) + to_hours(cast(hr as bigint))) from a)""")
+def k5_stream_features(spark, sf):
+    """Bars of later sessions as a stream of several batches, from states that the sessions before it leave: the rows of the batch queries of averages, strength, range and session context."""
+    steps = 24
+    bars = fp.bars_in_runs(spark, sf, "close").withColumn("ts", F.col("bar_start").cast("timestamp")).withColumn("seq", F.datediff("session", F.lit("1970-01-01")) * steps + F.col("hr"))
+    old, new = bars.where(F.col("session") < LIVE), bars.where(F.col("session") >= LIVE).select("symbol", "ts", "seq", "open", "high", "low", "close", "volume")
+    stream = spark.readStream.schema(new.schema).option("maxFilesPerTrigger", 1).parquet(landed(new, "ts", BATCHES))
+    f = drained(bar_features(stream, _AVERAGES, steps, OPENING, ANCHOR, "0 seconds", 3600, warmed(old, _AVERAGES, steps, OPENING)))
+    day = F.date_add(F.lit("1970-01-01"), F.floor(F.col("seq") / steps).cast("int"))
+    exact = ("s_open", "s_high", "s_low", "s_volume", "or_high", "or_low")
+    return f.select("symbol", day.cast("string").alias("session"), (F.col("seq") % steps).cast("int").alias("hr"), fp.r6("short").alias("ema_short"), fp.r6("long").alias("ema_long"), fp.r6("rsi").alias("rsi"), fp.r6("true_range").alias("true_range"), fp.r6("atr").alias("atr"), *exact)
+
+
+@query(f"""with {_PASSED}, g as (select *, coalesce(ts - lag(ts) over (partition by symbol order by ts, seq) > interval {IDLE} minute, true) as anew from p),
+ i as (select *, sum(anew::int) over (partition by symbol order by ts, seq) as island from g), m as (select *, max(cum) over (partition by symbol, island order by ts, seq rows between unbounded preceding and current row) as top from i)
+ select symbol, seq, coalesce(top - lag(top) over (partition by symbol, island order by ts, seq), -1) as step from m""")
 def k9_state_eviction(spark, sf):
-    """Steps whose state goes when its symbol is silent for a day; within one batch nothing goes yet (tests feed several)."""
-    ticks = _ticks(spark, sf, "user_id").withColumn("cum", F.floor(F.col("seq") / 3))
-    return drained(volume_steps(ticks, 24 * 60, "10 minutes")).withColumn("step", F.coalesce("step", F.lit(-1)))
+    """Steps whose state goes when its symbol is silent for three quarters of an hour: its next reading is a first one again."""
+    return drained(volume_steps(_deliveries(spark, sf), IDLE, f"{LATE} minutes", BUCKET)).withColumn("step", F.coalesce("step", F.lit(-1)))
 
 
 @query("""with b as (select event_type as symbol, date_trunc('hour', ts) as cycle, min_by(value, (ts, event_id)) as o, max_by(value, (ts, event_id)) as c, count(*) as n from events where value > 0 group by 1, 2), s as (select *, c / o - 1 as score from b where n >= 2 and symbol <> 'error'), k as (select *, row_number() over (partition by cycle order by abs(score) desc, symbol) as place from s)

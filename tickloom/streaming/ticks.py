@@ -5,12 +5,12 @@ from __future__ import annotations
 import json
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from tickloom.streaming.stateful import rocks
 
 
 def minute_bars(ticks: DataFrame, late: str) -> DataFrame:
@@ -56,107 +56,6 @@ def counters(progress: list[dict], name: str = "ticks") -> dict[str, int]:
     return out
 
 
-def _sorted_rows(batches: Iterator[pd.DataFrame]) -> pd.DataFrame | None:
-    held = [b for b in batches if len(b)]
-    return pd.concat(held, ignore_index=True).sort_values(["ts", "seq"], kind="stable") if held else None
-
-
-def _evicts(state: GroupState, last: pd.Timestamp | None, idle_ms: int | None) -> bool:
-    """True where the state of a silent group has just gone; else sets when it will go."""
-    if state.hasTimedOut:
-        state.remove()
-        return True
-    if idle_ms is not None and last is not None:
-        state.setTimeoutTimestamp(max(int(last.timestamp() * 1000) + idle_ms, state.getCurrentWatermarkMs() + 1))
-    return False
-
-
-def _steps(idle_ms: int | None):
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if _evicts(state, None, None):
-            return
-        rows = _sorted_rows(batches)
-        if rows is None:
-            return
-        before = state.get[0] if state.exists else None
-        top = rows["cum"].cummax()
-        if before is not None:
-            top = top.clip(lower=before)
-        step = top.diff()
-        step.iloc[0] = None if before is None else top.iloc[0] - before
-        state.update((int(top.iloc[-1]),))
-        _evicts(state, rows["ts"].iloc[-1], idle_ms)
-        yield pd.DataFrame({"symbol": key[0], "seq": rows["seq"], "step": step.astype("Int64")})
-
-    return run
-
-
-def volume_steps(ticks: DataFrame, idle_minutes: int | None = None, late: str = "0 minutes") -> DataFrame:
-    """(symbol, seq, step): how far each reading of (symbol, ts, seq, cum) lies above the highest before it in its symbol.
-
-    The first reading's step is unknown (null); readings that fall back add 0.
-    The highest reading is kept per symbol from batch to batch; with
-    idle_minutes, that of a symbol which is silent for so long (by the watermark)
-    is dropped, and its next reading is a first one again.
-    """
-    if idle_minutes is None:
-        return ticks.groupBy("symbol").applyInPandasWithState(_steps(None), "symbol long, seq long, step long", "top long", "append", GroupStateTimeout.NoTimeout)
-    timed = ticks.withWatermark("ts", late)
-    return timed.groupBy("symbol").applyInPandasWithState(_steps(idle_minutes * 60_000), "symbol long, seq long, step long", "top long", "append", GroupStateTimeout.EventTimeTimeout)
-
-
-#: Values that a rolling mean holds, and the weight of the recursive one.
-HELD, WEIGHT = 5, 2 / 6
-
-
-def fold(state: tuple | None, prices: list[float]) -> tuple[tuple, list[tuple]]:
-    """One step a price over (n, average, last prices): the state after all, and (average, rolling mean, return) for each. The batch and the stream fold alike."""
-    n, average, last = state or (0, 0.0, [])
-    last, out = list(last), []
-    for x in prices:
-        change = x / last[-1] - 1 if last and last[-1] else None
-        last = [*last, x][-HELD:]
-        n += 1
-        if n <= HELD:
-            average = sum(last) / n
-        else:
-            average += WEIGHT * (x - average)
-        out.append((average if n >= HELD else None, sum(last) / HELD if n >= HELD else None, change))
-    return (n, average, last), out
-
-
-_FOLDED = "symbol string, seq long, average double, mean double, change double"
-
-
-def _frame(symbol: str, rows: pd.DataFrame, out: list[tuple]) -> pd.DataFrame:
-    values = pd.DataFrame(out, columns=["average", "mean", "change"], dtype="float64").astype(object)
-    return pd.DataFrame({"symbol": symbol, "seq": rows["seq"].to_numpy()}).join(values.where(values.notna(), None))
-
-
-def _folded(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    rows = _sorted_rows(batches)
-    if rows is None:
-        return
-    after, out = fold(state.get if state.exists else None, rows["price"].tolist())
-    state.update(after)
-    yield _frame(key[0], rows, out)
-
-
-def stream_features(ticks: DataFrame) -> DataFrame:
-    """Features of each tick (symbol, ts, seq, price) by `fold`, the state kept per symbol from batch to batch."""
-    return ticks.groupBy("symbol").applyInPandasWithState(_folded, _FOLDED, "n long, average double, last array<double>", "append", GroupStateTimeout.NoTimeout)
-
-
-def batch_features(ticks: DataFrame) -> DataFrame:
-    """The same features of a table at rest."""
-
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["ts", "seq"], kind="stable")
-        return _frame(key[0], rows, fold(None, rows["price"].tolist())[1])
-
-    return ticks.groupBy("symbol").applyInPandas(run, _FOLDED)
-
-
 def decisions(ticks: DataFrame, context: DataFrame, each: str, most: int) -> DataFrame:
     """Ranked picks of each cycle of a batch of ticks: bars, their context (symbol, allowed), complete inputs, score, places."""
     at = F.struct("ts", "seq")
@@ -188,12 +87,23 @@ def shared(spark: SparkSession) -> str:
     return f"{top}/stream-{uuid.uuid4().hex}"
 
 
+def landed(rows: DataFrame, at: str, batches: int, files: int = 1) -> str:
+    """Writes rows in order of `ts` as so many deliveries of so many files each, and gives their folder: a stream with maxFilesPerTrigger = files reads a delivery a batch."""
+    spark, folder = rows.sparkSession, f"{shared(rows.sparkSession)}/in"
+    cuts = rows.agg(F.percentile_approx(at, [i / batches for i in range(1, batches)], 10_000).alias("c")).first()["c"] or []
+    for low, high in zip([None, *cuts], [*cuts, None], strict=True):
+        part = rows.where((F.lit(True) if low is None else F.col(at) > low) & (F.lit(True) if high is None else F.col(at) <= high))
+        part.repartition(files).write.mode("append").parquet(folder)
+    return folder
+
+
 def drained(stream: DataFrame, progress: list | None = None) -> DataFrame:
     """All that a stream gives for the input that is there now, in files of the shared folder; progress takes the reports of its batches."""
     spark: SparkSession = stream.sparkSession
     at = shared(spark)
-    query = stream.writeStream.format("parquet").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).outputMode("append").start(f"{at}/rows")
-    query.awaitTermination()
+    with rocks(spark):
+        query = stream.writeStream.format("parquet").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).outputMode("append").start(f"{at}/rows")
+        query.awaitTermination()
     if progress is not None:
         progress += [p if isinstance(p, dict) else json.loads(p.json) for p in query.recentProgress]
     return spark.read.schema(stream.schema).parquet(f"{at}/rows")
