@@ -10,6 +10,7 @@ import hashlib
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -21,8 +22,8 @@ from .common import small_batches, stored, table
 #: Bytes of text whose links share a table of id pairs; a longer text is a block of its own.
 BLOCK_BYTES = 16 << 20
 #: Parts of texts that a worker keeps the ids of.
-_CACHE = 400_000
-#: Groups that are hashed at once.
+_CACHE = 300_000
+#: Parts whose groups are hashed at once.
 _PIECES = 10_000
 
 
@@ -35,13 +36,27 @@ class Paths:
     pieces: str
 
 
+@dataclass(frozen=True, slots=True)
+class Aligned:
+    """A stretch of text that both tokenizers begin and end at: numbers of tokens and groups, `a1,a2|b1;a3|b2,b3`, and the linked id pairs as unsigned 32-bit numbers, a * pieces of B + b."""
+
+    n_a: int
+    n_b: int
+    n_groups: int
+    groups: str
+    links: bytes
+
+
+_NONE = Aligned(0, 0, 0, "", b"")
+
+
 class Tokenizers:
-    """Ids of both tokenizers and the lengths of their tokens in bytes.
+    """Aligned ids of both tokenizers.
 
     Neither makes tokens across a single space between two other characters, so
-    that the parts of a text between such spaces are encoded once and kept. Texts
-    with other white space beside spaces are encoded whole. Strings of special
-    tokens are plain text to both.
+    that the parts of a text between such spaces are encoded and aligned once, all
+    new ones of a text in one pass, and kept. Texts with other white space beside
+    spaces are one part. Strings of special tokens are plain text to both.
     """
 
     def __init__(self, paths: Paths) -> None:
@@ -60,37 +75,56 @@ class Tokenizers:
             self.bytes_a[i] = token
         self.bytes_b = [self._piece(i) for i in range(self.b.get_piece_size())]
         self.size_a, self.size_b = (np.array(list(map(len, x)), np.int32) for x in (self.bytes_a, self.bytes_b))
+        self.texts = [str(i) for i in range(max(len(self.bytes_a), len(self.bytes_b)))]
         self.odd = re.compile(r"\s\s| $")
-        self.cache: dict[str, tuple[bytes, bytes]] = {}
+        self.cache: dict[str, Aligned] = {}
 
     def _piece(self, i: int) -> bytes:
         p = self.b.id_to_piece(i)
         return bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode()
 
-    def _checked(self, text: str, a: list[int], b: list[int]) -> tuple[bytes, bytes]:
+    def _same(self, text: str, a: list[int], b: list[int]) -> bool:
         want = (" " + text).encode()
-        same = b"".join([self.bytes_a[i] for i in a]) == want == b"".join([self.bytes_b[i] for i in b])
-        return (np.array(a, "<u2").tobytes(), np.array(b, "<u2").tobytes()) if same else (b"", b"")
-
-    def _encoded(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
-        return list(map(self._checked, texts, [self.a.encode_ordinary(" " + t) for t in texts], self.b.encode(texts, num_threads=1)))
-
-    def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of A over a space and the text, and of B over the text; none if the bytes of either differ from the former's."""
+        return b"".join([self.bytes_a[i] for i in a]) == want == b"".join([self.bytes_b[i] for i in b])
+
+    def aligned(self, texts: list[str]) -> list[Aligned]:
+        """Each text's alignment, by one pass over the ends of all their tokens; no tokens where the bytes of A or B aren't a space and the text."""
+        ids = list(zip(texts, [self.a.encode_ordinary(" " + t) for t in texts], self.b.encode(texts, num_threads=1), strict=True))
+        ids = [(a, b) if self._same(t, a, b) else ((), ()) for t, a, b in ids]
+        a, b = (np.fromiter(chain.from_iterable(x[k] for x in ids), np.int32) for k in (0, 1))
+        left, right, ends, groups = array("i"), array("i"), array("i"), []
+        text_a, text_b = [self.texts[i] for i in a.tolist()], [self.texts[i] for i in b.tolist()]
+        for i, j, n, m in runs(np.cumsum(self.size_a[a], dtype=np.int32), np.cumsum(self.size_b[b], dtype=np.int32), left, right):
+            if m == 0:
+                groups += [f"{x}|{y}" for x, y in zip(text_a[i : i + n], text_b[j : j + n], strict=True)]
+                ends.extend(range(i + 1, i + n + 1))
+            else:
+                groups.append(",".join(text_a[i : i + n]) + "|" + ",".join(text_b[j : j + m]))
+                ends.append(i + n)
+        at = np.frombuffer(left, np.int32)
+        links = a[at].astype("<u4") * np.uint32(len(self.bytes_b)) + b[np.frombuffer(right, np.int32)].astype("<u4")
+        stops = np.cumsum([len(x) for x, _ in ids])
+        group_stops, link_stops = np.searchsorted(np.frombuffer(ends, np.int32), stops, side="right").tolist(), np.searchsorted(at, stops).tolist()
+        out, g, k = [], 0, 0
+        for (x, y), g1, k1 in zip(ids, group_stops, link_stops, strict=True):
+            out.append(Aligned(len(x), len(y), g1 - g, ";".join(groups[g:g1]), links[k:k1].tobytes()) if x else _NONE)
+            g, k = g1, k1
+        return out
+
+    def __call__(self, text: str | None) -> list[Aligned]:
+        """The alignments of a text's parts; none if the bytes of A or B differ from a space and the text."""
         if not text:
-            parts = []
-        elif self.odd.search(" " + text):
-            parts = self._encoded([text])
+            return []
+        if self.odd.search(" " + text):
+            parts = self.aligned([text])
         else:
             words, cache = text.split(" "), self.cache
             if len(cache) > _CACHE:
                 cache.clear()
             if new := list(set(words).difference(cache)):
-                cache.update(zip(new, self._encoded(new), strict=True))
+                cache.update(zip(new, self.aligned(new), strict=True))
             parts = [cache[w] for w in words]
-            if (b"", b"") in parts:
-                parts = []
-        return np.frombuffer(b"".join([a for a, _ in parts]), "<u2"), np.frombuffer(b"".join([b for _, b in parts]), "<u2")
+        return [] if _NONE in parts else parts
 
 
 def runs(ends_a: np.ndarray, ends_b: np.ndarray, left: array, right: array) -> Iterator[tuple[int, int, int, int]]:
@@ -144,25 +178,6 @@ def runs(ends_a: np.ndarray, ends_b: np.ndarray, left: array, right: array) -> I
         i, j = p + 1, q + 1
 
 
-def aligned(a: np.ndarray, b: np.ndarray, ends_a: np.ndarray, ends_b: np.ndarray, texts: list[str]) -> tuple[int, str, np.ndarray, np.ndarray]:
-    """Number of groups, hash of `a1,a2|b1;a3|b2,b3`, and the places in a and b of all links. texts: ids as text."""
-    groups, out, written = 0, [], hashlib.sha256()
-    left, right = array("i"), array("i")
-    text_a, text_b = [texts[x] for x in a.tolist()], [texts[y] for y in b.tolist()]
-    for i, j, n, m in runs(ends_a, ends_b, left, right):
-        if m == 0:
-            groups += n
-            out += [f"{x}|{y}" for x, y in zip(text_a[i : i + n], text_b[j : j + n], strict=True)]
-        else:
-            groups += 1
-            out.append(",".join(text_a[i : i + n]) + "|" + ",".join(text_b[j : j + m]))
-        if len(out) >= _PIECES:
-            written.update((";".join(out) + ";" * (i + n < len(a))).encode())
-            out = []
-    written.update(";".join(out).encode())
-    return groups, written.hexdigest(), np.frombuffer(left, np.int32), np.frombuffer(right, np.int32)
-
-
 _DOCS = "block long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs binary, counts binary, a array<int>, b array<int>, n array<long>"
 _COLUMNS = [c.split()[0] for c in _DOCS.split(", ")]
 
@@ -174,14 +189,13 @@ def _aligner(paths: Paths, block_bytes: int):
         from pyspark import TaskContext
 
         both = Tokenizers(paths)
-        texts = [str(i) for i in range(max(len(both.size_a), len(both.size_b)))]
         base, number = TaskContext.get().partitionId() << 32, 0
         held: list[tuple] = []
         keys: list[np.ndarray] = []
         size = 0
 
         def block() -> pd.DataFrame:
-            found, places = np.unique(np.concatenate([np.empty(0, np.int64), *keys]), return_inverse=True)
+            found, places = np.unique(np.concatenate([np.empty(0, np.uint32), *keys]), return_inverse=True)
             rows, at = [], 0
             for (doc, *rest), own in zip(held, keys, strict=True):
                 pairs, n = np.unique(places[at : at + len(own)], return_counts=True)
@@ -189,16 +203,18 @@ def _aligner(paths: Paths, block_bytes: int):
                 rows.append((base + number, doc, *rest, pairs.astype("<u4").tobytes(), n.astype("<u4").tobytes(), None, None, None))
             if len(found):
                 n = np.bincount(places, minlength=len(found))
-                rows.append((base + number, None, 0, 0, 0, 0, None, None, None, found // len(both.size_b), found % len(both.size_b), n))
+                rows.append((base + number, None, 0, 0, 0, 0, None, None, None, (found // len(both.size_b)).astype(np.int32), (found % len(both.size_b)).astype(np.int32), n))
             return pd.DataFrame(rows, columns=_COLUMNS).astype({"doc_id": "Int64"})
 
         for pdf in batches:
             for doc, text in zip(pdf["doc_id"], pdf["text"], strict=True):
-                a, b = both(text if isinstance(text, str) else None)
-                n, groups, left, right = aligned(a, b, np.cumsum(both.size_a[a], dtype=np.int32), np.cumsum(both.size_b[b], dtype=np.int32), texts)
-                held.append((doc, len(a), len(b), n, len(left), groups if n else ""))
-                keys.append(a[left].astype(np.int64) * len(both.size_b) + b[right])
-                size += 4 * len(a) + 64
+                parts = both(text if isinstance(text, str) else None)
+                keys.append(np.frombuffer(b"".join([p.links for p in parts]), "<u4"))
+                written = hashlib.sha256()
+                for k in range(0, len(parts), _PIECES):
+                    written.update(((";" if k else "") + ";".join([p.groups for p in parts[k : k + _PIECES]])).encode())
+                held.append((doc, *(sum([getattr(p, c) for p in parts]) for c in ("n_a", "n_b", "n_groups")), len(keys[-1]), written.hexdigest() if parts else ""))
+                size += 4 * len(keys[-1]) + 64
                 if size >= block_bytes:
                     yield block()
                     held, keys, size, number = [], [], 0, number + 1
