@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.plans.feature_plans import DAY, KEY, keyed, r6
+from tickloom.operators.chains import first_outside, followed, numbered
 from tickloom.registry import query
 from tickloom.sources.fixtures import duck, view
 
@@ -139,24 +140,33 @@ def g11_cumulative_target(spark, sf):
 MOVE = 0.5
 
 
+def sequential_moves(bars: DataFrame, by: list[str], step: str, move: float, width: float) -> DataFrame:
+    """(by, n, reference, touch, direction): the n-th move by a share `move` off the close of the bar that ended the move before, from a group's first bar on.
+
+    direction is 1 up, -1 down, 0 if a bar touches both. Every bar's successor is
+    the first later one whose high or low lies outside its band; the first bar leads
+    to all that count. width: of the buckets of steps that a task numbers.
+    """
+    b = numbered(bars.select(*by, step, "high", "low", "close"), by, step, width, "place")
+    b = b.withColumn("above", F.col("close") * (1 + move)).withColumn("below", F.col("close") * (1 - move))
+    linked = first_outside(b, by, "place", "low", "high", "below", "above")
+    reached = followed(linked, by, "place", "__to", b.groupBy(*by).agg(F.min("place").alias("place")))
+    there = b.select(*by, F.col("place").alias("__to"), F.col(step).alias("touch"), F.col("high").alias("top"), F.col("low").alias("bottom"))
+    moves = linked.join(reached, [*by, "place"]).join(there, [*by, "__to"])
+    way = (F.col("top") >= F.col("above")).cast("int") - (F.col("bottom") <= F.col("below")).cast("int")
+    return moves.select(*by, (F.col("n") + 1).cast("int").alias("n"), F.col(step).alias("reference"), "touch", way.alias("direction"))
+
+
+
 @query(duck(f"""with recursive s as (select symbol, session, min(hr) as hr from bars group by 1, 2),
  r as (select symbol, session, hr, 0 as n, cast(null as int) as before from s union all
    select r.symbol, r.session, (select min(f.hr) from bars f, bars a where a.symbol = r.symbol and a.session = r.session and a.hr = r.hr and f.symbol = r.symbol and f.session = r.session and f.hr > r.hr and (f.high >= a.close * {1 + MOVE} or f.low <= a.close * {1 - MOVE})), r.n + 1, r.hr from r where r.hr is not null)
  select r.symbol, cast(r.session as varchar) as session, r.n, r.before as reference, r.hr as touch, (case when f.high >= a.close * {1 + MOVE} then 1 else 0 end) - (case when f.low <= a.close * {1 - MOVE} then 1 else 0 end) as direction
  from r join bars a on a.symbol = r.symbol and a.session = r.session and a.hr = r.before join bars f on f.symbol = r.symbol and f.session = r.session and f.hr = r.hr where r.n > 0""").replace("with bars as", "with recursive bars as").replace(", recursive s as", ", s as"))
 def g12_sequential_moves(spark, sf):
-    """Moves of a share, each measured from the bar that ended the last: a fold over the bars of a session, which bound its array."""
-    row = F.struct("hr", "high", "low", "close")
-    d = view(spark, sf, "bars").groupBy(*DAY).agg(F.sort_array(F.collect_list(row)).alias("rows"))
-    start = F.struct(F.col("rows")[0]["hr"].alias("ref"), F.col("rows")[0]["close"].alias("base"), F.array().cast("array<struct<reference:int,touch:int,direction:int>>").alias("moves"))
-
-    def step(acc, x):
-        up, down = x["high"] >= acc["base"] * (1 + MOVE), x["low"] <= acc["base"] * (1 - MOVE)
-        move = F.struct(acc["ref"].alias("reference"), x["hr"].alias("touch"), (up.cast("int") - down.cast("int")).alias("direction"))
-        return F.when(up | down, F.struct(x["hr"].alias("ref"), x["close"].alias("base"), F.concat(acc["moves"], F.array(move)).alias("moves"))).otherwise(acc)
-
-    moves = d.select(*DAY, F.posexplode(F.aggregate(F.slice("rows", 2, F.size("rows")), start, step)["moves"]).alias("n", "m"))
-    return moves.select("symbol", F.col("session").cast("string").alias("session"), (F.col("n") + 1).alias("n"), "m.reference", "m.touch", "m.direction")
+    """Moves of a share, each measured from the bar that ended the last."""
+    moves = sequential_moves(view(spark, sf, "bars"), DAY, "hr", MOVE, 24)
+    return moves.select("symbol", F.col("session").cast("string").alias("session"), "n", "reference", "touch", "direction")
 
 
 #: Last bar of the opening range, last entry, deadline.

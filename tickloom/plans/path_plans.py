@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions.scalars import safe_divide
+from tickloom.operators.chains import first_outside, followed, numbered
 from tickloom.operators.recursive import exponential
 from tickloom.operators.windows import full, over, segments
 from tickloom.plans.feature_plans import _BY, _RUNS, _SEG, DAY, KEY, RUNS, _average_sql, averaged, bars_in_runs, keyed, r0, r6
@@ -206,24 +207,29 @@ FACTOR_TOLERANCE = 0.4
 
 
 @query(duck(f"""with recursive d as (select symbol, idx, close / 1999 as ratio from daily), r as (select symbol, min(idx) as first_, 0 as n from d group by 1 union all
-   select r.symbol, (select min(b.idx) from d b, d a where a.symbol = r.symbol and a.idx = r.first_ and b.symbol = r.symbol and b.idx > r.first_ and abs(b.ratio / a.ratio - 1) > {FACTOR_TOLERANCE}), r.n + 1 from r where r.first_ is not null),
+   select r.symbol, (select min(b.idx) from d b, d a where a.symbol = r.symbol and a.idx = r.first_ and b.symbol = r.symbol and b.idx > r.first_ and (b.ratio < a.ratio * {1 - FACTOR_TOLERANCE} or b.ratio > a.ratio * {1 + FACTOR_TOLERANCE})), r.n + 1 from r where r.first_ is not null),
  s as (select symbol, n, first_, lead(first_) over (partition by symbol order by n) as next_ from r where first_ is not null)
  select s.symbol, s.n + 1 as n, s.first_ as first_idx, max(d.idx) as last_idx, count(*) as samples, round(min_by(ratio, idx), 6) as ratio from s join d on d.symbol = s.symbol and d.idx >= s.first_ and (next_ is null or d.idx < next_) group by 1, 2, 3""").replace("with bars as", "with bars as").replace("with daily as", "with recursive daily as").replace(", recursive d as", ", d as"))
 def e38_factor_segments(spark, sf):
-    """Runs of a ratio that stay near their first value: an ordered fold over a symbol's samples, one a session."""
+    """Runs of a ratio that stay near their first value."""
     d = view(spark, sf, "daily").select("symbol", "idx", (F.col("close") / 1999).alias("ratio"))
-    g = d.groupBy("symbol").agg(F.sort_array(F.collect_list(F.struct("idx", "ratio"))).alias("xs"))
-    segment = lambda first, last, n, ratio: F.struct(first.alias("first_idx"), last.alias("last_idx"), n.cast("long").alias("samples"), ratio.alias("ratio"))
-    kind = "array<struct<first_idx:int,last_idx:int,samples:long,ratio:double>>"
-
-    def step(acc, x):
-        last = F.element_at(acc, -1)
-        same = (F.size(acc) > 0) & (F.abs(x["ratio"] / F.try_element_at(acc, F.lit(-1))["ratio"] - 1) <= FACTOR_TOLERANCE)
-        grown = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(segment(last["first_idx"], x["idx"], last["samples"] + 1, last["ratio"])))
-        return F.when(same, grown).otherwise(F.concat(acc, F.array(segment(x["idx"], x["idx"], F.lit(1), x["ratio"])))).cast(kind)
-
-    s = g.select("symbol", F.posexplode(F.aggregate("xs", F.array().cast(kind), step)).alias("k", "s"))
-    return s.select("symbol", (F.col("k") + 1).alias("n"), "s.first_idx", "s.last_idx", "s.samples", r6(F.col("s.ratio")).alias("ratio"))
+    return factor_segments(d, ["symbol"], "idx", "ratio", FACTOR_TOLERANCE, 64).select("symbol", "n", "first_idx", "last_idx", "samples", r6("ratio").alias("ratio"))
+
+
+def factor_segments(df: DataFrame, by: list[str], at: str, ratio: str, tolerance: float, width: float) -> DataFrame:
+    """(by, n, first_<at>, last_<at>, samples, ratio) of the n-th segment: samples in order of `at` whose ratio is off the segment's first by a share of `tolerance` at most.
+
+    A sample's successor is the first later one outside its band; the first sample
+    leads to the first of each segment. Samples without a ratio are left out.
+    """
+    rows = numbered(df.where(F.col(ratio).isNotNull()).select(*by, at, ratio), by, at, width, "place")
+    ends = [F.col(ratio) * (1 - tolerance), F.col(ratio) * (1 + tolerance)]
+    linked = first_outside(rows.withColumn("below", F.least(*ends)).withColumn("above", F.greatest(*ends)), by, "place", ratio, ratio, "below", "above", strict=True)
+    starts = followed(linked, by, "place", "__to", rows.groupBy(*by).agg(F.min("place").alias("place")))
+    total = rows.groupBy(*by).agg((F.max("place") + 1).alias("__all"))
+    s = linked.join(starts, [*by, "place"]).join(total, by).withColumn("__end", F.coalesce("__to", "__all"))
+    last = rows.select(*by, (F.col("place") + 1).alias("__end"), F.col(at).alias(f"last_{at}"))
+    return s.join(last, [*by, "__end"]).select(*by, (F.col("n") + 1).cast("int").alias("n"), F.col(at).alias(f"first_{at}"), f"last_{at}", (F.col("__end") - F.col("place")).cast("long").alias("samples"), ratio)
 
 
 #: Slope and offset of a vendor's prices are fitted where a day's span is so large a share of its close.

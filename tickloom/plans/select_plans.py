@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tickloom.plans.feature_plans import DAY, r6
 from tickloom.plans.rule_plans import charges
+from tickloom.operators.chains import followed, next_at_or_after
 from tickloom.registry import query
 from tickloom.sources.fixtures import duck, view
 
@@ -40,16 +41,19 @@ def f12_percentile_ranks(spark, sf):
     return x.select("event_id", F.when(known & (n > 1), r6(place / (n - 1))).alias("pct"))
 
 
-def without_overlap(df: DataFrame, by: list[str], entry: str, exit_: str) -> DataFrame:
-    """(by, entry, exit) of what is taken in order of entry, each at or after the exit of the last: a fold over one group, which its rows bound."""
-    g = df.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(F.col(entry).alias("a"), F.col(exit_).alias("b")))).alias("xs"))
-    kind = g.schema["xs"].dataType.simpleString()
+def without_overlap(df: DataFrame, by: list[str], entry: str, exit_: str, width: float = 1024) -> DataFrame:
+    """(by, entry, exit) of what is taken in order of entry, each at or after the exit of the last.
 
-    def step(acc, x):
-        free = (F.size(acc) == 0) | (x["a"] >= F.try_element_at(acc, F.lit(-1))["b"])
-        return F.when(free, F.concat(acc, F.array(x))).otherwise(acc)
-
-    return g.select(*by, F.explode(F.aggregate("xs", F.array().cast(kind), step)).alias("x")).select(*by, F.col("x.a").alias(entry), F.col("x.b").alias(exit_))
+    Of equal entries the earliest exit is taken; an exit not after its entry lets
+    nothing else in at that entry. Rows without entry or exit, or without a value
+    of by, are left out. Every row's successor is the next entry at or after its
+    exit; the first of a group leads to all that are taken. width: of the buckets of
+    entries that a task looks through.
+    """
+    rows = df.where(F.col(entry).isNotNull() & F.col(exit_).isNotNull()).groupBy(*by, entry).agg(F.min(exit_).alias(exit_))
+    linked = next_at_or_after(rows.withColumn("__wanted", F.greatest(F.col(exit_), F.col(entry) + 1)), by, entry, "__wanted", width)
+    taken = followed(linked, by, entry, "__to", rows.groupBy(*by).agg(F.min(entry).alias(entry)))
+    return rows.join(taken, [*by, entry]).select(*by, entry, exit_)
 
 
 @query(duck("""with recursive t as (select symbol, session, hr as a, hr + 1 + n_ticks % 5 as b from bars where close > open), r as (select symbol, session, min(a) as a, 0 as n from t group by 1, 2 union all
