@@ -8,6 +8,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tickloom.operators.isotonic import interpolated, isotonic
 from tickloom.operators.windows import average_rank, quantiles
 from tickloom.plans.feature_plans import DAY, KEY, keyed, r6
 from tickloom.plans.stat_plans import _NEXT, _panel, brier, log_loss
@@ -114,3 +115,56 @@ def l2_platt_calibration(spark, sf):
     q = LogisticRegression(maxIter=50).fit(x.where("not later"))
     both = q.transform(x).select("later", "y", "p", vector_to_array("probability")[1].alias("q"))
     return both.groupBy("later").agg(F.count("*").alias("n"), r6(log_loss("p", "y")).alias("raw"), r6(log_loss("q", "y")).alias("calibrated"))
+
+
+#: Places of a score that the fit tells apart; the days that maps are fitted on end before the first, those that choose among them before the second.
+PLACES, CHOICE, USE = 2, "2024-01-15", "2024-01-22"
+
+
+@query(duck(f"""with g as (select round(p, {PLACES}) as x, count(*) as w, sum(y) as t from x7 where cast(session as varchar) < '{CHOICE}' group by 1), i as (select *, row_number() over (order by x) as k, sum(w) over (order by x) as cw, sum(t) over (order by x) as ct from g),
+ m as (select a.k as a, b.k as b, (b.ct - a.ct + a.t) / (b.cw - a.cw + a.w)::double as mean from i a join i b on b.k >= a.k),
+ lo as (select a, b as k, min(mean) over (partition by a order by b desc rows unbounded preceding) as least from m), f as (select k, max(least) as value from lo where a <= k group by k),
+ s as (select x, w, round(value, 9) as value from i join f using (k)) select min(x) as low, max(x) as high, cast(sum(w) as double) as weight, any_value(round(value, 6)) as value from s group by s.value"""))
+def l2_isotonic_fit(spark, sf):
+    """Steps of the isotonic map of scores to outcomes on the days for fitting."""
+    x = view(spark, sf, "x7").where(F.col("session").cast("string") < CHOICE).withColumn("x", F.round("p", PLACES))
+    return isotonic(x, "x", "y").withColumn("value", r6("value"))
+
+
+def calibrations(fit, score: str, outcome: str) -> dict:
+    """Maps of a score by name: as it is, logistic in its log odds, isotonic; fitted on rows with both outcomes, else the first alone."""
+    odds = lambda c: F.log(F.least(F.greatest(c, F.lit(1e-6)), F.lit(1 - 1e-6)) / (1 - F.least(F.greatest(c, F.lit(1e-6)), F.lit(1 - 1e-6))))
+    maps = {"raw": lambda df, name: df.withColumn(name, F.col(score))}
+    if fit.select(outcome).where(F.col(outcome).isNotNull()).distinct().count() < 2:
+        return maps
+    gather = VectorAssembler(inputCols=["__odds"], outputCol="__features", handleInvalid="skip")
+    model = LogisticRegression(maxIter=50, featuresCol="__features", labelCol="__label").fit(gather.transform(fit.select(odds(F.col(score)).alias("__odds"), F.col(outcome).cast("double").alias("__label"))))
+    slope, start = float(model.coefficients[0]), float(model.intercept)
+    steps = sorted((r["low"], r["high"], r["value"]) for r in isotonic(fit, score, outcome).collect())
+    maps["platt"] = lambda df, name: df.withColumn(name, 1 / (1 + F.exp(-(F.lit(start) + slope * odds(F.col(score))))))
+    maps["isotonic"] = lambda df, name: df.withColumn(name, interpolated(steps, F.col(score)))
+    return maps
+
+
+def chosen_calibration(fit, choice, score: str, outcome: str) -> tuple[dict, str, dict[str, float]]:
+    """Maps fitted on `fit`, the name of that of the least log loss on `choice` (the earlier of equal ones), and the losses. No rows to choose by: raw."""
+    maps = calibrations(fit, score, outcome)
+    names = list(maps)
+    both = choice
+    for name in names:
+        both = maps[name](both, f"__{name}")
+    r = both.agg(*[F.round(log_loss(f"__{name}", outcome), 6).alias(name) for name in names]).first()
+    losses = {name: r[name] for name in names}
+    return maps, min(names, key=lambda name: (losses[name] is None, losses[name] or 0.0)), losses
+
+
+@query()
+def l2_chosen_calibration(spark, sf):
+    """Raw, logistic or isotonic, fitted on early days and chosen by the log loss of the days after them; how each fares on the last days, and which was chosen."""
+    x = view(spark, sf, "x7").withColumn("d", F.col("session").cast("string"))
+    maps, chosen, losses = chosen_calibration(x.where(F.col("d") < CHOICE), x.where((F.col("d") >= CHOICE) & (F.col("d") < USE)), "p", "y")
+    rest, out = x.where(F.col("d") >= USE), None
+    for name in maps:
+        one = maps[name](rest, "q").agg(F.lit(name).alias("map"), F.lit(name == chosen).alias("chosen"), F.lit(losses[name]).cast("double").alias("choice_loss"), F.count("*").alias("n"), r6(log_loss("q", "y")).alias("loss"))
+        out = one if out is None else out.unionByName(one)
+    return out
