@@ -10,7 +10,7 @@ import hashlib
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -36,8 +36,7 @@ class Paths:
     pieces: str
 
 
-@dataclass(frozen=True, slots=True)
-class Aligned:
+class Aligned(NamedTuple):
     """A stretch of text that both tokenizers begin and end at: numbers of tokens and groups, `a1,a2|b1;a3|b2,b3`, and the linked id pairs as unsigned 32-bit numbers, a * pieces of B + b."""
 
     n_a: int
@@ -83,34 +82,51 @@ class Tokenizers:
         p = self.b.id_to_piece(i)
         return bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode()
 
-    def _same(self, text: str, a: list[int], b: list[int]) -> bool:
-        want = (" " + text).encode()
-        return b"".join([self.bytes_a[i] for i in a]) == want == b"".join([self.bytes_b[i] for i in b])
+    def _spelled(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids of A over a space and the text and of B over the text, if the bytes of both are the former's."""
+        want, a, b = (" " + text).encode(), self.a.encode_ordinary(" " + text), self.b.encode(text, num_threads=1)
+        if b"".join([self.bytes_a[i] for i in a]) == want == b"".join([self.bytes_b[i] for i in b]):
+            return np.array(a, np.int32), np.array(b, np.int32)
+        return None
 
     def aligned(self, texts: list[str]) -> list[Aligned]:
-        """Each text's alignment, by one pass over the ends of all their tokens; no tokens where the bytes of A or B aren't a space and the text."""
-        ids = list(zip(texts, [self.a.encode_ordinary(" " + t) for t in texts], self.b.encode(texts, num_threads=1), strict=True))
-        ids = [(a, b) if self._same(t, a, b) else ((), ()) for t, a, b in ids]
-        a, b = (np.fromiter(chain.from_iterable(x[k] for x in ids), np.int32) for k in (0, 1))
+        """Each text's alignment, by one pass over the ends of all their tokens; no tokens where the bytes of A or B aren't a space and the text.
+
+        Texts are encoded as one, with spaces between; where that can't be taken
+        apart again, each on its own.
+        """
+        ids = self._spelled(" ".join(texts))
+        if ids is None:
+            return self.aligned_each(texts)
+        a, b = ids
+        ends_a, ends_b = np.cumsum(self.size_a[a], dtype=np.int32), np.cumsum(self.size_b[b], dtype=np.int32)
+        stops = np.cumsum([len(t.encode()) + 1 for t in texts], dtype=np.int32)
+        stops_a, stops_b = np.searchsorted(ends_a, stops), np.searchsorted(ends_b, stops)
+        if not (np.array_equal(ends_a[stops_a], stops) and np.array_equal(ends_b[stops_b], stops)):
+            return self.aligned_each(texts)
         left, right, ends, groups = array("i"), array("i"), array("i"), []
         text_a, text_b = [self.texts[i] for i in a.tolist()], [self.texts[i] for i in b.tolist()]
-        for i, j, n, m in runs(np.cumsum(self.size_a[a], dtype=np.int32), np.cumsum(self.size_b[b], dtype=np.int32), left, right):
+        for i, j, n, m in runs(ends_a, ends_b, left, right):
             if m == 0:
                 groups += [f"{x}|{y}" for x, y in zip(text_a[i : i + n], text_b[j : j + n], strict=True)]
-                ends.extend(range(i + 1, i + n + 1))
+                ends.extend(range(i, i + n))
             else:
                 groups.append(",".join(text_a[i : i + n]) + "|" + ",".join(text_b[j : j + m]))
-                ends.append(i + n)
+                ends.append(i + n - 1)
         at = np.frombuffer(left, np.int32)
-        links = a[at].astype("<u4") * np.uint32(len(self.bytes_b)) + b[np.frombuffer(right, np.int32)].astype("<u4")
-        stops = np.cumsum([len(x) for x, _ in ids])
-        group_stops, link_stops = np.searchsorted(np.frombuffer(ends, np.int32), stops, side="right").tolist(), np.searchsorted(at, stops).tolist()
-        out, g, k = [], 0, 0
-        for (x, y), g1, k1 in zip(ids, group_stops, link_stops, strict=True):
-            out.append(Aligned(len(x), len(y), g1 - g, ";".join(groups[g:g1]), links[k:k1].tobytes()) if x else _NONE)
-            g, k = g1, k1
+        links = (a[at].astype("<u4") * np.uint32(len(self.bytes_b)) + b[np.frombuffer(right, np.int32)].astype("<u4")).tobytes()
+        last_group, last_link = np.searchsorted(np.frombuffer(ends, np.int32), stops_a, side="right").tolist(), np.searchsorted(at, stops_a, side="right").tolist()
+        out, x, y, g, k = [], -1, -1, 0, 0
+        for x1, y1, g1, k1 in zip(stops_a.tolist(), stops_b.tolist(), last_group, last_link, strict=True):
+            out.append(Aligned(x1 - x, y1 - y, g1 - g, ";".join(groups[g:g1]), links[4 * k : 4 * k1]))
+            x, y, g, k = x1, y1, g1, k1
         return out
 
+    def aligned_each(self, texts: list[str]) -> list[Aligned]:
+        if len(texts) > 1:
+            return [x for t in texts for x in self.aligned([t])]
+        return [_NONE]
+
     def __call__(self, text: str | None) -> list[Aligned]:
         """The alignments of a text's parts; none if the bytes of A or B differ from a space and the text."""
         if not text:
