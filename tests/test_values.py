@@ -32,6 +32,23 @@ def test_normal_and_prices():
     assert np.allclose(got[sure], v[sure], atol=1e-5) and sure.mean() > 0.9
 
 
+def test_implied_volatility_everywhere():
+    """Round trips over deep, short and wild options; prices beyond the bounds have none."""
+    rng = np.random.default_rng(2)
+    n = 20_000
+    f, k, t, v, call = rng.uniform(1, 500, n), rng.uniform(1, 500, n), rng.uniform(1e-3, 5, n), rng.uniform(0.01, 4.9, n), rng.random(n) < 0.5
+    paid = options.price(f, k, t, v, call, 0.03)
+    got = options.solve(paid, f, k, t, call, 0.03)
+    worth = options.time_value(np.abs(np.log(f / k)), v * np.sqrt(t))
+    sure = worth > 1e-6
+    assert np.allclose(got[sure], v[sure], rtol=1e-5) and sure.mean() > 0.6
+    found = np.isfinite(got)
+    again = options.price(f[found], k[found], t[found], got[found], call[found], 0.03)
+    assert np.allclose(again, paid[found], rtol=1e-9, atol=1e-9 * f[found].max())
+    assert np.isnan(options.solve(np.array([600.0, -1, 5, 5, 5]), np.array([500.0, 100, 0, 100, 100]), np.array([500.0, 100, 100, -1, 100]), np.array([1.0, 1, 1, 1, 0]), np.ones(5, bool))).all()
+    assert np.isnan(options.solve(paid[:50], f[:50], k[:50], t[:50], call[:50], 0.03, lowest=4.95)).all()
+
+
 def test_implied_volatility_of_odd_rows(spark):
     rows = [(8.0, 100.0, 100.0, 0.25, True), (0.0, 100.0, 90.0, 0.25, True), (101.0, 100.0, 90.0, 0.25, True), (None, 100.0, 90.0, 0.25, True), (5.0, 100.0, 100.0, 0.0, False), (8.0, 100.0, 100.0, 0.25, True), (5.0, 100.0, 100.0, 0.25, None)]
     df = spark.createDataFrame(rows, "p double, f double, k double, t double, c boolean")
@@ -272,6 +289,21 @@ def test_prefix_sums_and_quantiles(spark):
     assert tuple(one(windows.quantiles(rows.where("x is not null").limit(1), "x", {"a": 0.5, "b": 0.9}))) == (rows.where("x is not null").first()["x"],) * 2
 
 
+def test_grouped_quantiles(spark):
+    """A group of a million values beside small, constant, null and unknown ones."""
+    from tickloom.operators.windows import grouped_quantiles
+
+    big = spark.range(1_000_000).select(F.lit("big").alias("g"), F.lit(1).alias("h"), ((F.col("id") * 7919) % 1_000_003).cast("double").alias("x"), (F.col("id") % 3).cast("double").alias("y"))
+    rows = [("one", 1, 5.0, None), ("two", 1, 1.0, 3.0), ("two", 1, 4.0, None), ("two", 2, -1.0, 2.0), ("none", 1, None, None), (None, 1, 2.0, 1.0), (None, 1, 3.0, 1.0), (None, None, 9.0, 1.0)]
+    df = big.unionByName(spark.createDataFrame(rows, "g string, h int, x double, y double")).repartition(6)
+    wanted = {"a": ("x", 0.0), "b": ("x", 0.5), "c": ("x", 0.999), "d": ("y", 0.25), "e": ("y", 1.0)}
+    got = {(r.g, r.h): [r[k] for k in wanted] for r in grouped_quantiles(df, ["g", "h"], wanted).collect()}
+    want = {(r.g, r.h): [r[k] for k in wanted] for r in df.groupBy("g", "h").agg(*[F.percentile(c, q).alias(k) for k, (c, q) in wanted.items()]).collect()}
+    close = lambda a, b: a == b or (a is not None and b is not None and math.isclose(a, b, rel_tol=1e-12))
+    assert len(got) == len(want) == 7 and all(close(a, b) for k in want for a, b in zip(got[k], want[k], strict=True))
+    assert grouped_quantiles(df.limit(0), ["g"], wanted).collect() == []
+
+
 def test_asof_over_buckets(spark):
     from tickloom.operators.joins import asof_join
 

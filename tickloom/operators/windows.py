@@ -65,6 +65,64 @@ def quantiles(df: DataFrame, column: str, shares: dict[str, float]) -> DataFrame
     return placed.agg(*out)
 
 
+#: Copies of a group's bounds that its values are spread over.
+SALTS = 16
+
+
+def grouped_quantiles(df: DataFrame, by: list[str], wanted: dict[str, tuple[str, float]], parts: int = 64) -> DataFrame:
+    """by and the exact quantiles (interpolated) of each group: name to (column, share). Nulls don't count; a group without values has null.
+
+    Counts of values fall into parts between approximate quantiles of their group;
+    from the sizes of parts follows which of them hold the places asked for, and
+    only their values are ordered, part by part. Values of a large group are spread
+    over SALTS copies of its bounds, so that no task holds a group.
+    """
+    columns = sorted({c for c, _ in wanted.values()})
+    shares = sorted({(columns.index(c), q) for c, q in wanted.values()})
+    long = df.select(*by, F.posexplode(F.array(*[F.col(c).cast("double") for c in columns])).alias("__c", "__v"))
+    key = [*by, "__c"]
+    counts = long.where("__v is not null").groupBy(*key, "__v").agg(F.count("*").alias("__m"))
+    bounds = long.groupBy(*key).agg(F.percentile_approx("__v", F.array(*[F.lit(i / parts) for i in range(1, parts)]), 10_000).alias("__cuts"), F.count("__v").alias("__n"))
+    salted = bounds.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    placed = _same_group(counts.withColumn("__salt", F.pmod(F.xxhash64("__v"), F.lit(SALTS)).cast("int")), salted, [*key, "__salt"])
+    placed = placed.withColumn("__part", F.size(F.filter("__cuts", lambda c: c <= F.col("__v")))).drop("__cuts", "__salt")
+    line = Window.partitionBy(*key).orderBy("__part")
+    sizes = placed.groupBy(*key, "__part").agg(F.sum("__m").alias("__size"), F.first("__n").alias("__n")).withColumn("__first", F.sum("__size").over(line) - F.col("__size"))
+    place = [(F.col("__n") - 1) * q for _, q in shares]
+    inside = lambda p, first, size: (first <= F.ceil(p)) & (F.floor(p) < first + size)
+    needed = F.lit(False)
+    for (k, _), p in zip(shares, place, strict=True):
+        needed = needed | ((F.col("__c") == k) & inside(p, F.col("__first"), F.col("__size")))
+    kept = _same_group(placed.drop("__n"), sizes.where(needed).withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [*key, "__part"], salt=True)
+    own = Window.partitionBy(*key, "__part").orderBy("__v")
+    first = F.col("__first") + F.sum("__m").over(own) - F.col("__m")
+    kept = kept.select(*by, "__c", "__v", "__m", "__n", first.alias("__at"))
+
+    def at(k: int, p: Column) -> Column:
+        return F.max(F.when((F.col("__c") == k) & (F.col("__at") <= p) & (p < F.col("__at") + F.col("__m")), F.col("__v")))
+
+    out = []
+    for name, (c, q) in wanted.items():
+        k = columns.index(c)
+        p = (F.col("__n") - 1) * q
+        share = F.max(F.when(F.col("__c") == k, p - F.floor(p)))
+        low, high = at(k, F.floor(p)), at(k, F.ceil(p))
+        out.append((low + (high - low) * share).alias(name))
+    found = kept.groupBy(*by).agg(*out)
+    return _same_group(df.select(*by).distinct(), found, by, how="left").select(*by, *wanted)
+
+
+def _same_group(a: DataFrame, b: DataFrame, key: list[str], salt: bool = False, how: str = "inner") -> DataFrame:
+    """a joined with b on key, nulls being equal; salt: b has SALTS copies of each row, of which rows of a meet one."""
+    if salt:
+        a, key = a.withColumn("__salt", F.pmod(F.xxhash64("__v"), F.lit(SALTS)).cast("int")), [*key, "__salt"]
+    named = b.select(*[F.col(c).alias(f"__of_{c}") for c in key], *[c for c in b.columns if c not in key])
+    same = F.lit(True)
+    for c in key:
+        same = same & a[c].eqNullSafe(F.col(f"__of_{c}"))
+    return a.join(named, same, how).drop(*[f"__of_{c}" for c in key], *(["__salt"] if salt else []))
+
+
 def session_vwap(df: DataFrame, by: list[str], order: str, volume: str) -> DataFrame:
     """`vwap` and its deviation (`vwap_dev`, `vwap_sigma`); one unknown volume hides the rest of the session."""
     w = over(by, [order])

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-from tickloom.operators.windows import over
+from tickloom.operators.windows import grouped_quantiles, over
 from tickloom.plans.feature_plans import DAY, KEY, keyed, r6
 from tickloom.plans.option_plans import carried_total
 from tickloom.registry import query
@@ -27,8 +27,11 @@ def j3_daily_containment(spark, sf):
     """Fine bars against daily ones: range kept within a tolerance, offsets of open and close, share of the volume."""
     j = days_of(view(spark, sf, "bars")).alias("d").join(days_of(view(spark, sf, "feed")).alias("f"), DAY)
     out = (F.col("f.h") > F.col("d.h") + PRICE_TOLERANCE) | (F.col("f.l") < F.col("d.l") - PRICE_TOLERANCE)
-    off = lambda c: r6(F.median(F.abs(F.col(f"f.{c}") / F.col(f"d.{c}") - 1)))
-    return j.groupBy("symbol").agg(F.count("*").alias("sessions"), F.count_if(out).alias("outside"), off("o").alias("open_offset"), off("c").alias("close_offset"), r6(F.percentile(F.col("f.v") / F.col("d.v"), 0.99)).alias("volume_p99"), r6(F.avg((F.col("f.v") == F.col("d.v")).cast("int"))).alias("volume_exact"))
+    off = lambda c: F.abs(F.col(f"f.{c}") / F.col(f"d.{c}") - 1)
+    j = j.select("symbol", out.alias("out"), off("o").alias("open_offset"), off("c").alias("close_offset"), (F.col("f.v") / F.col("d.v")).alias("volume"), (F.col("f.v") == F.col("d.v")).cast("int").alias("exact"))
+    q = grouped_quantiles(j, ["symbol"], {"open_offset": ("open_offset", 0.5), "close_offset": ("close_offset", 0.5), "volume_p99": ("volume", 0.99)})
+    g = j.groupBy("symbol").agg(F.count("*").alias("sessions"), F.count_if("out").alias("outside"), r6(F.avg("exact")).alias("volume_exact"))
+    return g.join(q, "symbol").select("symbol", "sessions", "outside", "volume_exact", *[r6(c).alias(c) for c in ("open_offset", "close_offset", "volume_p99")])
 
 
 GAP, EXCESS = 0.5, 0.3

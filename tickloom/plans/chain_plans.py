@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tickloom.plans.feature_plans import r6
+from tickloom.operators.windows import grouped_quantiles
 from tickloom.registry import query
 from tickloom.sources.fixtures import duck, view
 
@@ -97,7 +98,8 @@ def j5_oi_identity(spark, sf):
 @query(duck(f"""with {_STRIKES} select symbol, count(*) as pairs, round(median(ce - pe), 6) as median_gap, round(quantile_cont(abs(ce - pe), 0.95), 6) as p95 from k where ce is not null and pe is not null group by symbol"""))
 def j7_parity_distribution(spark, sf):
     k = strikes(spark, sf).where("ce is not null and pe is not null").withColumn("gap", F.col("ce") - F.col("pe"))
-    return k.groupBy("symbol").agg(F.count("*").alias("pairs"), r6(F.median("gap")).alias("median_gap"), r6(F.percentile(F.abs("gap"), 0.95)).alias("p95"))
+    q = grouped_quantiles(k.withColumn("size", F.abs("gap")), ["symbol"], {"median_gap": ("gap", 0.5), "p95": ("size", 0.95)})
+    return k.groupBy("symbol").agg(F.count("*").alias("pairs")).join(q, "symbol").select("symbol", "pairs", r6("median_gap").alias("median_gap"), r6("p95").alias("p95"))
 
 
 @query(duck("""with l as (select *, extract(year from session) as y from x4), old as (select * from l where y <= 1995), new as (select * from l where y >= 1995 and symbol % 2 = 0),

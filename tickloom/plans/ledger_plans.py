@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tickloom.operators.windows import over
+from tickloom.operators.windows import grouped_quantiles, over
 from tickloom.plans.feature_plans import r6, tied
 from tickloom.registry import query
 from tickloom.sources.fixtures import duck, view
@@ -92,10 +92,15 @@ def h12_rule_scorecard(spark, sf):
     return g.crossJoin(F.broadcast(base)).select("rule", r6(F.col("n") / F.col("d")).alias("per_day"), r6("p").alias("precision_"), r6(F.col("p") / F.col("base")).alias("lift"), r6(F.col("w") / F.col("won")).alias("recall"))
 
 
-@query(duck("""select symbol, cast(extract(month from session) as int) as month, count(*) as n, round(quantile_cont(gross, 0.5) + 1e-9, 6) as median, min(round(gross, 6)) as low, max(round(gross, 6)) as high, round(avg(gross) + 1e-9, 6) as mean from x8 group by 1, 2"""))
+@query(duck("""with c as (select *, cast(extract(month from session) as int) as month, cast(round(gross * 10000) as bigint) as units from x8)
+ select symbol, month, count(*) as n, quantile_cont(units, 0.5)::double / 10000 as median, min(units) / 10000 as low, max(units) / 10000 as high, sum(units)::double / count(*) / 10000 as mean from c group by 1, 2"""))
 def h13_distribution(spark, sf):
-    return view(spark, sf, "x8").groupBy("symbol", F.month("session").alias("month")).agg(
-        F.count("*").alias("n"), tied(F.median("gross")).alias("median"), F.min(F.round("gross", 6)).alias("low"), F.max(F.round("gross", 6)).alias("high"), tied(F.avg("gross")).alias("mean"))
+    """Median, extremes and mean of gross results, counted in whole ten-thousandths."""
+    c = view(spark, sf, "x8").select("symbol", F.month("session").alias("month"), F.round(F.col("gross") * 10000).cast("bigint").alias("units"))
+    money = lambda c: c.cast("double") / 10000
+    q = grouped_quantiles(c, ["symbol", "month"], {"median": ("units", 0.5)})
+    g = c.groupBy("symbol", "month").agg(F.count("*").alias("n"), money(F.min("units")).alias("low"), money(F.max("units")).alias("high"), (F.sum("units").cast("double") / F.count("*") / 10000).alias("mean"))
+    return g.join(q, ["symbol", "month"]).withColumn("median", F.col("median") / 10000)
 
 
 @query(duck("""with k as (select *, row_number() over (partition by session order by abs(gross / entry_value) desc, symbol, trade_id) as place, count(*) over (partition by session) as n from x8)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tickloom.plans.feature_plans import DAY, r6
 from tickloom.plans.rule_plans import charges
 from tickloom.operators.chains import followed, next_at_or_after
+from tickloom.operators.windows import grouped_quantiles
 from tickloom.registry import query
 from tickloom.sources.fixtures import duck, view
 
@@ -134,8 +135,8 @@ def f23_cutoffs_from_choice(spark, sf):
     """Quantile cut-offs of an earlier period, by kind, applied to a later one; of two sides the better."""
     b = view(spark, sf, "x7").select("*", F.greatest(F.col("p"), 1 - F.col("p")).alias("best"), F.when(F.col("p") >= 0.5, 1).otherwise(-1).alias("side"), (F.col("symbol") % 5).alias("kind"))
     early = F.dayofmonth("session") <= 15
-    q = b.where(early).groupBy("kind").agg(F.percentile("best", F.array(*map(F.lit, _LEVELS))).alias("cuts"))
-    q = q.select("kind", F.explode(F.arrays_zip(F.array(*map(F.lit, _LEVELS)).alias("level"), F.col("cuts").alias("cut"))).alias("z")).select("kind", "z.level", "z.cut")
+    q = grouped_quantiles(b.where(early), ["kind"], {f"q{i}": ("best", q) for i, q in enumerate(_LEVELS)})
+    q = q.select("kind", F.explode(F.array(*[F.struct(F.lit(level).alias("level"), F.col(f"q{i}").alias("cut")) for i, level in enumerate(_LEVELS)])).alias("z")).select("kind", "z.level", "z.cut")
     j = b.where(~early).join(F.broadcast(q), "kind")  # a row for each kind and level
     over, right = F.col("best") >= F.col("cut"), (F.col("side") == 1) == (F.col("y") == 1)
     return j.groupBy("kind", "level", r6(F.col("cut")).alias("cut")).agg(F.count_if(over).alias("picks"), F.count_if(over & right).alias("hits"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tickloom.operators.windows import average_rank, prefix_sums, quantiles
+from tickloom.operators.windows import average_rank, grouped_quantiles, prefix_sums, quantiles
 from tickloom.plans.feature_plans import DAILY, daily_keyed, r6
 from tickloom.registry import query
 from tickloom.sources.fixtures import duck, view
@@ -161,7 +161,9 @@ def i15_day_log_loss_gain(spark, sf):
  select cast(slot as int) as slot, count(*) as n, round(avg(y), 6) as base_rate, round(quantile_cont(value, 0.25), 6) as p25, round(median(value), 6) as p50, round(quantile_cont(value, 0.9), 6) as p90 from h group by slot""")
 def d17_time_of_day_base_rate(spark, sf):
     x = view(spark, sf, "x1").withColumn("y", (F.col("symbol") == "error").cast("int"))
-    return x.groupBy(F.hour("ts").alias("slot")).agg(F.count("*").alias("n"), r6(F.avg("y")).alias("base_rate"), r6(F.percentile("price", 0.25)).alias("p25"), r6(F.median("price")).alias("p50"), r6(F.percentile("price", 0.9)).alias("p90"))
+    x = x.withColumn("slot", F.hour("ts"))
+    q = grouped_quantiles(x, ["slot"], {"p25": ("price", 0.25), "p50": ("price", 0.5), "p90": ("price", 0.9)})
+    return x.groupBy("slot").agg(F.count("*").alias("n"), r6(F.avg("y")).alias("base_rate")).join(q, "slot").select("slot", "n", "base_rate", *[r6(c).alias(c) for c in ("p25", "p50", "p90")])
 
 
 @query(duck("""with r as (select *, close / lag(close) over (partition by symbol order by session) - 1 as ret from daily)

@@ -7,7 +7,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.operators.windows import average_rank, over
+from tickloom.operators.windows import average_rank, grouped_quantiles, over
 from tickloom.plans.feature_plans import DAY, KEY, keyed, r6
 from tickloom.plans.label_plans import BARRIER, HORIZONS, _classes
 from tickloom.registry import query
@@ -107,8 +107,9 @@ _AT = (0.3, 0.5, 0.7)
 @query(duck(f"""with t as (select *, cast(unnest({list(_AT)}) as double) as at_ from x7) select at_ as threshold, count(*) as n, count(distinct (session, symbol)) as bars, round(count(*) / count(distinct session), 6) as per_session, round(avg(y), 6) as rate, round(avg(p - 0.4) filter (where y = 0), 6) as misses, round(quantile_cont(p, 0.25), 6) as p25, round(quantile_cont(p, 0.75), 6) as p75 from t where p >= at_ group by at_"""))
 def i19_by_threshold(spark, sf):
     t = view(spark, sf, "x7").withColumn("threshold", F.explode(F.array(*map(F.lit, _AT)))).where("p >= threshold")
-    return t.groupBy("threshold").agg(F.count("*").alias("n"), F.countDistinct("session", "symbol").alias("bars"), r6(F.count("*") / F.countDistinct("session")).alias("per_session"), r6(F.avg("y")).alias("rate"), r6(F.avg(F.when(F.col("y") == 0, F.col("p") - 0.4))).alias("misses"),
-                                      r6(F.percentile("p", 0.25)).alias("p25"), r6(F.percentile("p", 0.75)).alias("p75"))
+    q = grouped_quantiles(t, ["threshold"], {"p25": ("p", 0.25), "p75": ("p", 0.75)})
+    g = t.groupBy("threshold").agg(F.count("*").alias("n"), F.countDistinct("session", "symbol").alias("bars"), r6(F.count("*") / F.countDistinct("session")).alias("per_session"), r6(F.avg("y")).alias("rate"), r6(F.avg(F.when(F.col("y") == 0, F.col("p") - 0.4))).alias("misses"))
+    return g.join(q, "threshold").withColumn("p25", r6("p25")).withColumn("p75", r6("p75"))
 
 
 @query(duck("""with s as (select *, abs(p - 0.5) >= 0.2 as acts, case when p >= 0.5 then 1 else 0 end as call, event_id % 10 as took from x7), d as (select session, coalesce(avg(case when acts then case when call = y then exp(-took / 5.0) else -1 end end), 0) as utility from s group by session),
