@@ -24,7 +24,8 @@ def walked(rows):
 
 def test_next_at_or_after(spark):
     rows = [(g, a, a + d) for g, own in {1: [0, 3, 4, 90, 91, 500], 2: [7]}.items() for a in own for d in (random.Random(a).choice([1, 5, 87, 400]),)]
-    got = {(r.g, r.a): r["__to"] for r in next_at_or_after(spark.createDataFrame(rows, "g int, a int, w int"), ["g"], "a", "w", 10).collect()}
+    df = spark.createDataFrame(rows, "g int, a int, w int")
+    got = {(r.g, r.a): r["__to"] for r in next_at_or_after(df, ["g"], "w", df, "a", 10).collect()}
     assert got == {(g, a): min((x for h, x, _ in rows if h == g and x >= w), default=None) for g, a, w in rows}
 
 

@@ -41,23 +41,22 @@ def followed(links: DataFrame, by: list[str], node: str, successor: str, starts:
         span *= 2
 
 
-def next_at_or_after(rows: DataFrame, by: list[str], at: str, wanted: str, width: float) -> DataFrame:
-    """rows (by, at, wanted, ...; at unique in its group) with `__to`: the least `at` of the group that is wanted or more.
+def next_at_or_after(asked: DataFrame, by: list[str], wanted: str, rows: DataFrame, at: str, width: float) -> DataFrame:
+    """asked with `__to`: the least `at` of the rows of its group that is `wanted` or more; null if there is none.
 
-    Rows meet in buckets of `width`; where a bucket has none, the first of the next
-    bucket that has one comes from a table with a row a bucket.
+    Both meet in buckets of `width`; where a bucket has no such row, the first of the
+    next bucket that has one comes from a table with a row a bucket.
     """
     bucket = lambda c: F.floor(F.col(c) / width)
-    asked = rows.withColumn("__b", bucket(wanted)).select(*by, "__b", F.col(wanted).alias("__v"), F.lit(0).alias("__kind"), F.col(at).alias("__of"))
-    there = rows.withColumn("__b", bucket(at)).select(*by, "__b", F.col(at).alias("__v"), F.lit(1).alias("__kind"), F.lit(None).cast(rows.schema[at].dataType).alias("__of"))
+    there = rows.select(*by, bucket(at).alias("__b"), F.col(at).alias("__v"), F.lit(1).alias("__kind"))
+    kind = asked.select(F.struct(*asked.columns).alias("r")).schema["r"].dataType
+    both = asked.select(*by, bucket(wanted).alias("__b"), F.col(wanted).alias("__v"), F.lit(0).alias("__kind"), F.struct(*asked.columns).alias("__row")).unionByName(there.withColumn("__row", F.lit(None).cast(kind)))
     w = Window.partitionBy(*by, "__b").orderBy("__v", "__kind").rowsBetween(0, Window.unboundedFollowing)
-    both = asked.unionByName(there)
     own = both.withColumn("__to", F.first(F.when(F.col("__kind") == 1, F.col("__v")), ignorenulls=True).over(w)).where("__kind = 0")
     firsts = both.groupBy(*by, "__b").agg(F.min(F.when(F.col("__kind") == 1, F.col("__v"))).alias("__first"))
     after = Window.partitionBy(*by).orderBy("__b").rowsBetween(1, Window.unboundedFollowing)
     carried = firsts.select(*by, "__b", F.first("__first", ignorenulls=True).over(after).alias("__carried"))
-    found = own.join(carried, [*by, "__b"]).select(*by, F.col("__of").alias(at), F.coalesce("__to", "__carried").alias("__to"))
-    return rows.join(found, [*by, at])
+    return own.join(carried, [*by, "__b"]).select("__row.*", F.coalesce("__to", "__carried").alias("__to"))
 
 
 def numbered(rows: DataFrame, by: list[str], at: str, width: float, name: str) -> DataFrame:

@@ -9,12 +9,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions.scalars import safe_divide
-from tickloom.operators.chains import first_outside, followed, numbered
+from tickloom.operators.chains import first_outside, followed, next_at_or_after, numbered
 from tickloom.operators.recursive import exponential
 from tickloom.operators.windows import full, over, segments
 from tickloom.plans.feature_plans import _BY, _RUNS, _SEG, DAY, KEY, RUNS, _average_sql, averaged, bars_in_runs, keyed, r0, r6
 from tickloom.plans.feature_plans import LONG as LONG_EMA
 from tickloom.plans.feature_plans import SHORT as SHORT_EMA
+from tickloom.plans.intake_plans import RATIOS
 from tickloom.registry import query
 from tickloom.sources.fixtures import duck, view
 
@@ -253,23 +254,85 @@ def _vendor(spark, sf) -> DataFrame:
     return d.select("symbol", "idx", "open", "high", "low", "close", "volume", (F.col("open") * a + 5 + F.col("idx") % 7).alias("v_open"), *[(F.col(c) * a + 5).alias(f"v_{c}") for c in ("high", "low", "close")])
 
 
-@query(duck(f"with {_FIT} select symbol, idx, round(a, 4) + 0.0 as slope, round(off, 3) as off, off <= {MOST_OFF} as fits from res where abs(off - {MOST_OFF}) > 1e-6"))
+@query(duck(f"with {_FIT} select symbol, idx, round(a, 4) + 0.0 as slope, round(off, 3) as off, round(off, 6) <= {MOST_OFF} as fits from res"))
 def e39_daily_affine_fit(spark, sf):
-    f = fits(_vendor(spark, sf)).where(F.abs(F.col("off") - MOST_OFF) > 1e-6)
-    return f.select("symbol", "idx", (F.round("a", 4) + 0.0).alias("slope"), F.round("off", 3).alias("off"), (F.col("off") <= MOST_OFF).alias("fits"))
+    """Residuals are rounded before they are judged, so that one at the limit fits."""
+    return fits(_vendor(spark, sf)).select("symbol", "idx", (F.round("a", 4) + 0.0).alias("slope"), F.round("off", 3).alias("off"), (F.round("off", 6) <= MOST_OFF).alias("fits"))
 
 
-@query(duck(f"""with {_FIT}, ok as (select d.*, a, c, off from daily d join res using (symbol, idx)), r as (select symbol, idx, case when off > {MOST_OFF} then 'residual' when a <= 0 then 'slope' end as reason, (close * (1 + symbol % 3) + 5 - c) / a * 2 as close, volume / 2 as volume from ok where abs(off - {MOST_OFF}) > 1e-6)
+@query(duck(f"""with {_FIT}, ok as (select d.*, a, c, off from daily d join res using (symbol, idx)), r as (select symbol, idx, case when round(off, 6) > {MOST_OFF} then 'residual' when a <= 0 then 'slope' end as reason, (close * (1 + symbol % 3) + 5 - c) / a * 2 as close, volume / 2 as volume from ok)
  select symbol, count(*) as days, count(*) filter (where reason = 'residual') as residual, round(sum(case when reason is null then close end), 1) as close, sum(case when reason is null then volume end) as volume from r group by symbol"""))
 def e43_rebased_bars(spark, sf):
     """Vendor bars brought to the official basis, (price - c) / a times a factor, volume over it; days that don't fit go, with their reasons."""
     v = _vendor(spark, sf)
-    j = v.join(fits(v), ["symbol", "idx"]).where(F.abs(F.col("off") - MOST_OFF) > 1e-6)
+    j = v.join(fits(v), ["symbol", "idx"])
     good = F.col("reason").isNull()
-    j = j.withColumn("reason", F.when(F.col("off") > MOST_OFF, "residual").when(F.col("a") <= 0, "slope")).withColumn("basis", (F.col("v_close") - F.col("c")) / F.col("a") * 2)
+    j = j.withColumn("reason", F.when(F.round("off", 6) > MOST_OFF, "residual").when(F.col("a") <= 0, "slope")).withColumn("basis", (F.col("v_close") - F.col("c")) / F.col("a") * 2)
     return j.groupBy("symbol").agg(F.count("*").alias("days"), F.count_if(F.col("reason") == "residual").alias("residual"), F.round(F.sum(F.when(good, F.col("basis"))), 1).alias("close"), F.sum(F.when(good, F.col("volume") / 2)).alias("volume"))
 
 
+#: Days on either side of an event that are fitted together, the first of these that fits counting; the least span of their prices; how near to 1 a ratio is none, and to a whole-number one is that.
+EVENT_DAYS, EVENT_SPAN, NEAR = (15, 10, 6, 3), 0.01, 0.005
+
+
+def event_ratios(days: DataFrame, events: DataFrame, widths: tuple[int, ...] = EVENT_DAYS, bucket: float = 64) -> DataFrame:
+    """(symbol, ex, status, width, measured, ratio) of events (symbol, ex): how the vendor's slope on official prices changes there.
+
+    days: (symbol, idx, pairs, allowed), pairs being (x, y) of a day's official and
+    vendor prices, allowed the largest residual. The days before and from ex on are
+    fitted by their summed moments, each side as one; a side counts if its prices
+    span enough and all its points fit. Of the widths, in order, the first counts
+    at which both sides do. Each event meets its own few days by their places; no
+    history is held.
+    """
+    d = numbered(days, ["symbol"], "idx", bucket, "place")
+    events = events.select("symbol", "ex").distinct()
+    from_ = next_at_or_after(events, ["symbol"], "ex", d, "idx", bucket)
+    known = from_.join(d.select("symbol", F.col("idx").alias("__to"), F.col("place").alias("__p")), ["symbol", "__to"])
+    sides = F.explode(F.array(*[F.struct(F.lit(i).alias("order"), F.lit(w).alias("width"), F.lit(side).alias("side"), F.lit(low).alias("low"), F.lit(high).alias("high")) for i, w in enumerate(widths) for side, low, high in (("left", -w, -1), ("right", 0, w - 1))]))
+    asked = known.withColumn("s", sides).select("symbol", "ex", "s.order", "s.width", "s.side", F.explode(F.sequence(F.col("__p") + F.col("s.low"), F.col("__p") + F.col("s.high"))).alias("place"))
+    key = ["symbol", "ex", "order", "width", "side"]
+    near = asked.join(d.select("symbol", "place", "pairs", "allowed"), ["symbol", "place"])
+    points = near.select(*key, "allowed", F.explode("pairs").alias("p")).select(*key, "allowed", "p.x", "p.y")
+    fit = points.groupBy(*key).agg(F.regr_slope("y", "x").alias("a"), F.regr_intercept("y", "x").alias("c"), ((F.max("x") - F.min("x")) / F.median("x")).alias("span"))
+    off = points.join(fit, key).groupBy(*key, "a", "span").agg(F.max(F.abs(F.col("a") * F.col("x") + F.col("c") - F.col("y")) - F.col("allowed")).alias("over"))
+    good = off.where((F.col("span") >= EVENT_SPAN) & (F.col("over") <= 0))
+    both = good.groupBy("symbol", "ex", "order", "width").agg(F.max(F.when(F.col("side") == "left", F.col("a"))).alias("l"), F.max(F.when(F.col("side") == "right", F.col("a"))).alias("r")).where("l is not null and r is not null")
+    best = both.groupBy("symbol", "ex").agg(F.min_by(F.struct("width", (F.col("l") / F.col("r")).alias("m")), "order").alias("b"))
+    near_ = F.array_min(F.transform(F.array(*map(F.lit, RATIOS)), lambda r: F.struct(F.abs(r / F.col("b.m") - 1).alias("error"), r.alias("real"))))
+    status = F.when(F.col("b").isNull(), "unresolved").when(F.abs(F.col("b.m") - 1) <= NEAR, "unadjusted").otherwise("adjusted")
+    out = events.join(best, ["symbol", "ex"], "left").withColumn("n", F.when(F.col("b").isNotNull(), near_)).withColumn("status", status)
+    adjusted = F.col("status") == "adjusted"
+    return out.select("symbol", "ex", "status", "b.width", F.when(adjusted, F.col("b.m")).alias("measured"), F.when(adjusted, F.when(F.col("n.error") <= NEAR, F.col("n.real")).otherwise(F.col("b.m"))).alias("ratio"))
+
+
+#: The vendor's prices of the event query: twice the official ones from a symbol's 40th session on, an odd open now and then.
+_SCALE = "(case when idx >= first_ + 40 then 2.0 else 1.0 end)"
+_EVENTS = f"""f0 as (select *, min(idx) over (partition by symbol) as first_ from daily),
+ dd as (select symbol, idx, unnest([open, high, low, close]) as x, unnest([open * {_SCALE} + 5 + case when idx % 9 = 0 then 40 else (idx % 3) * 0.05 end, high * {_SCALE} + 5, low * {_SCALE} + 5, close * {_SCALE} + 5]) as y, 0.135 + 0.0002 * (close * {_SCALE} + 5) as allowed from f0),
+ pl as (select symbol, idx, row_number() over (partition by symbol order by idx) as place from daily), ev as (select symbol, idx as ex, place as p0 from pl join daily using (symbol, idx) where n % 11 = 0 or n % 7 = 0),
+ ws as (select unnest([0, 1, 2, 3]) as ord, unnest({list(EVENT_DAYS)}) as width), sd as (select ev.*, ord, width, side from ev, ws, (select unnest(['left', 'right']) as side)),
+ pt as (select s.symbol, ex, ord, width, side, x, y, allowed from sd s join pl on pl.symbol = s.symbol and pl.place between case when side = 'left' then p0 - width else p0 end and case when side = 'left' then p0 - 1 else p0 + width - 1 end join dd on dd.symbol = s.symbol and dd.idx = pl.idx),
+ ft as (select symbol, ex, ord, width, side, regr_slope(y, x) as a, regr_intercept(y, x) as c, (max(x) - min(x)) / median(x) as span from pt group by all),
+ gd as (select symbol, ex, ord, width, side, a from ft join pt using (symbol, ex, ord, width, side) where span >= {EVENT_SPAN} group by all having max(abs(a * x + c - y) - allowed) <= 0),
+ bo as (select symbol, ex, ord, width, max(a) filter (where side = 'left') / max(a) filter (where side = 'right') as m from gd group by all having count(*) = 2), be as (select symbol, ex, arg_min(width, ord) as width, arg_min(m, ord) as m from bo group by all),
+ rr as (select symbol, ex, arg_min(real, abs(real / m - 1)) as real, min(abs(real / m - 1)) as error from be, (select cast(unnest({RATIOS}) as double) as real) group by all)"""
+
+
+@query(duck(f"""with {_EVENTS} select symbol, ex, case when m is null then 'unresolved' when abs(m - 1) <= {NEAR} then 'unadjusted' else 'adjusted' end as status, width, case when abs(m - 1) > {NEAR} then round(m, 5) end as measured,
+ case when abs(m - 1) > {NEAR} then round(case when error <= {NEAR} then real else m end, 5) end as ratio from ev left join be using (symbol, ex) left join rr using (symbol, ex)"""))
+def e39_event_ratios(spark, sf):
+    """The vendor's adjustment at each event: slope before over slope after, snapped to a ratio of small whole numbers."""
+    d = view(spark, sf, "daily")
+    start = d.groupBy("symbol").agg(F.min("idx").alias("first"))
+    a = F.when(F.col("idx") >= F.col("first") + 40, 2.0).otherwise(1.0)
+    odd = F.when(F.col("idx") % 9 == 0, 40.0).otherwise(F.col("idx") % 3 * 0.05)
+    pairs = F.array(*[F.struct(F.col(c).alias("x"), (F.col(c) * a + 5 + (odd if c == "open" else F.lit(0.0))).alias("y")) for c in ("open", "high", "low", "close")])
+    days = d.join(start, "symbol").select("symbol", "idx", pairs.alias("pairs"), (0.135 + 0.0002 * (F.col("close") * a + 5)).alias("allowed"))
+    events = d.where("n % 11 = 0 or n % 7 = 0").select("symbol", F.col("idx").alias("ex"))
+    return event_ratios(days, events).withColumn("measured", F.round("measured", 5)).withColumn("ratio", F.round("ratio", 5))
+
+
 @query(duck("""with e as (select symbol, idx, close, lag(close) over w as before, lag(idx) over w as b_idx, 0.01 * (1 + n % 9) * lag(close) over w as amount from daily window w as (partition by symbol order by idx)), r as (select symbol, idx, close / (close + n % 5) as ratio from daily where n % 2 = 0),
  v as (select symbol, idx as ex, amount, amount / before as y, b_idx from e where before is not null and idx % 4 = 0),
  j as (select v.*, (select max_by(ratio, r.idx) from r where r.symbol = v.symbol and r.idx <= b_idx) as left_, (select min_by(ratio, r.idx) from r where r.symbol = v.symbol and r.idx >= ex) as right_ from v)

@@ -20,6 +20,8 @@ from tickloom.sources.fixtures import duck, view
 
 @dataclass(frozen=True)
 class Scoring:
+    """Thresholds of the rules. Their defaults are fixed values."""
+
     adx_floor: float = 25
     adx_ceiling: float = 50
     adx_range: float = 20

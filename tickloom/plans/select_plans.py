@@ -52,7 +52,7 @@ def without_overlap(df: DataFrame, by: list[str], entry: str, exit_: str, width:
     entries that a task looks through.
     """
     rows = df.where(F.col(entry).isNotNull() & F.col(exit_).isNotNull()).groupBy(*by, entry).agg(F.min(exit_).alias(exit_))
-    linked = next_at_or_after(rows.withColumn("__wanted", F.greatest(F.col(exit_), F.col(entry) + 1)), by, entry, "__wanted", width)
+    linked = next_at_or_after(rows.withColumn("__wanted", F.greatest(F.col(exit_), F.col(entry) + 1)), by, "__wanted", rows, entry, width)
     taken = followed(linked, by, entry, "__to", rows.groupBy(*by).agg(F.min(entry).alias(entry)))
     return rows.join(taken, [*by, entry]).select(*by, entry, exit_)
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
+from operator import mul
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -175,21 +177,51 @@ def d20_redundant_pairs(spark, sf):
     return g.select("left_", "right_", r6(F.col("m")).alias("least"), (F.col("m") >= 0.9).alias("redundant"), "n")
 
 
+def average_ranks(df: DataFrame, names: tuple[str, ...], parts: int = 64) -> DataFrame:
+    """(feature, v, rank) of all values of the columns `names`: ranks from 1, equal values sharing the mean of theirs, nulls none.
+
+    Counts of values fall into ranges between approximate quantiles of their column
+    (a row a column); places are those within a range and the sizes of the ranges
+    before it, so that no task orders a column.
+    """
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(n).alias("feature"), F.col(n).cast("double").alias("v")) for n in names])).alias("x")).select("x.*").where("v is not null")
+    counts = long.groupBy("feature", "v").agg(F.count("*").alias("m"))
+    cuts = long.groupBy("feature").agg(F.percentile_approx("v", F.array(*[F.lit(i / parts) for i in range(1, parts)]), 10_000).alias("cuts"))
+    placed = counts.join(F.broadcast(cuts), "feature").withColumn("part", F.size(F.filter("cuts", lambda c: c <= F.col("v")))).drop("cuts")
+    line = Window.partitionBy("feature").orderBy("part")
+    before = placed.groupBy("feature", "part").agg(F.sum("m").alias("n")).withColumn("before", F.sum("n").over(line) - F.col("n")).drop("n")
+    own = F.sum("m").over(Window.partitionBy("feature", "part").orderBy("v"))
+    return placed.join(F.broadcast(before), ["feature", "part"]).select("feature", "v", (F.col("before") + own - (F.col("m") - 1) / 2).alias("rank"))  # parts rows a column
+
+
 def rank_correlations(df: DataFrame, names: tuple[str, ...]) -> dict[tuple[str, str], float]:
-    """Spearman correlations of all pairs; ranks come from counts of distinct values, so that no task sorts all rows."""
-    long = df.select(F.xxhash64(*df.columns).alias("id"), F.explode(F.array(*[F.struct(F.lit(n).alias("f"), F.col(n).cast("double").alias("v")) for n in names])).alias("x")).select("id", "x.f", "x.v")
-    counts = long.groupBy("f", "v").agg(F.count("*").alias("m"))
-    place = F.sum("m").over(Window.partitionBy("f").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)) - (F.col("m") - 1) / 2
-    ranked = long.join(counts.select("f", "v", place.alias("rank")), ["f", "v"]).groupBy("id").pivot("f", list(names)).agg(F.first("rank"))
-    row = ranked.agg(*[F.corr(a, b).alias(f"{a}|{b}") for a, b in combinations(names, 2)]).first()
+    """Spearman correlations of all pairs over rows where both are known, repeated rows counting each; ranks are those of each column's known values."""
+    ranks, rows = average_ranks(df, names), df.select(*[F.col(n).cast("double").alias(n) for n in names]).groupBy(*names).agg(F.count("*").alias("__m"))
+    for n in names:
+        rows = rows.join(ranks.where(F.col("feature") == n).select(F.col("v").alias(n), F.col("rank").alias(f"__{n}")), n, "left")
+    out = []
+    for a, b in combinations(names, 2):
+        known = F.col(f"__{a}").isNotNull() & F.col(f"__{b}").isNotNull()
+        m = lambda *c: F.sum(F.when(known, reduce(mul, map(F.col, c), F.col("__m").cast("double"))))  # noqa: E731, B023
+        x, y, n = m(f"__{a}"), m(f"__{b}"), m()
+        over = F.sqrt((m(f"__{a}", f"__{a}") - x * x / n) * (m(f"__{b}", f"__{b}") - y * y / n))
+        out.append(F.when(over > 0, (m(f"__{a}", f"__{b}") - x * y / n) / over).alias(f"{a}|{b}"))
+    row = rows.agg(*out).first()
     return {(a, b): row[f"{a}|{b}"] or 0.0 for a, b in combinations(names, 2)}  # unknown where one is constant
 
 
-@query()
+_RANKED = ", ".join(f"rank() over (order by {f}) + (count(*) over (partition by {f}) - 1) / 2.0 as r_{f}" for f in FEATURES)
+_RHO = ", ".join(f"'{a}|{b}': corr(r_{a}, r_{b})" for a, b in combinations(FEATURES, 2))
+
+
+@query(duck(f"""with recursive d0 as (select * from daily where idx % 2 = 0), d as (select * from d0 union all select * from d0 where n % 5 = 0), r as (select {_RANKED} from d), m as (select map {{{_RHO}}} as rho from r), fs as (select {list(FEATURES)} as names),
+ k as (select 1 as i, [names[1]] as kept, null::varchar as clash from fs union all
+  select i + 1, case when c is null then kept || [names[i + 1]] else kept end, c from (select i, kept, names, list_filter(kept, lambda x: abs(coalesce(rho[x || '|' || names[i + 1]], 0)) > 0.9)[1] as c from k, fs, m where i < len(names)))
+ select names[i] as feature, clash is null as kept, clash as duplicates, round(rho[clash || '|' || names[i]], 6) as spearman from k, fs, m"""))
 def d21_pruned_features(spark, sf):
-    """Features in order, but those that rank as an earlier kept one does; the correlations are one small row."""
+    """Features in order, but those that rank as an earlier kept one does; some rows come twice. The correlations are one small row."""
     d = view(spark, sf, "daily").where("idx % 2 = 0").select("symbol", "idx", *FEATURES)
-    rho, kept, out = rank_correlations(d, FEATURES), [], []
+    rho, kept, out = rank_correlations(d.unionByName(d.where("n % 5 = 0")), FEATURES), [], []
     for f in FEATURES:
         clash = next((k for k in kept if abs(rho[(k, f)]) > 0.9), None)
         out.append((f, clash is None, clash, None if clash is None else round(rho[(clash, f)], 6)))

@@ -66,6 +66,7 @@ def daily_bars(raw: DataFrame) -> DataFrame:
     return raw.select(*other, session.alias("session"), *[number(c).alias(c) for c in (*prices, "volume")], first_fault(faults).alias("bad"))
 
 
+#: Column names of both kinds of file. Fixed values.
 _NEW = {"open": "OpnPric", "high": "HghPric", "low": "LwPric", "close": "ClsPric", "settle": "SttlmPric", "value": "TtlTrfVal", "last": "LastPric", "prev_close": "PrvsClsgPric", "underlying_price": "UndrlygPric"}
 _NEW_WHOLE = {"contracts": "TtlTradgVol", "oi": "OpnIntrst", "chg_oi": "ChngInOpnIntrst", "lot": "NewBrdLotQty"}
 _OLD = {"open": "OPEN", "high": "HIGH", "low": "LOW", "close": "CLOSE", "settle": "SETTLE_PR"}
