@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from tickloom.functions.scalars import safe_divide
 from tickloom.operators.chains import first_outside, followed, next_at_or_after, numbered
-from tickloom.operators.recursive import exponential
-from tickloom.operators.windows import full, over, segments
+from tickloom.operators.recursive import exponential, smoothed, wilder
+from tickloom.operators.windows import full, over, segments, session_vwap
 from tickloom.plans.feature_plans import _BY, _RUNS, _SEG, DAY, KEY, RUNS, _average_sql, averaged, bars_in_runs, keyed, r0, r6
 from tickloom.plans.feature_plans import LONG as LONG_EMA
 from tickloom.plans.feature_plans import SHORT as SHORT_EMA
@@ -20,7 +20,7 @@ from tickloom.registry import query
 from tickloom.sources.fixtures import duck, view
 
 WHOLE = 24
-BENCHMARK = "click"
+BENCHMARK, SECOND = "click", "purchase"
 
 
 #: Bars that a slope spans.
@@ -65,10 +65,12 @@ _DAYS = """st as (select *, ln(close / lag(close) over (partition by symbol, ses
  w as (select q.*, lag(close, 1) over r as c1, lag(close, 3) over r as c3, min(hr) over d as first_, first_value(open) over d as o, lag(volume) over h as v1, lag(volume, 2) over h as v2, lag(volume, 3) over h as v3 from q window r as (partition by symbol, session, segment order by hr), d as (partition by symbol, session order by hr), h as (partition by symbol, hr order by session)),
  y as (select *, ln(close / c1) as step from w), x as (select *, count(step) over r as steps, sum(step * step) over r as sq from y window r as (partition by symbol, session, segment order by hr rows 3 preceding)),
  p as (select *, lag(d_close) over s as pc, lag(d_close, 4) over s as pw, avg(case when n = {WHOLE} then squares end) over t as var, count(case when n = {WHOLE} then 1 end) over t as vn from dy window s as (partition by symbol order by session), t as (partition by symbol order by session rows between 3 preceding and 1 preceding)),
- m as (select session, hr, ln(close / c1) as bench from w where symbol = '{BENCHMARK}'), l as (select session, hr, close as level_ from w where symbol = 'error')
+ m as (select session, hr, ln(close / c1) as bench from w where symbol = '{BENCHMARK}'), m2 as (select session, hr, ln(close / c1) as second from w where symbol = '{SECOND}'),
+ vw as (select *, max(case when hr <> place_ or volume is null then 1 else 0 end) over r as unknown, sum(tp * volume) over r / nullif(sum(volume) over r, 0) as mean, sum(tp * tp * volume) over r / nullif(sum(volume) over r, 0) as square from (select *, (high + low + close) / 3 as tp, row_number() over (partition by symbol, session order by hr) - 1 as place_ from bars) window r as (partition by symbol, session order by hr)),
+ vz as (select symbol, session, hr, case when unknown = 0 and square - mean * mean > 1e-9 then (close - mean) / sqrt(square - mean * mean) end as vwap_z from vw), l as (select session, hr, close as level_ from w where symbol = 'error')
  select x.symbol, cast(x.session as varchar) as session, x.hr, round(ln(close / c1), 6) as log_return, round(ln(c1 / c3), 6) as log_return_before, round(case when first_ = 0 then close / o - 1 end, 6) as day_return, round(case when first_ = 0 then o / p.pc - 1 end, 6) as gap,
- round(case when steps = 4 then sqrt(sq) end, 6) as volatility, round(p.pc / p.pw - 1, 6) as prior_return, round(case when vn = 3 then sqrt(var) end, 6) as prior_volatility, round(volume / ((v1 + v2 + v3) / 3), 6) as same_hour_volume, x.hr + 1 as from_open, round(bench, 6) as benchmark, level_ as level
- from x join p on x.symbol = p.symbol and x.session = p.session left join m on x.session = m.session and x.hr = m.hr left join l on x.session = l.session and x.hr = l.hr"""))
+ round(case when steps = 4 then sqrt(sq) end, 6) as volatility, round(p.pc / p.pw - 1, 6) as prior_return, round(case when vn = 3 then sqrt(var) end, 6) as prior_volatility, round(volume / ((v1 + v2 + v3) / 3), 6) as same_hour_volume, x.hr + 1 as from_open, round(bench, 6) as benchmark, round(second, 6) as second_benchmark, round(vwap_z, 5) + 0.0::double as vwap_z, level_ as level
+ from x join vz using (symbol, session, hr) left join m2 on x.session = m2.session and x.hr = m2.hr join p on x.symbol = p.symbol and x.session = p.session left join m on x.session = m.session and x.hr = m.hr left join l on x.session = l.session and x.hr = l.hr"""))
 def e24_compact_inputs(spark, sf):
     """The compact inputs of a decision: returns within unbroken runs, earlier sessions, the same hour's volume, benchmark and level of the same time."""
     b = view(spark, sf, "bars")
@@ -82,14 +84,19 @@ def e24_compact_inputs(spark, sf):
     variance = F.when(F.col("n") == WHOLE, F.col("squares"))
     p = sessions_of(b).select(*DAY, F.lag("d_close").over(s).alias("pc"), F.lag("d_close", 4).over(s).alias("pw"), full(F.sqrt(F.avg(variance).over(past)), past, variance, 3).alias("pv"))
     at = lambda symbol, c, name: q.where(F.col("symbol") == symbol).select("session", "hr", F.col(c).alias(name))
-    j = q.join(p, DAY).join(at(BENCHMARK, "step", "bench"), ["session", "hr"], "left").join(at("error", "close", "level"), ["session", "hr"], "left")
+    seen = over(DAY, ["hr"])
+    z = session_vwap(b, DAY, "hr", "volume").withColumn("whole", F.max((F.col("hr") != F.row_number().over(seen) - 1).cast("int")).over(seen) == 0)
+    z = z.select(*DAY, "hr", F.when(F.col("whole") & (F.col("vwap_dev") ** 2 > 1e-9), F.col("vwap_sigma")).alias("vwap_z"))
+    j = q.join(z, [*DAY, "hr"]).join(p, DAY).join(at(BENCHMARK, "step", "bench"), ["session", "hr"], "left").join(at(SECOND, "step", "second"), ["session", "hr"], "left").join(at("error", "close", "level"), ["session", "hr"], "left")
     whole = lambda c: F.when(F.col("first") == 0, c)
     return keyed(j, r6(F.col("step")).alias("log_return"), r6(F.col("before")).alias("log_return_before"), r6(whole(F.col("close") / F.col("o") - 1)).alias("day_return"), r6(whole(F.col("o") / F.col("pc") - 1)).alias("gap"), r6(F.col("rv")).alias("volatility"),
-                 r6(F.col("pc") / F.col("pw") - 1).alias("prior_return"), r6(F.col("pv")).alias("prior_volatility"), r6(F.col("volume") / F.col("usual")).alias("same_hour_volume"), (F.col("hr") + 1).alias("from_open"), r6(F.col("bench")).alias("benchmark"), "level")
+                 r6(F.col("pc") / F.col("pw") - 1).alias("prior_return"), r6(F.col("pv")).alias("prior_volatility"), r6(F.col("volume") / F.col("usual")).alias("same_hour_volume"), (F.col("hr") + 1).alias("from_open"), r6(F.col("bench")).alias("benchmark"), r6(F.col("second")).alias("second_benchmark"), (F.round("vwap_z", 5) + 0.0).alias("vwap_z"), "level")
 
 
 #: Sessions that daily inputs look back, and fewer for their shorter ones.
 LOOK, SHORT = 5, 2
+#: Sessions of the relative strength of daily closes.
+RSI_DAYS = 5
 
 
 def stock_inputs(bars: DataFrame) -> DataFrame:
@@ -104,30 +111,35 @@ def stock_inputs(bars: DataFrame) -> DataFrame:
     pc = F.lag("d_close").over(s)
     d = sessions_of(bars).withColumn("pc", pc).withColumn("tr", F.greatest("d_high", "pc") - F.least("d_low", "pc")).withColumn("rv_day", F.sqrt(F.col("squares") / (F.col("n") - 1)))
     back = lambda k: F.col("pc") / F.lag("d_close", k + 1).over(s) - 1
-    d = d.select(*DAY, "place", "pc", (F.avg("tr").over(past(LOOK)) / F.col("pc")).alias("atr"), F.avg("rv_day").over(past(LOOK)).alias("hist_rv"), back(1).alias("ret_d1"), back(SHORT).alias("ret_d2"), back(LOOK).alias("ret_d5"),
+    change = F.col("d_close") - F.col("pc")
+    moves = d.withColumn("up", F.when(change.isNotNull(), F.greatest(change, F.lit(0.0)))).withColumn("down", F.when(change.isNotNull(), F.greatest(-change, F.lit(0.0)))).withColumn("month", F.trunc("session", "month")).withColumn("day", F.dayofmonth("session")).withColumn("gap", F.lit(0))
+    d = smoothed(moves, ["symbol"], "month", "day", {"g": wilder("up", RSI_DAYS), "l": wilder("down", RSI_DAYS)}, 32).withColumn("rsi_after", F.when(F.col("l") == 0, 100.0).otherwise(100 - 100 / (1 + F.col("g") / F.col("l"))))
+    d = d.select(*DAY, "place", "pc", (F.avg("tr").over(past(LOOK)) / F.col("pc")).alias("atr"), F.percentile("rv_day", 0.5).over(past(LOOK)).alias("hist_rv"), F.lag("rsi_after").over(s).alias("rsi"), back(1).alias("ret_d1"), back(SHORT).alias("ret_d2"), back(LOOK).alias("ret_d5"),
                  (F.col("pc") / F.avg("d_close").over(past(SHORT)) - 1).alias("sma_s"), (F.col("pc") / F.avg("d_close").over(past(LOOK)) - 1).alias("sma_l"), (F.col("pc") / F.max("d_high").over(past(LOOK)) - 1).alias("from_high"),
                  (F.avg("d_volume").over(past(SHORT)) / F.avg("d_volume").over(past(LOOK))).alias("vol_trend"), F.log10(F.avg(F.col("d_close") * F.col("d_volume")).over(past(LOOK))).alias("turnover"))
     hour = over(["symbol", "hr"], ["session"], -LOOK, -1)
     x = x.withColumn("usual", F.avg("cum").over(hour)).join(d, DAY).where(F.col("place") > LOOK)
     c, span = F.col("close"), F.col("top") - F.col("bottom")
     return x.select("symbol", "session", "hr", "ret1", "ret3", "ret6", (c / F.col("o") - 1).alias("ret_open"), (F.col("o") / F.col("pc") - 1).alias("gap"), (c / F.col("vwap") - 1).alias("vwap_dev"), (c / F.col("top") - 1).alias("dist_high"), (c / F.col("bottom") - 1).alias("dist_low"),
-                    safe_divide(c - F.col("bottom"), span).alias("range_pos"), "rv", safe_divide(F.col("rv"), F.col("hist_rv")).alias("rv_ratio"), (F.col("cum") / F.col("usual")).alias("rvol"), (span / c / F.col("atr")).alias("range_atr"), (F.lit(WHOLE - 1) - F.col("hr")).alias("slot"), "atr", "hist_rv", "ret_d1", "ret_d2", "ret_d5",
+                    safe_divide(c - F.col("bottom"), span).alias("range_pos"), "rv", "rsi", safe_divide(F.col("rv"), F.col("hist_rv")).alias("rv_ratio"), (F.col("cum") / F.col("usual")).alias("rvol"), (span / c / F.col("atr")).alias("range_atr"), (F.lit(WHOLE - 1) - F.col("hr")).alias("slot"), "atr", "hist_rv", "ret_d1", "ret_d2", "ret_d5",
                     "sma_s", "sma_l", "from_high", "vol_trend", "turnover", F.log10(c).alias("log_price"), F.sqrt(safe_divide(F.col("all_sq"), F.col("hr"))).alias("rv_open"))
 
 
 _WIDE = f"""wd0 as (select *, coalesce(power(ln(close / lag(close) over w), 2), 0) as sq from bars window w as (partition by symbol, session order by hr)),
  wd1 as (select *, first_value(open) over d as o, max(high) over d as top, min(low) over d as bottom, sum(n_ticks) over d as cum, sum((high + low + close) / 3 * n_ticks) over d / sum(n_ticks) over d as vwap, sqrt(sum(sq) over (partition by symbol, session order by hr rows 3 preceding)) as rv, sum(sq) over d as all_sq,
    close / lag(close, 1) over d - 1 as ret1, close / lag(close, 3) over d - 1 as ret3, close / lag(close, 6) over d - 1 as ret6 from wd0 window d as (partition by symbol, session order by hr)),
- d1 as (select *, lag(d_close) over (partition by symbol order by session) as pc, sqrt(squares / nullif(n - 1, 0)) as rv_day from dy), d2 as (select *, greatest(d_high, pc) - least(d_low, pc) as tr from d1),
- d3 as (select symbol, session, place, pc, avg(tr) over l / pc as atr, avg(rv_day) over l as hist_rv, pc / lag(d_close, 2) over s - 1 as ret_d1, pc / lag(d_close, {SHORT + 1}) over s - 1 as ret_d2, pc / lag(d_close, {LOOK + 1}) over s - 1 as ret_d5, pc / avg(d_close) over h - 1 as sma_s, pc / avg(d_close) over l - 1 as sma_l, pc / max(d_high) over l - 1 as from_high,
+ d1 as (select *, lag(d_close) over (partition by symbol order by session) as pc, sqrt(squares / nullif(n - 1, 0)) as rv_day from dy), d2r as materialized (select symbol, place as i, 0 as run, case when pc is not null then greatest(d_close - pc, 0) end as up, case when pc is not null then greatest(pc - d_close, 0) end as down from d1),
+ {_average_sql("d2r", "up", RSI_DAYS, f"1 / {RSI_DAYS}.0", "dg")}, {_average_sql("d2r", "down", RSI_DAYS, f"1 / {RSI_DAYS}.0", "dl")},
+ d2 as (select d1.*, greatest(d_high, pc) - least(d_low, pc) as tr, case when dl.v = 0 then 100 else 100 - 100 / (1 + dg.v / dl.v) end as rsi_after from d1 join dg on d1.symbol = dg.symbol and place = dg.i join dl on d1.symbol = dl.symbol and place = dl.i),
+ d3 as (select symbol, session, place, pc, avg(tr) over l / pc as atr, median(rv_day) over l as hist_rv, lag(rsi_after) over s as rsi, pc / lag(d_close, 2) over s - 1 as ret_d1, pc / lag(d_close, {SHORT + 1}) over s - 1 as ret_d2, pc / lag(d_close, {LOOK + 1}) over s - 1 as ret_d5, pc / avg(d_close) over h - 1 as sma_s, pc / avg(d_close) over l - 1 as sma_l, pc / max(d_high) over l - 1 as from_high,
    avg(d_volume) over h / avg(d_volume) over l as vol_trend, log10(avg(d_close * d_volume) over l) as turnover from d2 window s as (partition by symbol order by session), l as (partition by symbol order by session rows between {LOOK} preceding and 1 preceding), h as (partition by symbol order by session rows between {SHORT} preceding and 1 preceding)),
  wd2 as (select *, avg(cum) over (partition by symbol, hr order by session rows between {LOOK} preceding and 1 preceding) as usual from wd1),
- wide as (select symbol, session, hr, ret1, ret3, ret6, close / o - 1 as ret_open, o / pc - 1 as gap, close / vwap - 1 as vwap_dev, close / top - 1 as dist_high, close / bottom - 1 as dist_low, (close - bottom) / nullif(top - bottom, 0) as range_pos, rv, rv / nullif(hist_rv, 0) as rv_ratio, cum / usual as rvol, (top - bottom) / close / atr as range_atr, {WHOLE - 1} - hr as slot,
+ wide as (select symbol, session, hr, ret1, ret3, ret6, close / o - 1 as ret_open, o / pc - 1 as gap, close / vwap - 1 as vwap_dev, close / top - 1 as dist_high, close / bottom - 1 as dist_low, (close - bottom) / nullif(top - bottom, 0) as range_pos, rv, rsi, rv / nullif(hist_rv, 0) as rv_ratio, cum / usual as rvol, (top - bottom) / close / atr as range_atr, {WHOLE - 1} - hr as slot,
    atr, hist_rv, ret_d1, ret_d2, ret_d5, sma_s, sma_l, from_high, vol_trend, turnover, log10(close) as log_price, sqrt(all_sq / nullif(hr, 0)) as rv_open from wd2 join d3 using (symbol, session) where place > {LOOK})"""
-_COLUMNS = ("ret1 ret3 ret6 ret_open gap vwap_dev dist_high dist_low range_pos rv rv_ratio rvol range_atr atr hist_rv ret_d1 ret_d2 ret_d5 sma_s sma_l from_high vol_trend turnover log_price rv_open").split()
+_COLUMNS = ("rsi ret1 ret3 ret6 ret_open gap vwap_dev dist_high dist_low range_pos rv rv_ratio rvol range_atr atr hist_rv ret_d1 ret_d2 ret_d5 sma_s sma_l from_high vol_trend turnover log_price rv_open").split()
 
 
-@query(duck(f"with {_DAYS}, {_WIDE} select {KEY}, slot, {', '.join(f'round({c}, 7) + 0.0 as {c}' for c in _COLUMNS)} from wide"))
+@query(duck(f"with recursive {_DAYS}, {_WIDE} select {KEY}, slot, {', '.join(f'round({c}, 7) + 0.0 as {c}' for c in _COLUMNS)} from wide"))
 def e25_stock_inputs(spark, sf):
     x = stock_inputs(view(spark, sf, "bars"))
     return keyed(x, "slot", *[(F.round(c, 7) + 0.0).alias(c) for c in _COLUMNS])
@@ -158,7 +170,7 @@ def e26_market_inputs(spark, sf):
 LOOK_MOVE = 0.5
 
 
-@query(duck(f"""with {_DAYS}, {_WIDE}, {_MARKET} select {KEY}, round((1 + gap) * (1 + ret_open) - 1 - index_day, 5) + 0.0 as rel_day, round(ret_d5 - index_ret_d5, 5) + 0.0 as rel_d5,
+@query(duck(f"""with recursive {_DAYS}, {_WIDE}, {_MARKET} select {KEY}, round((1 + gap) * (1 + ret_open) - 1 - index_day, 5) + 0.0 as rel_day, round(ret_d5 - index_ret_d5, 5) + 0.0 as rel_d5,
  round({LOOK_MOVE} / greatest(hist_rv * sqrt(slot), 1e-9), 4) as z_hist, round({LOOK_MOVE} / greatest(atr * sqrt(slot / {WHOLE}.0), 1e-9), 4) as z_atr from wide left join market using (session, hr) where slot > 0"""))
 def e27_derived_inputs(spark, sf):
     """Returns relative to the index, and a move over volatility scaled to the bars left."""
