@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tickloom.streaming import stateful
 from tickloom.streaming.stateful import VolumeSteps, rocks, volume_steps
-from tickloom.streaming.ticks import counted, counters, decided, first_seen, landed, minute_bars, watched_bars
+from tickloom.streaming.ticks import counted, counters, decider, first_seen, landed, minute_bars, watched_bars
 
 SCHEMA = "symbol long, ts timestamp, seq long, price double, cum long"
 
@@ -160,11 +160,18 @@ def test_a_silent_symbol_begins_anew(feed):
 
 
 def test_decision_cycles(spark, tmp_path):
-    source = tmp_path / "in"
-    context = spark.createDataFrame([(1, True), (2, True), (3, False), (4, True)], "symbol long, allowed boolean")
-    for i in (0, 1):
-        rows = [(s, at(2 * i, k), 10 * s + k, 10.0 + s * k * (-1) ** s, 0) for s in (1, 2, 3) for k in (1, 2)] + [(4, at(2 * i), 99, 1.0, 0)]
-        spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(str(source))
-        decided(spark.readStream.schema(SCHEMA).parquet(str(source)), context, str(tmp_path / "out"), "minute", 1)()
-    got = spark.read.parquet(str(tmp_path / "out/rows")).orderBy("cycle").collect()
-    assert [(r["symbol"], r["side"], r["place"]) for r in got] == [(2, "LONG", 1), (2, "LONG", 1)]
+    """Context as of each cycle, from versions that come between batches; unknown inputs, ties, and a batch that runs twice."""
+    kind = "symbol string, cycle timestamp, x double, y double"
+    versions = lambda rows: spark.createDataFrame(rows, "symbol string, known_at timestamp, allowed boolean").write.mode("append").parquet(str(tmp_path / "context"))
+    versions([(s, at(0), True) for s in "abc"] + [("d", at(9), True)])
+    each = decider(str(tmp_path / "context"), str(tmp_path), ["x", "y"], F.col("x") - F.col("y"), 2)
+    first = [("a", at(1), 1.0, 2.0), ("b", at(1), 3.0, 2.0), ("c", at(1), 9.0, None), ("d", at(1), 9.0, 1.0), ("a", at(2), 5.0, 5.0), ("c", at(2), 5.0, 1.0)]
+    second = [("a", at(10), 1.0, 2.0), ("b", at(10), 9.0, 2.0), ("d", at(10), 9.0, 1.0), ("c", at(10), 4.0, 1.0)]
+    each(spark.createDataFrame(first, kind), 0)
+    versions([("b", at(9), False)])
+    for _ in range(2):
+        each(spark.createDataFrame(second, kind), 1)
+    got = sorted((r.batch, r.cycle.minute, r.place, r.symbol, r.side, r.score, r.ready) for r in spark.read.parquet(str(tmp_path / "rows")).collect())
+    assert got == [(0, 1, 1, "a", "SHORT", -1.0, 2), (0, 1, 2, "b", "LONG", 1.0, 2), (0, 2, 1, "c", "LONG", 4.0, 2), (1, 10, 1, "d", "LONG", 8.0, 3), (1, 10, 2, "c", "LONG", 3.0, 3)]
+    each(spark.createDataFrame([], kind), 2)
+    assert spark.read.parquet(str(tmp_path / "rows")).count() == 5

@@ -8,7 +8,7 @@ from tickloom.plans import feature_plans as fp
 from tickloom.registry import query
 from tickloom.sources.fixtures import view
 from tickloom.streaming.stateful import bar_averages, bar_features, volume_steps, warmed
-from tickloom.streaming.ticks import counted, counters, decided, drained, first_seen, landed, minute_bars, shared, watched_bars
+from tickloom.streaming.ticks import counted, counters, decided, decider, drained, first_seen, landed, minute_bars, shared, watched_bars
 
 
 def _ticks(spark, sf, symbol):
@@ -82,7 +82,7 @@ def k3_stream_counters(spark, sf):
 #: The session from which bars come as a stream; those before it only warm the state.
 LIVE = "2024-01-11"
 _AVERAGES = bar_averages(fp.SHORT, fp.LONG, fp.RANGE)
-OPENING, ANCHOR = 2, 1
+STEPS, OPENING, ANCHOR = 24, 2, 1
 _JOIN = "(symbol, session, hr)"
 
 
@@ -98,14 +98,22 @@ def _batch_sql(name: str) -> str:
  where session >= '{LIVE}' and cast(session as timestamp) + to_hours(cast(hr + 1 as bigint)) <= (select max(cast(session as timestamp) + to_hours(cast(hr as bigint))) from a)""")
 def k5_stream_features(spark, sf):
     """Bars of later sessions as a stream of several batches, from states that the sessions before it leave: the rows of the batch queries of averages, strength, range and session context."""
-    steps = 24
-    bars = fp.bars_in_runs(spark, sf, "close").withColumn("ts", F.col("bar_start").cast("timestamp")).withColumn("seq", F.datediff("session", F.lit("1970-01-01")) * steps + F.col("hr"))
+    exact = ("s_open", "s_high", "s_low", "s_volume", "or_high", "or_low")
+    f = _placed(drained(_live_features(spark, sf)))
+    return f.select("symbol", F.to_date("bar_start").cast("string").alias("session"), F.hour("bar_start").alias("hr"), fp.r6("short").alias("ema_short"), fp.r6("long").alias("ema_long"), fp.r6("rsi").alias("rsi"), fp.r6("true_range").alias("true_range"), fp.r6("atr").alias("atr"), *exact)
+
+
+def _live_features(spark, sf):
+    """The stream of features of bars from LIVE on, by the state that the bars before leave."""
+    bars = fp.bars_in_runs(spark, sf, "close").withColumn("ts", F.col("bar_start").cast("timestamp")).withColumn("seq", F.datediff("session", F.lit("1970-01-01")) * STEPS + F.col("hr"))
     old, new = bars.where(F.col("session") < LIVE), bars.where(F.col("session") >= LIVE).select("symbol", "ts", "seq", "open", "high", "low", "close", "volume")
     stream = spark.readStream.schema(new.schema).option("maxFilesPerTrigger", 1).parquet(landed(new, "ts", BATCHES))
-    f = drained(bar_features(stream, _AVERAGES, steps, OPENING, ANCHOR, "0 seconds", 3600, warmed(old, _AVERAGES, steps, OPENING)))
-    day = F.date_add(F.lit("1970-01-01"), F.floor(F.col("seq") / steps).cast("int"))
-    exact = ("s_open", "s_high", "s_low", "s_volume", "or_high", "or_low")
-    return f.select("symbol", day.cast("string").alias("session"), (F.col("seq") % steps).cast("int").alias("hr"), fp.r6("short").alias("ema_short"), fp.r6("long").alias("ema_long"), fp.r6("rsi").alias("rsi"), fp.r6("true_range").alias("true_range"), fp.r6("atr").alias("atr"), *exact)
+    return bar_features(stream, _AVERAGES, STEPS, OPENING, ANCHOR, "0 seconds", 3600, warmed(old, _AVERAGES, STEPS, OPENING))
+
+
+def _placed(features):
+    """With the time that a bar starts at; its place since the epoch is in hours."""
+    return features.withColumn("bar_start", F.timestamp_seconds(F.col("seq") * 3600))
 
 
 @query(f"""with {_PASSED}, g as (select *, coalesce(ts - lag(ts) over (partition by symbol order by ts, seq) > interval {IDLE} minute, true) as anew from p),
@@ -116,12 +124,23 @@ def k9_state_eviction(spark, sf):
     return drained(volume_steps(_deliveries(spark, sf), IDLE, f"{LATE} minutes", BUCKET)).withColumn("step", F.coalesce("step", F.lit(-1)))
 
 
-@query("""with b as (select event_type as symbol, date_trunc('hour', ts) as cycle, min_by(value, (ts, event_id)) as o, max_by(value, (ts, event_id)) as c, count(*) as n from events where value > 0 group by 1, 2), s as (select *, c / o - 1 as score from b where n >= 2 and symbol <> 'error'), k as (select *, row_number() over (partition by cycle order by abs(score) desc, symbol) as place from s)
- select cast(cycle as varchar) as cycle, symbol, case when score > 0 then 'LONG' else 'SHORT' end as side, round(score, 6) + 0.0 as score, place from k where place <= 3""")
+#: Picks of a cycle.
+MOST = 2
+
+
+@query(f"""with k as ({_batch_sql("k5_stream_features")}), f as (select symbol, cast(session as timestamp) + to_hours(cast(hr + 1 as bigint)) as cycle, ema_short, ema_long, rsi, atr from k),
+ v as (select event_type as symbol, cast(cast(ts as date) as timestamp) + interval 30 hour as known_at, count(*) % 3 <> 0 as allowed from events group by 1, 2),
+ j as (select f.*, allowed, (ema_short - ema_long) / atr as score from f asof left join v on f.symbol = v.symbol and f.cycle >= v.known_at),
+ r as (select *, count(*) over (partition by cycle) as ready from j where allowed and ema_short is not null and ema_long is not null and rsi is not null and atr is not null and score is not null),
+ p as (select *, row_number() over (partition by cycle order by abs(score) desc, symbol) as place from r where score <> 0)
+ select cast(cycle as varchar) as cycle, symbol, case when score > 0 then 'LONG' else 'SHORT' end as side, round(score, 6) as score, place, ready from p where place <= {MOST}""")
 def k10_decision_cycles(spark, sf):
-    """Bars, context and complete inputs to ranked picks, batch by batch."""
-    context = spark.read.parquet(f"{sf}/events.parquet").select(F.col("event_type").alias("symbol"), (F.col("event_type") != "error").alias("allowed")).distinct()
+    """Bars to features by the state of the stream, the context of each cycle's time, complete inputs, ranked picks, batch by batch."""
     at = shared(spark)
-    decided(_ticks(spark, sf, "event_type"), context, at, "hour", 3)()
-    d = spark.read.parquet(f"{at}/rows").drop("batch")
-    return d.select(F.col("cycle").cast("string").alias("cycle"), "symbol", "side", (F.round("score", 6) + 0.0).alias("score"), "place")
+    days = spark.read.parquet(f"{sf}/events.parquet").groupBy(F.col("event_type").alias("symbol"), F.date_trunc("day", F.col("ts").cast("timestamp")).alias("day")).agg((F.count("*") % 3 != 0).alias("allowed"))
+    days.select("symbol", (F.col("day") + F.expr("interval 30 hours")).alias("known_at"), "allowed").write.parquet(f"{at}/context")
+    needed = ["short", "long", "rsi", "atr"]
+    rows = _placed(_live_features(spark, sf)).select("symbol", (F.col("bar_start") + F.expr("interval 1 hour")).alias("cycle"), *[fp.r6(c).alias(c) for c in needed])
+    decided(rows, decider(f"{at}/context", at, needed, (F.col("short") - F.col("long")) / F.col("atr"), MOST), at)
+    d = spark.read.schema("cycle timestamp, symbol string, side string, score double, place int, ready long, batch int").parquet(f"{at}/rows").drop("batch")
+    return d.select(F.col("cycle").cast("string").alias("cycle"), "symbol", "side", fp.r6("score").alias("score"), "place", "ready")

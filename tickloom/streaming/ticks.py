@@ -6,10 +6,13 @@ import json
 import tempfile
 import uuid
 from collections.abc import Callable
+from functools import reduce
+from operator import and_
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tickloom.operators.joins import asof_join
 from tickloom.streaming.stateful import rocks
 
 
@@ -56,25 +59,38 @@ def counters(progress: list[dict], name: str = "ticks") -> dict[str, int]:
     return out
 
 
-def decisions(ticks: DataFrame, context: DataFrame, each: str, most: int) -> DataFrame:
-    """Ranked picks of each cycle of a batch of ticks: bars, their context (symbol, allowed), complete inputs, score, places."""
-    at = F.struct("ts", "seq")
-    bars = ticks.where("price > 0").groupBy("symbol", F.date_trunc(each, "ts").alias("cycle")).agg(F.min_by("price", at).alias("open"), F.max_by("price", at).alias("close"), F.count("*").alias("n"))
-    scored = bars.join(context.where("allowed").select("symbol"), "symbol", "left_semi").where("n >= 2").withColumn("score", F.col("close") / F.col("open") - 1)
-    place = F.row_number().over(Window.partitionBy("cycle").orderBy(F.abs("score").desc(), "symbol"))
-    return scored.withColumn("place", place).where(F.col("place") <= most).select("cycle", "symbol", F.when(F.col("score") > 0, "LONG").otherwise("SHORT").alias("side"), "score", "place")
+def decisions(rows: DataFrame, context: DataFrame, needed: list[str], score: Column, most: int) -> DataFrame:
+    """Ranked picks of each cycle: (cycle, symbol, side, score, place, ready).
+
+    rows: (symbol, cycle, features), one a symbol and cycle. context: versions of
+    what is known of a symbol (symbol, known_at, allowed); the newest at or before
+    the cycle counts, and without one nothing is allowed. A row is ready if it is
+    allowed and all needed features and the score are known; `ready` says how many
+    of the cycle are. The `most` of the greatest score either way are picked, equal
+    ones by symbol; a score of 0 is no pick.
+    """
+    versions = context.select("symbol", F.col("known_at").alias("cycle"), "allowed")
+    j = asof_join(rows.withColumn("score", score), versions, ["symbol"], "cycle", ["allowed"], ["allowed"])
+    known = reduce(and_, [F.col(c).isNotNull() & ~F.isnan(c) for c in [*needed, "score"]])
+    ready = j.where(F.coalesce("allowed", F.lit(False)) & known).withColumn("ready", F.count("*").over(Window.partitionBy("cycle")))
+    picked = ready.where("score <> 0").withColumn("place", F.row_number().over(Window.partitionBy("cycle").orderBy(F.abs("score").desc(), "symbol")))
+    return picked.where(F.col("place") <= most).select("cycle", "symbol", F.when(F.col("score") > 0, "LONG").otherwise("SHORT").alias("side"), "score", "place", "ready")
 
 
-def decided(ticks: DataFrame, context: DataFrame, path: str, each: str, most: int) -> Callable[[], None]:
-    """Starts nothing yet: a call runs all batches that are there, each decided as a whole and written under its number, so that a batch done again replaces its own."""
+def decider(context: str, path: str, needed: list[str], score: Column, most: int) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: decides the cycles of a batch by the versions that the table `context` (a Parquet path) holds then, and writes them under the batch's number, so that a batch done again replaces its own."""
 
     def each_batch(batch: DataFrame, number: int) -> None:
-        decisions(batch, context, each, most).write.mode("overwrite").parquet(f"{path}/rows/batch={number}")
+        known = batch.sparkSession.read.parquet(context)
+        decisions(batch, known, needed, score, most).write.mode("overwrite").parquet(f"{path}/rows/batch={number}")
+
+    return each_batch
 
-    def run() -> None:
-        ticks.writeStream.foreachBatch(each_batch).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
 
-    return run
+def decided(features: DataFrame, each_batch: Callable[[DataFrame, int], None], path: str) -> None:
+    """Runs all batches of a stream of features that are there through each_batch."""
+    with rocks(features.sparkSession):
+        features.writeStream.foreachBatch(each_batch).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
 
 
 def shared(spark: SparkSession) -> str:
