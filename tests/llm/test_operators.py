@@ -308,7 +308,7 @@ def test_html(spark):
 
 
 def test_html_tree_inside_articles(spark, monkeypatch):
-    """Boilerplate without marks and comments in article tags go, diverse text outside the article and copied pages stay."""
+    """Low branches and comments in article tags go; single blocks of an article that its host shares, diverse text outside it and copied pages stay."""
 
     def page(i):
         return (
@@ -322,8 +322,21 @@ def test_html_tree_inside_articles(spark, monkeypatch):
     for limit in (200_000, -1):
         monkeypatch.setattr(html_extract, "BROADCAST_BRANCHES", limit)
         got = {r["page_id"]: r["text"] for r in html_extract.extract(frame).collect()}
-        assert [got[i] for i in range(12)] == [f"title {i} story {i} second part {i}" for i in range(12)]
-        assert {got[20 + i] for i in range(40)} == {"title 0 story 0 second part 0"} and got[100] == "only 0"
+        assert [got[i] for i in range(12)] == [f"title {i} story {i} this text is ours second part {i}" for i in range(12)]
+        assert {got[20 + i] for i in range(40)} == {"title 0 story 0 this text is ours second part 0"} and got[100] == "only 0"
+
+
+@pytest.mark.parametrize("pages", [5, 60])
+def test_html_keeps_articles(spark, pages):
+    """Headings that all articles of a host have, and near copies of one, lose nothing, however many pages there are; what lies around them goes."""
+    shared = "<p>first paragraph of it</p><p>second paragraph of it</p><p>third paragraph of it</p>"
+    around = "<div class=x>all rights</div>"
+    rows = [(i, f"http://a.example/{i}", f"<article><h2>Abstract</h2><p>a {i}</p><h2>Method</h2><p>b {i}</p></article>{around}") for i in range(pages)]
+    rows += [(1000 + i, f"http://b.example/{i}", f"<article><h1 class='header'>Title</h1>{shared}<p>but {i}</p></article>{around}") for i in range(pages)]
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(pages):
+        assert got[i] == f"Abstract a {i} Method b {i}"
+        assert got[1000 + i] == f"Title first paragraph of it second paragraph of it third paragraph of it but {i}"
 
 
 def test_html_markup():

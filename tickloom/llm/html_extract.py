@@ -48,6 +48,9 @@ _TAILS = frozenset("list left right top bottom box bar wrap wrapper container se
 #: A class that begins so says what its element has, not what it is.
 _HAS = frozenset("with has no without is show hide".split())
 _MAIN = frozenset(("article", "main"))
+_HEADINGS = frozenset(f"h{i}" for i in range(1, 7))
+#: Where a block lies: outside articles, in one, or in a heading of one.
+OUTSIDE, INSIDE, HEADING = 0, 1, 2
 _PART = re.compile(r"[^a-z0-9]+")
 _ROOT = 0
 
@@ -70,7 +73,7 @@ class Page(HTMLParser):
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, int, bool, bool, bool]] = [("", _ROOT, False, False, False)]
+        self.stack: list[tuple[str, int, bool, int, bool]] = [("", _ROOT, False, OUTSIDE, False)]
         self.above: dict[int, int] = {}
         self.depth = {_ROOT: 0}
         self.blocks: list[list] = []
@@ -94,7 +97,8 @@ class Page(HTMLParser):
         if not inline and self.stack[-1][0] in ("p", "li" if tag == "li" else "p"):
             self.stack.pop()
         _, above, noise, main, form = self.stack[-1]
-        noise = noise or (tag in _NOISE and not (main and tag == "header")) or (tag not in ("html", "body", "main") and any(map(noise_class, own)))
+        main = max(main, HEADING if main and tag in _HEADINGS else INSIDE if tag in _MAIN else OUTSIDE)
+        noise = noise or (tag in _NOISE and not (main and tag == "header")) or (tag not in ("html", "body", "main") and main != HEADING and any(map(noise_class, own)))
         if inline:  # no block of its own, so that words stay whole
             self.stack.append((tag, above, noise, main, form))
             return
@@ -105,7 +109,7 @@ class Page(HTMLParser):
             children = self.below.setdefault(above, [])
             if not children or children[-1] != node:
                 children.append(node)
-        self.stack.append((tag, node, noise, main or tag in _MAIN, form or tag == "form"))
+        self.stack.append((tag, node, noise, main, form or tag == "form"))
 
     def handle_endtag(self, tag: str) -> None:
         if tag in _VOID:
@@ -138,8 +142,8 @@ class Page(HTMLParser):
         return out
 
 
-def parsed(html: str | None) -> tuple[list[tuple[int, str, bool]], Page]:
-    """((node, text, inside an article) of each block that isn't noise by its markup, the page).
+def parsed(html: str | None) -> tuple[list[tuple[int, str, int]], Page]:
+    """((node, text, place: OUTSIDE, INSIDE or HEADING) of each block that isn't noise by its markup, the page).
 
     Forms are noise, unless all text is in them: then the page is wrapped in one.
     """
@@ -169,14 +173,19 @@ def _rich(node: int) -> str:
 def extracted(html: str | None, marks: frozenset[str] | set[str]) -> str:
     """The text of the blocks of a page that are not low, by the marks of its host: low branches, low blocks, diverse nodes.
 
-    On a page with text in an article, blocks outside articles need a diverse node.
+    Headings of an article stay. Other blocks of an article go with a low branch
+    only, never by how many pages share their text alone: the more near copies of an
+    article a host has, or pages of one outline, the more they would share. On a
+    page with text in an article, blocks outside articles need a diverse node, and
+    go where their own text is low.
     """
     blocks, page = parsed(html)
-    article, low, out = any(main for _, _, main in blocks), {}, []
-    for p, t, main in blocks:
+    article, low, out = any(place for _, _, place in blocks), {}, []
+    for p, t, place in blocks:
         if p not in low:
             low[p] = any(str(x) in marks for x in page.chain(p))
-        if not low[p] and (main or not article or _rich(p) in marks) and _block(p, t) not in marks:
+        outside = (not article or _rich(p) in marks) and _block(p, t) not in marks
+        if place == HEADING or (not low[p] and (place == INSIDE or outside)):
             out.append(t)
     return " ".join(out)
 
@@ -194,7 +203,7 @@ def _styles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             inside = {}
             for p, t, main in blocks:
                 texts.setdefault(p, []).append(t)
-                inside[p] = main
+                inside[p] = bool(main)
             mark = _digest("\n".join(f"{p}\t{t}" for p, t, _ in blocks))
             for p, own in texts.items():
                 out.append((host, p, "content", _digest("\n".join(own)), mark, page.chain(p), inside[p]))
