@@ -66,6 +66,31 @@ def a14_file_checks(spark, sf):
     return files.file_checks(view(spark, sf, "raw_new"), "file", "TradDt", _KEYS, 20).select("file", "n_rows", "n_sessions", "fault")
 
 
+#: Other kinds of file: view, column of the session, columns of a row's key, least rows.
+_KINDS = {
+    "old": ("raw_old", "TIMESTAMP", ("INSTRUMENT", "SYMBOL", "EXPIRY_DT", "OPTION_TYP", "STRIKE_PR"), 5),
+    "indices": ("raw_indices", "day", ("Index Name",), 3),
+}
+
+
+def _check_sql(kind: str) -> str:
+    name, session, keys, least = _KINDS[kind]
+    distinct = ", ".join(f'"{k}"' for k in keys)
+    return f"""select '{kind}' as kind, cast(day as varchar) as file, count(*) as n_rows, count(distinct {session}) as n_sessions, count(distinct ({distinct})) as n_keys, {least} as least from {name} group by day"""
+
+
+@query(duck(f"""with g as ({' union all '.join(map(_check_sql, _KINDS))})
+ select kind, file, n_rows, n_sessions, case when n_sessions <> 1 then 'sessions' when n_rows < least then 'rows' when n_keys < n_rows then 'keys' end as fault from g"""))
+def a14_other_file_checks(spark, sf):
+    """The same checks of the old derivatives files and the index files, each by its own keys and size."""
+    out = None
+    for kind, (name, session, keys, least) in _KINDS.items():
+        raw = view(spark, sf, name).withColumn("file", F.col("day").cast("string"))
+        one = files.file_checks(raw, "file", session, keys, least).select(F.lit(kind).alias("kind"), "file", "n_rows", "n_sessions", "fault")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query(duck("""with o as (select symbol, session, sum(oi) as opt_oi, sum(oi) filter (where opt = 'PE') / nullif(sum(oi) filter (where opt = 'CE'), 0) as pcr from x4 where kind = 'O' group by 1, 2),
  f as (select symbol, session, sum(oi) as fut_oi, max(settle) filter (where expiry_no = 0) as settle from x4 where kind = 'F' group by 1, 2),
  c as (select symbol, date_trunc('year', session) as session, max_by(close, session) as spot from x3 group by 1, 2), l as (select symbol, session, sum(contracts) as held from x4 where expiry_no = 1 and symbol % 3 <> 0 group by 1, 2),
