@@ -82,7 +82,10 @@ def within_capacity(df: DataFrame, by: list[str], entry: str, rank: str, exit_:
     return g.select(*by, F.explode(F.aggregate("xs", start, step)["taken"]).alias(key))
 
 
-@query()
+@query(duck(f"""with recursive t as materialized (select session, event_id, event_id % 24 as a, event_id % 24 + 2 + symbol % 6 as b, row_number() over (partition by session order by event_id % 24, -p, event_id % 24 + 2 + symbol % 6, event_id) as i from x7),
+ r as (select session, 0::bigint as i, []::bigint[] as held, null::bigint as event_id from t group by session union all
+   select session, i, case when len(h) < {SLOTS} then h || [b] else h end, case when len(h) < {SLOTS} then event_id end from (select t.session, t.i, t.b, t.event_id, list_filter(r.held, lambda e: e >= t.a) as h from r join t on t.session = r.session and t.i = r.i + 1))
+ select cast(session as varchar) as session, event_id from r where event_id is not null"""))
 def f18_within_capacity(spark, sf):
     t = view(spark, sf, "x7").select("session", "event_id", (F.col("event_id") % 24).cast("long").alias("entry"), (F.col("event_id") % 24 + 2 + F.col("symbol") % 6).cast("long").alias("exit"), (-F.col("p")).alias("rank"))
     return within_capacity(t, ["session"], "entry", "rank", "exit", "event_id").select(F.col("session").cast("string").alias("session"), "event_id")
