@@ -50,6 +50,8 @@ def g7_bracket_over_sessions(spark, sf):
 
 #: Take-profit and stop of multi-day holdings, and their sessions.
 TAKE, STOP, SESSIONS = 0.9, 0.6, 5
+#: Days of the month at whose multiples a price breaks.
+BREAKS = 9
 
 
 @query(duck(f"""with d as (select symbol, session, min_by(open, hr) as open, max(high) as high, min(low) as low, max_by(close, hr) as close from bars group by 1, 2),
@@ -59,11 +61,12 @@ TAKE, STOP, SESSIONS = 0.9, 0.6, 5
    where ev.high >= price * (1 + {TAKE}) or ev.low <= price * (1 - {STOP})),
  l as (select max(session) as last_ from d), gap as (select e.symbol, e.session, min(cast(s.at_ as date)) as missing from e, l, (select cast(unnest(generate_series(1, {SESSIONS})) as int) as off) o, lateral (select cast(e.session + o.off * interval 1 day as date) as at_) s
    where s.at_ <= l.last_ and not exists (select 1 from ev where ev.symbol = e.symbol and ev.session = s.at_) group by 1, 2),
- r as (select e.symbol, e.session, e.price, t.*exclude (symbol, session, price), gap.missing, l.last_ from e cross join l left join t on e.symbol = t.symbol and e.session = t.session and rn = 1 left join gap on e.symbol = gap.symbol and e.session = gap.session)
- select symbol, cast(session as varchar) as session, case when missing is not null and (at_ is null or missing < at_) then 'missing_day' when at_ is null and session + interval {SESSIONS} day > last_ then 'censored' when at_ is null then 'timeout'
-  when open >= price * (1 + {TAKE}) then 'tp' when open <= price * (1 - {STOP}) then 'sl' when high >= price * (1 + {TAKE}) and low <= price * (1 - {STOP}) then case when daily then 'daily_ambiguous' else 'sl' end when high >= price * (1 + {TAKE}) then 'tp' else 'sl' end as status from r"""))
+ r as (select e.symbol, e.session, e.price, t.*exclude (symbol, session, price), gap.missing, l.last_ from e cross join l left join t on e.symbol = t.symbol and e.session = t.session and rn = 1 left join gap on e.symbol = gap.symbol and e.session = gap.session),
+ s as (select symbol, session, at_, case when missing is not null and (at_ is null or missing < at_) then 'missing_day' when at_ is null and session + interval {SESSIONS} day > last_ then 'censored' when at_ is null then 'timeout'
+  when open >= price * (1 + {TAKE}) then 'tp' when open <= price * (1 - {STOP}) then 'sl' when high >= price * (1 + {TAKE}) and low <= price * (1 - {STOP}) then case when daily then 'daily_ambiguous' else 'sl' end when high >= price * (1 + {TAKE}) then 'tp' else 'sl' end as status from r)
+ select symbol, cast(session as varchar) as session, case when status in ('tp', 'sl', 'timeout') and exists (select 1 from d b where b.symbol = s.symbol and date_part('day', b.session) % {BREAKS} = 0 and b.session > s.session and b.session <= coalesce(s.at_, s.session + interval {SESSIONS} day)) then 'demerger_window' else status end as status from s"""))
 def g8_multi_day_target(spark, sf):
-    """The first touch in the next sessions, by bars, by the day where a session has none; a session without either before it makes it unknown."""
+    """The first touch in the next sessions, by bars, by the day where a session has none; a session without either before it makes it unknown, and so does a break of the price (a demerger) up to the exit."""
     b, odd = view(spark, sf, "bars"), F.dayofmonth("session") % 3 == 0
     d = b.groupBy(*DAY).agg(F.min_by("open", "hr").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", "hr").alias("close"))
     bars = b.where(~odd).select("symbol", F.col("session").alias("at"), "hr", "open", "high", "low", F.lit(False).alias("daily"))
@@ -72,14 +75,17 @@ def g8_multi_day_target(spark, sf):
     e = d.where(~odd).select("symbol", "session", F.col("close").alias("price")).crossJoin(F.broadcast(last))  # one row
     e = e.withColumn("at", F.explode(F.sequence(F.date_add("session", 1), F.date_add("session", SESSIONS))))
     days = events.withColumn("x", F.struct("hr", "open", "high", "low", "daily")).groupBy("symbol", "at").agg(F.sort_array(F.collect_list("x")).alias("xs"))
-    j = e.join(days, ["symbol", "at"], "left")
+    breaks = d.where(F.dayofmonth("session") % BREAKS == 0).select("symbol", F.col("session").alias("at"), F.lit(True).alias("broke"))
+    j = e.join(days, ["symbol", "at"], "left").join(breaks, ["symbol", "at"], "left")
     up, down = F.col("price") * (1 + TAKE), F.col("price") * (1 - STOP)
     j = j.withColumn("up", up).withColumn("down", down).withColumn("hit", first_of("xs", lambda x: (x["high"] >= F.col("up")) | (x["low"] <= F.col("down"))))
     hit = F.col("hit")
     kind = F.when(hit["open"] >= up, "tp").when(hit["open"] <= down, "sl").when((hit["high"] >= up) & (hit["low"] <= down), F.when(hit["daily"], "daily_ambiguous").otherwise("sl")).when(hit["high"] >= up, "tp").otherwise("sl")
     what = F.when(F.col("xs").isNull() & (F.col("at") <= F.col("last")), "missing_day").when(hit.isNotNull(), kind)
-    g = j.withColumn("what", what).groupBy(*DAY).agg(F.min(F.when(F.col("what").isNotNull(), F.struct("at", "what"))).alias("first"), F.max("at").alias("end"), F.max("last").alias("last"))
-    return g.select("symbol", F.col("session").cast("string").alias("session"), F.coalesce("first.what", F.when(F.col("end") > F.col("last"), "censored").otherwise("timeout")).alias("status"))
+    g = j.withColumn("what", what).groupBy(*DAY).agg(F.min(F.when(F.col("what").isNotNull(), F.struct("at", "what"))).alias("first"), F.max("at").alias("end"), F.max("last").alias("last"), F.min(F.when(F.col("broke"), F.col("at"))).alias("broke"))
+    g = g.withColumn("status", F.coalesce("first.what", F.when(F.col("end") > F.col("last"), "censored").otherwise("timeout")))
+    within = F.col("status").isin("tp", "sl", "timeout") & (F.col("broke") <= F.coalesce("first.at", "end"))
+    return g.select("symbol", F.col("session").cast("string").alias("session"), F.when(within, "demerger_window").otherwise(F.col("status")).alias("status"))
 
 
 #: Symmetric target on a tick grid, decay in bars, last bar of the session that counts.
