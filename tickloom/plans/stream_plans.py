@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from tickloom.plans import feature_plans as fp
 from tickloom.registry import query
-from tickloom.sources.fixtures import view
 from tickloom.streaming.stateful import bar_averages, bar_features, volume_steps, warmed
 from tickloom.streaming.ticks import counted, counters, decided, decider, drained, first_seen, landed, minute_bars, shared, watched_bars
 
