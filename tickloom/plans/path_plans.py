@@ -331,7 +331,7 @@ _EVENTS = f"""f0 as (select *, min(idx) over (partition by symbol) as first_ fro
  rr as (select symbol, ex, arg_min(real, abs(real / m - 1)) as real, min(abs(real / m - 1)) as error from be, (select cast(unnest({RATIOS}) as double) as real) group by all)"""
 
 
-@query(duck(f"""with {_EVENTS} select symbol, ex, case when m is null then 'unresolved' when abs(m - 1) <= {NEAR} then 'unadjusted' else 'adjusted' end as status, width, case when abs(m - 1) > {NEAR} then round(m, 5) end as measured,
+@query(duck(f"""with {_EVENTS} select symbol, ex, case when m is null then 'unresolved' when abs(m - 1) <= {NEAR} then 'unadjusted' else 'adjusted' end as status, cast(width as double) as width, case when abs(m - 1) > {NEAR} then round(m, 5) end as measured,
  case when abs(m - 1) > {NEAR} then round(case when error <= {NEAR} then real else m end, 5) end as ratio from ev left join be using (symbol, ex) left join rr using (symbol, ex)"""))
 def e39_event_ratios(spark, sf):
     """The vendor's adjustment at each event: slope before over slope after, snapped to a ratio of small whole numbers."""
@@ -342,7 +342,7 @@ def e39_event_ratios(spark, sf):
     pairs = F.array(*[F.struct(F.col(c).alias("x"), (F.col(c) * a + 5 + (odd if c == "open" else F.lit(0.0))).alias("y")) for c in ("open", "high", "low", "close")])
     days = d.join(start, "symbol").select("symbol", "idx", pairs.alias("pairs"), (0.135 + 0.0002 * (F.col("close") * a + 5)).alias("allowed"))
     events = d.where("n % 11 = 0 or n % 7 = 0").select("symbol", F.col("idx").alias("ex"))
-    return event_ratios(days, events).withColumn("measured", F.round("measured", 5)).withColumn("ratio", F.round("ratio", 5))
+    return event_ratios(days, events).withColumn("width", F.col("width").cast("double")).withColumn("measured", F.round("measured", 5)).withColumn("ratio", F.round("ratio", 5))
 
 
 @query(duck("""with e as (select symbol, idx, close, lag(close) over w as before, lag(idx) over w as b_idx, 0.01 * (1 + n % 9) * lag(close) over w as amount from daily window w as (partition by symbol order by idx)), r as (select symbol, idx, close / (close + n % 5) as ratio from daily where n % 2 = 0),
