@@ -11,6 +11,16 @@ def safe_divide(a: Column, b: Column) -> Column:
     return F.when(b != 0, a / b)
 
 
+def divide(a: Column, b: Column) -> Column:
+    """a / b of doubles as they are: infinite where only b is zero, not a number where both are; null where either is null."""
+    return F.when(b == 0, a.cast("double") * float("inf")).otherwise(a / b)
+
+
+def log(x: Column) -> Column:
+    """Natural logarithm of a double, minus infinity at zero."""
+    return F.when(x == 0, float("-inf")).otherwise(F.log(x))
+
+
 def ratio_change(a: Column, b: Column) -> Column:
     return safe_divide(a, b) - 1
 

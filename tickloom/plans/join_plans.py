@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tickloom.functions.scalars import divide
 from tickloom.operators.joins import asof_join, first_touch, forward_window, interval_join, neighbour
 from tickloom.plans.feature_plans import DAILY, DAY, KEY, daily_keyed, keyed, r6
 from tickloom.registry import query
@@ -107,7 +108,7 @@ def c13_feed_agreement(spark, sf):
  where not exists (select 1 from bad where bad.symbol = b.symbol and bad.session = b.session) and exists (select 1 from bars c where c.symbol = b.symbol and c.n_ticks > 3)"""))
 def c17_exclusions(spark, sf):
     bars = view(spark, sf, "bars")
-    bad, seen = bars.where("high / low > 1000").select(*DAY).distinct(), bars.where("n_ticks > 3").select("symbol").distinct()
+    bad, seen = bars.where(divide(F.col("high"), F.col("low")) > 1000).select(*DAY).distinct(), bars.where("n_ticks > 3").select("symbol").distinct()
     return keyed(bars.join(bad, DAY, "left_anti").join(seen, "symbol", "left_semi"), "close")
 
 
