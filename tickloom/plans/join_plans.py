@@ -125,7 +125,7 @@ def c20_trades_by_component(spark, sf):
  row_number() over (partition by bar_start order by a desc, symbol) as ra, row_number() over (partition by bar_start order by b desc, symbol) as rb from f)
  select symbol, cast(bar_start as varchar) as bar_start, fires, ra <= quota as by_change, rb <= quota as by_range from k where fires or ra <= quota or rb <= quota"""))
 def c21_matched_selection(spark, sf):
-    f = view(spark, sf, "bars").select("*", (F.col("close") / F.col("open") - 1).alias("a"), (F.col("high") / F.col("low")).alias("b"), (F.col("close") > F.col("open")).alias("fires"))
+    f = view(spark, sf, "bars").select("*", (divide(F.col("close"), F.col("open")) - 1).alias("a"), divide(F.col("high"), F.col("low")).alias("b"), (F.col("close") > F.col("open")).alias("fires"))
     at = Window.partitionBy("bar_start")
     quota = F.sum(F.col("fires").cast("int")).over(at)
     best = lambda c: F.row_number().over(at.orderBy(F.col(c).desc(), "symbol")) <= quota
