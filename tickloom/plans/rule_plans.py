@@ -161,7 +161,9 @@ def opportunity(weights: tuple[float, ...] = WEIGHTS, target: float = TARGET, de
         total = sum((F.coalesce(x, F.lit(0.0)) for x in xs[1:]), F.coalesce(xs[0], F.lit(0.0)))
         return F.when(n > 0, total / n).otherwise(0.0)
 
-    atr, share, close, left = C("atr14"), C("atr_pct"), C("close"), square_off - C("minutes")
+    # What a row without volatility, or at minute zero, would divide by is unknown; its reason says why.
+    positive = lambda x: F.when(x > 0, x)
+    atr, share, close, left = positive(C("atr14")), positive(C("atr_pct")), C("close"), square_off - C("minutes")
     regime = F.greatest(F.lit(0.0), F.least(F.lit(1.0), C("adx14") / 50))
     alignment = mean(bound((C("ema9") - C("ema21")) / atr), bound((C("ema21") - C("ema50")) / atr), bound(C("ema9_slope_5") / share), bound(C("ema21_slope_5") / share))
     momentum = mean(*[bound(C(f"return_{k}") / (share * k**0.5)) for k in (1, 5, 15)], bound(C("macd_histogram") / atr), bound(C("macd_histogram_change") / atr))
@@ -169,12 +171,12 @@ def opportunity(weights: tuple[float, ...] = WEIGHTS, target: float = TARGET, de
     pressure = F.when(both > 0, (C("plus_di14") - C("minus_di14")) / both).otherwise(0.0)
     place = lambda high, low: bound((2 * close - high - low) / (high - low + 2 * atr))
     stretched = known_mean(bound((C("rsi14") - 50) / 20), bound(2 * (C("bollinger_percent_b_20") - 0.5)), bound(C("price_vs_vwap_sigma") / 2))
-    session = known_mean(bound(C("from_open") / (share * F.sqrt("minutes"))), 2 * C("in_range") - 1, place(C("opening_range_high"), C("opening_range_low")))
+    session = known_mean(bound(C("from_open") / (share * F.sqrt(positive(C("minutes"))))), 2 * C("in_range") - 1, place(C("opening_range_high"), C("opening_range_low")))
     volume = C("volume_ratio_20")
     confirmation = F.when(volume >= 0, mean(alignment, momentum, pressure) * volume / (1 + volume)).otherwise(0.0)
     components = F.array(alignment, momentum, pressure, place(C("rolling_high_20"), C("rolling_low_20")) * regime, -stretched * (1 - regime), -bound((close - C("ema9")) / atr) * regime, session * regime, confirmation)
     reach = (1 - F.exp(-decay * (share / target) ** 2)) * (1 - F.exp(-left / decay))
-    reason = F.when(C("minutes").isNull(), "not_ready").when((C("minutes") <= 0) | (left <= 0), "outside_window").when(~_known(*_NEEDED), "not_ready").when((atr <= 0) | (share <= 0), "no_volatility")
+    reason = F.when(C("minutes").isNull(), "not_ready").when((C("minutes") <= 0) | (left <= 0), "outside_window").when(~_known(*_NEEDED), "not_ready").when((C("atr14") <= 0) | (C("atr_pct") <= 0), "no_volatility")
     dot = F.aggregate(F.zip_with(components, F.array(*map(F.lit, weights)), lambda a, b: a * b), F.lit(0.0), lambda t, x: t + x)
     return reason, components, F.when(reason.isNull(), reach).otherwise(0.0), F.when(reason.isNull(), centred_sigmoid(reach * dot)).otherwise(0.0)
 
