@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tickloom.functions.scalars import divide
 from tickloom.plans.feature_plans import DAY, KEY, keyed, r6
 from tickloom.registry import query
 from tickloom.sources.fixtures import duck, view
@@ -110,7 +111,7 @@ def j11_format_equality(spark, sf):
 @query(duck("""with e as (select symbol, session, count(*) as have, count(*) filter (where high / low > 500) as quarantined from bars group by 1, 2)
  select symbol, cast(sum(24) as bigint) as expected, cast(sum(have - quarantined) as bigint) as usable, cast(sum(quarantined) as bigint) as quarantined, cast(sum(24 - have) as bigint) as missing, sum(24) = sum(have - quarantined) + sum(quarantined) + sum(24 - have) as balanced from e group by symbol"""))
 def j13_slot_accounting(spark, sf):
-    e = view(spark, sf, "bars").groupBy(*DAY).agg(F.count("*").alias("have"), F.count_if(F.col("high") / F.col("low") > 500).alias("q"))
+    e = view(spark, sf, "bars").groupBy(*DAY).agg(F.count("*").alias("have"), F.count_if(divide(F.col("high"), F.col("low")) > 500).alias("q"))
     total = F.count("*") * 24
     usable, missing = F.sum(F.col("have") - F.col("q")), F.sum(24 - F.col("have"))
     return e.groupBy("symbol").agg(total.alias("expected"), usable.alias("usable"), F.sum("q").alias("quarantined"), missing.alias("missing"), (total == usable + F.sum("q") + missing).alias("balanced"))
