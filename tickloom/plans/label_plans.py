@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,7 +42,7 @@ BRACKET, HOLDING = 0.9, 40
 def g7_bracket_over_sessions(spark, sf):
     """A buy at the next open leaves at a bracket, if need be in later sessions; a gap fills at the open, both in one bar is a stop; missing sessions make it unknown."""
     b = ahead(placed(spark, sf), ["symbol"], ["session", "hr"], HOLDING, "k").where(F.size("ahead") > 0).withColumn("entry", F.element_at("ahead", 1)["open"])
-    up, down = F.col("entry") * (1 + BRACKET), F.col("entry") * (1 - BRACKET)
+    up, down = F.col("entry") * float(1 + Decimal(str(BRACKET))), F.col("entry") * float(1 - Decimal(str(BRACKET)))  # decimal shares: 0.1, not 0.09999999999999998
     b = b.withColumn("up", up).withColumn("down", down).withColumn("hit", first_of("ahead", lambda a: (a["high"] >= F.col("up")) | (a["low"] <= F.col("down"))))
     hit, held = F.col("hit"), F.size(F.array_distinct(F.concat(F.array("session"), F.transform(F.filter("ahead", lambda a: a["step"] <= F.col("hit.step")), lambda a: a["session"]))))
     reason = F.when(hit.isNull(), "open").when(hit["open"] <= down, "sl_gap").when(hit["open"] >= up, "tp_gap").when((hit["high"] >= up) & (hit["low"] <= down), "sl_same").when(hit["high"] >= up, "tp").otherwise("sl")
