@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions.scalars import safe_divide
+from tickloom.operators.chains import kept as at_rest
 
 RUNNING = (Window.unboundedPreceding, 0)
 
@@ -38,7 +39,8 @@ def prefix_sums(df: DataFrame, order: str, value: str, name: str, parts: int = 6
     Rows fall into parts between approximate quantiles; each part is summed within
     itself, and the few totals of the parts before it are added.
     """
-    cuts = df.agg(F.percentile_approx(order, F.array(*[F.lit(i / parts) for i in range(1, parts)]), 10_000).alias("__cuts"))
+    # Kept: approximate quantiles can come out otherwise when they are taken again, and both readers need the same parts.
+    cuts = at_rest(df.agg(F.percentile_approx(order, F.array(*[F.lit(i / parts) for i in range(1, parts)]), 10_000).alias("__cuts")))
     d = df.crossJoin(F.broadcast(cuts)).withColumn("__part", F.size(F.filter("__cuts", lambda c: c <= F.col(order)))).drop("__cuts")  # one row of cuts
     d = d.withColumn("__part", F.coalesce("__part", F.lit(0)))
     totals = d.groupBy("__part").agg(F.sum(value).alias("__total"))
@@ -82,7 +84,8 @@ def grouped_quantiles(df: DataFrame, by: list[str], wanted: dict[str, tuple[str,
     long = df.select(*by, F.posexplode(F.array(*[F.col(c).cast("double") for c in columns])).alias("__c", "__v"))
     key = [*by, "__c"]
     counts = long.where("__v is not null").groupBy(*key, "__v").agg(F.count("*").alias("__m"))
-    bounds = long.groupBy(*key).agg(F.percentile_approx("__v", F.array(*[F.lit(i / parts) for i in range(1, parts)]), 10_000).alias("__cuts"), F.count("__v").alias("__n"))
+    # Kept: sizes and values of parts are read apart, and approximate quantiles can come out otherwise when they are taken again.
+    bounds = at_rest(long.groupBy(*key).agg(F.percentile_approx("__v", F.array(*[F.lit(i / parts) for i in range(1, parts)]), 10_000).alias("__cuts"), F.count("__v").alias("__n")))
     salted = bounds.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     placed = _same_group(counts.withColumn("__salt", F.pmod(F.xxhash64("__v"), F.lit(SALTS)).cast("int")), salted, [*key, "__salt"])
     placed = placed.withColumn("__part", F.size(F.filter("__cuts", lambda c: c <= F.col("__v")))).drop("__cuts", "__salt")

@@ -9,6 +9,7 @@ from operator import mul
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickloom.operators.chains import kept
 from tickloom.operators.windows import grouped_quantiles, over
 from tickloom.plans.feature_plans import DAY, KEY, keyed, r6
 from tickloom.plans.label_plans import BARRIER, HORIZONS, _classes
@@ -186,7 +187,7 @@ def average_ranks(df: DataFrame, names: tuple[str, ...], parts: int = 64) -> Dat
     """
     long = df.select(F.explode(F.array(*[F.struct(F.lit(n).alias("feature"), F.col(n).cast("double").alias("v")) for n in names])).alias("x")).select("x.*").where("v is not null")
     counts = long.groupBy("feature", "v").agg(F.count("*").alias("m"))
-    cuts = long.groupBy("feature").agg(F.percentile_approx("v", F.array(*[F.lit(i / parts) for i in range(1, parts)]), 10_000).alias("cuts"))
+    cuts = kept(long.groupBy("feature").agg(F.percentile_approx("v", F.array(*[F.lit(i / parts) for i in range(1, parts)]), 10_000).alias("cuts")))  # the same for both readers
     placed = counts.join(F.broadcast(cuts), "feature").withColumn("part", F.size(F.filter("cuts", lambda c: c <= F.col("v")))).drop("cuts")
     line = Window.partitionBy("feature").orderBy("part")
     before = placed.groupBy("feature", "part").agg(F.sum("m").alias("n")).withColumn("before", F.sum("n").over(line) - F.col("n")).drop("n")
