@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tickloom.operators.divisors import divisors
-from tickloom.operators.joins import interval_join, neighbour
+from tickloom.operators.joins import neighbour
 from tickloom.operators.windows import over, quantiles
 from tickloom.plans.feature_plans import DAILY, KEY, daily_keyed, keyed, r6
 from tickloom.registry import query
@@ -154,10 +154,18 @@ def b24_quantum(spark, sf):
  m as (select o_custkey % 50 as symbol, cast(o_orderdate as timestamp) as held, cast(o_orderdate as timestamp) - cast(o_orderkey % 60 as int) * interval 1 day as known from orders where o_orderstatus = 'O')
  select trade_id, count(*) as meetings, count(*) filter (where known <= after_) as known_before from d join m on d.symbol = m.symbol and held > after_ and held <= until_ group by trade_id"""))
 def c6_known_meetings(spark, sf):
-    trades = view(spark, sf, "x8").select("trade_id", "symbol", F.col("session").cast("timestamp").alias("until")).withColumn("after", F.expr("until - interval 40 days"))
+    """Meetings in the forty days up to a trade, and those known before: each counts from one time to another, so that running sums by symbol and time hold the counts of all trades."""
+    trades = view(spark, sf, "x8").select("trade_id", "symbol", F.col("session").cast("timestamp").alias("at")).where("at is not null")
     meetings = spark.read.parquet(f"{sf}/orders.parquet").where("o_orderstatus = 'O'").select((F.col("o_custkey") % 50).alias("symbol"), F.col("o_orderdate").cast("timestamp").alias("at"), (F.col("o_orderkey") % 60).cast("int").alias("lead"))
-    found = interval_join(trades, meetings.withColumn("known", F.expr("at - make_interval(0, 0, 0, lead)")), "symbol", "after", "until", "at", 40 * 86400)
-    return found.groupBy("trade_id").agg(F.count("*").alias("meetings"), F.count_if(F.col("known") <= F.col("after")).alias("known_before"))
+    meetings = meetings.where("at is not null").withColumn("end", F.expr("at + interval 40 days")).withColumn("known", F.expr("least(end, greatest(at, end - make_interval(0, 0, 0, lead)))"))
+    step = lambda at, n, k: F.struct(F.col(at).alias("at"), F.lit(n).alias("n"), F.lit(k).alias("k"))
+    both = F.array(step("at", 1, 0), step("end", -1, 0))
+    steps = meetings.select("symbol", F.explode(F.when(F.col("lead").isNull(), both).otherwise(F.concat(both, F.array(step("known", 0, 1), step("end", 0, -1))))).alias("s")).select("symbol", "s.*")
+    asked = trades.select("symbol", "at", F.lit(0).alias("n"), F.lit(0).alias("k"))
+    times = steps.unionByName(asked).groupBy("symbol", "at").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
+    w = over(["symbol"], ["at"])
+    times = times.select("symbol", "at", F.sum("n").over(w).alias("meetings"), F.sum("k").over(w).alias("known_before")).where("meetings > 0")
+    return trades.join(times, ["symbol", "at"]).groupBy("trade_id").agg(F.sum("meetings").alias("meetings"), F.sum("known_before").alias("known_before"))
 
 
 @query(duck(f"select {DAILY}, n from daily where symbol in (select symbol from daily where n % 11 = 0 and idx % 12 = 0)"))
