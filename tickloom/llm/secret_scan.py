@@ -35,7 +35,7 @@ _KEYWORD = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _RUN = re.compile(r"[A-Za-z0-9+/_.=-]+")
 #: The automaton of a kind is fitted on at most so many distinct values of at most LONGEST characters; the word model counts all texts.
 VALUES = 400
-#: Learned values, and joined parts of a run that are scored, have so many characters at most.
+#: Learned values have so many characters at most; joined parts of a run up to this are scored one by one, longer ones by a search.
 LONGEST = 256
 #: Significance of the Hoeffding test of a merge; kinds with fewer values, and states with fewer visits, than SUPPORT say nothing of a format.
 ALPHA, SUPPORT = 0.005, 8
@@ -212,6 +212,8 @@ class FormatModel:
             self.kind[ord(c)] = 2 if c in "=/." else 1
             best = max((max(step[c] for step in a.steps) for a in self.automata.values()), default=-math.inf) - self.words[c] - RATIO
             self.most[ord(c)] = max(-100.0, best if c in _ALNUM else max(0.0, best))
+        #: By kind and character: what each state adds to a score above RATIO, and the state after it.
+        self.moves = {k: {c: (np.array([step[c] for step in a.steps]) - self.words[c] - RATIO, np.array([to.get("x" if c in _ALNUM else c, len(a.next) - 1) for to in a.next])) for c in _CHARS} for k, a in self.automata.items()}
         self._seen: dict[str, list[tuple[int, int, float]]] = {}
 
     def __getstate__(self) -> dict:
@@ -257,12 +259,17 @@ class FormatModel:
         return own - sum(map(self.words.__getitem__, token)) / len(token)
 
 
-def _cuts(run: str) -> tuple[tuple[int, int], ...]:
-    """(start, end) of what may be a value in a run: it, and its parts between `=`, `/` and `.`, joined up to LONGEST, without punctuation at the end."""
+def _edges(run: str) -> tuple[list[int], list[int]]:
+    """Starts and ends of the parts of a run between `=`, `/` and `.`; it also ends before punctuation at its end."""
     at = [i for i, c in enumerate(run) if c in "=/."]
-    ends = sorted({*at, len(run), len(run.rstrip("+/_.=-"))})
+    return [0, *(i + 1 for i in at)], sorted({*at, len(run), len(run.rstrip("+/_.=-"))})
+
+
+def _cuts(run: str) -> tuple[tuple[int, int], ...]:
+    """(start, end) of a run and of its joined parts up to LONGEST; `_longer` has the rest."""
+    starts, ends = _edges(run)
     out = {(0, len(run))}
-    for start in (0, *(i + 1 for i in at)):
+    for start in starts:
         for end in ends[bisect_right(ends, start) :]:
             if end - start > LONGEST:
                 break
@@ -270,12 +277,53 @@ def _cuts(run: str) -> tuple[tuple[int, int], ...]:
     return tuple(sorted(out))
 
 
+def _longer(run: str, model: FormatModel) -> dict[tuple[int, int], float]:
+    """(start, end) and score of all joined parts above LONGEST that reach RATIO, the whole run aside.
+
+    Backwards over the run, the most that any end from here on can add, by state of
+    an automaton; a walk from a start goes on only while that reaches RATIO. What it
+    passes on is scored as shorter parts are, so that no value is missed or scored otherwise.
+    """
+    starts, ends = _edges(run)
+    found: dict[tuple[int, int], float] = {}
+    edges, last = {*starts, *ends}, set(ends)
+    for kind, a in model.automata.items():
+        moves, stops = model.moves[kind], np.array(a.ends)
+        best, most = np.full(len(stops), -np.inf), {}
+        for p in range(len(run), -1, -1):
+            if p < len(run):
+                gain, to = moves[run[p]]
+                best = gain + best[to]
+            if p in last:
+                best = np.maximum(best, stops)
+            if p in edges:
+                most[p] = best
+        for start in starts:
+            if start not in most or most[start][0] < -1e-3:
+                continue
+            state, total, words = 0, 0.0, 0.0
+            for p in range(start, len(run) + 1):
+                n = p - start
+                if p in last:
+                    if LONGEST < n < len(run) and n >= a.shortest and (start, p) not in found and (total + a.ends[state]) / n >= a.least and total + a.ends[state] - words - RATIO * n >= -1e-3 and (s := model.ratio(run[start:p], True)) >= RATIO:
+                        found[start, p] = s
+                    if total - words - RATIO * n + most[p][state] < -1e-3:
+                        break
+                if p < len(run):
+                    c = run[p]
+                    total, words = total + a.steps[state][c], words + model.words[c]
+                    state = a.next[state].get("x" if c in _ALNUM else c, len(a.next) - 1)
+    return found
+
+
 def inferred(run: str, model: FormatModel) -> list[tuple[int, int, float]]:
     """(start, end, score) of the likely values of a run that don't overlap, those with most evidence first chosen."""
     found = []
     for a, b in _cuts(run):
         if b - a >= model.shortest and (s := model.ratio(run[a:b], True)) >= RATIO:
             found.append((-s * (b - a), a, b, s))
+    if len(run) > LONGEST:
+        found += [(-s * (b - a), a, b, s) for (a, b), s in _longer(run, model).items()]
     out: list[tuple[int, int, float]] = []
     for _, a, b, s in sorted(found):
         if all(b <= x or y <= a for x, y, _ in out):
