@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,43 +12,84 @@ from pyspark.sql import functions as F
 
 from .common import keep_ids, small_batches, stored, table
 from .components import components
-from .partenum import fold, linked, may_link, signatures, sketch
+from .partenum import COUNT_BITS, count_cells, fold, levels_of, linked, may_link, prefix, signatures, sketch
 from .shingles import shingle_sets
 
 #: Rows of a bucket that one task compares at once.
 BLOCK = 1024
+#: Members of a bucket beyond which they meet by their rarest elements instead.
+CROWD = 64
+#: Parts of the table of counts, each summed by itself.
+_PARTS = 64
 
 
 def _described(k: int, percent: int):
+    """A row for each document; then the parts of the table of counts of shingles, with n = -1 - part."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import hashlib
 
+        counts, cells, held = np.zeros(1 << COUNT_BITS, np.uint32), [], 0
         for pdf in batches:
             out = []
             for doc, s in zip(pdf["doc_id"], shingle_sets(pdf["text"].tolist(), k), strict=True):
                 raw = s.tobytes()
+                cells.append(count_cells(s))
+                held += len(s)
+                if held > 1 << 18:
+                    np.add(counts, np.bincount(np.concatenate(cells), minlength=len(counts)), out=counts, casting="unsafe")
+                    cells, held = [], 0
                 out.append(
                     (doc, len(s), hashlib.blake2b(raw, digest_size=16).digest(), sketch(s, percent)) if len(s) else (doc, 0, None, None)
                 )
-            yield pd.DataFrame(out, columns=["doc_id", "n", "set_hash", "sketch"])
+            yield pd.DataFrame(out, columns=_NAMES)
+        if held:
+            np.add(counts, np.bincount(np.concatenate(cells), minlength=len(counts)), out=counts, casting="unsafe")
+        if counts.any():
+            yield pd.DataFrame([(None, -1 - i, None, zlib.compress(x.tobytes(), 1)) for i, x in enumerate(counts.reshape(_PARTS, -1))], columns=_NAMES)
 
     return run
 
 
+_NAMES = ["doc_id", "n", "set_hash", "sketch"]
 _DESCRIBED = "doc_id long, n long, set_hash binary, sketch binary"
 
 
-def _signed(k: int, percent: int):
-    """(sig, cls) for each signature of each document."""
+def _levels(described: DataFrame) -> bytes:
+    """How common each cell of hashes is over all documents (`levels_of`), compressed. Each part goes by its own median."""
+
+    def summed(pdf: pd.DataFrame) -> pd.DataFrame:
+        total = sum(np.frombuffer(zlib.decompress(x), np.uint32).astype(np.int64) for x in pdf["sketch"])
+        return pd.DataFrame({"part": [-1 - int(pdf["n"].iloc[0])], "levels": [zlib.compress(levels_of(total).tobytes())]})
+
+    found = {r["part"]: zlib.decompress(r["levels"]) for r in described.where("n < 0").select("n", "sketch").groupBy("n").applyInPandas(summed, "part long, levels binary").collect()}
+    return zlib.compress(b"".join(found.get(i, bytes((1 << COUNT_BITS) // _PARTS)) for i in range(_PARTS)))
+
+
+def _signed(k: int, percent: int, packed: bytes, keys=signatures):
+    """(sig, cls) for each signature (or other key) of each document."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        levels = np.frombuffer(zlib.decompress(packed), np.uint8)
         for pdf in batches:
-            own = [signatures(s, percent).view(np.int64) for s in shingle_sets(pdf["text"].tolist(), k)]
+            own = [keys(s, percent, levels=levels).view(np.int64) for s in shingle_sets(pdf["text"].tolist(), k)]
             yield pd.DataFrame({"sig": np.concatenate(own), "cls": np.repeat(pdf["doc_id"].to_numpy(), [len(x) for x in own])}) if own else pd.DataFrame({"sig": [], "cls": []}, dtype="int64")
 
     return run
 
 
+def _bucketed(signed: DataFrame) -> DataFrame:
+    """Rows (sig, cls) of signatures that several classes have, with the first class, for the third the second, and whether there are more than CROWD."""
+    in_order = Window.partitionBy("sig").orderBy("cls")
+    place, before, after = F.row_number().over(in_order), F.lag("cls").over(in_order), F.lead("cls").over(in_order)
+    size = F.count("*").over(in_order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    return (
+        signed.select("sig", "cls", F.first("cls").over(in_order).alias("hub"), place.alias("place"), before.alias("before"), after.alias("after"), size.alias("size"))
+        .where("before is not null or after is not null")
+        .select("sig", "cls", "hub", F.when(F.col("place") == 3, F.col("before")).alias("second"), (F.col("size") > CROWD).alias("crowded"))
+    )
+
+
 def _sets(docs: DataFrame, k: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -104,19 +146,26 @@ def _blocks(percent: int, nearest: bool):
             return None
         size = min(map(len, sketches))
         s = np.stack([fold(np.frombuffer(x, np.uint8), size) for x in sketches]).view(np.uint64)
-        a, b = [], []
-        for at in range(0, len(cls), 32):
-            own = np.arange(at, min(at + 32, len(cls)))
-            apart = np.bitwise_count(s[own, None] ^ s[None]).sum(2, dtype=np.int32)
-            near = (100 + percent) * apart <= (100 - percent) * (n[own, None] + n[None])
-            near &= (label[own, None] != label[None]) & (cls[own, None] != cls[None]) & (side[own, None] <= 0) & (side[None] >= 0)
-            if nearest:
+        _, of, times = np.unique(label, return_inverse=True, return_counts=True)
+        major = of == times.argmax()  # of two groups, one is another than the largest
+        rows, others = np.flatnonzero(~major & (side <= 0)), np.flatnonzero(side >= 0)
+        step = max(1, min(32, (1 << 20) // s.size))
+        parts = [(rows[at : at + step], others) for at in range(0, len(rows), step)]
+        if side.any():  # in one block, the other way round are the same pairs
+            rows, others = np.flatnonzero(major & (side <= 0)), np.flatnonzero(~major & (side >= 0))
+            parts += [(rows[at : at + step], others) for at in range(0, len(rows), step)]
+        a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for own, them in parts:
+            apart = np.bitwise_count(s[own, None] ^ s[None, them]).sum(2, dtype=np.int32)
+            near = (100 + percent) * apart <= (100 - percent) * (n[own, None] + n[None, them])
+            near &= (label[own, None] != label[None, them]) & (cls[own, None] != cls[None, them])
+            if nearest and len(them):
                 i = np.flatnonzero(near.any(1))
                 j = np.where(near[i], apart[i], np.iinfo(np.int32).max).argmin(1)
             else:
                 i, j = np.nonzero(near)
-            a.append(np.minimum(cls[own[i]], cls[j]))
-            b.append(np.maximum(cls[own[i]], cls[j]))
+            a.append(np.minimum(cls[own[i]], cls[them[j]]))
+            b.append(np.maximum(cls[own[i]], cls[them[j]]))
         return np.concatenate(a), np.concatenate(b)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -172,11 +221,15 @@ def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     fewer words, the whole sequence. Documents link when 100 * intersection >=
     percent * union; component_id is the smallest doc_id that links reach.
 
-    Equal sets become one class (class_id: its smallest doc_id). Classes that
-    share a PartEnum signature are compared with the first one of their bucket,
+    Equal sets become one class (class_id: its smallest doc_id). Signatures leave
+    out common shingles, the same ones for all. Classes that share a PartEnum
+    signature are compared with the first one of their bucket,
     and the third with the second, which is linear in its size. What these links leave in
     different groups of a bucket is compared in blocks, by sketches that never
     miss a link, and exactly where they don't exclude one: nothing is capped.
+    The members of a bucket of more than CROWD meet by their rarest shingles in
+    its place: all classes of such buckets have keys of those, of which two that
+    link share one.
 
     Null or word-less texts have n_shingles 0 and stay alone; a null doc_id has
     null class and component; rows of one doc_id count as one document, which
@@ -193,18 +246,17 @@ def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
         ),
         "sets",
     )
+    levels, described = _levels(described), described.where("n >= 0")
     cls = described.where("n > 0").groupBy("set_hash").agg(F.min("doc_id").alias("cls"))
     ids = cls.select(F.col("cls").alias("doc_id"))
     classes = stored(keep_ids(described.where("n > 0"), ids, "doc_id").select(F.col("doc_id").alias("cls"), "n", "sketch").dropDuplicates(["cls"]), "classes")
-    in_order = Window.partitionBy("sig").orderBy("cls")
-    signed = keep_ids(docs.where("doc_id is not null"), ids, "doc_id").mapInPandas(_signed(k, percent), "sig long, cls long")
-    place, before, after = F.row_number().over(in_order), F.lag("cls").over(in_order), F.lead("cls").over(in_order)
-    buckets = stored(
-        signed.select("sig", "cls", F.first("cls").over(in_order).alias("hub"), place.alias("place"), before.alias("before"), after.alias("after"))
-        .where("before is not null or after is not null")
-        .select("sig", "cls", "hub", F.when(F.col("place") == 3, F.col("before")).alias("second")),
-        "buckets",
-    )
+    own = keep_ids(docs.where("doc_id is not null"), ids, "doc_id")
+    parts = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # signatures are many: half as many a task are sorted at once
+    buckets = stored(_bucketed(own.mapInPandas(_signed(k, percent, levels), "sig long, cls long").repartition(parts, "sig")), "buckets")
+    crowd = stored(buckets.where("crowded").select(F.col("cls").alias("doc_id")).distinct(), "crowd")
+    if crowd.limit(1).count():
+        rarest = keep_ids(own, crowd, "doc_id").mapInPandas(_signed(k, percent, levels, prefix), "sig long, cls long")
+        buckets = buckets.where("not crowded").unionByName(stored(_bucketed(rarest), "rarest"))
     near = buckets.select(F.explode(F.array("hub", "second")).alias("a"), F.col("cls").alias("b"))
     first = _verified(near.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), classes, docs, k, percent, False)
     groups = stored(components(first.toDF("src", "dst")), "groups")
@@ -235,7 +287,7 @@ def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     if unnamed.limit(1).count():
         sizes = unnamed.select(F.lit(0).cast("long").alias("doc_id"), "text").mapInPandas(
             _described(k, percent), _DESCRIBED
-        )
+        ).where("n >= 0")
         out = out.unionByName(sizes.select(null.alias("doc_id"), F.col("n").alias("n_shingles"), null.alias("class_id"), null.alias("component_id")))
     return out
 

@@ -23,6 +23,9 @@ import numpy as np
 from .shingles import mix
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
+_TOKEN = np.uint64(0xD1B54A32D192ED03)
+#: Leading bits of a hash that name its cell in a table of counts.
+COUNT_BITS = 20
 
 
 @lru_cache(maxsize=4096)
@@ -41,8 +44,9 @@ def shape(high: int, percent: int) -> tuple[int, int, int]:
     k = (100 - percent) * 2 * high // (100 + percent)
     if k == 0:
         return 1, 1, 0
-    slack = 0 if k < 8 else 1 if k < 24 else 2 if k < 60 else 3
-    return k // 2 + 1 + slack, 3 if k < 16 else 2, slack
+    least = k // 2 + 1
+    slack = 0 if k < 8 else -(-3 * least // 10)
+    return least + slack, 3 if k < 16 else 2, slack
 
 
 def tags(n: int, percent: int) -> list[tuple[int, int]]:
@@ -60,22 +64,43 @@ def _subsets(n2: int) -> np.ndarray:
     return np.array(list(combinations(range(n2), max(1, n2 - 1))))
 
 
-def signatures(elements: np.ndarray, percent: int) -> np.ndarray:
-    """Signatures (uint64) of one set of distinct hashes."""
+def count_cells(elements: np.ndarray) -> np.ndarray:
+    """The cell of each hash in a table of counts."""
+    return (elements >> np.uint64(64 - COUNT_BITS)).astype(np.int64)
+
+
+def levels_of(counts: np.ndarray) -> np.ndarray:
+    """How common (uint8) the elements of a cell are: 0 up to what chance puts into one, else higher by an eighth of a doubling."""
+    usual = float(np.median(counts))
+    least = max(32.0, 8 * usual**0.5)
+    over = np.maximum(counts - usual, 1) / least
+    return np.where(over > 1, np.minimum(255, 1 + np.floor(8 * np.log2(over))), 0).astype(np.uint8)
+
+
+def prefix(elements: np.ndarray, percent: int, levels: np.ndarray) -> np.ndarray:
+    """Keys (uint64) of the rarest elements of one sorted set: so many that similar sets share one."""
+    n = len(elements)
+    order = np.argsort(levels[count_cells(elements)], kind="stable")
+    return mix(elements[order[: n - -(-percent * n // 100) + 1]] ^ _TOKEN) if n else elements
+
+
+def signatures(elements: np.ndarray, percent: int, levels: np.ndarray | None = None) -> np.ndarray:
+    """Signatures (uint64) of one set of distinct hashes, without those that `levels` has as common."""
     n = len(elements)
     if not n:
         return np.empty(0, np.uint64)
     found = []
-    m = mix(elements + _GOLD)
+    m = mix((elements if levels is None else elements[levels[count_cells(elements)] == 0]) + _GOLD)
     value = mix(m ^ _GOLD)
     for tag, high in tags(n, percent):
         n1, n2, slack = shape(high, percent)
         cell = (m % np.uint64(n1 * n2)).astype(np.uint16 if n1 * n2 < 1 << 16 else np.int64)
         order = np.argsort(cell, kind="stable")
         cell = cell[order]
-        starts = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
+        starts = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]][: len(cell)])
         sums = np.zeros(n1 * n2, np.uint64)
-        sums[cell[starts]] = np.add.reduceat(value[order], starts)
+        if len(starts):
+            sums[cell[starts]] = np.add.reduceat(value[order], starts)
         filled = np.zeros(n1 * n2, bool)
         filled[cell[starts]] = True
         subsets = _subsets(n2)
